@@ -2,20 +2,31 @@
 
 from __future__ import annotations
 
-from lorequarry.llm import mixing
+from lorequarry.llm import bpe, mixing
 
 
 def _table(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
+    """Where the public vocabulary files are installed on this machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op6_bpe(spark, sf_dir):
+    return bpe.bpe_codes(_table(spark, sf_dir, "documents"), tokenizer_path(), ["doc_id"], digests=True)
+
+
 def op9_source_mixing(spark, sf_dir):
     mixed = mixing.mix_sources(_table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
 def queries():
-    return {"op9_source_mixing": op9_source_mixing}
+    return {f.__name__: f for f in (op6_bpe, op9_source_mixing)}
 
 
 def oracle_sql():
