@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from lorequarry.llm import bpe, mixing
+from pyspark.sql import functions as F
+
+from lorequarry.llm import bpe, lines, mixing
 
 
 def _table(spark, sf_dir, name):
@@ -16,6 +18,11 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op5_line_dedup(spark, sf_dir):
+    out = lines.dedup_lines(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.encode("kept", "UTF-8"), 256).alias("kept_sha256"))
+
+
 def op6_bpe(spark, sf_dir):
     return bpe.bpe_codes(_table(spark, sf_dir, "documents"), tokenizer_path(), ["doc_id"], digests=True)
 
@@ -26,7 +33,7 @@ def op9_source_mixing(spark, sf_dir):
 
 
 def queries():
-    return {f.__name__: f for f in (op6_bpe, op9_source_mixing)}
+    return {f.__name__: f for f in (op5_line_dedup, op6_bpe, op9_source_mixing)}
 
 
 def oracle_sql():
