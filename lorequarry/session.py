@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
+import zipfile
+from pathlib import Path
+
 from pyspark.sql import DataFrame, SparkSession
 
 TABLES = (
@@ -33,3 +37,16 @@ def register_tables(spark: SparkSession, sf_dir: str) -> None:
     """Every table of the folder as a temporary view of the same name."""
     for name in TABLES:
         table(spark, sf_dir, name).createOrReplaceTempView(name)
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the Python workers, once for each application (as --py-files would)."""
+    context = spark.sparkContext
+    if not getattr(context, "_lorequarry_shipped", False):
+        root = Path(__file__).resolve().parent
+        at = Path(tempfile.mkdtemp(prefix="spark-package-")) / "lorequarry_package.zip"
+        with zipfile.ZipFile(at, "w") as z:
+            for p in sorted(root.rglob("*.py")):
+                z.write(p, f"{root.name}/{p.relative_to(root)}")
+        context.addPyFile(str(at))
+        context._lorequarry_shipped = True
