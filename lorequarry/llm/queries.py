@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lorequarry.llm import bpe, lines, mixing
+from lorequarry.llm import bitsliced, bpe, lines, mixing, quality
 
 
 def _table(spark, sf_dir, name):
@@ -18,6 +18,17 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op2_quality_classifier(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = quality.score_quality(docs, quality.fit_quality(docs, _table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", "held_out", "score", "predicted")
+
+
+def op3_exact_top_k(spark, sf_dir):
+    rows = bitsliced.quantised(_table(spark, sf_dir, "embeddings"))
+    return bitsliced.top_k(rows.where("vec_id % 100 = 0"), rows)
+
+
 def op5_line_dedup(spark, sf_dir):
     out = lines.dedup_lines(_table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.encode("kept", "UTF-8"), 256).alias("kept_sha256"))
@@ -32,9 +43,24 @@ def op9_source_mixing(spark, sf_dir):
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+TOP_K_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id
+), r AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s
+)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
+"""
+
+
 def queries():
-    return {f.__name__: f for f in (op5_line_dedup, op6_bpe, op9_source_mixing)}
+    return {f.__name__: f for f in (op2_quality_classifier, op3_exact_top_k, op5_line_dedup, op6_bpe, op9_source_mixing)}
 
 
 def oracle_sql():
-    return {}
+    return {"op3_exact_top_k": TOP_K_SQL}
