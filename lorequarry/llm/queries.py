@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lorequarry.llm import bitsliced, bpe, lines, mixing, quality
+from lorequarry.llm import bitsliced, bpe, jaccard, lines, mixing, neardup, quality
 
 
 def _table(spark, sf_dir, name):
@@ -38,6 +38,14 @@ def op6_bpe(spark, sf_dir):
     return bpe.bpe_codes(_table(spark, sf_dir, "documents"), tokenizer_path(), ["doc_id"], digests=True)
 
 
+def op7_ngram_jaccard(spark, sf_dir):
+    return jaccard.jaccard_components(_table(spark, sf_dir, "documents"), k=3, num=90, den=100)
+
+
+def op8_embedding_near_dedup(spark, sf_dir):
+    return neardup.near_duplicates(_table(spark, sf_dir, "embeddings"), threshold=0.93)
+
+
 def op9_source_mixing(spark, sf_dir):
     mixed = mixing.mix_sources(_table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
@@ -59,7 +67,7 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
 
 
 def queries():
-    return {f.__name__: f for f in (op2_quality_classifier, op3_exact_top_k, op5_line_dedup, op6_bpe, op9_source_mixing)}
+    return {f.__name__: f for f in (op2_quality_classifier, op3_exact_top_k, op5_line_dedup, op6_bpe, op7_ngram_jaccard, op8_embedding_near_dedup, op9_source_mixing)}
 
 
 def oracle_sql():
