@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lorequarry.llm import bitsliced, bpe, jaccard, lines, mixing, neardup, quality
+from lorequarry.llm import bitsliced, bpe, jaccard, lines, mixing, neardup, pii, quality
 
 
 def _table(spark, sf_dir, name):
@@ -18,6 +18,10 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_pii_pseudonyms(spark, sf_dir):
+    return pii.pseudonymised(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op2_quality_classifier(spark, sf_dir):
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     scored = quality.score_quality(docs, quality.fit_quality(docs, _table(spark, sf_dir, "labels")))
@@ -67,7 +71,7 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
 
 
 def queries():
-    return {f.__name__: f for f in (op2_quality_classifier, op3_exact_top_k, op5_line_dedup, op6_bpe, op7_ngram_jaccard, op8_embedding_near_dedup, op9_source_mixing)}
+    return {f.__name__: f for f in (op1_pii_pseudonyms, op2_quality_classifier, op3_exact_top_k, op5_line_dedup, op6_bpe, op7_ngram_jaccard, op8_embedding_near_dedup, op9_source_mixing)}
 
 
 def oracle_sql():
