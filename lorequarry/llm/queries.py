@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lorequarry.llm import bitsliced, bpe, jaccard, lines, mixing, neardup, pii, quality
+from lorequarry.llm import bitsliced, bpe, jaccard, lines, lm, mixing, neardup, pii, quality
 
 
 def _table(spark, sf_dir, name):
@@ -70,8 +70,12 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
 """
 
 
+def op10_lm_scoring(spark, sf_dir):
+    return lm.score_texts(_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.tiktoken"))
+
+
 def queries():
-    return {f.__name__: f for f in (op1_pii_pseudonyms, op2_quality_classifier, op3_exact_top_k, op5_line_dedup, op6_bpe, op7_ngram_jaccard, op8_embedding_near_dedup, op9_source_mixing)}
+    return {f.__name__: f for f in (op1_pii_pseudonyms, op2_quality_classifier, op3_exact_top_k, op5_line_dedup, op6_bpe, op7_ngram_jaccard, op8_embedding_near_dedup, op9_source_mixing, op10_lm_scoring)}
 
 
 def oracle_sql():
