@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lorequarry.llm import bitsliced, bpe, jaccard, lines, lm, mixing, neardup, pii, quality
+from lorequarry.llm import bitsliced, bpe, jaccard, lines, lm, mixing, neardup, pii, quality, suffixes
 
 
 def _table(spark, sf_dir, name):
@@ -33,6 +33,10 @@ def op3_exact_top_k(spark, sf_dir):
     return bitsliced.top_k(rows.where("vec_id % 100 = 0"), rows)
 
 
+def op4_suffix_array_dedup(spark, sf_dir):
+    return suffixes.substring_dedup(_table(spark, sf_dir, "documents")).drop("removed")
+
+
 def op5_line_dedup(spark, sf_dir):
     out = lines.dedup_lines(_table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.encode("kept", "UTF-8"), 256).alias("kept_sha256"))
@@ -75,7 +79,7 @@ def op10_lm_scoring(spark, sf_dir):
 
 
 def queries():
-    return {f.__name__: f for f in (op1_pii_pseudonyms, op2_quality_classifier, op3_exact_top_k, op5_line_dedup, op6_bpe, op7_ngram_jaccard, op8_embedding_near_dedup, op9_source_mixing, op10_lm_scoring)}
+    return {f.__name__: f for f in (op1_pii_pseudonyms, op2_quality_classifier, op3_exact_top_k, op4_suffix_array_dedup, op5_line_dedup, op6_bpe, op7_ngram_jaccard, op8_embedding_near_dedup, op9_source_mixing, op10_lm_scoring)}
 
 
 def oracle_sql():
