@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lorequarry.llm.durable import durable
+from lorequarry.llm.durable import durable, small_side
 
 WORDS = r"[^\x20\x09-\x0D]+"
 GOLDEN = 0.6180339887498949
@@ -120,9 +120,13 @@ def schedule(plan: DataFrame, chunk: int = 4096) -> DataFrame:
     return ranked.withColumn("rank", F.col("offset") + F.col("nth") - 1).where("rank < slots").select("key", "rank", "slot")
 
 
-def mixed_documents(docs: DataFrame, **how) -> DataFrame:
-    """The mix itself as documents: each one as often as its taken words make up its size, rounded to whole copies."""
+def mixed_documents(docs: DataFrame, small_rows: int = 1_000_000, **how) -> DataFrame:
+    """The mix itself as documents: each one as often as its taken words make up its size, rounded to whole copies.
+
+    Documents without words are left out; rows that share a doc_id come as often as the one that is taken most.
+    """
     names = docs.columns
     taken = mix_sources(docs, **how)
     copies = taken.where("size > 0").groupBy("doc_id").agg(F.max(F.floor(F.col("taken") / F.col("size") + 0.5)).cast("int").alias("__copies")).where("__copies > 0")
+    copies, _ = small_side(durable(copies, "copies"), small_rows)
     return docs.join(copies, "doc_id").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*names)
