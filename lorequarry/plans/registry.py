@@ -6,18 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lorequarry.session import table
+from lorequarry.plans import context_queries, relational_queries, search_queries
 
 Query = Callable[[SparkSession, str], DataFrame]
-
-
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents")
+ALL = relational_queries.QUERIES | search_queries.QUERIES | context_queries.QUERIES
+flagship: Query = context_queries.flagship
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return {name: query for name, (query, _) in ALL.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for name, (_, sql) in ALL.items() if sql}
