@@ -1,0 +1,398 @@
+"""The training-data operators against plain Python, with nulls, empty and long texts, ties, repeated rows and empty tables."""
+
+import collections
+import hashlib
+import math
+import re
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from lorequarry.llm import bitsliced, bpe, components, jaccard, lines, lm, mixing, neardup, pii, quality, suffixes
+from lorequarry.llm.queries import tokenizer_path
+
+SPACE = " \t\n\x0b\x0c\r"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, key string, n long, node long, c int"
+
+
+def low(t):
+    return re.sub("[A-Z]", lambda m: m.group(0).lower(), t)
+
+
+def words(t):
+    return [w for w in re.split("[\x20\x09-\x0d]+", low(t or "")) if w]
+
+
+@pytest.fixture(scope="module")
+def texts():
+    r = np.random.default_rng(3)
+    vocab = ["".join(r.choice(list("abcdeéß🙂"), 4)) for _ in range(300)]
+    say = lambda n: " ".join(r.choice(vocab, n))
+    base, shared, line = say(200), say(60), "A line That stands in many documents, again and again."
+    out = [None, "", " \n\t ", "one", "Two words", base, base, base + " more", base.upper(), say(3000)]
+    out += [say(30) + "\n" + line + "\n" + shared + " " + say(20) for _ in range(7)]
+    out += ["  " + line.upper() + "\t\n" + say(5), "x\n\n" + line + "\n" + line, shared, say(50) + " " + shared, "\n", "a" * 350, "ab" * 130]
+    tokens = base.split()
+    out += [" ".join(tokens[:i] + ["changed"] + tokens[i + 1 :]) for i in (3, 60, 199)]
+    return list(enumerate(out))
+
+
+@pytest.fixture(scope="module")
+def docs(spark, texts):
+    rows = [(i, t, "en", f"s{i % 3}" if i % 4 else None, len(t or ""), "k", 1, 2, 3) for i, t in texts]
+    return spark.createDataFrame(rows, SCHEMA).repartition(3)
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+# --- 1 ---
+
+
+def test_pseudonyms(spark, empty):
+    seen = ["4785380592391139", "und.34@mail7.example.com", "97.51.17.173", "+1 (017) 555-7713", "GB82 WEST 1234 5698 7654 32", "123-45-6789", "1984-02-29", "31.12.1999"]
+    left = ["1234567890123456", "999.1.1.1", "000-12-3456", "1983-02-29", "version 4.0.", "GB83 WEST 1234 5698 7654 32"]
+    rows = [(1, " ".join(seen) + " end"), (2, "x " + seen[0] + "!! " + seen[1]), (3, " ; ".join(left)), (4, None), (5, ""), (6, "plain " * 5000)]
+    got = {r.doc_id: r for r in pii.pseudonymised(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1].n_replaced == len(seen) and not any(s in got[1].text for s in seen)
+    assert [got[i].text for i in (3, 4, 5, 6)] == [rows[2][1], None, "", rows[5][1]]
+    card = got[2].text.split("!!")[0][2:]
+    assert card in got[1].text and len(card) == 16  # equal values stay linked
+    digits = [int(c) for c in card][::-1]
+    assert (sum(digits[::2]) + sum(sum(divmod(2 * d, 10)) for d in digits[1::2])) % 10 == 0
+    iban = re.search(r"GB\d\d(?: [A-Z0-9]{4}){4} [A-Z0-9]{2}", got[1].text).group(0).replace(" ", "")
+    assert int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97 == 1
+    assert pii.pseudonymised(empty).count() == 0
+
+
+def test_permutation_covers_its_range(spark):
+    x = spark.range(898 * 7).select(pii.permute(F.col("id"), 898, 7, "k").alias("y"))
+    assert x.distinct().count() == 898 * 7 and x.agg(F.max("y")).first()[0] == 898 * 7 - 1
+
+
+# --- 2 ---
+
+
+def test_quality_learns(spark, docs, empty):
+    r = np.random.default_rng(1)
+    say = lambda bad: " ".join("".join(r.choice(list("abcdefgh"), 5)) + ("%%%" if bad else "") for _ in range(r.integers(1, 60)))
+    rows = [(i, say(i % 3 == 0), int(i % 3 != 0)) for i in range(400)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, quality int")
+    net = quality.fit_quality(d.select("doc_id", "text"), d.select("doc_id", "quality"))
+    got = quality.score_quality(d.select("doc_id", "text", "quality"), net).collect()
+    held = [g for g in got if g.held_out]
+    assert {g.doc_id for g in held} == {i for i in range(400) if zlib.crc32(str(i).encode()) % 5 == 0}
+    assert sum(g.predicted == g.quality for g in held) / len(held) > 0.97
+    odd = quality.score_quality(docs, net).collect()  # nulls, empty and very long texts, extra columns
+    assert len(odd) == docs.count() and all(0 <= g.score <= 1 for g in odd)
+    assert quality.score_quality(empty, net).count() == 0
+    none = quality.fit_quality(d.select("doc_id", "text"), d.select("doc_id", F.lit(None).cast("int").alias("quality")))
+    assert none.constant == 0.5
+    assert quality.good_documents(docs, d.select("doc_id", "quality")).columns == docs.columns
+
+
+def test_long_text_is_scored_in_pieces():
+    net = quality.ByteNet()
+    data = np.random.default_rng(0).integers(97, 120, 50_000).astype(np.uint8)
+    chunks, first = quality.padded_chunks(data, np.array([0, 30_000, 30_000, 50_000]))
+    assert np.allclose(net.pooled(chunks, first), net.pooled(chunks, first, most=1000), atol=1e-5)
+
+
+# --- 3 ---
+
+
+def test_top_k_is_exact(spark):
+    r = np.random.default_rng(2)
+    rows = [(i, [float(x) for x in r.normal(0, 0.3, 8)]) for i in range(400)]
+    rows += [(400 + i, rows[0][1]) for i in range(30)] + [(500, None), (501, [1.0] * 7 + [None]), (502, [float("nan")] * 8), (503, [3.0] * 8), (504, [-2.5] * 8), (7, rows[3][1])]
+    v = bitsliced.quantised(spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("score", F.lit(1)))
+    got = collections.defaultdict(list)
+    for x in bitsliced.top_k(v.where("vec_id % 100 = 0"), v, block_rows=64, batch_queries=3).orderBy("query_id", "rank").collect():
+        got[x.query_id].append((x.vec_id, x.score))
+    ok = [(i, np.floor(1024 * np.array(e)).astype(np.int64)) for i, e in rows if e and all(c is not None and math.isfinite(c) for c in e)]
+    for qid, q in ok:
+        if qid % 100 == 0:
+            best = sorted(((-int(e @ q), i) for i, e in ok if i != qid))[:10]
+            assert got[qid] == [(i, -s) for s, i in best]
+    assert bitsliced.top_k(v.where("vec_id < 0"), v).count() == 0
+    few = v.where("vec_id < 3")
+    assert bitsliced.top_k(few, few).count() == 6
+
+
+# --- 4 ---
+
+
+@pytest.mark.parametrize("crowd", [20_000, 2])
+def test_repeated_substrings(docs, texts, empty, crowd, monkeypatch):
+    monkeypatch.setattr(suffixes.substring_spans, "__defaults__", (100, crowd))
+    seen, want = set(), {}
+    for i, t in texts:
+        b = (t or "").encode()
+        gone = np.zeros(len(b), bool)
+        for a in range(len(b) - 99):
+            if (w := b[a : a + 100]) in seen:
+                gone[a : a + 100] = True
+            seen.add(w)
+        runs = int(np.count_nonzero(np.diff(np.concatenate([[0], gone.astype(int)])) == 1))
+        want[i] = (len(b), int(gone.sum()), runs, hashlib.sha256(np.frombuffer(b, np.uint8)[~gone].tobytes()).hexdigest())
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffixes.substring_dedup(docs).collect()}
+    assert got == want
+    assert suffixes.substring_dedup(empty).count() == 0
+
+
+def test_suffix_order():
+    r = np.random.default_rng(1)
+    for n in [*range(1, 25), 200, 301]:
+        for k in (1, 2, 5):
+            t = r.integers(1, k + 1, n)
+            assert np.argsort(suffixes.difference_cover_order(t, 10**6), kind="stable").tolist() == sorted(range(n), key=lambda i: t[i:].tolist())
+
+
+# --- 5 ---
+
+
+def test_line_dedup(docs, texts, empty):
+    key = lambda x: low(x.strip(SPACE))
+    holders = collections.defaultdict(set)
+    for i, t in texts:
+        for x in (t or "").split("\n"):
+            holders[key(x)].add(i)
+    want = {}
+    for i, t in texts:
+        ls = (t or "").split("\n")
+        kept = [x for x in ls if len(key(x)) < 40 or len(holders[key(x)]) < 5 or max(holders[key(x)]) == i]
+        want[i] = (len(ls), len(ls) - len(kept), "\n".join(kept))
+    assert sum(w[1] for w in want.values()) >= 7
+    for most_bits in (1 << 29, lines.CHUNK_BYTES * 8):
+        got = {r.doc_id: (r.n_lines, r.n_dropped, r.kept) for r in lines.dedup_lines(docs, most_bits=most_bits).collect()}
+        assert got == want
+    assert lines.dedup_lines(empty).count() == 0
+    again = lines.dedup_lines(docs.unionByName(docs)).collect()  # repeated rows are one document
+    assert {(r.doc_id, r.kept) for r in again} == {(i, w[2]) for i, w in want.items()} and len(again) == 2 * len(want)
+
+
+# --- 6 ---
+
+
+def test_codes_are_those_of_the_library(docs, texts, empty):
+    from tokenizers import Tokenizer
+
+    lib = Tokenizer.from_file(tokenizer_path())
+    odd = ["It's WE'LL <|endoftext|> x<|startoftext|>", "ΑΣ Σ İ ẞ ½ ٣", "\x1c\x1d á \x85 ​"]
+    for t in [*(t or "" for _, t in texts), *odd]:
+        ids = lib.encode(t, add_special_tokens=False).ids
+        raw, text = bpe.tokenizer(tokenizer_path()).encode([t])[0]
+        assert np.frombuffer(raw, "<u4").tolist() == ids and text.decode() == lib.decode(ids, skip_special_tokens=False)
+    got = {r.doc_id: r for r in bpe.bpe_codes(docs, tokenizer_path(), ["doc_id", "n"]).collect()}
+    for i, t in texts:
+        assert got[i].ids == lib.encode(t or "", add_special_tokens=False).ids and got[i].n == 1
+    assert bpe.bpe_codes(empty, tokenizer_path(), ["doc_id"]).count() == 0
+
+
+# --- 7 ---
+
+
+def linked(texts, k, num, den):
+    sets = {}
+    for i, t in texts:
+        w = words(t)
+        sets[i] = {tuple(w[j : j + k]) for j in range(len(w) - k + 1)} if len(w) >= k else ({tuple(w)} if w else set())
+    root = {i: i for i in sets}
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a in sets:
+        for b in sets:
+            if a < b and sets[a] and sets[b] and den * len(sets[a] & sets[b]) >= num * len(sets[a] | sets[b]):
+                x, y = top(a), top(b)
+                root[max(x, y)] = min(x, y)
+    return {i: (len(sets[i]), top(i)) for i in sets}
+
+
+@pytest.mark.parametrize(("k", "num"), [(3, 90), (5, 80), (1, 50)])
+@pytest.mark.parametrize("page", [500_000, 300])
+def test_jaccard_components(docs, texts, k, num, page):
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_components(docs, k, num, 100, page_shingles=page).collect()}
+    assert got == linked(texts, k, num, 100)
+
+
+def test_jaccard_edges(empty, docs):
+    assert jaccard.jaccard_components(empty).count() == 0
+    assert jaccard.one_of_each_group(docs).columns == docs.columns
+
+
+def test_signatures_lose_no_pair():
+    r = np.random.default_rng(4)
+    for num in (90, 80, 60):
+        for _ in range(150):
+            n = int(r.integers(1, 120))
+            a = r.choice(2**60, n, replace=False).astype(np.uint64)
+            most = jaccard.most_different(n, num, 100)
+            add = int(r.integers(0, most + 1))
+            b = np.concatenate([a[: max(1, n - (most - add))], r.choice(2**60, add, replace=False).astype(np.uint64)])
+            i = len(np.intersect1d(a, b))
+            if 100 * i >= num * (len(a) + len(b) - i) and set(a) != set(b):
+                assert set(jaccard.signatures(np.sort(a), num, 100)) & set(jaccard.signatures(np.sort(b), num, 100))
+
+
+def test_components(spark):
+    r = np.random.default_rng(6)
+    pairs = [(int(a), int(b)) for a, b in r.integers(0, 300, (220, 2))] + [(1000 + i, 1001 + i) for i in range(40)]
+    root = {}
+    for a, b in pairs:
+        x, y = root.get(a, a), root.get(b, b)
+        lo = min(x, y)
+        for n in [*root, a, b]:
+            if root.get(n, n) in (x, y):
+                root[n] = lo
+    got = {x.node: x.component for x in components.components(spark.createDataFrame([*pairs, (5, None)], "a long, b long")).collect()}
+    assert got == {n: c for n, c in root.items() if any(n in p and p[0] != p[1] for p in pairs)}
+
+
+# --- 8 ---
+
+
+def test_near_duplicate_vectors(spark):
+    r = np.random.default_rng(5)
+    base = r.normal(0, 1, (60, 16))
+    rows = []
+    for i in range(300):
+        v = base[i % 60] + r.normal(0, 0.05 if i % 3 else 0.12, 16)
+        rows.append((i, [float(x) for x in v], i % 2))
+    rows += [(300 + i, rows[5][1], 1) for i in range(40)]
+    rows += [(400, None, 1), (401, [0.0] * 16, 1), (402, [1.0, None] + [0.0] * 14, 1), (403, [float("nan")] * 16, 1), (404, rows[5][1], None), (405, [1.0, 2.0], 1), (406, [2.0, 4.0], 1)]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").withColumn("node", F.lit(1))
+    ok = [(i, np.array(e) / np.linalg.norm(e), label) for i, e, label in rows if e and label is not None and None not in e and all(map(math.isfinite, e)) and any(e)]
+    links = collections.defaultdict(set)
+    for i, a, x in ok:
+        for j, b, y in ok:
+            if i != j and x == y and len(a) == len(b) and a @ b >= 0.93:
+                links[i].add(j)
+    comp = {}
+    for i, *_ in rows:
+        todo, seen = [i], {i}
+        while todo:
+            for j in links[todo.pop()] - seen:
+                seen.add(j)
+                todo.append(j)
+        comp[i] = min(seen)
+    for cell_rows in (2048, 40):
+        got = {x.vec_id: (x.n_links, x.component_id, x.kept) for x in neardup.near_duplicates(v, cell_rows=cell_rows, margin=0.9).collect()}
+        assert got == {i: (len(links[i]), comp[i], comp[i] == i) for i, *_ in rows}
+        some = {x.vec_id: x.n_links for x in neardup.near_duplicates(v, cell_rows=cell_rows).collect()}
+        assert sum(some.values()) >= 0.9 * sum(map(len, links.values())) and all(n <= len(links[i]) for i, n in some.items())
+    assert neardup.near_duplicates(v.where("vec_id < 0")).count() == 0
+
+
+# --- 9 ---
+
+
+def test_mix_meets_targets(docs, texts, empty, spark):
+    got = mixing.mix_sources(docs).collect()
+    size = {i: len(words(t)) for i, t in texts}
+    assert {r.doc_id: r["size"] for r in got} == size and all(0 <= r.taken <= 2 * r["size"] for r in got)
+    by = collections.defaultdict(int)
+    for i, t in texts:
+        by[f"s{i % 3}" if i % 4 else None] += size[i]
+    order = sorted(x for x in by if x) + [None]
+    target, weight = {}, {s: (5, 2, 1)[k % 3] for k, s in enumerate(order)}
+    open_, rest = set(order), 1.5 * sum(by.values())
+    while open_:
+        level = rest / sum(weight[s] for s in open_)
+        over = {s for s in open_ if level * weight[s] > 2 * by[s]}
+        if not over:
+            target |= {s: level * weight[s] for s in open_}
+            break
+        for s in over:
+            target[s] = 2.0 * by[s]
+            rest -= target[s]
+        open_ -= over
+    for s in order:
+        rows = [r for r in got if r.source == s]
+        assert all(math.isclose(r.target, target[s]) and r.source_size == by[s] for r in rows)
+        assert abs(sum(r.taken for r in rows) - target[s]) <= 1
+    assert sorted(map(str, got)) == sorted(map(str, mixing.mix_sources(docs.repartition(5)).collect()))
+    assert mixing.mix_sources(empty).count() == 0
+    assert mixing.mix_sources(docs.unionByName(docs)).count() == 2 * len(texts)
+    assert mixing.mixed_documents(docs).columns == docs.columns
+
+
+# --- 10 ---
+
+
+@pytest.mark.parametrize("frequent", [1_000_000, 3])
+def test_language_model(docs, texts, empty, frequent):
+    counts = collections.Counter()
+    for i, t in texts:
+        if zlib.crc32(str(i).encode()) % 7 != 2:
+            counts.update([*words(t), None])
+    n, v = sum(counts.values()), len(counts)
+    got = {r.doc_id: r for r in lm.score_texts(docs, tokenizer_path("byte_bpe_50k.tiktoken"), frequent_words=frequent, fit_rows=20).collect()}
+    for i, t in texts:
+        w, r = [*words(t), None], got[i]
+        assert (r.n_tokens, r.n_known, r.train_tokens, r.held_out) == (len(w), sum(counts[x] > 0 for x in w), n, zlib.crc32(str(i).encode()) % 7 == 2)
+        assert math.isclose(r.base_score, sum(math.log10((counts[x] + 1) / (n + v + 1)) for x in w), rel_tol=1e-9)
+        assert r.base_score + len(w) * math.log10(0.5) - 1e-6 <= r.score < 0
+    assert lm.score_texts(empty, tokenizer_path("byte_bpe_50k.tiktoken")).count() == 0
+
+
+def test_each_id_is_scored_once_and_causally():
+    net = lm.Attention(50, 8)
+    net.class_of = (np.arange(50) % 8).astype(np.int32)
+    r = np.random.default_rng(0)
+    lengths = np.array([1, 31, 32, 33, 200, 5])
+    ids = r.integers(0, 50, lengths.sum())
+    *_, scored, place = lm.windows(ids, lengths, 0)
+    assert np.array_equal(np.sort(place[scored]), np.arange(len(ids)))
+    whole = lm.log_probabilities(net, ids, lengths, 0)
+    cut = lm.log_probabilities(net, ids[:40], np.array([1, 31, 8]), 0)
+    assert np.allclose(whole[:40], cut[:40], atol=1e-5)
+
+
+def test_model_gradients():
+    net = lm.Attention(20, 5, dim=4, seed=1)
+    r = np.random.default_rng(0)
+    ids, target, valid = r.integers(0, 20, (2, lm.WINDOW)), r.integers(0, 5, (2, lm.WINDOW)), r.random((2, lm.WINDOW)) < 0.7
+    g = net.gradients(ids, target, valid)
+
+    def loss():
+        y = net.forward(ids)["y"].reshape(-1, 4)[valid.reshape(-1)]
+        return -net.log_classes(y, target.reshape(-1)[valid.reshape(-1)]).mean()
+
+    for name in ("qkv", "mix", "up", "down", "out", "place"):
+        at = tuple(int(r.integers(s)) for s in net.w[name].shape)
+        net.w[name] = net.w[name].astype(np.float64)
+        keep = net.w[name][at]
+        net.w[name][at] = keep + 1e-4
+        up = loss()
+        net.w[name][at] = keep - 1e-4
+        slope = (up - loss()) / 2e-4
+        net.w[name][at] = keep
+        assert math.isclose(slope, float(g[name][at]), rel_tol=0.05, abs_tol=2e-4), name
+
+
+# --- pipeline ---
+
+
+def test_pipeline(spark):
+    import corpus_pipeline
+
+    folder = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    names = docs.columns
+    out = corpus_pipeline.run(spark, folder)
+    assert out.count() > 0 and {"doc_id", "n_tokens", "ids"} <= set(out.columns)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, folder)
+        assert docs.columns == names, name
+        docs = spark.createDataFrame(docs.toPandas(), docs.schema)
+    kept = {r.doc_id: r.text for r in docs.collect()}
+    groups = linked(sorted(kept.items()), 5, 80, 100)
+    assert all(groups[i][1] == i for i in kept)  # no near-duplicates are left
