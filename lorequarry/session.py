@@ -39,6 +39,15 @@ def register_tables(spark: SparkSession, sf_dir: str) -> None:
         table(spark, sf_dir, name).createOrReplaceTempView(name)
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """The same rows without their lineage, checkpointed to spark.checkpoint.dir (a local folder only where that is unset)."""
+    spark = df.sparkSession
+    if not spark.conf.get("spark.checkpoint.dir", None):
+        spark.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="spark-shared-"))
+    spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
+    return df.checkpoint()
+
+
 def ship(spark: SparkSession) -> None:
     """Sends this package to the Python workers, once for each application (as --py-files would)."""
     context = spark.sparkContext
