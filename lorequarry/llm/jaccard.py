@@ -166,10 +166,12 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     spark = docs.sparkSession
     rows = durable(shingled(docs, k, num, den), "sets")
     linkable = rows.where("n > 0 and doc_id is not null")
-    one = durable(linkable.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "n", "sigs")).alias("s")).select("h1", "h2", "s.*"), "classes")
+    one = durable(linkable.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "n")).alias("s")).select("h1", "h2", "s.*"), "classes")
 
     # documents that share a signature are candidates; only links to the smallest of them are kept
-    sigs = one.select(F.col("doc_id").alias("a"), F.explode("sigs").alias("sig"))
+    heads, _ = small_side(one.select(F.col("doc_id").alias("a"), F.col("h1").alias("k1"), F.col("h2").alias("k2")), small_rows)
+    own = linkable.join(heads, (F.col("doc_id") == F.col("a")) & (F.col("h1") == F.col("k1")) & (F.col("h2") == F.col("k2")))
+    sigs = own.select("a", F.explode("sigs").alias("sig"))
     by_sig = Window.partitionBy("sig")
     shared = sigs.withColumn("b", F.min("a").over(by_sig)).where("a <> b").select("a", "b").distinct()
     family = components(shared)
