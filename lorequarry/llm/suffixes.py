@@ -6,9 +6,9 @@ first dealt by content, without losing any match:
 
 1. Anchors.  In every window of ``length`` bytes the gram (GRAM bytes) with the smallest hash is the window's anchor;
    equal windows have equal anchors at equal places.  Anchors, one for some 35 bytes, are counted in Spark.
-2. Contexts.  An anchor whose gram stands more than once gets its context: all windows that hold it.  Equal contexts
+2. Contexts.  An anchor whose gram stands more than once gets its context: all windows of which it is the anchor.  Equal contexts
    are summed up before the shuffle: the earliest stays, the windows of the others are known to repeat.
-3. Suffix arrays.  The contexts of a gram go to one partition, where the difference-cover algorithm sorts their
+3. Suffix arrays.  The contexts of a gram that has several go to one partition, where the difference-cover algorithm sorts their
    suffixes: triples at two of three places are sorted and named, the names are sorted by recursion, the
    remaining suffixes are merged in.  Neighbours that agree in ``length`` bytes form runs, and all windows of a run
    but the earliest repeat.  A gram with more than ``most_contexts`` different contexts is dealt by whole windows.
@@ -46,23 +46,32 @@ def sliding_minimum(x: np.ndarray, width: int) -> np.ndarray:
 
 
 def anchors(data: np.ndarray, offsets: np.ndarray, length: int):
-    """(text, place, hash of the gram) of the anchors of all windows inside each text."""
+    """(text, place, hash, first window, last window) of the anchors of all windows inside each text.
+
+    The windows of an anchor are consecutive, as the place of the smallest hash never moves back.
+    """
     n = len(data)
     none = np.zeros(0, np.int64)
     if n < length:
-        return none, none, none.astype(np.uint64)
+        return none, none, none.astype(np.uint64), none, none
     sums = prefix_sums(data)
     at = np.arange(n - GRAM + 1)
     h = substring_hash(sums, at, at + GRAM)
     # the last gram with the smallest hash, as the low bits of what is compared hold the place
     width = length - GRAM + 1
     bits = np.uint64(max(1, int(n).bit_length()))
-    keyed = (h >> bits << bits) | (np.uint64((1 << int(bits)) - 1) - at.astype(np.uint64))
+    low = np.uint64((1 << int(bits)) - 1)
+    keyed = (h >> bits << bits) | (low - at.astype(np.uint64))
     least = sliding_minimum(keyed, width)
     sizes = np.diff(offsets)
     whole = ragged(offsets[:-1], np.maximum(sizes - length + 1, 0))  # windows that stay in their text
-    place = np.unique((np.uint64((1 << int(bits)) - 1) - (least[whole] & np.uint64((1 << int(bits)) - 1))).astype(np.int64))
-    return np.searchsorted(offsets, place, "right") - 1, place, h[place]
+    if not len(whole):
+        return none, none, none.astype(np.uint64), none, none
+    place = (low - (least[whole] & low)).astype(np.int64)
+    starts = np.flatnonzero(np.diff(place, prepend=-1))
+    first, last = whole[starts], whole[np.append(starts[1:], len(whole)) - 1]
+    place = place[starts]
+    return np.searchsorted(offsets, place, "right") - 1, place, h[place], first, last
 
 
 def difference_cover_order(text: np.ndarray, enough: int) -> np.ndarray:
@@ -104,13 +113,18 @@ def difference_cover_order(text: np.ndarray, enough: int) -> np.ndarray:
         _, pair = np.unique(np.concatenate([t[rest] * size + t[rest + 1], t[s2] * size + t[s2 + 1]]), return_inverse=True)
         rest_key2 = pair[: len(rest)] * big + rank[rest + 2]
         key2 = pair[len(rest) :] * big + rank[s2 + 2]
+    # keys are counted in sorted order, which keeps the searches local
+    by0, by1, by2 = np.argsort(rest_key), np.argsort(key1), np.argsort(key2)
+    sorted_rest, sorted1, sorted2 = rest_key[by0], key1[by1], key2[by2]
+    rest_key2 = rest_key2[by0]  # ordered too, as both keys order the same suffixes
     out = np.empty(n, np.int64)
-    sorted_rest, sorted1, sorted2 = np.sort(rest_key), np.sort(key1), np.sort(key2)
-    out[rest] = np.searchsorted(sorted_rest, rest_key) + np.searchsorted(sorted1, rest_key) + np.searchsorted(sorted2, rest_key2)
+    out[rest[by0]] = np.searchsorted(sorted_rest, sorted_rest) + np.searchsorted(sorted1, sorted_rest) + np.searchsorted(sorted2, rest_key2)
     inside = sample < n
     own = np.sort(rank[sample])
     base = np.searchsorted(own, rank[sample])
-    more = np.concatenate([np.searchsorted(sorted_rest, key1), np.searchsorted(np.sort(rest_key2), key2)])
+    more = np.empty(len(sample), np.int64)
+    more[by1] = np.searchsorted(sorted_rest, sorted1)
+    more[ones + by2] = np.searchsorted(np.sort(rest_key2), sorted2)
     out[sample[inside]] = (base + more)[inside]
     return out
 
@@ -160,15 +174,15 @@ def substring_spans(docs: DataFrame, length: int = 100, most_contexts: int = 20_
     def find(batches):
         for batch in batches:
             for first, data, offsets in slices(batch.column(1)):
-                text, place, h = anchors(data, offsets, length)
+                text, place, h, lo, hi = anchors(data, offsets, length)
                 ids = batch.column(0).take(pa.array(first + text))
-                yield pa.RecordBatch.from_arrays([ids, pa.array((place - offsets[text]).astype(np.int32)), pa.array(h.view(np.int64))], names=["doc_id", "place", "gram"])
+                span = ((place - lo) * length + hi - lo).astype(np.int32)  # both below length
+                yield pa.RecordBatch.from_arrays([ids, pa.array((place - offsets[text]).astype(np.int32)), pa.array(span), pa.array(h.view(np.int64))], names=["doc_id", "place", "span", "gram"])
 
-    found = docs.select("doc_id", "text").mapInArrow(find, "doc_id long, place int, gram long")
+    found = docs.select("doc_id", "text").mapInArrow(find, "doc_id long, place int, span int, gram long")
     grams = durable(found.groupBy("gram").count().where("count > 1").select(F.col("gram").alias("g")), "grams")
-    repeated = found.join(grams, F.col("gram") == F.col("g")).groupBy("doc_id").agg(F.collect_list(F.struct("place", "gram")).alias("at"))
-    around = length - GRAM
-    joined = docs.select(F.col("doc_id").alias("d"), "text").join(repeated, F.col("d") == F.col("doc_id")).select("doc_id", "text", F.col("at.place").alias("places"), F.col("at.gram").alias("grams"))
+    repeated = found.join(grams, F.col("gram") == F.col("g")).groupBy("doc_id").agg(F.collect_list(F.struct("place", "span", "gram")).alias("at"))
+    joined = docs.select(F.col("doc_id").alias("d"), "text").join(repeated, F.col("d") == F.col("doc_id")).select("doc_id", "text", F.col("at.place").alias("places"), F.col("at.span").alias("spans"), F.col("at.gram").alias("grams"))
 
     def cut(batches):
         for batch in batches:
@@ -178,8 +192,10 @@ def substring_spans(docs: DataFrame, length: int = 100, most_contexts: int = 20_
             places = np.array(lists.flatten())
             grams = batch.column("grams").flatten()
             owner = np.repeat(np.arange(len(per)), per)
-            begin = np.maximum(places - around, 0)
-            out = [texts[o][a : p + length] for o, a, p in zip(owner.tolist(), begin.tolist(), places.tolist(), strict=True)]
+            spans = np.array(batch.column("spans").flatten())
+            begin = places - spans // length
+            until = begin + spans % length + length
+            out = [texts[o][a:b] for o, a, b in zip(owner.tolist(), begin.tolist(), until.tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(owner)), pa.array(begin.astype(np.int32)), grams, pa.array((places - begin).astype(np.int32)), pa.array(out, pa.binary())], names=["doc_id", "begin", "gram", "lead", "context"])
 
     contexts = joined.mapInArrow(cut, "doc_id long, begin int, gram long, lead int, context binary")
@@ -190,11 +206,12 @@ def substring_spans(docs: DataFrame, length: int = 100, most_contexts: int = 20_
     copies = contexts.join(distinct.where("n > 1").select(F.col("gram").alias("g"), F.col("lead").alias("l"), F.col("context").alias("c"), "first"), (F.col("gram") == F.col("g")) & (F.col("lead") == F.col("l")) & (F.col("context") == F.col("c")))
     copies = copies.where((F.struct("doc_id", "begin") > F.col("first")) & (F.length("context") >= length)).select("doc_id", F.col("begin").alias("start"), (F.col("begin") + F.length("context")).alias("end"))
 
-    # a gram with too many different contexts for one task: each window is a key of its own
-    crowded, _ = small_side(durable(distinct.groupBy("gram").count().where(F.col("count") > most_contexts).select(F.col("gram").alias("g")), "crowded"), 100_000)
-    usual = distinct.join(crowded, F.col("gram") == F.col("g"), "left_anti")
+    # a gram with one context has no other repeats; one with too many contexts for a task is dealt by whole windows
+    several = durable(distinct.groupBy("gram").count().where("count > 1").select(F.col("gram").alias("g"), "count"), "several")
+    held = distinct.join(several, F.col("gram") == F.col("g"))
+    usual = held.where(F.col("count") <= most_contexts)
     offsets = F.sequence(F.lit(0), F.length("context") - length)
-    wide = distinct.join(crowded, F.col("gram") == F.col("g")).where(F.length("context") >= length)
+    wide = held.where((F.col("count") > most_contexts) & (F.length("context") >= length))
     wide = wide.select("first", "context", F.explode(offsets).alias("o"))
     wide = wide.select(F.substring("context", F.col("o") + 1, F.lit(length)).alias("w"), F.col("first.doc_id").alias("doc_id"), (F.col("first.begin") + F.col("o")).alias("start"))
     earliest = wide.groupBy("w").agg(F.min(F.struct("doc_id", "start")).alias("e"), F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("w").alias("w2"), "e")
@@ -248,7 +265,6 @@ def without_repeats(docs: DataFrame, length: int = 100, small_rows: int = 200_00
     single = marked.where("key is not null and (keeper is null or doc_id = keeper)").select("doc_id", "text")
     spans = durable(substring_spans(single, length), "spans")
     by_doc = spans.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("spans")).withColumnRenamed("doc_id", "d")
-    by_doc, _ = small_side(durable(by_doc, "removed"), small_rows)
     out = marked.join(by_doc, F.col("doc_id") == F.col("d"), "left")
     is_copy = F.col("keeper").isNotNull() & (F.col("doc_id") > F.col("keeper"))
     return out.select("doc_id", "text", is_copy.alias("copy"), F.when(F.col("key").isNotNull() & ~is_copy, F.col("spans")).alias("spans"))
