@@ -113,7 +113,7 @@ def uncovered(ranges: DataFrame, fetched: DataFrame) -> DataFrame:
 
 def enclosing_block(points: DataFrame, nodes: DataFrame) -> DataFrame:
     """(doc, s, e) -> the deepest node that holds the range; of equals the smallest node_id.  nodes: (doc, node_id, depth, start, end)."""
-    inside = points.join(nodes, "doc").where((F.col("start") <= F.col("s")) & (F.col("end") >= F.col("e")))
+    inside = points.select("doc", "s", "e").distinct().join(nodes, "doc").where((F.col("start") <= F.col("s")) & (F.col("end") >= F.col("e")))
     return inside.groupBy("doc", "s", "e").agg(F.min_by("node_id", F.struct(-F.col("depth"), F.col("node_id"))).alias("node_id"))
 
 

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,17 +39,59 @@ def knn(vectors: DataFrame, query: list[float], k: int, accept: Column | None =
     return best.withColumn("rank", F.row_number().over(Window.orderBy(F.round("score", 9), "vec_id")))
 
 
-def knn_batch(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """(query_id, vec_id, score, rank) for a bounded table of queries (query_id, q), each against all vectors.
+def knn_batch(vectors: DataFrame, queries: DataFrame, k: int, block_rows: int = 1024, batch_queries: int = 512, lanes: int = 8) -> DataFrame:
+    """(query_id, vec_id, score, rank) for each of the queries (query_id, q) against all vectors, exactly.
 
-    Every partition keeps its k best of each query before anything is shuffled.
+    Each batch of queries meets the blocks of vectors in a fixed number of lanes, and only the k best of each query leave a lane.  Null vectors and
+    those of another length than the query have no distance and are left out.
     """
-    pairs = vectors.select("vec_id", "embedding", F.spark_partition_id().alias("part")).join(F.broadcast(queries.select("query_id", "q")))
-    scored = pairs.select("query_id", "part", "vec_id", distance(F.col("embedding"), F.col("q")).alias("score"))
-    local = Window.partitionBy("query_id", "part").orderBy(F.round("score", 9), "vec_id")
+    blocks = max(1, -(-vectors.count() // block_rows))
+    batches = max(1, -(-queries.count() // batch_queries))
+
+    def packed(rows: DataFrame, id_col: str, v: str, many: int, name: str) -> DataFrame:
+        rows = rows.where(F.col(v).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.transform(v, lambda x: x.cast("double")).alias("v"))
+        return rows.groupBy(F.pmod(F.xxhash64("id"), F.lit(many)).alias(name), F.size("v").alias("width")).agg(F.collect_list(F.struct("id", "v")).alias(name + "s"))
+
+    # dealt by block and batch, never by width alone: that is one key for all rows
+    pairs = vectors.sparkSession.range(blocks * batches).select((F.col("id") % blocks).alias("block"), F.floor(F.col("id") / blocks).alias("batch"))
+    pairs = pairs.join(packed(queries, "query_id", "q", batches, "batch"), "batch").join(packed(vectors, "vec_id", "embedding", blocks, "block"), ["block", "width"])
+    n = max(int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")), batches * lanes)
+    tasks = pairs.repartition(n, "batch", F.col("block") % lanes)
+
+    def matrix(cell, width: int) -> tuple[np.ndarray, np.ndarray]:
+        ids = cell.values.field("id").to_numpy()
+        order = np.argsort(ids, kind="stable")
+        return ids[order], cell.values.field("v").flatten().to_numpy(zero_copy_only=False).reshape(-1, width)[order]
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: dict[tuple[int, int], tuple[np.ndarray, ...]] = {}
+        for b in batches:
+            for i, (batch, width) in enumerate(zip(b.column("batch").to_pylist(), b.column("width").to_pylist(), strict=True)):
+                ids, v = matrix(b.column("blocks")[i], width)
+                query_ids, q = matrix(b.column("batchs")[i], width)
+                score = 1.0 - q @ v.T
+                near = np.round(score, 9)
+                best = np.argsort(near, axis=1, kind="stable")[:, :k]  # ties by the smaller id
+                own = [ids[best], np.take_along_axis(score, best, 1), np.take_along_axis(near, best, 1)]
+                if (batch, width) in kept:
+                    own = [np.concatenate(x, axis=1) for x in zip(kept[batch, width][1:], own, strict=True)]
+                    best = np.lexsort((own[0], own[2]), axis=1)[:, :k]
+                    own = [np.take_along_axis(x, best, 1) for x in own]
+                kept[batch, width] = (query_ids, *own)
+        for query_ids, ids, score, near in kept.values():
+            columns = [np.repeat(query_ids, ids.shape[1]), ids.ravel(), score.ravel(), near.ravel()]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["query_id", "vec_id", "score", "near"])
+
+    found = tasks.select("batch", "width", "blocks", "batchs").mapInArrow(search, "query_id long, vec_id long, score double, near double")
+    best = Window.partitionBy("query_id").orderBy("near", "vec_id")
+    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "vec_id", "score", "rank")
+
+
+def knn_by_pairs(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """The rows of ``knn_batch`` by the distance of every pair: the truth that searches are measured against."""
+    scored = vectors.select("vec_id", "embedding").crossJoin(queries.select("query_id", "q")).select("query_id", "vec_id", distance(F.col("embedding"), F.col("q")).alias("score"))
     best = Window.partitionBy("query_id").orderBy(F.round("score", 9), "vec_id")
-    few = scored.withColumn("n", F.row_number().over(local)).where(F.col("n") <= k)
-    return few.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "vec_id", "score", "rank")
+    return scored.where("score IS NOT NULL").withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "vec_id", "score", "rank")
 
 
 def centroid(hits: DataFrame) -> DataFrame:

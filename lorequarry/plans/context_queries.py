@@ -135,7 +135,7 @@ QUERIES = {
         f"WITH {LINES}, f AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY line) AS n, count(*) OVER (PARTITION BY path) AS matches FROM lines WHERE regexp_matches(text, '(?i)idiot|moron')), b AS (SELECT DISTINCT path FROM f ORDER BY lower(path), path LIMIT 20) SELECT path, matches, line, CASE WHEN length(text) > 80 THEN left(text, 79) || '...' ELSE text END AS text FROM f SEMI JOIN b USING (path) WHERE n <= 5",
     ),
     "cd2_grep_context": (
-        lambda s, d: P.grep_context(text_files(s, d).where("path like 'src1/%'"), "idiot|moron", 1, 1).select("path", "line", "hit"),
+        lambda s, d: P.grep_context(text_files(s, d), "idiot|moron", 1, 1).select("path", "line", "hit"),
         f"WITH {LINES}, m AS (SELECT *, regexp_matches(text, 'idiot|moron') AS hit FROM lines WHERE path LIKE 'src1/%') SELECT path, line, hit FROM m QUALIFY max(hit::INT) OVER (PARTITION BY path ORDER BY line ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) = 1",
     ),
     "cd2_grep_inverted": (lambda s, d: P.grep(text_files(s, d), "e", invert=True, most_files=10**6, each=10**6, width=10**6).groupBy("path").agg(F.max("matches").alias("n")), f"WITH {LINES} SELECT path, count(*) AS n FROM lines WHERE NOT regexp_matches(text, '(?i)e') GROUP BY 1"),
@@ -148,7 +148,7 @@ QUERIES = {
         f"SELECT doc, start, end_ FROM {RANGES.format(shift=0)} r WHERE NOT EXISTS (SELECT 1 FROM ({merged_sql(5, 0)}) m WHERE m.doc = r.doc AND m.start <= r.start AND m.end_ >= r.end_)",
     ),
     "jn10_enclosing_block": (
-        lambda s, d: P.enclosing_block(docs(s, d).where("doc_id < 50").select(F.col("source").alias("doc"), (F.col("doc_id") % 90).alias("s"), (F.col("doc_id") % 90 + 3).alias("e")), docs(s, d).select(F.col("source").alias("doc"), F.col("doc_id").alias("node_id"), (F.col("doc_id") % 6).alias("depth"), (F.col("doc_id") % 6 * 10).alias("start"), (F.lit(120) - F.col("doc_id") % 6 * 10).alias("end"))),
+        lambda s, d: P.enclosing_block(docs(s, d).select(F.col("source").alias("doc"), (F.col("doc_id") % 90).alias("s"), (F.col("doc_id") % 90 + 3).alias("e")), docs(s, d).select(F.col("source").alias("doc"), F.col("doc_id").alias("node_id"), (F.col("doc_id") % 6).alias("depth"), (F.col("doc_id") % 6 * 10).alias("start"), (F.lit(120) - F.col("doc_id") % 6 * 10).alias("end"))),
         "SELECT p.doc, s, e, arg_min(node_id, (-depth, node_id)) AS node_id FROM (SELECT source AS doc, doc_id % 90 AS s, doc_id % 90 + 3 AS e FROM documents WHERE doc_id < 50) p JOIN (SELECT source AS doc, doc_id AS node_id, doc_id % 6 AS depth, doc_id % 6 * 10 AS start, 120 - doc_id % 6 * 10 AS end_ FROM documents) n ON n.doc = p.doc AND start <= s AND end_ >= e GROUP BY ALL",
     ),
     "wn6_budget": (lambda s, d: P.within_budget(docs(s, d).select(F.col("source").alias("grp"), F.col("doc_id").alias("pos"), "text")), "SELECT source AS grp, doc_id AS pos, left(text, (8192 - coalesce(before, 0))::BIGINT) AS text FROM (SELECT *, sum(length(text)) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM documents) WHERE coalesce(before, 0) < 8192"),
