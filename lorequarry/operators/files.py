@@ -74,6 +74,12 @@ def grep(files: DataFrame, pattern: str, ignore_case: bool = True, invert: bool
     return shown.where(F.col("n") <= each).join(F.broadcast(best), "path").select("path", "matches", "line", truncated(F.col("text"), width).alias("text"))
 
 
+def grep_counts(files: DataFrame, pattern: str, ignore_case: bool = True, invert: bool = False) -> DataFrame:
+    """(path, n): the number of matching lines of every file that has any."""
+    hit = F.col("text").rlike(("(?i)" if ignore_case else "") + pattern)
+    return lines(files).where(~hit if invert else hit).groupBy("path").agg(F.count(F.lit(1)).alias("n"))
+
+
 def grep_context(files: DataFrame, pattern: str, before: int = 0, after: int = 0) -> DataFrame:
     """(path, line, text, hit): matching lines and those around them, each once."""
     marked = lines(files).withColumn("hit", F.col("text").rlike(pattern))

@@ -50,11 +50,15 @@ def idf(n: Column, df: Column) -> Column:
     return F.log((n - df + 0.5) / (df + 0.5) + 1.0)
 
 
-def bm25(index: LexicalIndex, queries: DataFrame, query_col: str = "query", key: str | None = None) -> DataFrame:
-    """(id, score) of a one-row query table, or (key, id, score) of many; terms that the index lacks are skipped."""
+def bm25(index: LexicalIndex, queries: DataFrame, query_col: str = "query", key: str | None = None, small_rows: int = 1_000_000) -> DataFrame:
+    """(id, score) of a one-row query table, or (key, id, score) of many; terms that the index lacks are skipped.
+
+    The terms of many queries are counted, and broadcast only where they are at most ``small_rows``.
+    """
     keys = [key] if key else []
     asked = queries.select(*keys, F.explode(terms(F.col(query_col))).alias("term")).groupBy(*keys, "term").agg(F.count(F.lit(1)).alias("qtf"))
-    hits = index.postings.join(F.broadcast(asked.limit(1_000_000)), "term").join(index.frequencies, "term").join(index.lengths, "id").crossJoin(F.broadcast(index.figures))  # figures: one row
+    small = key is None or asked.count() <= small_rows
+    hits = index.postings.join(F.broadcast(asked) if small else asked, "term").join(index.frequencies, "term").join(index.lengths, "id").crossJoin(F.broadcast(index.figures))  # figures: one row
     norm = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("average")))
     part = idf(F.col("documents"), F.col("df")) * norm * F.col("qtf")
     return hits.where("average > 0").groupBy(*keys, "id").agg(F.sum(part).alias("score"))

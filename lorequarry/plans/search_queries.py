@@ -104,7 +104,7 @@ QUERIES = {
     "ag7_chunk_frequency": (lambda s, d: L.build_index(docs(s, d), "doc_id", "text").postings.groupBy("term").agg(F.count(F.lit(1)).alias("n")), BY_DOC + "SELECT term, count(*) AS n FROM p GROUP BY 1"),
     "ag8_average_length": (lambda s, d: L.build_index(docs(s, d), "doc_id", "text").figures.select("documents", F.round("average", 6).alias("average")), BY_DOC + "SELECT n AS documents, round(avgdl, 6) AS average FROM fig"),
     "jn4_postings_probe": (lambda s, d: L.build_index(docs(s, d), "doc_id", "text").postings.join(F.broadcast(query_row(s).select(F.explode(F.array_distinct(T.terms(F.col("query")))).alias("term"))), "term").select("term", "id", "tf"), BY_DOC + "SELECT p.term, p.id, tf FROM p JOIN q ON q.term = p.term"),
-    "vc1_distances": (lambda s, d: _r(V.knn_batch(vecs(s, d), vecs(s, d).where("vec_id = 7").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")), 10**6), "vec_id"), "SELECT vec_id, round(" + DIST.format(a="embedding", b=Q0.format(i=7)) + ", 6) + 0.0e0 AS score FROM embeddings"),
+    "vc1_distances": (lambda s, d: _r(vecs(s, d).select("vec_id", V.distance(F.col("embedding"), F.array(*[F.lit(x) for x in vector(s, d, 7)])).alias("score")), "vec_id"), "SELECT vec_id, round(" + DIST.format(a="embedding", b=Q0.format(i=7)) + ", 6) + 0.0e0 AS score FROM embeddings"),
     "vc2_sanitised_norm": (
         lambda s, d: vecs(s, d).select("vec_id", F.round(F.get(V.sanitised(F.transform("embedding", lambda x: x * 3)), F.lit(0)), 6).alias("first")),
         "SELECT vec_id, round(embedding[1]::DOUBLE / sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])), 6) AS first FROM embeddings",

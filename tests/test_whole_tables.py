@@ -5,7 +5,7 @@ import re
 import numpy as np
 import pytest
 
-from lorequarry.operators import vectors
+from lorequarry.operators import lexical, vectors
 from lorequarry.plans import registry
 from lorequarry.session import table
 
@@ -78,3 +78,22 @@ def test_grep_context_reads_all_files(spark, docs):
         hit = [bool(re.search("idiot|moron", x)) for x in re.split("\r\n|\n|\r", d.text)]
         want |= {(f"{d.source}/{d.doc_id}.txt", i + 1, h) for i, h in enumerate(hit) if any(hit[max(0, i - 1) : i + 2])}
     assert {tuple(r) for r in run(spark, "cd2_grep_context")} == want
+
+
+# --- results without row caps ---
+
+
+def test_counts_and_distances_have_no_caps(spark):
+    for name in ("cd2_grep_inverted", "vc1_distances"):
+        plan = registry.queries()[name](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+        assert "Limit" not in plan and "row_number" not in plan and "1000000" not in plan
+
+
+def test_keyed_bm25_scores_all_queries(spark):
+    texts = spark.createDataFrame([(i, f"term{i} shared") for i in range(6)], "id long, text string")
+    queries = spark.createDataFrame([(i, f"term{i}") for i in range(6)], "key long, query string")
+    index = lexical.build_index(texts, "id", "text")
+    few, many = lexical.bm25(index, queries, key="key", small_rows=2), lexical.bm25(index, queries, key="key")
+    assert "Limit" not in many._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(few.collect()) == sorted(many.collect())
+    assert {(r.key, r.id) for r in few.collect()} == {(i, i) for i in range(6)}
