@@ -7,7 +7,7 @@ are the document's point.  For a similarity t, sets A and B with |A| <= |B| diff
    more bundles make up for bundles that are empty in both).  Documents that agree in a bundle come into one family.
    The number of bundles depends on the size class of the smaller document; a document joins in its own class and in
    those classes below it that hold partners large enough.
-2. R-trees.  A family is cut into pages by size; in a page, or a pair of pages, the points are packed into leaves by
+2. R-trees.  A large family is cut into pages by size; in a page, or a pair of pages, the points are packed into leaves by
    size and by coordinates.  The sum over groups of the smaller of two leaves' upper corners bounds every overlap
    between them, the same sum for two points bounds theirs, and only pairs that may reach the needed overlap are left.
 3. Those are verified on the shingles themselves, unless links found before already connect them; families and pages
@@ -161,6 +161,39 @@ def family_links(sets: list[np.ndarray], side: np.ndarray | None, num: int, den:
     return out
 
 
+def paged(sized: DataFrame, num: int, den: int, page_shingles: int, docs_per_bucket: int = 500) -> DataFrame:
+    """(node, component, n, h1, h2) -> (__doc, h1, h2, component, page, bin, meets): the pages of families, and the pairs of pages that a document meets in.
+
+    Families of at most ``page_shingles`` are one page, and so many of them share a bin as its size allows.  A larger one is put in
+    order of size class and hash, and cut by running totals: a page starts no document after its ``page_shingles`` are reached.
+    The totals are summed in two steps (inside a bucket, then over buckets), so that no task orders a family.
+    """
+    bins = max(1, -(-(sized.agg(F.sum("n")).first()[0] or 0) // page_shingles))
+    totals = sized.groupBy("component").agg(F.sum("n").alias("total"))
+    large = durable(totals.where(F.col("total") > page_shingles).select("component"), "large")
+    whole = F.array(F.struct(F.lit(0).alias("lo"), F.lit(0).alias("hi")))
+    small = sized.join(large, "component", "left_anti").select(F.col("node").alias("__doc"), "h1", "h2", "component", F.lit(0).alias("page"), F.pmod(F.xxhash64("component"), F.lit(bins)).alias("bin"), whole.alias("meets"))
+
+    own = sized.join(large, "component").withColumn("size_class", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1.05)))).withColumn("at", F.xxhash64("node"))
+    counts = own.groupBy("component", "size_class").agg(F.ceil(F.count(F.lit(1)) / docs_per_bucket).cast("long").alias("buckets"))
+    own = own.join(counts, ["component", "size_class"]).withColumn("bucket", F.floor(F.shiftrightunsigned("at", 33) / F.lit(2.0**31) * F.col("buckets")).cast("long"))
+    own = durable(own, "buckets")
+    key = ["component", "size_class", "bucket"]
+    before = lambda w: w.rowsBetween(Window.unboundedPreceding, 0)
+    offsets = own.groupBy(*key).agg(F.sum("n").alias("in_bucket"))
+    offsets = offsets.withColumn("offset", F.sum("in_bucket").over(before(Window.partitionBy("component").orderBy("size_class", "bucket"))) - F.col("in_bucket")).drop("in_bucket")
+    inside = F.sum("n").over(before(Window.partitionBy(*key).orderBy("at", "node"))) - F.col("n")
+    own = own.withColumn("inside", inside).join(offsets, key).withColumn("page", F.floor((F.col("offset") + F.col("inside")) / page_shingles).cast("int"))
+    own = durable(own.select("node", "h1", "h2", "component", "n", "page"), "cut")
+    # sets link only where the smaller has num / den of the larger's size, so pages of unlike sizes do not meet
+    ranges = own.groupBy("component", "page").agg(F.min("n").alias("least"), F.max("n").alias("most"))
+    other = ranges.select(F.col("component").alias("c2"), F.col("page").alias("p2"), F.col("least").alias("least2"), F.col("most").alias("most2"))
+    near = (F.col("component") == F.col("c2")) & (F.col("most") * den >= F.col("least2") * num) & (F.col("most2") * den >= F.col("least") * num)
+    meets = ranges.join(other, near).groupBy("component", "page").agg(F.collect_list(F.struct(F.least("page", "p2").alias("lo"), F.greatest("page", "p2").alias("hi"))).alias("meets"))
+    cut = own.join(meets, ["component", "page"]).select(F.col("node").alias("__doc"), "h1", "h2", "component", "page", F.lit(-1).cast("long").alias("bin"), "meets")
+    return small.unionByName(cut)
+
+
 def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, page_shingles: int = 500_000, small_rows: int = 2_000_000) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row: size of the set, and smallest doc_id reachable by links."""
     spark = docs.sparkSession
@@ -176,17 +209,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     shared = sigs.withColumn("b", F.min("a").over(by_sig)).where("a <> b").select("a", "b").distinct()
     family = components(shared)
     sized = durable(family.join(one.select(F.col("doc_id").alias("node"), "n", "h1", "h2"), "node"), "families")
-    totals = sized.groupBy("component").agg(F.sum("n").alias("total"), F.min("n").alias("least"), F.max("n").alias("most"))
-    pages = F.ceil(F.col("total") / page_shingles).cast("int")
-    totals = totals.withColumn("pages", pages)
-    bins = max(1, -(-(sized.agg(F.sum("n")).first()[0] or 0) // page_shingles))
-    # a page takes documents of like sizes, so that pairs of pages of unlike sizes need not meet
-    spread = (F.col("n") - F.col("least")) / (F.col("most") - F.col("least") + 1)
-    salted = spread + (F.pmod(F.xxhash64("node"), F.lit(1 << 20)) / F.lit(float(1 << 20)) - 0.5) * 0.25
-    page = F.greatest(F.lit(0), F.least(F.col("pages") - 1, F.floor(salted * F.col("pages")))).cast("int")
-    placed = sized.join(totals, "component").withColumn("page", F.when(F.col("pages") > 1, page).otherwise(0))
-    partners = F.transform(F.sequence(F.lit(0), F.col("pages") - 1), lambda p: F.struct(F.least(p, F.col("page")).alias("lo"), F.greatest(p, F.col("page")).alias("hi")))
-    placed = placed.select(F.col("node").alias("__doc"), "h1", "h2", "component", "page", F.when(F.col("pages") > 1, F.lit(-1).cast("long")).otherwise(F.pmod(F.xxhash64("component"), F.lit(bins))).alias("bin"), "pages", partners.alias("meets"))
+    placed = paged(sized, num, den, page_shingles)
     members, _ = small_side(durable(placed, "pages"), small_rows)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(members, F.col("doc_id") == F.col("__doc"))
 

@@ -228,6 +228,31 @@ def test_jaccard_edges(empty, docs):
     assert jaccard.one_of_each_group(docs).columns == docs.columns
 
 
+@pytest.mark.parametrize("outlier", [False, True])
+def test_pages_of_a_family_are_bounded(spark, outlier):
+    """Near copies of one size (and with one far larger set) are dealt over pages, and all pages that can link meet."""
+    sizes = [40] * 600 + [4000] * outlier
+    sized = spark.createDataFrame([(i, 0, n, i, -i) for i, n in enumerate(sizes)], "node long, component long, n long, h1 long, h2 long")
+    got = jaccard.paged(sized, 90, 100, 1000, docs_per_bucket=50).collect()
+    assert sorted(r["__doc"] for r in got) == list(range(len(sizes)))
+    held = collections.Counter()
+    for r in got:
+        if sizes[r["__doc"]] == 40:
+            held[r.page] += 40
+    assert len(held) >= 24 and max(held.values()) <= 1040
+    for r in got:
+        mates = {m.lo + m.hi - r.page for m in r.meets}
+        assert len(mates) == len(r.meets)
+        assert mates >= (set(held) if sizes[r["__doc"]] == 40 else {r.page})
+
+
+def test_near_copies_over_several_pages_link(spark):
+    base = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join(base[:i] + ["changed"] + base[i + 1 :])) for i in range(40)]
+    got = jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), 1, 90, 100, page_shingles=300).collect()
+    assert {r.component_id for r in got} == {0} and len(got) == 40
+
+
 def test_signatures_lose_no_pair():
     r = np.random.default_rng(4)
     for num in (90, 80, 60):
