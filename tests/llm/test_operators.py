@@ -7,6 +7,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -368,6 +369,12 @@ def test_language_model(docs, texts, empty, frequent):
     assert lm.score_texts(empty, tokenizer_path("byte_bpe_50k.tiktoken")).count() == 0
 
 
+def test_output_layer_has_all_classes():
+    path = tokenizer_path("byte_bpe_50k.tiktoken")
+    net = lm.fit_model(pa.array([], pa.string()), np.ones(lm.subwords(path).size), path)
+    assert len(net.w["bias"]) == 128
+
+
 def test_each_id_is_scored_once_and_causally():
     net = lm.Attention(50, 8)
     net.class_of = (np.arange(50) % 8).astype(np.int32)
