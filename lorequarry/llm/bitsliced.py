@@ -10,9 +10,10 @@ The k best of every block then meet in one ranking for each query.
 Each (query batch, block) pair is a task of its own; a task holds one block's slices and one batch of queries.
 
 Defined cases: vectors that are null or hold null or non-finite components take no part, neither as query nor as
-candidate; neither do those of another length than the queries; fewer than k candidates give fewer rows; ties go to the
-smaller id, and rows that share an id are candidates each; queries never meet rows of their own id; an empty table
-gives no rows; other columns are not read.
+candidate; a query's candidates are the vectors of its own length; fewer than k candidates give fewer rows; ties go to the
+smaller id, and rows that share an id are candidates each; queries never meet rows of their own id; inner products that
+may not fit a long raise an error; an empty table gives no rows; other columns are not read.  vec_id must be a number or
+its text.
 """
 
 from __future__ import annotations
@@ -121,47 +122,46 @@ def search_block(slices: np.ndarray, low: int, ids: np.ndarray, values: np.ndarr
 
 
 def build_index(rows: DataFrame, block_rows: int = 1024) -> DataFrame:
-    """(block, low, bits, slices, ids, rows): the bit-sliced index; a block gets block_rows rows or so by a hash of the id."""
-    blocks = max(1, -(-rows.count() // block_rows))
+    """(dims, block, low, bits, slices, ids, kind, raw): the bit-sliced index; a block gets block_rows vectors or so of one length, by a hash of the id."""
+    sizes = rows.groupBy(F.size("v").alias("dims")).agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("long").alias("blocks"))
 
     def build(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pa.Table.from_batches(list(batches)).sort_by("vec_id")
+        dims, block = key[0].as_py(), key[1].as_py()
         ids = table.column("vec_id").to_numpy()
-        lengths = np.asarray([len(x) for x in table.column("v").to_pylist()])
-        flat = table.column("v").combine_chunks().flatten().to_numpy()
-        width = np.bincount(lengths).argmax()
-        fits = lengths == width
-        ids, flat = ids[fits], flat[np.repeat(fits, lengths)].reshape(-1, width)
+        flat = table.column("v").combine_chunks().flatten().to_numpy().reshape(-1, dims)
         low = int(flat.min())
         slices = bit_slices((flat - low).astype(np.uint64))
+        kind = next(t for t in ("<i2", "<i4", "<i8") if np.array_equal(flat.astype(t), flat))
         yield pa.RecordBatch.from_pylist(
-            [{"block": key[0].as_py(), "low": low, "dims": int(width), "bits": slices.shape[1], "slices": slices.tobytes(), "ids": ids.tobytes(), "raw": flat.astype("<i8").tobytes()}],
-            schema=pa.schema([("block", pa.int64()), ("low", pa.int64()), ("dims", pa.int32()), ("bits", pa.int32()), ("slices", pa.binary()), ("ids", pa.binary()), ("raw", pa.binary())]),
+            [{"dims": dims, "block": block, "low": low, "bits": slices.shape[1], "slices": slices.tobytes(), "ids": ids.tobytes(), "kind": kind, "raw": flat.astype(kind).tobytes()}],
+            schema=pa.schema([("dims", pa.int32()), ("block", pa.int64()), ("low", pa.int64()), ("bits", pa.int32()), ("slices", pa.binary()), ("ids", pa.binary()), ("kind", pa.string()), ("raw", pa.binary())]),
         )
 
-    dealt = rows.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)))
-    return dealt.groupBy("block").applyInArrow(build, "block long, low long, dims int, bits int, slices binary, ids binary, raw binary")
+    dealt = rows.withColumn("dims", F.size("v")).join(sizes, "dims").withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks")))
+    return dealt.select("dims", "block", "vec_id", "v").groupBy("dims", "block").applyInArrow(build, "dims int, block long, low long, bits int, slices binary, ids binary, kind string, raw binary")
 
 
 def top_k(queries: DataFrame, rows: DataFrame, k: int = 10, block_rows: int = 1024, batch_queries: int = 512) -> DataFrame:
     """(query_id, rank, vec_id, score) of the k rows with the largest inner products for each query; both (vec_id, v)."""
     index = durable(build_index(rows, block_rows), "slices")
-    n = queries.count()
-    batches = max(1, -(-n // batch_queries))
-    packed = queries.groupBy(F.pmod(F.xxhash64("vec_id"), F.lit(batches)).alias("batch")).agg(F.collect_list("vec_id").alias("qids"), F.collect_list("v").alias("qs"))
-    # every batch of queries goes to every block: the stated query set against all rows
-    pairs = index.select("block").withColumn("batch", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(batches - 1).cast("long"))))
-    tasks = pairs.join(packed, "batch").join(index, "block").repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "block", "batch")
+    # queries of one length are dealt into batches, and each batch goes to every block of that length: the stated query set against all rows
+    per_length = queries.groupBy(F.size("v").alias("dims")).agg(F.ceil(F.count(F.lit(1)) / batch_queries).cast("long").alias("batches"))
+    packed = queries.withColumn("dims", F.size("v")).join(per_length, "dims")
+    packed = packed.groupBy("dims", F.pmod(F.xxhash64("vec_id"), F.col("batches")).alias("batch")).agg(F.collect_list("vec_id").alias("qids"), F.collect_list("v").alias("qs"))
+    pairs = index.select("dims", "block").join(per_length, "dims").withColumn("batch", F.explode(F.sequence(F.lit(0).cast("long"), F.col("batches") - 1)))
+    tasks = pairs.join(packed, ["dims", "batch"]).join(index, ["dims", "block"]).repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "dims", "block", "batch")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for t in batch.to_pylist():
                 ids, dims = np.frombuffer(t["ids"], "<i8"), t["dims"]
-                own = [(i, q) for i, q in zip(t["qids"], t["qs"], strict=True) if len(q) == dims]
-                if not own:
-                    continue
                 slices = np.frombuffer(t["slices"], "<u8").reshape(dims, t["bits"], -1)
-                got = search_block(slices, t["low"], ids, np.frombuffer(t["raw"], "<i8").reshape(-1, dims), np.array([i for i, _ in own]), np.array([q for _, q in own], np.int64), k)
+                values = np.frombuffer(t["raw"], t["kind"]).reshape(-1, dims).astype(np.int64)
+                asked = np.array(t["qs"], np.int64)
+                if dims * int(np.abs(values).max()) * int(np.abs(asked).max()) >= 2**63:
+                    raise OverflowError("inner products of these vectors do not fit a long")
+                got = search_block(slices, t["low"], ids, values, np.array(t["qids"]), asked, k)
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in got], names=["query_id", "vec_id", "score"])
 
     found = tasks.mapInArrow(search, "query_id long, vec_id long, score long")

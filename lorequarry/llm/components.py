@@ -3,7 +3,7 @@
 Each round sends every node's larger neighbours to its smallest one, then each node and its smaller neighbours to the
 smallest of them; the links end as stars around the smallest node of every component.  A round is two grouped minima
 (summed up before the shuffle) and two joins on the node (which Spark may split where a node has very many links).
-Rounds are written to the shared folder; they stop when the links no longer change.
+Rounds are written to the shared folder, where a round's table is deleted once the next one stands; they stop when the links no longer change.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lorequarry.llm.durable import durable
+from lorequarry.llm.durable import discard, durable
 
 
 def _stars(links: DataFrame) -> DataFrame:
@@ -37,5 +37,6 @@ def components(links: DataFrame) -> DataFrame:
         if not state["n"] or state == seen:
             break
         seen = state
-        at = durable(_stars(at), "links")
-    return at.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(at.select(F.col("b").alias("node"), F.col("b").alias("component"))).distinct()
+        before, at = at, durable(_stars(at), "links")
+        discard(before)
+    return at.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(at.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

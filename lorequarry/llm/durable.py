@@ -5,13 +5,18 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+BROADCAST_BYTES = 32 << 20  # a side of a join is sent to all executors only up to this size, as counted
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; only where that is unset, a local folder is made and set for the session."""
+    """spark.checkpoint.dir of the session; where that is unset, a local folder is made, in local mode only."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -22,15 +27,33 @@ def durable(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     at = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(at)
-    return spark.read.schema(df.schema).parquet(at)
+    out = spark.read.schema(df.schema).parquet(at)
+    out._durable_at = at
+    return out
+
 
+def discard(df: DataFrame) -> None:
+    """Deletes the table of a DataFrame that ``durable`` returned; nothing may read it any more."""
+    spark = df.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(df._durable_at)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
-def small_side(df: DataFrame, most_rows: int) -> tuple[DataFrame, int]:
-    """(df, its rows), with a broadcast hint only where it was counted to have at most so many rows; joins shuffle otherwise.
 
-    df should be durable, as it is counted first.
-    """
-    from pyspark.sql import functions as F
+def _width(field) -> Column:
+    """Bytes of a value in memory, or a little more."""
+    kind = field.dataType.typeName()
+    c = F.col(f"`{field.name}`")
+    if kind in ("string", "binary"):
+        return F.coalesce(F.octet_length(c), F.lit(0)).cast("long") + 24
+    if kind == "array":
+        return F.greatest(F.coalesce(F.size(c), F.lit(0)), F.lit(0)).cast("long") * 8 + 32
+    return F.lit(8).cast("long")
 
-    rows = df.count()
-    return (F.broadcast(df) if rows <= most_rows else df), rows
+
+def small_side(df: DataFrame, most_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """df, with a broadcast hint only where its values were counted to take at most so many bytes; joins shuffle otherwise.
+
+    df should be durable, as it is read for the count; its arrays hold numbers.
+    """
+    size = df.agg(F.sum(sum((_width(f) for f in df.schema.fields), F.lit(32).cast("long"))).alias("n")).first()["n"] or 0
+    return F.broadcast(df) if size <= most_bytes else df

@@ -4,20 +4,25 @@ Every document is the set of its word shingles, hashed.  The hashes are dealt in
 are the document's point.  For a similarity t, sets A and B with |A| <= |B| differ in at most D = |A| (1 - t) / t shingles.
 
 1. Routing.  The groups are bundled into more than D bundles, so that a linked pair agrees wholly in some bundle (some
-   more bundles make up for bundles that are empty in both).  Documents that agree in a bundle come into one family.
-   The number of bundles depends on the size class of the smaller document; a document joins in its own class and in
-   those classes below it that hold partners large enough.
-2. R-trees.  A large family is cut into pages by size; in a page, or a pair of pages, the points are packed into leaves by
-   size and by coordinates.  The sum over groups of the smaller of two leaves' upper corners bounds every overlap
-   between them, the same sum for two points bounds theirs, and only pairs that may reach the needed overlap are left.
-3. Those are verified on the shingles themselves, unless links found before already connect them; families and pages
-   give spanning links only, never all pairs.
+   more bundles make up for bundles that are empty in both) and has its signature in common.  The number of bundles
+   depends on the size class of the smaller document; a document joins in its own class and in those classes below it
+   that hold partners large enough.  All sets that share a signature go to the family of the one with the smallest hash;
+   families are never joined with each other, so what no document verifies doesn't grow together.
+2. R-trees.  A family is cut into pages by running totals of shingles, in order of size; pages whose sizes cannot link do not meet.
+   The points of a page are packed into a tree.  The sum over groups of the smaller of two nodes' upper corners bounds
+   every overlap between them; pairs of nodes are followed downward, and only pairs of points that may reach the needed
+   overlap are left.
+3. A task returns few of those: a forest of the likeliest links, and the doubtful pairs between its trees.  They are
+   verified on the shingles (by their 64-bit hashes).  Pages are searched within themselves first; pairs of pages only look at
+   documents that are not connected yet.
+4. Where a link of a forest turns out to be none, or where the doubtful pairs were too many to return, the pair of pages
+   is searched again with the shingles themselves, and gives verified spanning links.  So no pair is lost or left out.
 
 Equal sets are one class from the start and enter once, by their smallest doc_id, so copies are never paired.
 
 Defined cases: a null or empty text, or one of white space only, has no shingles and links with nothing; texts of fewer
 than k words are one shingle; rows that share a doc_id are one document in links; a null doc_id links with nothing; an
-empty table gives no rows; other columns are not read.
+empty table gives no rows; other columns are not read.  doc_id must be a number or its text.
 """
 
 from __future__ import annotations
@@ -30,8 +35,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lorequarry.llm.components import components
-from lorequarry.llm.durable import durable, small_side
-from lorequarry.llm.textbytes import mix, shingle_hashes, slices
+from lorequarry.llm.durable import discard, durable, small_side
+from lorequarry.llm.textbytes import mix, ragged, shingle_hashes, slices
 
 CLASS_RATIO = 1.5
 
@@ -79,26 +84,47 @@ def signatures(u: np.ndarray, num: int, den: int) -> np.ndarray:
     return np.concatenate(out) if out else u[:0]
 
 
-def shingled(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """(doc_id, n, h1, h2, sigs): size of the set, a 128-bit hash of it, and its signatures."""
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+
+
+def shingled(docs: DataFrame, k: int) -> DataFrame:
+    """(doc_id, n, h1, h2): size of the set and a 128-bit hash of it."""
 
     def run(batches):
         for batch in batches:
-            n, h1, h2, sigs = [], [], [], []
+            n, h1, h2 = [], [], []
             for _, data, offsets in slices(batch.column(1)):
                 for u in shingle_hashes(data, offsets, k):
                     n.append(len(u))
                     h1.append(int(mix(u, 11).sum()))
                     h2.append(int(mix(u, 13).sum()))
-                    sigs.append(signatures(u, num, den))
-            cuts = np.concatenate([[0], np.cumsum([len(s) for s in sigs])]).astype(np.int32)
-            flat = (np.concatenate(sigs) if sigs else np.zeros(0, np.uint64)).view(np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(np.array(h1, np.uint64).view(np.int64)), pa.array(np.array(h2, np.uint64).view(np.int64)), pa.ListArray.from_arrays(pa.array(cuts), pa.array(flat))],
-                names=["doc_id", "n", "h1", "h2", "sigs"],
-            )
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), *(pa.array(np.array(h, np.uint64).view(np.int64)) for h in (h1, h2))], names=["doc_id", "n", "h1", "h2"])
+
+    return _texts(docs).mapInArrow(run, "doc_id long, n long, h1 long, h2 long")
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n long, h1 long, h2 long, sigs array<long>")
+
+def of_classes(docs: DataFrame, wanted: DataFrame, k: int, make, kind: str) -> DataFrame:
+    """(doc_id, h1, value): make(set) of the documents and set hashes (w, h1) that are wanted."""
+    texts = _texts(docs).join(wanted.withColumnRenamed("h1", "w1"), F.col("doc_id") == F.col("w"))
+
+    def run(batches):
+        for batch in batches:
+            want = batch.column("w1").to_numpy().view(np.uint64)
+            row, keep, out = 0, [], []
+            for _, data, offsets in slices(batch.column("text")):
+                for u in shingle_hashes(data, offsets, k):
+                    if mix(u, 11).sum() == want[row]:  # of rows that share a doc_id, those whose set is wanted
+                        keep.append(row)
+                        out.append(make(u))
+                    row += 1
+            at = pa.array(keep, pa.int64())
+            cuts = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in out])]).astype(np.int32))
+            flat = np.concatenate(out) if out else make(np.zeros(0, np.uint64))
+            value = pa.ListArray.from_arrays(cuts, pa.array(flat)) if kind != "binary" else pa.array([x.tobytes() for x in out], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(at), batch.column("w1").take(at), value], names=["doc_id", "h1", "value"])
+
+    return texts.select("doc_id", "w1", "text").mapInArrow(run, f"doc_id long, h1 long, value {kind}")
 
 
 def needed_overlap(a, b, num: int, den: int):
@@ -106,63 +132,185 @@ def needed_overlap(a, b, num: int, den: int):
     return -(-(a + b) * num // (num + den))
 
 
-def rtree_pairs(points: np.ndarray, sizes: np.ndarray, num: int, den: int, leaf: int = 16) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(i, j, bound) of pairs whose overlap bound reaches what they need, leaf pair by leaf pair."""
-    m = len(sizes)
-    # sort-tile packing: by size, then inside each tile by the coordinate that varies most
-    order = np.argsort(sizes, kind="stable")
-    tile = leaf * max(1, int(np.sqrt(m / leaf)))
-    for a in range(0, m, tile):
-        own = order[a : a + tile]
-        axis = points[own].var(0).argmax()
-        order[a : a + tile] = own[np.argsort(points[own, axis], kind="stable")]
-    starts = np.arange(0, m, leaf)
-    high = np.maximum.reduceat(points[order], starts, axis=0)
-    small = np.minimum.reduceat(sizes[order], starts)
-    for x in range(len(starts)):
-        bound = np.minimum(high[x], high[x:]).sum(1, dtype=np.int64)
-        for y in x + np.flatnonzero(bound >= needed_overlap(small[x], small[x:], num, den)):
-            p, q = order[starts[x] : starts[x] + leaf], order[starts[y] : starts[y] + leaf]
-            both = np.minimum(points[p][:, None], points[q][None]).sum(-1, dtype=np.int64)
-            both = np.minimum(both, np.minimum(sizes[p][:, None], sizes[q][None]))
-            i, j = np.nonzero(both >= needed_overlap(sizes[p][:, None], sizes[q][None], num, den))
-            if x == y:
-                i, j = i[i < j], j[i < j]
-            yield p[i], q[j], both[i, j]
-
-
-def family_links(sets: list[np.ndarray], side: np.ndarray | None, num: int, den: int) -> list[tuple[int, int]]:
-    """Spanning links among the sets of a family; with ``side`` only pairs of different sides are looked at."""
-    m = len(sets)
-    sizes = np.array([len(s) for s in sets], np.int64)
-    root = list(range(m))
+def point(u: np.ndarray) -> np.ndarray:
+    """Counts of the groups of a set: the low bits of a hash are its group, so halves of a point add up to a coarser one."""
+    groups = 1 << int(np.clip(len(u), 64, 16384) - 1).bit_length()
+    counts = np.bincount((u & np.uint64(groups - 1)).astype(np.int64), minlength=groups)
+    return counts.astype("<u1") if counts.max(initial=0) < 256 else counts.astype("<u4")
+
+
+def unpacked(raw: bytes, n: int) -> np.ndarray:
+    groups = 1 << int(np.clip(n, 64, 16384) - 1).bit_length()
+    return np.frombuffer(raw, "<u1" if len(raw) == groups else "<u4")
+
+
+def folded(points: np.ndarray, groups: int) -> np.ndarray:
+    """Points over fewer groups."""
+    if points.shape[-1] == groups:
+        return points
+    return points.reshape(*points.shape[:-1], -1, groups).sum(-2, dtype=np.int64)
+
+
+def narrow(points: np.ndarray) -> np.ndarray:
+    most = int(points.max(initial=0))
+    return points.astype(np.uint8 if most < 256 else np.uint16 if most < 65536 else np.int64)
+
+
+class RTree:
+    """Points packed into nodes; levels[0] holds the points themselves as (upper corners, smallest sizes, first child)."""
+
+    LEAF, FAN = 8, 8
+
+    def __init__(self, points: np.ndarray, sizes: np.ndarray):
+        coarse = narrow(folded(points, min(64, points.shape[1])))
+        # sort-tile packing: by size, then inside each tile by the coordinate that varies most
+        self.order = np.argsort(sizes, kind="stable")
+        tile = self.LEAF * max(1, int(np.sqrt(len(sizes) / self.LEAF)))
+        for a in range(0, len(sizes), tile):
+            own = self.order[a : a + tile]
+            self.order[a : a + tile] = own[np.argsort(coarse[own, coarse[own].var(0).argmax()], kind="stable")]
+        self.points, self.sizes = points[self.order], sizes[self.order]
+        self.levels = [(coarse[self.order], self.sizes, np.arange(len(sizes)))]
+        while len(self.levels[-1][0]) > 1:
+            high, small, _ = self.levels[-1]
+            first = np.arange(0, len(small), self.LEAF if len(self.levels) == 1 else self.FAN)
+            self.levels.append((np.maximum.reduceat(high, first, axis=0), np.minimum.reduceat(small, first), first))
+
+
+def rtree_pairs(left: RTree, right: RTree, num: int, den: int, run: int = 1 << 16) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(i, j, bound) of the pairs of points whose overlap bound reaches what they need; i < j in order where both trees are one."""
+    same = left is right
+    depth = max(len(left.levels), len(right.levels)) - 1
+    level = lambda t, d: min(d, len(t.levels) - 1)
+
+    def may(t: np.ndarray, u: np.ndarray, a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray):
+        bound = np.minimum(np.minimum(t[a], u[b]).sum(1, dtype=np.int64), np.minimum(n[a], m[b]) if t is left.points else np.iinfo(np.int64).max)
+        return bound, bound >= needed_overlap(n[a], m[b], num, den)
+
+    def down(d: int, x: np.ndarray, y: np.ndarray):
+        for at in range(0, len(x), run):
+            a, b = x[at : at + run], y[at : at + run]
+            (high1, small1, _), (high2, small2, _) = left.levels[level(left, d)], right.levels[level(right, d)]
+            keep = may(high1, high2, a, b, small1, small2)[1]
+            a, b = a[keep], b[keep]
+            if d == 0:
+                if len(a):
+                    bound, keep = may(left.points, right.points, a, b, left.sizes, right.sizes)
+                    yield left.order[a[keep]], right.order[b[keep]], bound[keep]
+                continue
+            (a, more), (b, other) = _children(left, a, d), _children(right, b, d)
+            times = np.repeat(other, more)  # children of the left node meet all children of the right one
+            i = np.repeat(_ragged(a, more), times)
+            j = _ragged(np.repeat(b, more), times)
+            if same:
+                fits = i < j if d == 1 else i <= j
+                i, j = i[fits], j[fits]
+            yield from down(d - 1, i, j)
+
+    yield from down(depth, np.zeros(1, np.int64), np.zeros(1, np.int64))
+
+
+def _children(tree: RTree, nodes: np.ndarray, d: int) -> tuple[np.ndarray, np.ndarray]:
+    """(first child, number of children) a level below d; a tree that has no such level keeps its root."""
+    if d >= len(tree.levels):
+        return nodes, np.ones(len(nodes), np.int64)
+    first = np.append(tree.levels[d][2], len(tree.levels[d - 1][0]))
+    return first[nodes], first[nodes + 1] - first[nodes]
+
+
+def _ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    return ragged(np.asarray(starts), np.asarray(lengths))
+
+
+class Forest:
+    """Union-find over 0 .. m - 1."""
 
-    def top(i: int) -> int:
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
+    def __init__(self, m: int, same: np.ndarray | None = None):
+        self.root = list(range(m))
+        if same is not None:  # those of one component from the start
+            _, first, back = np.unique(same, return_index=True, return_inverse=True)
+            self.root = first[back].tolist()
+
+    def top(self, i: int) -> int:
+        while self.root[i] != i:
+            self.root[i] = self.root[self.root[i]]
+            i = self.root[i]
         return i
 
-    groups = 1 << int(np.clip(int(sizes.max()) // 2, 16, 1024)).bit_length()
-    points = np.stack([np.bincount((s % np.uint64(groups)).astype(np.int64), minlength=groups) for s in sets]).astype(np.uint16)
-    out = []
-    for i, j, bound in rtree_pairs(points, sizes, num, den):
-        if side is not None:
-            cross = side[i] != side[j]
-            i, j, bound = i[cross], j[cross], bound[cross]
-        for a, b in zip(i[(by := np.argsort(-bound, kind="stable"))].tolist(), j[by].tolist(), strict=True):
-            x, y = top(a), top(b)
-            if x == y:
+    def join(self, a: int, b: int) -> bool:
+        x, y = self.top(a), self.top(b)
+        self.root[max(x, y)] = min(x, y)
+        return x != y
+
+    def tops(self) -> np.ndarray:
+        return np.array([self.top(i) for i in range(len(self.root))])
+
+
+def trees(points: list[np.ndarray], sizes: np.ndarray, side: np.ndarray | None) -> tuple[RTree, RTree, np.ndarray, np.ndarray]:
+    """(left tree, right tree, rows of the left one, rows of the right one); one tree where there are no sides."""
+    groups = min(len(p) for p in points)
+    flat = narrow(np.stack([folded(p, groups) for p in points]))
+    if side is None:
+        t, rows = RTree(flat, sizes), np.arange(len(sizes))
+        return t, t, rows, rows
+    low, high = np.flatnonzero(side == side.min()), np.flatnonzero(side != side.min())
+    return RTree(flat[low], sizes[low]), RTree(flat[high], sizes[high]), low, high
+
+
+def likely_links(points: list[np.ndarray], sizes: np.ndarray, same: np.ndarray, side: np.ndarray | None, num: int, den: int, doubt: float = 0.03) -> tuple[list[tuple[int, int]], list[tuple[int, int]], bool]:
+    """(forest, doubtful pairs, whether there were too many of them): what the points alone say of the links between components.
+
+    The forest is built from the pairs that are likeliest to link; of those near the needed similarity, each is returned
+    whose ends the forest doesn't connect, unless there are more than 8 for a document.
+    """
+    if side is not None and side.min() == side.max():
+        return [], [], False
+    left, right, rows, cols = trees(points, sizes, side)
+    forest = Forest(len(sizes), same)
+    got, near = [], []
+    label = forest.tops()
+    for i, j, bound in rtree_pairs(left, right, num, den):
+        i, j = rows[i], cols[j]
+        new = label[i] != label[j]
+        i, j, bound = i[new], j[new], bound[new]
+        likely = bound / (sizes[i] + sizes[j] - bound) >= num / den + doubt * (1 - num / den)
+        before = len(got)
+        for a, b in zip(i[likely].tolist(), j[likely].tolist(), strict=True):
+            if forest.join(a, b):
+                got.append((a, b))
+        if len(got) > before:
+            label = forest.tops()
+        near.append(np.stack([i[~likely], j[~likely]]))
+        if sum(x.shape[1] for x in near) > 16 * len(sizes):  # those that have been connected meanwhile go
+            near = [x[:, label[x[0]] != label[x[1]]] for x in near]
+            if sum(x.shape[1] for x in near) > 8 * len(sizes):
+                return got, [], True
+    open_ = np.concatenate(near, axis=1) if near else np.zeros((2, 0), np.int64)
+    open_ = open_[:, label[open_[0]] != label[open_[1]]]
+    return (got, [], True) if open_.shape[1] > 8 * len(sizes) else (got, list(zip(*open_.tolist(), strict=True)), False)
+
+
+def family_links(sets: list[np.ndarray], side: np.ndarray | None, num: int, den: int, same: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Verified spanning links among the sets of a family; with ``side`` only pairs of different sides are looked at."""
+    if side is not None and side.min() == side.max():
+        return []
+    sizes = np.array([len(s) for s in sets], np.int64)
+    left, right, rows, cols = trees([point(s) for s in sets], sizes, side)
+    forest, out = Forest(len(sets), same), []
+    for i, j, bound in rtree_pairs(left, right, num, den):
+        by = np.argsort(-bound, kind="stable")
+        for a, b in zip(rows[i[by]].tolist(), cols[j[by]].tolist(), strict=True):
+            if forest.top(a) == forest.top(b):
                 continue
             overlap = len(np.intersect1d(sets[a], sets[b], assume_unique=True))
             if overlap * den >= num * (len(sets[a]) + len(sets[b]) - overlap):
-                root[max(x, y)] = min(x, y)
+                forest.join(a, b)
                 out.append((a, b))
     return out
 
 
 def paged(sized: DataFrame, num: int, den: int, page_shingles: int, docs_per_bucket: int = 500) -> DataFrame:
-    """(node, component, n, h1, h2) -> (__doc, h1, h2, component, page, bin, meets): the pages of families, and the pairs of pages that a document meets in.
+    """(node, component, n, h1, h2) -> (__doc, h1, h2, n, component, page, bin, meets): the pages of families, and the pairs of pages that a document meets in.
 
     Families of at most ``page_shingles`` are one page, and so many of them share a bin as its size allows.  A larger one is put in
     order of size class and hash, and cut by running totals: a page starts no document after its ``page_shingles`` are reached.
@@ -172,7 +320,7 @@ def paged(sized: DataFrame, num: int, den: int, page_shingles: int, docs_per_buc
     totals = sized.groupBy("component").agg(F.sum("n").alias("total"))
     large = durable(totals.where(F.col("total") > page_shingles).select("component"), "large")
     whole = F.array(F.struct(F.lit(0).alias("lo"), F.lit(0).alias("hi")))
-    small = sized.join(large, "component", "left_anti").select(F.col("node").alias("__doc"), "h1", "h2", "component", F.lit(0).alias("page"), F.pmod(F.xxhash64("component"), F.lit(bins)).alias("bin"), whole.alias("meets"))
+    small = sized.join(large, "component", "left_anti").select(F.col("node").alias("__doc"), "h1", "h2", "n", "component", F.lit(0).alias("page"), F.pmod(F.xxhash64("component"), F.lit(bins)).alias("bin"), whole.alias("meets"))
 
     own = sized.join(large, "component").withColumn("size_class", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1.05)))).withColumn("at", F.xxhash64("node"))
     counts = own.groupBy("component", "size_class").agg(F.ceil(F.count(F.lit(1)) / docs_per_bucket).cast("long").alias("buckets"))
@@ -190,81 +338,131 @@ def paged(sized: DataFrame, num: int, den: int, page_shingles: int, docs_per_buc
     other = ranges.select(F.col("component").alias("c2"), F.col("page").alias("p2"), F.col("least").alias("least2"), F.col("most").alias("most2"))
     near = (F.col("component") == F.col("c2")) & (F.col("most") * den >= F.col("least2") * num) & (F.col("most2") * den >= F.col("least") * num)
     meets = ranges.join(other, near).groupBy("component", "page").agg(F.collect_list(F.struct(F.least("page", "p2").alias("lo"), F.greatest("page", "p2").alias("hi"))).alias("meets"))
-    cut = own.join(meets, ["component", "page"]).select(F.col("node").alias("__doc"), "h1", "h2", "component", "page", F.lit(-1).cast("long").alias("bin"), "meets")
+    cut = own.join(meets, ["component", "page"]).select(F.col("node").alias("__doc"), "h1", "h2", "n", "component", "page", F.lit(-1).cast("long").alias("bin"), "meets")
     return small.unionByName(cut)
 
 
-def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, page_shingles: int = 500_000, small_rows: int = 2_000_000) -> DataFrame:
+def _task_rows(members: DataFrame, values: DataFrame, component: DataFrame | None) -> DataFrame:
+    """Members (with pair) joined with their values and components, and dealt to tasks."""
+    v = values.select(F.col("doc_id").alias("v"), F.col("h1").alias("v1"), "value")
+    rows = members.join(v, (F.col("__doc") == F.col("v")) & (F.col("h1") == F.col("v1")))
+    if component is None:
+        rows = rows.withColumn("at", F.col("__doc"))
+    else:
+        c = component.select(F.col("node").alias("c"), F.col("component").alias("c2"))
+        rows = rows.join(c, F.col("__doc") == F.col("c"), "left").withColumn("at", F.coalesce("c2", "__doc"))
+    task = F.when(F.col("bin") >= 0, F.xxhash64("bin")).otherwise(F.xxhash64("family", "pair.lo", "pair.hi"))
+    return rows.select(task.alias("task"), "family", F.col("pair.lo").alias("lo"), F.col("pair.hi").alias("hi"), "page", F.col("__doc").alias("doc_id"), "h1", "n", "at", "value")
+
+
+def _families(search):
+    """search(rows of a family as columns) for each family of a task, as a function for applyInArrow."""
+
+    def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(list(batches)).sort_by([("family", "ascending"), ("lo", "ascending"), ("hi", "ascending"), ("doc_id", "ascending")])
+        family = table.column("family").to_numpy()
+        cuts = np.flatnonzero(np.diff(family, prepend=family[0] - 1, append=family[-1] + 1))
+        out = []
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            if b - a > 1:
+                part = table.slice(a, b - a)
+                lo, hi = part.column("lo")[0].as_py(), part.column("hi")[0].as_py()
+                side = part.column("page").to_numpy() if lo != hi else None
+                got = search(part, part.column("n").to_numpy(), part.column("at").to_numpy(), side)
+                ids, h1 = part.column("doc_id").to_numpy(), part.column("h1").to_numpy()
+                out += [(int(family[a]), lo, hi, int(ids[x]), int(h1[x]), int(ids[y]), int(h1[y]), kind) for x, y, kind in got]
+        columns = list(zip(*out, strict=True)) or [[]] * 8
+        types = [pa.int64(), pa.int32(), pa.int32(), *[pa.int64()] * 4, pa.int32()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=LINK_COLUMNS)
+
+    return run
+
+
+LINK_COLUMNS = ["family", "lo", "hi", "a", "a1", "b", "b1", "kind"]
+LINKS = "family long, lo int, hi int, a long, a1 long, b long, b1 long, kind int"
+FOREST, DOUBTFUL, TOO_MANY = 0, 1, 2
+
+
+def _by_points(num: int, den: int):
+    def search(part, sizes, at, side):
+        points = [unpacked(raw, n) for raw, n in zip(part.column("value").to_pylist(), sizes.tolist(), strict=True)]
+        forest, near, too_many = likely_links(points, sizes, at, side, num, den)
+        return [(a, b, FOREST) for a, b in forest] + [(a, b, DOUBTFUL) for a, b in near] + [(0, 0, TOO_MANY)] * too_many
+
+    return _families(search)
+
+
+def _by_sets(num: int, den: int):
+    def search(part, sizes, at, side):
+        sets = [np.frombuffer(raw, np.uint64) for raw in part.column("value").to_pylist()]
+        return [(a, b, FOREST) for a, b in family_links(sets, side, num, den, at)]
+
+    return _families(search)
+
+
+def verified(docs: DataFrame, links: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """links with ok: whether the sets of their ends reach the similarity."""
+    pairs = links.where(F.col("kind") != TOO_MANY).select("a", "a1", "b", "b1").distinct()
+    ends = pairs.select(F.col("a").alias("w"), F.col("a1").alias("h1")).unionByName(pairs.select(F.col("b").alias("w"), F.col("b1").alias("h1"))).distinct()
+    sets = durable(of_classes(docs, ends, k, lambda u: u.view(np.int64), "array<long>"), "shingles")
+    of = lambda d, h, x: sets.select(F.col("doc_id").alias(d), F.col("h1").alias(h), F.col("value").alias(x)).dropDuplicates([d, h])
+    both = pairs.join(of("a", "a1", "x"), ["a", "a1"]).join(of("b", "b1", "y"), ["b", "b1"])
+    overlap = F.size(F.array_intersect("x", "y")).cast("long")
+    checked = both.select("a", "a1", "b", "b1", (overlap * den >= num * (F.size("x") + F.size("y") - overlap)).alias("ok"))
+    out = durable(links.join(checked, ["a", "a1", "b", "b1"], "left"), "checked")
+    discard(sets)
+    return out
+
+
+def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, page_shingles: int = 200_000) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row: size of the set, and smallest doc_id reachable by links."""
-    spark = docs.sparkSession
-    rows = durable(shingled(docs, k, num, den), "sets")
+    rows = durable(shingled(docs, k), "sets")
     linkable = rows.where("n > 0 and doc_id is not null")
     one = durable(linkable.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "n")).alias("s")).select("h1", "h2", "s.*"), "classes")
 
-    # documents that share a signature are candidates; only links to the smallest of them are kept
-    heads, _ = small_side(one.select(F.col("doc_id").alias("a"), F.col("h1").alias("k1"), F.col("h2").alias("k2")), small_rows)
-    own = linkable.join(heads, (F.col("doc_id") == F.col("a")) & (F.col("h1") == F.col("k1")) & (F.col("h2") == F.col("k2")))
-    sigs = own.select("a", F.explode("sigs").alias("sig"))
-    by_sig = Window.partitionBy("sig")
-    shared = sigs.withColumn("b", F.min("a").over(by_sig)).where("a <> b").select("a", "b").distinct()
-    family = components(shared)
-    sized = durable(family.join(one.select(F.col("doc_id").alias("node"), "n", "h1", "h2"), "node"), "families")
-    placed = paged(sized, num, den, page_shingles)
-    members, _ = small_side(durable(placed, "pages"), small_rows)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(members, F.col("doc_id") == F.col("__doc"))
-
-    def vectors(batches):
-        for batch in batches:
-            sets, keep = [], []
-            wanted1, wanted2 = batch.column("h1").to_numpy().view(np.uint64), batch.column("h2").to_numpy().view(np.uint64)
-            row = 0
-            for _, data, offsets in slices(batch.column("text")):
-                for u in shingle_hashes(data, offsets, k):
-                    # of rows that share a doc_id, the one whose set entered
-                    keep.append(mix(u, 11).sum() == wanted1[row] and mix(u, 13).sum() == wanted2[row])
-                    sets.append(u.tobytes())
-                    row += 1
-            kept = pa.RecordBatch.from_arrays([batch.column(c) for c in ("doc_id", "component", "page", "bin", "meets")] + [pa.array(sets, pa.binary())], names=["doc_id", "component", "page", "bin", "meets", "shingles"])
-            yield kept.filter(pa.array(keep, pa.bool_()))
-
-    meets = "array<struct<lo:int,hi:int>>"
-    points = texts.select("text", "doc_id", "h1", "h2", "component", "page", "bin", "meets").mapInArrow(vectors, f"doc_id long, component long, page int, bin long, meets {meets}, shingles binary")
-    points = points.select("doc_id", "component", "page", "bin", "shingles", F.explode("meets").alias("pair"))
-    points = points.withColumn("task", F.when(F.col("bin") >= 0, F.xxhash64("bin")).otherwise(F.xxhash64("component", "pair.lo", "pair.hi")))
-
-    def join(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(list(batches)).sort_by("component")
-        component, page = table.column("component").to_numpy(), table.column("page").to_numpy()
-        ids = table.column("doc_id").to_numpy()
-        raw = table.column("shingles").to_pylist()
-        lo = table.column("pair").combine_chunks().field("lo").to_numpy()
-        hi = table.column("pair").combine_chunks().field("hi").to_numpy()
-        left, right = [], []
-        cuts = np.flatnonzero(np.diff(component, prepend=component[0] - 1, append=component[-1] + 1))
-        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-            own = np.arange(a, b)
-            own = own[np.unique(ids[a:b], return_index=True)[1]]  # repeated rows of a document
-            if len(own) < 2:
-                continue
-            side = page[own] if lo[a] != hi[a] else None
-            sets = [np.frombuffer(raw[i], np.uint64) for i in own]
-            for x, y in family_links(sets, side, num, den):
-                left.append(int(ids[own[x]]))
-                right.append(int(ids[own[y]]))
-        yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
-
-    links = points.groupBy("task").applyInArrow(join, "a long, b long")
-    found = components(links).select(F.col("node").alias("rep"), "component")
+    # sets that share a signature go to the family of the one with the smallest hash
+    sigs = of_classes(docs, one.select(F.col("doc_id").alias("w"), "h1"), k, lambda u: signatures(u, num, den).view(np.int64), "array<long>")
+    sigs = sigs.select("h1", F.explode("value").alias("sig"))
+    in_order = Window.partitionBy("sig").orderBy("h1").rowsBetween(Window.unboundedPreceding, Window.currentRow)  # a running first needs no memory for hot signatures
+    shared = sigs.withColumn("family", F.first("h1").over(in_order)).where("family <> h1").select("family", "h1").distinct()
+    shared = durable(shared, "shared")
+    met = shared.unionByName(shared.select("family", F.col("family").alias("h1")).distinct())
+    sized = durable(met.join(one.select("h1", "h2", "n", F.col("doc_id").alias("node")), "h1").select("family", "node", "n", "h1", "h2"), "families")
+    discard(shared)
+    members = durable(paged(sized.withColumnRenamed("family", "component"), num, den, page_shingles).withColumnRenamed("component", "family"), "pages")
+    points = durable(of_classes(docs, sized.select(F.col("node").alias("w"), "h1").distinct(), k, point, "binary").dropDuplicates(["doc_id", "h1"]), "points")
+    pairs = members.withColumn("pair", F.explode("meets")).drop("meets", "h2")
+
+    own = pairs.where("pair.lo = pair.hi")
+    first = verified(docs, durable(_task_rows(own, points, None).groupBy("task").applyInArrow(_by_points(num, den), LINKS), "links"), k, num, den)
+    linked = components(first.where("ok").select("a", "b"))
+    links = first
+    across = pairs.where("pair.lo < pair.hi")
+    if not across.isEmpty():
+        second = verified(docs, durable(_task_rows(across, points, linked).groupBy("task").applyInArrow(_by_points(num, den), LINKS), "links"), k, num, den)
+        links = first.unionByName(second)
+        linked = components(links.where("ok").select("a", "b"))
+    # what the points left open is searched again with the sets
+    again = durable(links.where((F.col("kind") == TOO_MANY) | ((F.col("kind") == FOREST) & ~F.col("ok"))).select("family", "lo", "hi").distinct(), "again")
+    if not again.isEmpty():
+        open_ = pairs.join(again, (pairs["family"] == again["family"]) & (F.col("pair.lo") == again["lo"]) & (F.col("pair.hi") == again["hi"]), "left_semi")
+        sets = durable(of_classes(docs, open_.select(F.col("__doc").alias("w"), "h1").distinct(), k, lambda u: u, "binary").dropDuplicates(["doc_id", "h1"]), "shingles")
+        third = durable(_task_rows(open_, sets, linked).groupBy("task").applyInArrow(_by_sets(num, den), LINKS), "links")
+        discard(sets)
+        linked = components(links.where("ok").select("a", "b").unionByName(third.select("a", "b")))
+    for t in (sized, members, points):
+        discard(t)
+    found = linked.select(F.col("node").alias("rep"), "component")
     # every row with its class, every class with its component
     classes = one.select(F.col("h1").alias("k1"), F.col("h2").alias("k2"), F.col("doc_id").alias("rep")).join(found, "rep", "left")
     classes = classes.select("k1", "k2", F.coalesce("component", "rep").alias("class"))
-    joined = rows.drop("sigs").join(classes, (F.col("h1") == F.col("k1")) & (F.col("h2") == F.col("k2")) & (F.col("n") > 0), "left")
+    joined = rows.join(classes, (F.col("h1") == F.col("k1")) & (F.col("h2") == F.col("k2")) & (F.col("n") > 0), "left")
     return joined.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("class", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
-def one_of_each_group(docs: DataFrame, small_rows: int = 1_000_000, **how) -> DataFrame:
+def one_of_each_group(docs: DataFrame, **how) -> DataFrame:
     """The documents that stand for their group of near-duplicates (the smallest doc_id), all columns; others go."""
     groups = jaccard_components(docs, **how)
     gone = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    gone, _ = small_side(durable(gone, "gone"), small_rows)
+    gone = small_side(durable(gone, "gone"))
     return docs.join(gone, F.col("doc_id").cast("long") == F.col("__gone"), "left_anti")

@@ -1,17 +1,18 @@
 """Line dedup with two Bloom filters, for hashes seen once and seen twice.
 
-1. Every task sets the bits of its lines in a first filter, and of lines it meets again in a second one.  The filters
+1. Every task sets the two bits of each of its lines in a first filter, and bits that it meets again in a second one.  The filters
    are cut into chunks; a chunk of all tasks is merged at one place (what two first filters share goes to the second).
    The size of a filter follows the corpus up to a fixed bound, so it may be broadcast; beyond the bound more lines are
    merely suspected.
-2. Only lines that the second filter suspects are shuffled, with their whole keys, for exact counts of documents and
+2. Only lines of which the second filter holds both bits are shuffled, with their whole keys, for exact counts of documents and
    the choice of the one that keeps the line.
 3. The dropped line numbers of each document meet its text, and the other lines are joined again.
 
 Defined cases: a null or empty text is one empty line; lines shorter than ``min_chars`` are never dropped; a line that
 stands several times in the keeping document stays there each time; rows that share a doc_id count as one document;
 rows with a null doc_id are left as they are and count for nothing; an empty table gives no rows; columns other than
-doc_id and text pass through.
+doc_id and text pass through, but columns of docs called n_lines, n_dropped or kept are replaced.  doc_id must be a
+number or its text.
 """
 
 from __future__ import annotations
@@ -24,9 +25,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lorequarry.llm.durable import durable, small_side
-from lorequarry.llm.textbytes import LOWER, SPACE, prefix_sums, slices, substring_hash
+from lorequarry.llm.textbytes import LOWER, SPACE, mix, prefix_sums, slices, substring_hash
 
 CHUNK_BYTES = 1 << 16
+HOT_DOCS = 10_000  # there are at most lines / HOT_DOCS hot lines
 
 
 def line_spans(data: np.ndarray, offsets: np.ndarray, min_chars: int):
@@ -46,6 +48,12 @@ def line_spans(data: np.ndarray, offsets: np.ndarray, min_chars: int):
     return owner[long], number[long], s[long], e[long]
 
 
+def bit_places(h: np.ndarray, bits: int) -> np.ndarray:
+    """The two bits of each hash in a filter of so many bits, 2 x hashes."""
+    mask = np.uint64(bits - 1)
+    return np.stack([h & mask, mix(h, 5) & mask]).astype(np.int64)
+
+
 def _hashed_lines(column, min_chars: int):
     for first, data, offsets in slices(column):
         data = LOWER[data]
@@ -54,7 +62,7 @@ def _hashed_lines(column, min_chars: int):
 
 
 def second_filter(docs: DataFrame, min_chars: int, bits: int) -> DataFrame:
-    """(chunk, bytes): the bits of hashes that two lines or more have; false positives only.
+    """(chunk, bytes): the bits that two lines or more have set; false positives only.
 
     A task's filters travel as sorted bit positions inside their chunk, which is smaller than bitmaps as long as they are
     sparse; a full chunk travels as its bitmap.
@@ -66,7 +74,7 @@ def second_filter(docs: DataFrame, min_chars: int, bits: int) -> DataFrame:
         met = [np.zeros(0, np.int64)]
         for batch in batches:
             for *_, h in _hashed_lines(batch.column(0), min_chars):
-                met.append((h & np.uint64(bits - 1)).astype(np.int64))
+                met.append(bit_places(h, bits).reshape(-1))
         values, counts = np.unique(np.concatenate(met), return_counts=True)
         chunks, kinds, raw = [], [], []
         for kind, have in enumerate((values, values[counts > 1])):
@@ -122,8 +130,8 @@ def suspected_lines(docs: DataFrame, min_chars: int, most_bits: int) -> DataFram
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             for first, data, owner, number, start, end, h in _hashed_lines(batch.column(1), min_chars):
-                at = (h & np.uint64(bits - 1)).astype(np.int64)
-                hit = np.flatnonzero((filter_[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1)
+                at = bit_places(h, bits)
+                hit = np.flatnonzero(((filter_[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1).all(0))
                 raw = data.tobytes()
                 keys = [raw[a:b].decode() for a, b in zip(start[hit].tolist(), end[hit].tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays(
@@ -143,9 +151,12 @@ def dropped_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, keep:
     best = F.max if keep == "largest" else F.min
     # counted in two steps, so that a line of very many documents is summed up in many tasks first
     repeated = suspects.groupBy("key", "doc_id").agg(F.lit(1).alias("one")).groupBy("key").agg(F.count(F.lit(1)).alias("n"), best("doc_id").alias("keeper"))
-    repeated = repeated.where(F.col("n") >= min_docs).select("key", "keeper")
-    gone = suspects.join(repeated, "key").where("doc_id <> keeper")
-    return gone.groupBy("doc_id").agg(F.collect_set("line").alias("dropped"))
+    repeated = durable(repeated.where(F.col("n") >= min_docs), "repeated")
+    # the few lines of very many documents never meet in one task: they are sent to the suspects
+    hot = small_side(repeated.where(F.col("n") > HOT_DOCS).select("key", "keeper"))
+    rest = small_side(repeated.where(F.col("n") <= HOT_DOCS).select("key", "keeper"))
+    met = suspects.join(hot, "key").unionByName(suspects.join(hot.select("key"), "key", "left_anti").join(rest, "key"))
+    return met.where("doc_id <> keeper").groupBy("doc_id").agg(F.collect_set("line").alias("dropped"))
 
 
 def kept_text(text: Column, dropped: Column) -> Column:
@@ -155,24 +166,29 @@ def kept_text(text: Column, dropped: Column) -> Column:
     return F.when(dropped.isNull(), F.coalesce(text, F.lit(""))).otherwise(F.array_join(left, "\n"))
 
 
-def dedup_lines(docs: DataFrame, small_rows: int = 1_000_000, **how) -> DataFrame:
+def dedup_lines(docs: DataFrame, **how) -> DataFrame:
     """docs with n_lines, n_dropped and kept (the text without the dropped lines)."""
-    dropped, _ = small_side(durable(dropped_lines(docs, **how).withColumnRenamed("doc_id", "__doc"), "dropped"), small_rows)
-    joined = docs.join(dropped, F.col("doc_id").cast("long") == F.col("__doc"), "left")
+    found = dropped_lines(docs, **how).select(F.col("doc_id").alias("__doc"), F.col("dropped").alias("__dropped"))
+    joined = docs.join(small_side(durable(found, "dropped")), F.col("doc_id").cast("long") == F.col("__doc"), "left")
     n_lines = F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit("\n")).cast("long") + 1
     return joined.select(
-        *docs.columns,
+        *[F.col(f"`{c}`") for c in docs.columns if c not in ("n_lines", "n_dropped", "kept")],
         n_lines.alias("n_lines"),
-        F.coalesce(F.size("dropped"), F.lit(0)).cast("long").alias("n_dropped"),
-        kept_text(F.col("text"), F.col("dropped")).alias("kept"),
+        F.when(F.col("__dropped").isNull(), 0).otherwise(F.size("__dropped")).cast("long").alias("n_dropped"),
+        kept_text(F.col("text"), F.col("__dropped")).alias("kept"),
     )
 
 
 def without_repeated_lines(docs: DataFrame, **how) -> DataFrame:
-    """docs, the same columns, with the repeated lines gone from the texts; documents left without any text go too."""
-    out = dedup_lines(docs, **how)
-    left = (F.col("n_dropped") == 0) | (F.col("kept") != "")
+    """docs, the same columns, with the repeated lines gone from the texts; documents left without any text stay, with an empty one.
+
+    n_chars, where there is one, follows the text.
+    """
+    names = docs.columns
+    renamed = {c: f"__own_{c}" for c in ("n_lines", "n_dropped", "kept") if c in names}
+    out = dedup_lines(docs.withColumnsRenamed(renamed), **how)
     text = F.when(F.col("n_dropped") > 0, F.col("kept")).otherwise(F.col("text"))
-    size = F.when(F.col("n_dropped") > 0, F.length("kept").cast("long")).otherwise(F.col("n_chars")) if "n_chars" in docs.columns else None
-    changed = {"text": text} | ({"n_chars": size} if size is not None else {})
-    return out.where(left).withColumns(changed).select(*docs.columns)
+    changed = {"text": text.alias("text")}
+    if "n_chars" in names:
+        changed["n_chars"] = F.when(F.col("n_dropped") > 0, F.length("kept").cast("long")).otherwise(F.col("n_chars")).alias("n_chars")
+    return out.select(*[changed.get(c, F.col(f"`{renamed.get(c, c)}`").alias(c)) for c in names])

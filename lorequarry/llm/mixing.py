@@ -4,11 +4,12 @@ The shuffled token stream of every source is read at most ``repeat_cap`` times i
 equally many tokens.  Slot i of the schedule has the point frac(i * golden ratio), which is mapped through the
 cumulative target weights to a source; the slots of a source are ranked, and the slot of rank r takes block r.
 Three times as many points as slots are drawn: no gap between so many golden-ratio points exceeds 1 / slots, so each
-source gets all the slots it needs, and the surplus ranks are left out.
+source gets all the slots it needs, and the surplus ranks are left out.  The ratio is that of two large Fibonacci
+numbers and the points are whole multiples of their fraction, so the sequence is exact at any length.
 
 Nothing orders a whole source in one task: documents are put in hash order in two steps (bucket by hash, then inside
-the bucket), and so are the slots (chunk of the sequence, then inside the chunk).  Only the sources table (a row for
-each source) is ordered in one window.
+the bucket), and so are the slots (chunk of the sequence, then inside the chunk).  Points meet the ranges of the
+sources by bins of equal width.  Only the sources table (a row for each source) is ordered in one window.
 
 Defined cases: a null text has no words; a null source is a source of its own and comes last; documents without words
 take 0; an empty table gives no rows; repeated rows are separate documents; other columns are left alone and no
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 from lorequarry.llm.durable import durable, small_side
 
 WORDS = r"[^\x20\x09-\x0D]+"
-GOLDEN = 0.6180339887498949
+FIBONACCI = (259695496911122585, 420196140727489673)  # the 85th and the 86th: their ratio is as irregular as whole numbers allow
 
 
 def word_count(text: Column) -> Column:
@@ -57,10 +58,7 @@ def source_targets(sizes: DataFrame, weights=(5, 2, 1), share: float = 1.5, repe
 
 
 def mix_sources(docs: DataFrame, weights=(5, 2, 1), share: float = 1.5, repeat_cap: int = 2, block_tokens: int = 4096, seed: int = 7, docs_per_bucket: int = 500) -> DataFrame:
-    """documents -> (doc_id, size, source_size, target, taken, source), a row for each document.
-
-    ``block_tokens`` bounds the block; a corpus of under 65,536 blocks gets smaller ones (16 tokens at least).
-    """
+    """documents -> (doc_id, size, source_size, target, taken, source, tie), a row for each document; tie is a hash of the text."""
     at = [F.xxhash64(F.col("doc_id"), F.lit(seed)).alias("at"), F.xxhash64("text").alias("tie")]
     rows = durable(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), *at), "sizes")  # texts are read once
     per_source = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n"))
@@ -72,7 +70,7 @@ def mix_sources(docs: DataFrame, weights=(5, 2, 1), share: float = 1.5, repeat_c
         targets.join(per_source.select(F.col("source").alias("s2"), buckets.alias("buckets")), F.col("source").eqNullSafe(F.col("s2")))
         .withColumn("key", F.row_number().over(up_to))
         .withColumn("takes", F.floor("target").cast("long"))
-        .withColumn("block", F.greatest(F.lit(16), F.least(F.lit(block_tokens), F.floor(F.sum("takes").over(one) / 65536))).cast("long"))
+        .withColumn("block", F.lit(block_tokens).cast("long"))
         .withColumn("slots", F.ceil(F.col("takes") / F.col("block")).cast("long"))
         .withColumn("all_slots", F.sum("slots").over(one))
         .withColumn("to", F.sum("slots").over(up_to.rowsBetween(Window.unboundedPreceding, 0)))
@@ -98,21 +96,30 @@ def mix_sources(docs: DataFrame, weights=(5, 2, 1), share: float = 1.5, repeat_c
     end = F.least(F.col("start") + F.col("size"), (F.col("rank") + 1) * F.col("block"), F.col("takes"))
     overlap = F.when(F.col("slot").isNotNull(), F.greatest(F.lit(0), end - F.greatest(F.col("start"), F.col("rank") * F.col("block")))).otherwise(0)
     joined = pieces.join(slots, ["key", "rank"], "left")
-    mixed = joined.groupBy("key", "bucket", "nth", "doc_id", "size", "source_size", "target", "source").agg(F.sum(overlap).cast("long").alias("taken"))
-    return mixed.select("doc_id", "size", F.col("source_size").cast("long"), "target", "taken", "source")
+    mixed = joined.groupBy("key", "bucket", "nth", "doc_id", "size", "source_size", "target", "source", "tie").agg(F.sum(overlap).cast("long").alias("taken"))
+    return mixed.select("doc_id", "size", F.col("source_size").cast("long"), "target", "taken", "source", "tie")
 
 
 def schedule(plan: DataFrame, chunk: int = 4096) -> DataFrame:
     """(key, slots, all_slots, from, to) of each source -> (key, rank, slot): which slot of the schedule takes block ``rank`` of source ``key``."""
     spark = plan.sparkSession
     digits = plan.select(F.col("all_slots").cast("long")).limit(1)
+    step, modulus = (F.lit(x).cast("decimal(18,0)") for x in FIBONACCI)
+    wide = lambda c: c.cast("decimal(20,0)")
+    # source k has the points from edge(from) up to edge(to)
+    edge = lambda c: F.call_function("div", wide(F.col(c)) * modulus + wide(F.col("all_slots") - 1), wide(F.col("all_slots")))
+    ranges = plan.where("slots > 0").select("key", "slots", edge("from").alias("lo"), edge("to").alias("hi"))
+    bins = max(64, 4 * plan.count())
+    width = -(-FIBONACCI[1] // bins)
+    in_bin = lambda c: F.call_function("div", c, F.lit(width))
+    ranges = ranges.withColumn("bin", F.explode(F.sequence(in_bin(F.col("lo")), in_bin(F.col("hi") - 1))))
     # 3 * all_slots points, made where they are used: a row for each chunk, then its points
     chunks = digits.select(F.explode(F.sequence(F.lit(0).cast("long"), F.floor(3 * F.col("all_slots") / chunk).cast("long"))).alias("chunk"), "all_slots")
     chunks = chunks.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "chunk")
     points = chunks.select("chunk", "all_slots", F.explode(F.sequence(F.col("chunk") * chunk, (F.col("chunk") + 1) * chunk - 1)).alias("slot"))
-    points = points.where(F.col("slot") < 3 * F.col("all_slots")).withColumn("u", F.pmod((F.col("slot") + 1) * F.lit(GOLDEN), F.lit(1.0)) * F.col("all_slots"))
-    ranges = F.broadcast(plan.select("key", "slots", "from", "to").where("slots > 0"))  # a row for each source
-    drawn = points.join(ranges, (F.col("u") >= F.col("from")) & (F.col("u") < F.col("to"))).select("key", "chunk", "slot", "slots")
+    points = points.where(F.col("slot") < 3 * F.col("all_slots")).withColumn("u", F.pmod(wide(F.col("slot") + 1) * step, modulus).cast("long"))
+    points = points.withColumn("bin", in_bin(F.col("u")))
+    drawn = points.join(ranges, "bin").where((F.col("u") >= F.col("lo")) & (F.col("u") < F.col("hi"))).select("key", "chunk", "slot", "slots")
     totals = drawn.groupBy("key", "chunk").agg(F.count(F.lit(1)).alias("in_chunk"))
     before = Window.partitionBy("key").orderBy("chunk").rowsBetween(Window.unboundedPreceding, 0)
     totals = totals.withColumn("offset", F.sum("in_chunk").over(before) - F.col("in_chunk")).drop("in_chunk")
@@ -120,13 +127,15 @@ def schedule(plan: DataFrame, chunk: int = 4096) -> DataFrame:
     return ranked.withColumn("rank", F.col("offset") + F.col("nth") - 1).where("rank < slots").select("key", "rank", "slot")
 
 
-def mixed_documents(docs: DataFrame, small_rows: int = 1_000_000, **how) -> DataFrame:
+def mixed_documents(docs: DataFrame, **how) -> DataFrame:
     """The mix itself as documents: each one as often as its taken words make up its size, rounded to whole copies.
 
-    Documents without words are left out; rows that share a doc_id come as often as the one that is taken most.
+    Documents without words are left out; of rows that agree in doc_id, source and text each comes as often as the one
+    that is taken most.  A null doc_id is one like others.
     """
     names = docs.columns
-    taken = mix_sources(docs, **how)
-    copies = taken.where("size > 0").groupBy("doc_id").agg(F.max(F.floor(F.col("taken") / F.col("size") + 0.5)).cast("int").alias("__copies")).where("__copies > 0")
-    copies, _ = small_side(durable(copies, "copies"), small_rows)
-    return docs.join(copies, "doc_id").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*names)
+    key = F.struct("doc_id", "source", F.xxhash64("text"))
+    taken = mix_sources(docs, **how).where("size > 0").groupBy("doc_id", "source", "tie")
+    copies = taken.agg(F.max(F.floor(F.col("taken") / F.col("size") + 0.5)).cast("int").alias("__copies")).where("__copies > 0")
+    copies = small_side(durable(copies.select(F.struct("doc_id", "source", "tie").alias("__key"), "__copies"), "copies"))
+    return docs.join(copies, key.eqNullSafe(F.col("__key"))).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*[F.col(f"`{c}`") for c in names])

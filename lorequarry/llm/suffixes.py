@@ -252,7 +252,7 @@ def substring_spans(docs: DataFrame, length: int = 100, most_contexts: int = 20_
     return spans.unionByName(copies).unionByName(again)
 
 
-def without_repeats(docs: DataFrame, length: int = 100, small_rows: int = 200_000) -> DataFrame:
+def without_repeats(docs: DataFrame, length: int = 100) -> DataFrame:
     """(doc_id, text) -> (doc_id, text, copy, spans) for each row: whether it is a later copy, and what repeats in it otherwise."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     long = F.octet_length("text") >= length
@@ -260,7 +260,7 @@ def without_repeats(docs: DataFrame, length: int = 100, small_rows: int = 200_00
     # of the rows of one text the smallest doc_id stays
     mine = rows.withColumn("key", F.when(long & F.col("doc_id").isNotNull(), key))
     copies = mine.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("keeper"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    copies, _ = small_side(durable(copies.select(F.col("key").alias("k2"), "keeper"), "copies"), small_rows)
+    copies = small_side(durable(copies.select(F.col("key").alias("k2"), "keeper"), "copies"))
     marked = mine.join(copies, F.col("key") == F.col("k2"), "left").drop("k2")
     single = marked.where("key is not null and (keeper is null or doc_id = keeper)").select("doc_id", "text")
     spans = durable(substring_spans(single, length), "spans")

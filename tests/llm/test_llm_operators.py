@@ -428,3 +428,93 @@ def test_pipeline(spark):
     kept = {r.doc_id: r.text for r in docs.collect()}
     groups = linked(sorted(kept.items()), 5, 80, 100)
     assert all(groups[i][1] == i for i in kept)  # no near-duplicates are left
+
+
+# --- cases of the second round ---
+
+
+def test_top_k_takes_every_length(spark):
+    r = np.random.default_rng(8)
+    rows = [(i, [float(x) for x in r.normal(0, 1, 2 if i < 20 else 8)]) for i in range(300)]
+    v = bitsliced.quantised(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    got = collections.Counter(x.query_id for x in bitsliced.top_k(v.where("vec_id % 10 = 0"), v, block_rows=64).collect())
+    assert got == {i: 10 for i in range(0, 300, 10)}
+    huge = bitsliced.quantised(spark.createDataFrame([(0, [1e15, 1.0]), (1, [1e15, 2.0])], "vec_id long, embedding array<double>"))
+    with pytest.raises(Exception, match="do not fit a long"):
+        bitsliced.top_k(huge, huge).collect()
+
+
+def test_line_dedup_with_clashing_names_and_hot_lines(docs, monkeypatch):
+    plain = {(r.doc_id, r.n_lines, r.n_dropped, r.kept) for r in lines.dedup_lines(docs).collect()}
+    clash = docs.select("doc_id", "text", F.lit("x").alias("kept"), F.lit(1).alias("dropped"), F.lit(2).alias("n_dropped"), F.lit(3).alias("keeper"))
+    out = lines.dedup_lines(clash)
+    assert {(r.doc_id, r.n_lines, r.n_dropped, r.kept) for r in out.collect()} == plain
+    kept = lines.without_repeated_lines(clash)
+    assert kept.columns == clash.columns and {(r.kept, r.n_dropped) for r in kept.collect()} == {("x", 2)} and kept.count() == docs.count()
+    monkeypatch.setattr(lines, "HOT_DOCS", 5)
+    assert {(r.doc_id, r.n_lines, r.n_dropped, r.kept) for r in lines.dedup_lines(docs).collect()} == plain
+
+
+def test_schedule_gives_every_block_a_slot(spark):
+    plan = spark.createDataFrame([(0, 5, 0, 5), (1, 0, 5, 5), (2, 7000, 5, 7005), (3, 1, 7005, 7006)], "key int, slots long, `from` long, `to` long").withColumn("all_slots", F.lit(7006).cast("long"))
+    got = collections.defaultdict(list)
+    for r in mixing.schedule(plan).collect():
+        got[r.key].append((r.rank, r.slot))
+    assert {k: sorted(x[0] for x in v) for k, v in got.items()} == {0: list(range(5)), 2: list(range(7000)), 3: [0]}
+    assert all([s for _, s in sorted(v)] == sorted(s for _, s in v) for v in got.values())
+    slots = np.array(sorted(s for v in got.values() for _, s in v if len(v) > 5))
+    a, m = mixing.FIBONACCI
+    assert all(7006 * (((int(s) + 1) * a) % m) // m in range(5, 7005) for s in slots[:50])
+
+
+def test_mix_of_documents_keeps_null_ids(spark):
+    rows = [(None, "a b c d", "s"), (1, "e f g h", "s"), (1, "e f g h", "s"), (2, "i j", None), (3, None, "s")]
+    out = mixing.mixed_documents(spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("copies", F.lit(1)))
+    got = collections.Counter((r.doc_id, r.text) for r in out.collect())
+    assert got[(None, "a b c d")] >= 1 and got[(1, "e f g h")] >= 2 and (3, None) not in got
+
+
+def test_points_bound_overlaps():
+    """Pairs of the tree are those of all pairs by the same bound, and no linked pair is missing."""
+    r = np.random.default_rng(2)
+    base = r.integers(0, 2**63, 120, dtype=np.uint64)
+    sets = []
+    for i in range(150):
+        keep = base[r.random(120) < (0.97 if i % 2 else 0.6)]
+        sets.append(np.unique(np.concatenate([keep, r.integers(0, 2**63, int(r.integers(1, 40)), dtype=np.uint64)])))
+    sizes = np.array([len(s) for s in sets])
+    left, right, rows, cols = jaccard.trees([jaccard.point(s) for s in sets], sizes, None)
+    assert len(left.levels) > 2
+    found = set()
+    for i, j, bound in jaccard.rtree_pairs(left, right, 80, 100):
+        for a, b, c in zip(i.tolist(), j.tolist(), bound.tolist(), strict=True):
+            assert c >= len(np.intersect1d(sets[a], sets[b])) and (a, b) not in found and (b, a) not in found
+            found.add((a, b))
+    side = np.arange(150) % 3 == 0
+    crossed = {frozenset(p) for p in found if side[p[0]] != side[p[1]]}
+    left, right, rows, cols = jaccard.trees([jaccard.point(s) for s in sets], sizes, side)
+    assert {frozenset((int(rows[a]), int(cols[b]))) for i, j, _ in jaccard.rtree_pairs(left, right, 80, 100) for a, b in zip(i, j, strict=True)} == crossed
+    for a in range(150):
+        for b in range(a):
+            o = len(np.intersect1d(sets[a], sets[b]))
+            if 100 * o >= 80 * (len(sets[a]) + len(sets[b]) - o):
+                assert (a, b) in found or (b, a) in found
+
+
+def test_chain_and_crowded_family(spark, monkeypatch):
+    """A chain of near copies is one component, a crowd of texts just below the similarity is none; also with all pairs left open by the points."""
+    r = np.random.default_rng(9)
+    base = [f"w{i}" for i in range(200)]
+    chain = []
+    for i in range(12):
+        base = [*base[:i * 4], *(f"c{i}x{j}" for j in range(4)), *base[i * 4 + 4 :]]
+        chain.append(" ".join(base))
+    crowd = [" ".join(w if r.random() < 0.93 else f"r{r.integers(10**6)}" for w in (f"v{i}" for i in range(150))) for _ in range(60)]
+    texts = list(enumerate([*chain, *crowd, *crowd[:3]]))
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    want = linked(texts, 5, 80, 100)
+    assert len({c for i, (_, c) in want.items() if i < 12}) == 1
+    for page in (200_000, 2000):
+        assert {x.doc_id: (x.n_shingles, x.component_id) for x in jaccard.jaccard_components(docs, page_shingles=page).collect()} == want
+    monkeypatch.setattr(jaccard, "likely_links", lambda points, *_: ([], [], True))
+    assert {x.doc_id: (x.n_shingles, x.component_id) for x in jaccard.jaccard_components(docs, page_shingles=2000).collect()} == want
