@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-BROADCAST_BYTES = 32 << 20  # a side of a join is sent to all executors only up to this size, as counted
+BROADCAST_BYTES = 64 << 20  # a side of a join is sent to all executors only up to this size, as counted
 
 
 def shared_folder(spark: SparkSession) -> str:

@@ -89,24 +89,48 @@ def _texts(docs: DataFrame) -> DataFrame:
 
 
 def shingled(docs: DataFrame, k: int) -> DataFrame:
-    """(doc_id, n, h1, h2): size of the set and a 128-bit hash of it."""
+    """(doc_id, n, h1, h2, point): size of the set, a 128-bit hash of it, and its point (a byte or so for each shingle)."""
 
     def run(batches):
         for batch in batches:
-            n, h1, h2 = [], [], []
+            n, h1, h2, points = [], [], [], []
             for _, data, offsets in slices(batch.column(1)):
                 for u in shingle_hashes(data, offsets, k):
                     n.append(len(u))
                     h1.append(int(mix(u, 11).sum()))
                     h2.append(int(mix(u, 13).sum()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), *(pa.array(np.array(h, np.uint64).view(np.int64)) for h in (h1, h2))], names=["doc_id", "n", "h1", "h2"])
+                    points.append(point(u).tobytes())
+            hashes = (pa.array(np.array(h, np.uint64).view(np.int64)) for h in (h1, h2))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), *hashes, pa.array(points, pa.binary())], names=["doc_id", "n", "h1", "h2", "point"])
 
-    return _texts(docs).mapInArrow(run, "doc_id long, n long, h1 long, h2 long")
+    return _texts(docs).mapInArrow(run, "doc_id long, n long, h1 long, h2 long, point binary")
 
 
-def of_classes(docs: DataFrame, wanted: DataFrame, k: int, make, kind: str) -> DataFrame:
-    """(doc_id, h1, value): make(set) of the documents and set hashes (w, h1) that are wanted."""
-    texts = _texts(docs).join(wanted.withColumnRenamed("h1", "w1"), F.col("doc_id") == F.col("w"))
+def signed(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """(h1, sig): the signatures of each set; a task gives those of equal sets once."""
+
+    def run(batches):
+        met = set()  # a number for each document of the task
+        for batch in batches:
+            h1, out = [], []
+            for _, data, offsets in slices(batch.column(0)):
+                for u in shingle_hashes(data, offsets, k):
+                    h = int(mix(u, 11).sum())
+                    if len(u) and h not in met:
+                        met.add(h)
+                        out.append(signatures(u, num, den))
+                        h1.append(np.full(len(out[-1]), h, np.uint64))
+            if out:
+                columns = [pa.array(np.concatenate(x).view(np.int64)) for x in (h1, out)]
+                yield pa.RecordBatch.from_arrays(columns, names=["h1", "sig"])
+
+    return docs.where("doc_id is not null").select("text").mapInArrow(run, "h1 long, sig long")
+
+
+def shingles_of(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
+    """(doc_id, h1, value binary): the sets of the documents and set hashes (w, h1) that are wanted, once each."""
+    wanted = durable(wanted.withColumnRenamed("h1", "w1"), "wanted")
+    texts = _texts(docs).join(small_side(wanted), F.col("doc_id") == F.col("w"))
 
     def run(batches):
         for batch in batches:
@@ -116,15 +140,13 @@ def of_classes(docs: DataFrame, wanted: DataFrame, k: int, make, kind: str) -> D
                 for u in shingle_hashes(data, offsets, k):
                     if mix(u, 11).sum() == want[row]:  # of rows that share a doc_id, those whose set is wanted
                         keep.append(row)
-                        out.append(make(u))
+                        out.append(u.tobytes())
                     row += 1
             at = pa.array(keep, pa.int64())
-            cuts = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in out])]).astype(np.int32))
-            flat = np.concatenate(out) if out else make(np.zeros(0, np.uint64))
-            value = pa.ListArray.from_arrays(cuts, pa.array(flat)) if kind != "binary" else pa.array([x.tobytes() for x in out], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(at), batch.column("w1").take(at), value], names=["doc_id", "h1", "value"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(at), batch.column("w1").take(at), pa.array(out, pa.binary())], names=["doc_id", "h1", "value"])
 
-    return texts.select("doc_id", "w1", "text").mapInArrow(run, f"doc_id long, h1 long, value {kind}")
+    found = texts.select("doc_id", "w1", "text").mapInArrow(run, "doc_id long, h1 long, value binary")
+    return durable(found.dropDuplicates(["doc_id", "h1"]), "shingles")
 
 
 def needed_overlap(a, b, num: int, den: int):
@@ -404,11 +426,20 @@ def verified(docs: DataFrame, links: DataFrame, k: int, num: int, den: int) -> D
     """links with ok: whether the sets of their ends reach the similarity."""
     pairs = links.where(F.col("kind") != TOO_MANY).select("a", "a1", "b", "b1").distinct()
     ends = pairs.select(F.col("a").alias("w"), F.col("a1").alias("h1")).unionByName(pairs.select(F.col("b").alias("w"), F.col("b1").alias("h1"))).distinct()
-    sets = durable(of_classes(docs, ends, k, lambda u: u.view(np.int64), "array<long>"), "shingles")
-    of = lambda d, h, x: sets.select(F.col("doc_id").alias(d), F.col("h1").alias(h), F.col("value").alias(x)).dropDuplicates([d, h])
+    sets = shingles_of(docs, ends, k)
+    of = lambda d, h, x: sets.select(F.col("doc_id").alias(d), F.col("h1").alias(h), F.col("value").alias(x))
     both = pairs.join(of("a", "a1", "x"), ["a", "a1"]).join(of("b", "b1", "y"), ["b", "b1"])
-    overlap = F.size(F.array_intersect("x", "y")).cast("long")
-    checked = both.select("a", "a1", "b", "b1", (overlap * den >= num * (F.size("x") + F.size("y") - overlap)).alias("ok"))
+
+    def compare(batches):
+        for batch in batches:
+            ok = []
+            for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
+                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                overlap = len(np.intersect1d(x, y, assume_unique=True))
+                ok.append(overlap * den >= num * (len(x) + len(y) - overlap))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("a", "a1", "b", "b1")), pa.array(ok, pa.bool_())], names=["a", "a1", "b", "b1", "ok"])
+
+    checked = both.select("a", "a1", "b", "b1", "x", "y").mapInArrow(compare, "a long, a1 long, b long, b1 long, ok boolean")
     out = durable(links.join(checked, ["a", "a1", "b", "b1"], "left"), "checked")
     discard(sets)
     return out
@@ -421,8 +452,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     one = durable(linkable.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "n")).alias("s")).select("h1", "h2", "s.*"), "classes")
 
     # sets that share a signature go to the family of the one with the smallest hash
-    sigs = of_classes(docs, one.select(F.col("doc_id").alias("w"), "h1"), k, lambda u: signatures(u, num, den).view(np.int64), "array<long>")
-    sigs = sigs.select("h1", F.explode("value").alias("sig"))
+    sigs = signed(docs, k, num, den)
     in_order = Window.partitionBy("sig").orderBy("h1").rowsBetween(Window.unboundedPreceding, Window.currentRow)  # a running first needs no memory for hot signatures
     shared = sigs.withColumn("family", F.first("h1").over(in_order)).where("family <> h1").select("family", "h1").distinct()
     shared = durable(shared, "shared")
@@ -430,7 +460,9 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     sized = durable(met.join(one.select("h1", "h2", "n", F.col("doc_id").alias("node")), "h1").select("family", "node", "n", "h1", "h2"), "families")
     discard(shared)
     members = durable(paged(sized.withColumnRenamed("family", "component"), num, den, page_shingles).withColumnRenamed("component", "family"), "pages")
-    points = durable(of_classes(docs, sized.select(F.col("node").alias("w"), "h1").distinct(), k, point, "binary").dropDuplicates(["doc_id", "h1"]), "points")
+    of_members = sized.select(F.col("node").alias("w"), F.col("h1").alias("w1"), F.col("h2").alias("w2")).distinct()
+    points = rows.join(small_side(durable(of_members, "wanted")), (F.col("doc_id") == F.col("w")) & (F.col("h1") == F.col("w1")) & (F.col("h2") == F.col("w2")))
+    points = durable(points.select("doc_id", "h1", F.col("point").alias("value")).dropDuplicates(["doc_id", "h1"]), "points")
     pairs = members.withColumn("pair", F.explode("meets")).drop("meets", "h2")
 
     own = pairs.where("pair.lo = pair.hi")
@@ -446,7 +478,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     again = durable(links.where((F.col("kind") == TOO_MANY) | ((F.col("kind") == FOREST) & ~F.col("ok"))).select("family", "lo", "hi").distinct(), "again")
     if not again.isEmpty():
         open_ = pairs.join(again, (pairs["family"] == again["family"]) & (F.col("pair.lo") == again["lo"]) & (F.col("pair.hi") == again["hi"]), "left_semi")
-        sets = durable(of_classes(docs, open_.select(F.col("__doc").alias("w"), "h1").distinct(), k, lambda u: u, "binary").dropDuplicates(["doc_id", "h1"]), "shingles")
+        sets = shingles_of(docs, open_.select(F.col("__doc").alias("w"), "h1").distinct(), k)
         third = durable(_task_rows(open_, sets, linked).groupBy("task").applyInArrow(_by_sets(num, den), LINKS), "links")
         discard(sets)
         linked = components(links.where("ok").select("a", "b").unionByName(third.select("a", "b")))
@@ -456,7 +488,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     # every row with its class, every class with its component
     classes = one.select(F.col("h1").alias("k1"), F.col("h2").alias("k2"), F.col("doc_id").alias("rep")).join(found, "rep", "left")
     classes = classes.select("k1", "k2", F.coalesce("component", "rep").alias("class"))
-    joined = rows.join(classes, (F.col("h1") == F.col("k1")) & (F.col("h2") == F.col("k2")) & (F.col("n") > 0), "left")
+    joined = rows.drop("point").join(classes, (F.col("h1") == F.col("k1")) & (F.col("h2") == F.col("k2")) & (F.col("n") > 0), "left")
     return joined.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("class", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
