@@ -103,6 +103,32 @@ def test_long_text_is_scored_in_pieces():
     assert np.allclose(net.pooled(chunks, first), net.pooled(chunks, first, most=1000), atol=1e-5)
 
 
+def test_pooling_against_plain_loops():
+    net = quality.ByteNet(filters=5)
+    texts = [b"", b"a", b"some words", "größer ".encode() * 9]
+    offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    got = net.probability(*quality.padded_chunks(np.frombuffer(b"".join(texts), np.uint8), offsets))
+    w, step, span = net.w, quality.STEP, quality.SPAN
+    for t, p in zip(texts, got, strict=True):
+        raw = t + bytes((len(t) // step + span) * step - len(t))
+        best = [-np.inf] * 5
+        for at in range(0, len(raw) - span * step + 1, step):
+            x = w["embed"][list(raw[at : at + span * step])].reshape(span, -1)
+            best = np.maximum(best, sum(x[i] @ w["filters"][i] for i in range(span)))
+        h = np.maximum(np.maximum(best + w["bias"], 0) @ w["dense"] + w["dense_bias"], 0)
+        assert math.isclose(p, 1 / (1 + math.exp(-float(h @ w["out"] + w["out_bias"][0]))), rel_tol=1e-4)
+
+
+def test_quality_on_held_out_labels(spark):
+    folder = "/root/testdata/sf0.1"
+    docs, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
+    held = docs.join(labels, "doc_id").where(quality.held_out(F.col("doc_id"))).select("doc_id", "text", "quality", F.lit(1.5).alias("score"))
+    got = quality.score_quality(held, quality.fit_quality(docs, labels)).collect()
+    assert sum(r.predicted == r.quality for r in got) >= 0.96 * len(got) > 100
+    good = [r for r in got if r.quality == 1]
+    assert sum(r.predicted for r in good) >= 0.98 * len(good)
+
+
 # --- 3 ---
 
 
