@@ -346,7 +346,7 @@ def paged(sized: DataFrame, num: int, den: int, page_shingles: int, docs_per_buc
 
     own = sized.join(large, "component").withColumn("size_class", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1.05)))).withColumn("at", F.xxhash64("node"))
     counts = own.groupBy("component", "size_class").agg(F.ceil(F.count(F.lit(1)) / docs_per_bucket).cast("long").alias("buckets"))
-    own = own.join(counts, ["component", "size_class"]).withColumn("bucket", F.floor(F.shiftrightunsigned("at", 33) / F.lit(2.0**31) * F.col("buckets")).cast("long"))
+    own = own.join(small_side(durable(counts, "counts")), ["component", "size_class"]).withColumn("bucket", F.floor(F.shiftrightunsigned("at", 33) / F.lit(2.0**31) * F.col("buckets")).cast("long"))
     own = durable(own, "buckets")
     key = ["component", "size_class", "bucket"]
     before = lambda w: w.rowsBetween(Window.unboundedPreceding, 0)
