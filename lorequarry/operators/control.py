@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import ast
+from decimal import Decimal, DivisionByZero, InvalidOperation, localcontext
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -73,3 +77,63 @@ def snippets(texts: DataFrame, query: DataFrame, context: int = 35, most: int =
     best = Window.partitionBy("id").orderBy(F.desc("found"), "nth", "start")
     shown = merged.withColumn("n", F.row_number().over(best)).where(F.col("n") <= most)
     return shown.select("id", "nth", "start", "end", F.substr("line", F.col("start") + 1, F.col("end") - F.col("start")).alias("snippet"), "found")
+
+
+def attachment_errors(name: Column, content: Column, most_name: int = 64, most_content: int = 65_536) -> Column:
+    """Why an attachment is refused; null where it is taken."""
+    return (
+        F.when(name.isNull() | ~name.rlike(r"\A[A-Za-z0-9._\-]+\z"), "name")
+        .when(F.length(name) > most_name, "name length")
+        .when(F.coalesce(F.length(content), F.lit(0)) > most_content, "content length")
+    )
+
+
+def publishable(path: Column) -> Column:
+    """Whether a relative path may be published: a Markdown file that stays inside the root."""
+    steps = F.split(F.replace(path, F.lit("\\"), F.lit("/")), "/")
+    depth = F.aggregate(
+        steps,
+        F.struct(F.lit(0).alias("at"), F.lit(True).alias("ok")),
+        lambda s, x: F.struct(
+            (s["at"] + F.when(x == "..", -1).when(x.isin("", "."), 0).otherwise(1)).alias("at"),
+            (s["ok"] & (s["at"] + F.when(x == "..", -1).when(x.isin("", "."), 0).otherwise(1) >= 0)).alias("ok"),
+        ),
+        lambda s: s["ok"],
+    )
+    return F.coalesce(F.lower(path).endswith(".md") & ~path.rlike(r"\A(?:[/\\]|[A-Za-z]:)") & depth, F.lit(False))
+
+
+def _exact(expression: str | None, digits: int) -> str | None:
+    """The value of an expression of numbers, + - * / % ** and brackets; null where it is none, too long or undefined."""
+    if expression is None or len(expression) > 2000:
+        return None
+    operators = {ast.Add: lambda a, b: a + b, ast.Sub: lambda a, b: a - b, ast.Mult: lambda a, b: a * b, ast.Div: lambda a, b: a / b, ast.Mod: lambda a, b: a % b, ast.Pow: lambda a, b: a**b}
+
+    def value(n: ast.AST) -> Decimal:
+        if isinstance(n, ast.Expression):
+            return value(n.body)
+        if isinstance(n, ast.Constant) and type(n.value) in (int, float):
+            return Decimal(ast.get_source_segment(expression, n))
+        if isinstance(n, ast.UnaryOp) and isinstance(n.op, ast.UAdd | ast.USub):
+            return value(n.operand) if isinstance(n.op, ast.UAdd) else -value(n.operand)
+        if isinstance(n, ast.BinOp) and type(n.op) in operators:
+            return operators[type(n.op)](value(n.left), value(n.right))
+        raise ValueError
+
+    try:
+        with localcontext() as c:
+            c.prec = digits
+            out = value(ast.parse(expression.strip(), mode="eval"))
+            return format(out.normalize(), "f") if out.is_finite() and abs(out.adjusted()) < 1000 else None
+    except (ValueError, SyntaxError, RecursionError, MemoryError, DivisionByZero, InvalidOperation, ArithmeticError):
+        return None
+
+
+def evaluated(expression: Column, digits: int = 64) -> Column:
+    """Exact decimal arithmetic on text, to so many digits; units and symbols are not covered and give null."""
+
+    @F.pandas_udf("string")
+    def run(x: pd.Series) -> pd.Series:
+        return x.map(lambda e: _exact(e, digits))
+
+    return run(expression)

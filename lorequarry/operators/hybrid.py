@@ -41,7 +41,7 @@ def fast_context(chunks: DataFrame, embedded: DataFrame, query: DataFrame, vecto
     """
     v = vectors.knn(embedded, vector, near).join(embedded.select("vec_id", "embedding"), "vec_id").withColumnRenamed("vec_id", "id")
     accepted = coherent(v, bootstrap, multiplier)
-    words = lexical.top(lexical.bm25(lexical.build_index(chunks, "doc_id", "text"), query), lexical_hits)
+    words = lexical.top(lexical.search(chunks, query), lexical_hits)
     some = v.limit(1).select(F.lit(1).alias("__any"))
     return reciprocal_rank_fusion([accepted, words.crossJoin(F.broadcast(some))])
 
@@ -49,7 +49,7 @@ def fast_context(chunks: DataFrame, embedded: DataFrame, query: DataFrame, vecto
 def memory_search(memories: DataFrame, embedded: DataFrame, query: DataFrame, vector: list[float], keep: int = 5, each: int = 20, gate: Column | None = None, by_id: bool = False) -> DataFrame:
     """kNN and BM25 (each 20) -> fusion -> best 20 -> gate -> keep, in fused order (``by_id``: in the order of ids)."""
     v = vectors.knn(embedded, vector, each).withColumnRenamed("vec_id", "id")
-    words = lexical.top(lexical.bm25(lexical.build_index(memories, "doc_id", "text"), query), each)
+    words = lexical.top(lexical.search(memories, query), each)
     fused = reciprocal_rank_fusion([v, words]).orderBy(F.desc(F.round("score", 12)), "id").limit(20)
     passed = fused if gate is None else fused.join(memories, F.col("id") == F.col("doc_id")).where(gate).select("id", "score")
     order = ["id"] if by_id else [F.desc(F.round("score", 12)), F.col("id")]
@@ -85,6 +85,19 @@ def bounding_trees(hits: DataFrame, nodes: DataFrame) -> DataFrame:
     return trees.join(nodes.select(F.col("node_id").alias("root"), (F.col("end") - F.col("start")).alias("chars")), "root")
 
 
+def ordered_output(trees: DataFrame, most_files: int = 3, most_trees: int = 10) -> DataFrame:
+    """(path, root, start, end, mean, heading) trees -> (path, score, start, end, section, too_much), in the order of the report.
+
+    A document's score is the mean of its trees' means; documents come best first (ties by path), their trees by place.
+    too_much: whether the report says that it holds more than ``most_files`` documents or ``most_trees`` trees.
+    """
+    scored = trees.groupBy("path").agg(F.avg("mean").alias("score"), F.count(F.lit(1)).alias("n"))
+    size = scored.agg(F.count(F.lit(1)).alias("files"), F.sum("n").alias("all"))
+    flag = F.broadcast(size.select(((F.col("files") > most_files) | (F.col("all") > most_trees)).alias("too_much")))  # one row
+    out = trees.join(scored.drop("n"), "path").crossJoin(flag).orderBy(F.desc(F.round("score", 12)), "path", "start")
+    return out.select("path", "score", "start", "end", F.concat(F.lit("@"), "heading").alias("section"), "too_much")
+
+
 def rerank(documents: DataFrame, relevance: Column, n: int) -> DataFrame:
     """The n most relevant documents by a pluggable score column; ties by id."""
     return documents.withColumn("relevance", relevance).orderBy(F.desc("relevance"), "id").limit(n)

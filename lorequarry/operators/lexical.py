@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lorequarry.functions.text import terms
@@ -64,6 +64,45 @@ def bm25(index: LexicalIndex, queries: DataFrame, query_col: str = "query", key:
     return hits.where("average > 0").groupBy(*keys, "id").agg(F.sum(part).alias("score"))
 
 
+def search(chunks: DataFrame, query: DataFrame, id_col: str = "doc_id", text_col: str = "text", document_col: str | None = None, query_col: str = "query") -> DataFrame:
+    """(id, score): BM25 of a one-row query table over chunks that have no index, the same scores as ``bm25`` gives.
+
+    Texts are tokenised where they stand, and only the query's own terms leave a row: nothing of the size of the
+    corpus is shuffled.
+    """
+    asked = query.select(terms(F.col(query_col)).alias("__asked"))  # one row
+    document = F.col(document_col or id_col)
+    of = chunks.select(F.col(id_col).alias("id"), document.alias("document"), terms(F.col(text_col)).alias("words"))
+    figures = of.agg((F.count_distinct("document") if document_col else F.count("document")).alias("documents"), F.avg(F.size("words")).alias("average"))
+    met = of.crossJoin(F.broadcast(asked)).select("id", "document", F.size("words").alias("dl"), "__asked", F.filter("words", lambda w: F.array_contains(F.col("__asked"), w)).alias("met")).where(F.size("met") > 0)
+    tf = lambda t: F.size(F.filter("met", lambda w: w == t))
+    each = met.select("id", "document", "dl", F.explode(F.transform(F.array_distinct("met"), lambda t: F.struct(t.alias("term"), tf(t).alias("tf"), F.size(F.filter("__asked", lambda w: w == t)).alias("qtf")))).alias("m")).select("id", "document", "dl", "m.*")
+    frequencies = each.groupBy("term").agg(F.count_distinct("document").alias("df"))  # a row for each term of the query
+    hits = each.join(F.broadcast(frequencies), "term").crossJoin(F.broadcast(figures))
+    norm = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("average")))
+    return hits.where("average > 0").groupBy("id").agg(F.sum(idf(F.col("documents"), F.col("df")) * norm * F.col("qtf")).alias("score"))
+
+
+def save_index(index: LexicalIndex, folder: str) -> None:
+    """Writes the tables of an index; postings are cut and sorted by term, so a search reads the row groups of its terms only."""
+    index.postings.repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{folder}/postings")
+    for name in ("lengths", "frequencies", "figures"):
+        getattr(index, name).write.mode("overwrite").parquet(f"{folder}/{name}")
+
+
+def load_index(spark: SparkSession, folder: str) -> LexicalIndex:
+    return LexicalIndex(*[spark.read.parquet(f"{folder}/{name}") for name in ("postings", "lengths", "frequencies", "figures")])
+
+
+def search_index(index: LexicalIndex, query: str) -> DataFrame:
+    """(id, score) of one query by a stored index: the terms of the query are pushed down to the scan of the postings."""
+    spark = index.postings.sparkSession
+    asked = spark.createDataFrame([(query,)], "query string")
+    words = [r.term for r in asked.select(F.explode(F.array_distinct(terms(F.col("query")))).alias("term")).collect()]  # those of one query
+    own = LexicalIndex(index.postings.where(F.col("term").isin(words)), index.lengths, index.frequencies.where(F.col("term").isin(words)), index.figures)
+    return bm25(own, asked)
+
+
 def top(scores: DataFrame, n: int) -> DataFrame:
     """The n best (id, score) with rank; ties by id."""
     from pyspark.sql import Window

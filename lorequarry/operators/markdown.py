@@ -142,29 +142,50 @@ def tag_errors(nodes: DataFrame) -> DataFrame:
 
 
 def parse_reference(text: Column) -> Column:
-    """struct(kind, path, definition, start, end) of a reference; null where the text is blank."""
-    t = F.trim(text)
-    offsets = r"^(.*):(\d+),(\d+)$"
-    named = r"^(.+)@([^@]+)$"
-    folder = r"^(.*)[/\\]$"
-    file = r"(?:^|[/\\])[^/\\]+\.[^/\\]+$"
-    none = F.lit(None).cast("string")
-    number = lambda i: F.regexp_extract(t, offsets, i).cast("int")
-
-    def made(kind: str, path: Column, definition: Column = none, start: Column | None = None, end: Column | None = None) -> Column:
-        empty = F.lit(None).cast("int")
-        return F.struct(F.lit(kind).alias("kind"), path.alias("path"), definition.alias("definition"), (empty if start is None else start).alias("start"), (empty if end is None else end).alias("end"))
+    """struct(kind, path, definition, start, end) of a reference; null where the text is blank.
+
+    What follows the last colon is offsets if it holds two 32-bit numbers; else what follows the last @ is a definition
+    if something stands on both sides; else a slash at the end makes a directory, which keeps it, and a dot inside the last segment a file.
+    """
+    t = text
+    none, empty = F.lit(None).cast("string"), F.lit(None).cast("int")
+    after = F.substring_index(t, ":", -1)
+    comma = F.instr(after, ",")
+    first, second = F.left(after, comma - 1).try_cast("int"), F.substr(after, comma + 1).try_cast("int")
+    before = F.left(t, F.length(t) - F.length(after) - 1)
+    name = F.substring_index(t, "@", -1)
+    owner = F.left(t, F.length(t) - F.length(name) - 1)
+
+    def made(kind: str, path: Column, definition: Column = none, start: Column = empty, end: Column = empty) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), path.alias("path"), definition.alias("definition"), start.alias("start"), end.alias("end"))
 
     return (
-        F.when(t.isNull() | (t == ""), None)
-        .when(t.rlike(offsets), made("Offsets", F.regexp_extract(t, offsets, 1), none, number(2), number(3)))
-        .when(t.rlike(named), made("Definition", F.regexp_extract(t, named, 1), F.regexp_extract(t, named, 2)))
-        .when(t.rlike(folder), made("Directory", F.regexp_extract(t, folder, 1)))
-        .when(t.rlike(file), made("File", t))
+        F.when(t.isNull() | ~t.rlike(r"\S"), None)
+        .when(F.contains(t, F.lit(":")) & (comma > 0) & first.isNotNull() & second.isNotNull(), made("Offsets", before, none, first, second))
+        .when(F.contains(t, F.lit("@")) & (owner != "") & (name != ""), made("Definition", owner, name))
+        .when(t.rlike(r"[/\\]\z"), made("Directory", t))
+        .when(t.rlike(r"(?s)(?:\A|[/\\])[^/\\]+\.[^/\\.]+\z"), made("File", t))
         .otherwise(made("Directory", t))
     )
 
 
+def reference_file(reference: Column) -> Column:
+    """The document of a parsed reference; a directory has none and gives null."""
+    return F.when(reference["kind"] != "Directory", reference["path"])
+
+
+def reference_directory(reference: Column) -> Column:
+    """The directory of a parsed reference, with its slash: itself, or the folder of its document (empty at the top)."""
+    path = reference["path"]
+    return F.when(reference["kind"] == "Directory", path).otherwise(F.regexp_extract(path, r"(?s)^(.*[/\\])", 1))
+
+
+def unresolved_local(deps: DataFrame, definitions: DataFrame) -> DataFrame:
+    """(path, ref) with refs of the form @name -> those whose document (path, value) does not define the name; other refs are left alone."""
+    local = deps.where(F.col("ref").startswith("@")).withColumn("value", F.substr("ref", F.lit(2)))
+    return local.join(definitions.select("path", "value"), ["path", "value"], "left_anti").select("path", "ref")
+
+
 def broken_references(deps: DataFrame, files: DataFrame, definitions: DataFrame) -> DataFrame:
     """(path, ref) -> those whose target is missing.  files (path), definitions (path, value).
 
@@ -175,32 +196,61 @@ def broken_references(deps: DataFrame, files: DataFrame, definitions: DataFrame)
     folders = known.select(F.explode(F.transform(F.sequence(F.lit(1), F.size(F.split("p", "/"))), lambda i: F.array_join(F.slice(F.split("p", "/"), 1, i), "/"))).alias("p")).distinct()
     by_file = r.where("kind IN ('File', 'Offsets')").join(known, F.col("to") == F.col("p"), "left_anti")
     by_name = r.where("kind = 'Definition'").join(definitions.select(F.lower("path").alias("p"), "value"), (F.col("to") == F.col("p")) & (F.col("definition") == F.col("value")), "left_anti")
-    by_folder = r.where("kind = 'Directory'").join(folders, F.rtrim(F.col("to"), F.lit("/")) == F.col("p"), "left_anti")
+    by_folder = r.where("kind = 'Directory'").join(folders, F.rtrim(F.col("to"), F.lit("/\\")) == F.col("p"), "left_anti")
     return by_file.unionByName(by_name).unionByName(by_folder).select("path", "ref")
 
 
 def chunks(nodes: DataFrame, most: int = 1000) -> DataFrame:
-    """(path, node_id, chunk, start, raw, chunk_text, hash) of paragraphs, code, items and quotes with text.
+    """(path, node_id, chunk, start, at, raw, chunk_text, hash) of paragraphs, code, items and quotes with text.
 
-    A prefix names the document, the headings above and the offsets; it is left out where it takes half the room.  A text
+    A prefix names the document, the headings above, the offsets, the definitions and dependencies of the node and of
+    those above it, the tree and the kind; it is left out where it takes half the room.  A text
     that fits stays whole; a longer one is split at newlines, what follows the last newline at sentence ends too (code
-    at newlines only), and pieces that are still too long at the limit.
+    at newlines only), and pieces that are still too long at the limit.  at: where a piece begins inside the node's text.
     """
     body = nodes.where(F.col("type").isin("Paragraph", "CodeBlock", "ListItem", "Blockquote") & (F.trim("text") != ""))
-    heads = nodes.where("type = 'Heading'").select("path", F.col("node_id").alias("h"), F.col("text").alias("heading"))
-    above = body.select("path", "node_id", F.explode("ancestors").alias("h")).join(heads, ["path", "h"])
-    above = above.groupBy("path", "node_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("h", "heading"))), lambda s: s["heading"]), " > ").alias("headings"))
-    own = body.join(above, ["path", "node_id"], "left")
-    prefix = F.concat(F.lit("Document: "), "path", F.lit("\nHeadings: "), F.coalesce("headings", F.lit("")), F.lit("\nOffsets: "), F.col("start").cast("string"), F.lit(","), F.col("end").cast("string"), F.lit("\n\n"))
+    above = body.select("path", "node_id", F.posexplode(F.concat(F.array("node_id"), F.reverse("ancestors"))).alias("up", "h"))  # the node first, the document last
+    heads = nodes.where("type = 'Heading' AND trim(text) <> ''").select("path", F.col("node_id").alias("h"), F.col("text").alias("x"), "level")
+    marks = tags(nodes, "def").select("path", F.col("node_id").alias("h"), F.lit("definitions").alias("kind"), F.col("value").alias("x"), F.lit(0).alias("level"))
+    marks = marks.unionByName(tags(nodes, "dependsOn").select("path", F.col("node_id").alias("h"), F.lit("dependencies").alias("kind"), F.col("value").alias("x"), F.lit(0).alias("level")))
+    near = above.join(heads.select("path", "h", F.lit("headings").alias("kind"), "x", "level").unionByName(marks), ["path", "h"])
+    listed = lambda kind, order: F.transform(F.sort_array(F.collect_list(F.when(F.col("kind") == kind, F.struct((order * F.col("up")).alias("up"), "x", "level")))), lambda v: v)
+    near = near.groupBy("path", "node_id").agg(listed("headings", -1).alias("headings"), listed("definitions", 1).alias("definitions"), listed("dependencies", 1).alias("dependencies"))
+    own = body.join(near, ["path", "node_id"], "left")
+    names = lambda c: F.array_distinct(F.transform(c, lambda v: v["x"]))
+    tree = F.array_join(F.transform("headings", lambda v: v["x"]), " > ")
+
+    def line(label: str, value: Column, when: Column) -> Column:
+        return F.when(when, F.concat(F.lit(f"[{label}"), value, F.lit("]\n"))).otherwise("")
+
+    some = lambda c: F.coalesce(F.size(c) > 0, F.lit(False))
+    language = F.when(F.coalesce("language", F.lit("")) == "", "code").otherwise(F.col("language"))
+    prefix = F.concat(
+        line("Document: ", F.col("path"), F.col("path") != ""),
+        line("Headings: ", tree, some("headings")),
+        line("Offsets: ", F.concat(F.col("start").cast("string"), F.lit(", "), F.col("end").cast("string")), F.lit(True)),
+        line("Definitions: ", F.array_join(names("definitions"), ", "), some("definitions")),
+        line("Dependencies: ", F.array_join(names("dependencies"), ", "), some("dependencies")),
+        line("Document Tree: ", tree, some("headings")),
+        line("Code Block (", F.concat(language, F.lit(")")), F.col("type") == "CodeBlock"),
+        line("List Item", F.lit(""), F.col("type") == "ListItem"),
+        line("Quote", F.lit(""), F.col("type") == "Blockquote"),
+        F.lit("\n"),
+    )
     own = own.withColumn("prefix", F.when(F.length(prefix) < most / 2, prefix).otherwise(""))
     room = F.greatest(F.lit(50), F.lit(most) - F.length("prefix"))
     line_cut = F.split("text", r"(?<=\n)", -1)
     tail = F.element_at(line_cut, -1)
     parts = F.when(F.length("text") <= room, F.array("text")).when(F.col("type") == "CodeBlock", line_cut).otherwise(F.concat(F.slice(line_cut, 1, F.size(line_cut) - 1), F.split(tail, r"(?<=[.!?] )", -1)))
     hard = F.flatten(F.transform(parts, lambda p: F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(F.length(p) / room).cast("int") - 1, F.lit(0))), lambda i: F.substr(p, i * room + 1, room))))
-    each = own.withColumn("room", room).select("path", "node_id", "start", "end", "headings", "prefix", F.posexplode(F.filter(hard, lambda p: F.trim(p) != "")).alias("chunk", "raw"))
-    text = F.concat("prefix", "raw")
-    return each.select("path", "node_id", "chunk", "start", "raw", text.alias("chunk_text"), F.upper(F.sha2(F.concat_ws("\n", "path", F.coalesce("headings", F.lit("")), F.concat(F.col("start").cast("string"), F.col("end").cast("string")), text), 256)).alias("hash"))
+    placed = F.transform("pieces", lambda p, i: F.struct(F.aggregate(F.slice("pieces", 1, i), F.lit(0), lambda n, q: n + F.length(q)).alias("at"), p.alias("raw")))
+    # the path, the headings and code kinds from the document down, both places, and the text with its prefix
+    shape = F.concat(F.array_join(F.transform(F.coalesce("headings", F.array().cast("array<struct<up:int,x:string,level:int>>")), lambda v: F.concat(F.lit("#"), v["level"].cast("string"), F.lit(" "), v["x"], F.lit("\n"))), ""), F.when(F.col("type") == "CodeBlock", F.concat(F.lit("```"), F.coalesce("language", F.lit("")), F.lit("```\n"))).otherwise(""))
+    each = own.withColumn("pieces", hard).select("path", "node_id", "start", shape.alias("shape"), "prefix", F.posexplode(F.filter(placed, lambda p: F.trim(p["raw"]) != "")).alias("chunk", "piece"))
+    each = each.select("path", "node_id", "start", "shape", "chunk", "piece.*", F.concat("prefix", "piece.raw").alias("chunk_text"))
+    begin = F.col("start") + F.col("at")
+    identity = F.concat("path", F.lit("\n"), "shape", F.col("at").cast("string"), F.lit(" \n"), begin.cast("string"), (begin + F.length("raw")).cast("string"), F.lit("\n"), "chunk_text")
+    return each.select("path", "node_id", "chunk", "start", "at", "raw", "chunk_text", F.upper(F.sha2(identity, 256)).alias("hash"))
 
 
 def sync(current: DataFrame, tracked: DataFrame) -> DataFrame:

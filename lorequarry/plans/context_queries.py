@@ -6,6 +6,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lorequarry.functions import text as T
+from lorequarry.operators import context as X
+from lorequarry.operators import control as K
 from lorequarry.operators import conversations as C
 from lorequarry.operators import files as P
 from lorequarry.operators import hybrid as H
@@ -15,14 +17,6 @@ from lorequarry.plans.search_queries import BY_DOC, CENTRE, DIST, FIRST, Q0, doc
 from lorequarry.session import table
 from lorequarry.streaming import events as E
 
-# both tables share ids 0 .. n - 1: a chunk has a text and a vector
-CHUNKS = "chunks AS (SELECT doc_id, text FROM documents SEMI JOIN embeddings ON vec_id = doc_id)"
-
-
-def chunks(s, d):
-    return docs(s, d).join(vecs(s, d), F.col("doc_id") == F.col("vec_id"), "left_semi").select("doc_id", "text")
-
-
 D0 = DIST.format(a="embedding", b=Q0.format(i=0))
 NEAR = f"h AS (SELECT vec_id AS id, embedding, {D0} AS score, row_number() OVER (ORDER BY round({D0}, 9), vec_id) AS rank FROM embeddings QUALIFY rank <= 100)"
 COHERENT = f"""
@@ -48,7 +42,7 @@ def flagship(s, d):
 
 
 def _gap(s, d):
-    best = L.top(L.bm25(L.build_index(docs(s, d), "doc_id", "text"), query_row(s)), 30)
+    best = L.top(L.search(docs(s, d), query_row(s)), 30)
     results = best.join(docs(s, d), F.col("id") == F.col("doc_id")).select("id", "text")
     return H.gap_terms(results, query_row(s), 0.5).select("term", "n", F.round("p", 9).alias("p"))
 
@@ -103,7 +97,7 @@ def handlers(s):
 
 QUERIES = {
     "hy2_nearest_hits": (lambda s, d: _near(s, d).select("id", "rank"), f"WITH {NEAR} SELECT id, CAST(rank AS INTEGER) AS rank FROM h"),
-    "hy4_term_hits": (lambda s, d: L.top(L.bm25(L.build_index(docs(s, d), "doc_id", "text"), query_row(s)), 30).select("id", "rank"), BY_DOC + f", {LEX} SELECT id, CAST(rank AS INTEGER) AS rank FROM lex"),
+    "hy4_term_hits": (lambda s, d: L.top(L.search(docs(s, d), query_row(s)), 30).select("id", "rank"), BY_DOC + f", {LEX} SELECT id, CAST(rank AS INTEGER) AS rank FROM lex"),
     "hy6_coherent_hits": (lambda s, d: H.coherent(_near(s, d), 15, 1.0).select("id", "rank", F.round("off", 6).alias("off")), f"WITH {COHERENT} SELECT id, CAST(rank AS INTEGER) AS rank, round(off, 6) AS off FROM acc"),
     "hy8_rrf": (flagship, BY_DOC + f", {COHERENT}, {LEX} {RRF}"),
     "hy3_no_vector_hits": (lambda s, d: H.fast_context(docs(s, d), vecs(s, d).where("label > 99"), query_row(s), vector(s, d, 0)).select("id", "score"), "SELECT 0::BIGINT AS id, 0.0e0 AS score WHERE false"),
@@ -136,7 +130,7 @@ QUERIES = {
     ),
     "cd2_grep_context": (
         lambda s, d: P.grep_context(text_files(s, d), "idiot|moron", 1, 1).select("path", "line", "hit"),
-        f"WITH {LINES}, m AS (SELECT *, regexp_matches(text, 'idiot|moron') AS hit FROM lines WHERE path LIKE 'src1/%') SELECT path, line, hit FROM m QUALIFY max(hit::INT) OVER (PARTITION BY path ORDER BY line ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) = 1",
+        f"WITH {LINES}, m AS (SELECT *, regexp_matches(text, 'idiot|moron') AS hit FROM lines) SELECT path, line, hit FROM m QUALIFY max(hit::INT) OVER (PARTITION BY path ORDER BY line ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) = 1",
     ),
     "cd2_grep_inverted": (lambda s, d: P.grep_counts(text_files(s, d), "e", invert=True), f"WITH {LINES} SELECT path, count(*) AS n FROM lines WHERE NOT regexp_matches(text, '(?i)e') GROUP BY 1"),
     "cd3_read_lines": (lambda s, d: P.read_lines(text_files(s, d), 2, 4), f"WITH {LINES} SELECT path, line, CASE WHEN length(text) > 500 THEN left(text, 499) || '...' ELSE text END AS text FROM lines WHERE line BETWEEN 2 AND 4"),
@@ -149,7 +143,7 @@ QUERIES = {
     ),
     "jn10_enclosing_block": (
         lambda s, d: P.enclosing_block(docs(s, d).select(F.col("source").alias("doc"), (F.col("doc_id") % 90).alias("s"), (F.col("doc_id") % 90 + 3).alias("e")), docs(s, d).select(F.col("source").alias("doc"), F.col("doc_id").alias("node_id"), (F.col("doc_id") % 6).alias("depth"), (F.col("doc_id") % 6 * 10).alias("start"), (F.lit(120) - F.col("doc_id") % 6 * 10).alias("end"))),
-        "SELECT p.doc, s, e, arg_min(node_id, (-depth, node_id)) AS node_id FROM (SELECT source AS doc, doc_id % 90 AS s, doc_id % 90 + 3 AS e FROM documents WHERE doc_id < 50) p JOIN (SELECT source AS doc, doc_id AS node_id, doc_id % 6 AS depth, doc_id % 6 * 10 AS start, 120 - doc_id % 6 * 10 AS end_ FROM documents) n ON n.doc = p.doc AND start <= s AND end_ >= e GROUP BY ALL",
+        "SELECT p.doc, s, e, arg_min(node_id, (-depth, node_id)) AS node_id FROM (SELECT source AS doc, doc_id % 90 AS s, doc_id % 90 + 3 AS e FROM documents) p JOIN (SELECT source AS doc, doc_id AS node_id, doc_id % 6 AS depth, doc_id % 6 * 10 AS start, 120 - doc_id % 6 * 10 AS end_ FROM documents) n ON n.doc = p.doc AND start <= s AND end_ >= e GROUP BY ALL",
     ),
     "wn6_budget": (lambda s, d: P.within_budget(docs(s, d).select(F.col("source").alias("grp"), F.col("doc_id").alias("pos"), "text")), "SELECT source AS grp, doc_id AS pos, left(text, (8192 - coalesce(before, 0))::BIGINT) AS text FROM (SELECT *, sum(length(text)) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM documents) WHERE coalesce(before, 0) < 8192"),
     "wn2_best_ranges": (lambda s, d: P.best_ranges(docs(s, d).select(F.col("source").alias("doc"), F.col("doc_id").alias("start"), (F.col("n_chars") % 50).alias("score"))), "SELECT source AS doc, doc_id AS start, n_chars % 50 AS score FROM documents QUALIFY row_number() OVER (PARTITION BY source ORDER BY n_chars % 50 DESC, doc_id) <= 3"),
@@ -206,7 +200,34 @@ QUERIES = {
     "tk8_commit_limit": (lambda s, d: table(s, d, "orders").where("o_orderstatus = 'F'").orderBy(F.desc("o_orderdate"), "o_orderkey").limit(40).select("o_orderkey"), "SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F' ORDER BY o_orderdate DESC, o_orderkey LIMIT 40"),
     "wn1_positional_rank": (lambda s, d: docs(s, d).select("doc_id", F.row_number().over(Window.partitionBy("source").orderBy(F.desc("n_chars"), "doc_id")).alias("rank")), "SELECT doc_id, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id)::INTEGER AS rank FROM documents"),
     "wn3_groups_by_best": (
-        lambda s, d: docs(s, d).groupBy("source").agg(F.max("n_chars").alias("best"), F.count(F.lit(1)).alias("n")).orderBy(F.desc("best"), "source").limit(12),
-        "SELECT source, max(n_chars) AS best, count(*) AS n FROM documents GROUP BY 1 ORDER BY best DESC, source LIMIT 12",
+        lambda s, d: X.groups_by_best(docs(s, d), "source", "n_chars", 12),
+        "SELECT source, max(n_chars) AS best, count(*) AS n, (SELECT greatest(count(DISTINCT source) - 12, 0) FROM documents) AS more FROM documents GROUP BY 1 ORDER BY best DESC, source LIMIT 12",
+    ),
+    "lx7_grep_content": (
+        lambda s, d: X.grep_content(_chunked(s, d), query_row(s)).withColumnRenamed("end", "end_"),
+        BY_DOC + """, r AS (SELECT source AS path, doc_id AS start, doc_id + n_chars AS end_, round(score, 9) AS score, replace(replace(CASE WHEN length(text) <= 60 THEN text ELSE left(text, 59) || '...' END, chr(13), ''), chr(10), ' ') AS snippet FROM s JOIN documents ON doc_id = id),
+        f AS (SELECT path, max(score) AS best, count(*) AS n FROM r GROUP BY 1), b AS (SELECT * FROM f ORDER BY best DESC, path LIMIT 20)
+        SELECT path, best, start, end_, snippet, greatest(n - 3, 0) AS more_ranges, (SELECT greatest(count(*) - 20, 0) FROM f) AS more_files FROM r JOIN b USING (path) QUALIFY row_number() OVER (PARTITION BY path ORDER BY score DESC, start) <= 3""",
+    ),
+    "hy12_output": (
+        lambda s, d: H.ordered_output(docs(s, d).select(F.col("source").alias("path"), F.col("doc_id").alias("root"), F.col("doc_id").alias("start"), (F.col("doc_id") + F.col("n_chars")).alias("end"), (1.0 / (F.col("doc_id") + 1)).alias("mean"), F.when(F.col("doc_id") % 2 == 0, F.col("lang")).alias("heading"))).select("path", F.round("score", 9).alias("score"), "start", F.col("end").alias("end_"), "section", "too_much"),
+        "SELECT source AS path, round(avg(1.0e0 / (doc_id + 1)) OVER (PARTITION BY source), 9) AS score, doc_id AS start, doc_id + n_chars AS end_, CASE WHEN doc_id % 2 = 0 THEN '@' || lang END AS section, (SELECT count(DISTINCT source) > 3 OR count(*) > 10 FROM documents) AS too_much FROM documents",
+    ),
+    "sf9_arithmetic": (
+        lambda s, d: table(s, d, "lineitem").select("l_orderkey", "l_linenumber", K.evaluated(F.concat_ws("", F.lit("("), "l_partkey", F.lit(" + 0.5) * -"), "l_linenumber", F.lit(" ** 2"))).cast("decimal(30,1)").alias("x")),
+        "SELECT l_orderkey, l_linenumber, CAST(CAST(l_partkey + 0.5 AS DECIMAL(20,1)) * -(l_linenumber * l_linenumber) AS DECIMAL(30,1)) AS x FROM lineitem",
+    ),
+    "aw6_attachments": (
+        lambda s, d: table(s, d, "pages").select("page_id", K.attachment_errors(F.replace("url", F.lit("/"), F.when(F.col("page_id") % 2 == 0, "_").otherwise("/")), F.col("html"), 30, 900).alias("error")),
+        "SELECT page_id, CASE WHEN page_id % 2 = 1 AND contains(url, '/') OR NOT regexp_matches(replace(url, '/', '_'), '^[A-Za-z0-9._-]+$') THEN 'name' WHEN length(url) > 30 THEN 'name length' WHEN length(html) > 900 THEN 'content length' END AS error FROM pages",
+    ),
+    "snk5_publishable": (
+        lambda s, d: docs(s, d).select("doc_id", K.publishable(F.concat(F.repeat(F.lit("../"), (F.col("doc_id") % 3).cast("int")), "source", F.lit("/"), F.when(F.col("doc_id") % 2 == 0, "../").otherwise(""), F.col("doc_id").cast("string"), F.when(F.col("lang") == "en", ".txt").otherwise(".MD"))).alias("ok")),
+        "SELECT doc_id, doc_id % 3 = 0 AND lang <> 'en' AS ok FROM documents",
     ),
 }
+
+
+def _chunked(s, d):
+    """Every document as a chunk of a file for each source."""
+    return docs(s, d).select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("path"), F.col("doc_id").alias("start"), (F.col("doc_id") + F.col("n_chars")).alias("end"), F.col("text").alias("raw"))

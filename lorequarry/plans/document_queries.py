@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lorequarry.functions import text as T
+from lorequarry.operators import context as X
 from lorequarry.operators import control as K
 from lorequarry.operators import files as P
 from lorequarry.operators import hybrid as H
@@ -41,10 +43,25 @@ QUERIES = {
     "md10_tags": (lambda s, d: M.tags(M.parse(notes(s, d)), "def").select("path", "value"), "SELECT source || '/' || doc_id::VARCHAR || '.md' AS path, 'd' || doc_id::VARCHAR AS value FROM documents"),
     "md12_parse_reference": (
         _ref,
-        f"""SELECT page_id, CASE page_id % 5 WHEN 0 THEN CASE WHEN regexp_matches(p, '(^|/)[^/]+\\.[^/]+$') THEN 'File' ELSE 'Directory' END WHEN 1 THEN 'Directory' WHEN 2 THEN CASE WHEN ends_with(p, '/') THEN 'Directory' ELSE 'File' END WHEN 3 THEN 'Definition' ELSE 'Offsets' END AS kind,
-        CASE WHEN page_id % 5 IN (2, 3) THEN p || '.md' WHEN page_id % 5 = 0 THEN regexp_replace(p, '/$', '') ELSE p END AS path, CASE WHEN page_id % 5 = 3 THEN 'Intro' END AS definition, CASE WHEN page_id % 5 = 4 THEN 10 END AS start, CASE WHEN page_id % 5 = 4 THEN 25 END AS end_
+        f"""SELECT page_id, CASE page_id % 5 WHEN 0 THEN CASE WHEN regexp_matches(p, '(^|/)[^/]+\\.[^/.]+$') THEN 'File' ELSE 'Directory' END WHEN 1 THEN 'Directory' WHEN 2 THEN CASE WHEN ends_with(p, '/') THEN 'Directory' ELSE 'File' END WHEN 3 THEN 'Definition' ELSE 'Offsets' END AS kind,
+        CASE WHEN page_id % 5 IN (2, 3) THEN p || '.md' WHEN page_id % 5 = 1 THEN p || '/' ELSE p END AS path, CASE WHEN page_id % 5 = 3 THEN 'Intro' END AS definition, CASE WHEN page_id % 5 = 4 THEN 10 END AS start, CASE WHEN page_id % 5 = 4 THEN 25 END AS end_
         FROM (SELECT page_id, {PATH} AS p FROM pages)""",
     ),
+    "md13_file_and_directory": (
+        lambda s, d: references(s, d).select("page_id", M.parse_reference(F.col("ref")).alias("r")).select("page_id", M.reference_file(F.col("r")).alias("file"), M.reference_directory(F.col("r")).alias("directory")),
+        f"""SELECT page_id, CASE WHEN page_id % 5 = 4 OR page_id % 5 = 0 AND regexp_matches(p, '(^|/)[^/]+\\.[^/.]+$') THEN p WHEN page_id % 5 = 3 OR page_id % 5 = 2 AND NOT ends_with(p, '/') THEN p || '.md' END AS file,
+        CASE WHEN page_id % 5 = 1 THEN p || '/' WHEN page_id % 5 = 0 AND NOT regexp_matches(p, '(^|/)[^/]+\\.[^/.]+$') THEN p WHEN page_id % 5 = 2 AND ends_with(p, '/') THEN p || '.md' ELSE regexp_extract(p, '^(.*/)', 1) END AS directory
+        FROM (SELECT page_id, {PATH} AS p FROM pages)""",
+    ),
+    "md11_unresolved_local": (
+        lambda s, d: M.unresolved_local(docs(s, d).select(F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".md")).alias("path"), F.concat(F.lit("@d"), (F.col("doc_id") - F.col("doc_id") % 2).cast("string")).alias("ref")), M.tags(M.parse(notes(s, d)), "def")),
+        "SELECT source || '/' || doc_id::VARCHAR || '.md' AS path, '@d' || (doc_id - 1)::VARCHAR AS ref FROM documents WHERE doc_id % 2 = 1",
+    ),
+    "df2_fetch_context": (
+        lambda s, d: X.fetch_context(_requests(s, d), notes(s, d), M.parse(notes(s, d)), M.tags(M.parse(notes(s, d)), "def")).select("request", "path", "start", F.col("end").alias("end_"), F.array_join("refs", "|").alias("refs"), "text"),
+        None,
+    ),
+    "jn13_unshown_blocks": (lambda s, d: X.unshown_blocks(_markers(s, d)), None),
     "jn7_broken_references": (
         lambda s, d: M.broken_references(deps(s, d), notes(s, d).select("path"), M.tags(M.parse(notes(s, d)), "def")),
         "SELECT source || '/' || doc_id::VARCHAR || '.md' AS path, 'src1/' || (doc_id + 20)::VARCHAR || '.md' AS ref FROM documents WHERE 'src1/' || (doc_id + 20)::VARCHAR || '.md' NOT IN (SELECT source || '/' || doc_id::VARCHAR || '.md' FROM documents)",
@@ -53,7 +70,7 @@ QUERIES = {
     "ck7_chunk_sync": (lambda s, d: M.sync(M.chunks(M.parse(notes(s, d))), M.chunks(M.parse(notes(s, d).where("path NOT LIKE 'src1/%'")))).groupBy("action").agg(F.count(F.lit(1)).alias("n")), None),
     "df1_fetch": (
         lambda s, d: M.fetch(notes(s, d), M.parse(notes(s, d)), docs(s, d).select(F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".md:2,60")).alias("ref"))),
-        "SELECT source || '/' || doc_id::VARCHAR || '.md:2,60' AS ref, substr('# Doc ' || doc_id::VARCHAR || chr(10) || chr(10) || '[def d' || doc_id::VARCHAR || '] [dependsOn src1/' || (doc_id + 20)::VARCHAR || '.md]' || chr(10) || chr(10) || text, 3, 58) AS text FROM documents WHERE doc_id < 20",
+        "SELECT source || '/' || doc_id::VARCHAR || '.md:2,60' AS ref, substr('# Doc ' || doc_id::VARCHAR || chr(10) || chr(10) || '[def d' || doc_id::VARCHAR || '] [dependsOn src1/' || (doc_id + 20)::VARCHAR || '.md]' || chr(10) || chr(10) || text || chr(10) || chr(10) || '- one' || chr(10) || '- two' || chr(10), 3, 58) AS text FROM documents",
     ),
     "hy9_bounding_trees": (lambda s, d: H.bounding_trees(_hits(s, d), _nodes(s, d)).select("root", "hits", F.round("mean", 6).alias("mean"), "chars"), None),
     "hy11_snippets": (lambda s, d: K.snippets(docs(s, d).select(F.col("doc_id").alias("id"), "text"), query_row(s)), None),
@@ -92,3 +109,18 @@ def _nodes(s, d):
 
 def _hits(s, d):
     return docs(s, d).select((F.col("doc_id") + 1_000_000).alias("node_id"), (1.0 / (F.col("doc_id") + 1)).alias("score"))
+
+
+def _requests(s, d):
+    """Three references into each file; a request asks for those of four files."""
+    path = F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".md"))
+    refs = F.array(F.concat(path, F.lit(":2,4")), F.concat(path, F.lit("@d"), F.col("doc_id").cast("string")), F.concat(path, F.lit(":60,70")))
+    return docs(s, d).select(F.floor(F.col("doc_id") / 4).alias("request"), F.explode(refs).alias("ref"))
+
+
+def _markers(s, d):
+    """All nodes but the documents, as shown in conversations of about twenty files each, in a mixed order."""
+    n = M.parse(notes(s, d)).where("depth > 0")
+    conv = F.pmod(F.xxhash64("path"), F.lit(10)).alias("conv")
+    order = F.row_number().over(Window.partitionBy(conv).orderBy(F.xxhash64("path", "node_id"), "path", "node_id")).cast("long")
+    return n.select(conv, order.alias("pos"), "path", "node_id", "start", "end", "ancestors")

@@ -57,15 +57,20 @@ def test_chunks_and_sync(spark):
     nodes = markdown.parse(df)
     got = markdown.chunks(nodes, 1000).orderBy("node_id", "chunk").collect()
     assert all(len(c.chunk_text) <= 1000 for c in got)
-    assert got[0].chunk_text.startswith("Document: a/b.md\nHeadings: Top > Sub\nOffsets: ") and got[0].raw == "short"
-    assert len({c.hash for c in got}) == len({(c.node_id, c.chunk_text) for c in got})
+    assert got[0].chunk_text == "[Document: a/b.md]\n[Headings: Top > Sub]\n[Offsets: 15, 20]\n[Document Tree: Top > Sub]\n\nshort" and got[0].raw == "short"
+    assert len({c.hash for c in got}) == len({(c.node_id, c["at"]) for c in got}) == len(got)
     assert markdown.sync(markdown.chunks(nodes), markdown.chunks(nodes)).count() == 0
 
 
 @pytest.mark.parametrize(
     ("text", "want"),
     [
-        ("path/to/dir/", ("Directory", "path/to/dir", None, None, None)),
+        ("path/to/dir/", ("Directory", "path/to/dir/", None, None, None)),
+        ("a.md:99999999999,1", ("File", "a.md:99999999999,1", None, None, None)),
+        ("a:b.md:-1,+7", ("Offsets", "a:b.md", None, -1, 7)),
+        ("@x", ("Directory", "@x", None, None, None)),
+        (" a.md", ("File", " a.md", None, None, None)),
+        ("d/.hidden", ("Directory", "d/.hidden", None, None, None)),
         ("path/to/File.md", ("File", "path/to/File.md", None, None, None)),
         ("path/to/Folder", ("Directory", "path/to/Folder", None, None, None)),
         ("path/to/File.md@Basics", ("Definition", "path/to/File.md", "Basics", None, None)),
