@@ -7,7 +7,7 @@ and different ones stay different:
   kind     validated by                                  permuted in
   email    shape                                         letters and digits of each class, the top-level domain stays
   IBAN     mod 97, length                                account part; country stays, check digits are made anew
-  date     calendar, years 1900 to 2099                  the days of these years; separators and order stay
+  date     calendar, years 1900 to 2099                  the dates of these years in the same format; separators stay
   SSN      area, group and serial in use                 all numbers in use
   IPv4     four octets up to 255                         all addresses
   phone    +country code, or (ddd) ddd-dddd and the like digits after the country code
@@ -20,7 +20,8 @@ and b in turn, so any such range is permuted within itself.  Strings use the sam
 character shifted inside its class.
 
 Defined cases: null stays null; empty texts and texts without finds stay the same; of overlapping finds the leftmost
-counts; rows that share a doc_id are treated each; an empty table gives no rows; other columns pass through.
+counts; rows that share a doc_id are treated each; an empty table gives no rows; other columns pass through, but one
+called n_replaced is replaced.  Whoever knows the key can undo the pseudonyms, so it has no default.
 """
 
 from __future__ import annotations
@@ -40,9 +41,15 @@ CARD = r"(?<![0-9])(?:[0-9]{13,19}|[0-9]{4}(?:[ \-][0-9]{4}){3})(?![0-9])"
 ANY = "|".join((EMAIL, IBAN, DATE, SSN, IPV4, PHONE, CARD))
 
 FIRST_DAY, DAYS = "1900-01-01", 17 * 4297  # to 2099-12-31
+LATE_DAYS = DAYS - 12 * 12 * 200  # those after the 12th of their month
 ROUNDS = 10
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with the value computed once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _hash(key: str, *parts: Column) -> Column:
     """A non-negative 60-bit integer."""
     return F.conv(F.substring(F.sha2(F.concat_ws("|", F.lit(key), *[p.cast("string") for p in parts]), 256), 1, 15), 16, 10).cast("long")
@@ -79,13 +86,16 @@ def permute_string(s: Column, key: str) -> Column:
 
     def moved(part: Column, i: Column, by: Column) -> Column:
         chars = F.filter(F.split(part, ""), lambda c: c != "")
-        return F.array_join(F.transform(chars, lambda c, p: _shift(c, _hash(key, i, p, by))), "")
+        # four hexadecimal digits of a keyed hash for each character, 16 characters a hash
+        blocks = F.sequence(F.lit(0), F.floor(F.length(part) / 16).cast("int"))
+        stream = F.array_join(F.transform(blocks, lambda p: F.sha2(F.concat_ws("|", F.lit(key), i.cast("string"), p.cast("string"), by), 256)), "")
+        return _let(stream, lambda h: F.array_join(F.transform(chars, lambda c, p: _let(F.conv(F.substr(h, p * 4 + 1, F.lit(4)), 16, 10).cast("long"), lambda by: _shift(c, by))), ""))
 
     def step(t: Column, i: Column) -> Column:
         even = i % 2 == 0
         return F.struct(F.when(even, moved(t["l"], i, t["r"])).otherwise(t["l"]).alias("l"), F.when(even, t["r"]).otherwise(moved(t["r"], i, t["l"])).alias("r"))
 
-    return F.aggregate(F.sequence(F.lit(0), F.lit(3)), start, step, lambda t: F.concat(t["l"], t["r"]))
+    return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), start, step, lambda t: F.concat(t["l"], t["r"]))
 
 
 def _digits(s: Column) -> Column:
@@ -161,22 +171,67 @@ def iban(m: Column, key: str) -> Column:
     return F.when(valid, spaced).otherwise(m)
 
 
+def _month_start(month: Column) -> Column:
+    """The first day of a month, counted from that of FIRST_DAY."""
+    return F.add_months(F.lit(FIRST_DAY).cast("date"), month.cast("int"))
+
+
+def _late_index(day: Column) -> Column:
+    """Days after the 12th are numbered from 0 on, without gaps."""
+    months = (F.year(day) - F.year(F.lit(FIRST_DAY).cast("date"))) * 12 + F.month(day) - 1
+    return (F.datediff(day, F.lit(FIRST_DAY).cast("date")) - 12 * (months + 1)).cast("long")
+
+
+def _late_day(index: Column) -> Column:
+    """The day of such a number: its month is the last one that starts at or before it, near the mean of 18.437 numbers a month."""
+    start = lambda m: F.datediff(_month_start(m), F.lit(FIRST_DAY).cast("date")) - 12 * m
+
+    def placed(i: Column) -> Column:
+        months = _let(F.floor(i / 18.437).cast("int"), lambda guess: F.sequence(F.greatest(guess - 3, F.lit(0)), guess + 3))
+        return _let(F.array_max(F.filter(months, lambda m: start(m) <= i)), lambda m: F.date_add(_month_start(m), (i - start(m) + 12).cast("int")))
+
+    return _let(index, placed)
+
+
+def permute_below(x: Column, n: int, a: int, b: int, key: str) -> Column:
+    """A keyed permutation of 0 .. n - 1, n <= a * b: what falls outside is permuted again, which a * b - n + 1 steps suffice for."""
+    return F.aggregate(F.sequence(F.lit(1), F.lit(a * b - n)), permute(x, a, b, key), lambda y, _: F.when(y >= n, permute(y, a, b, key)).otherwise(y))
+
+
 def date(m: Column, key: str) -> Column:
+    """ISO dates are permuted among all days of the years.
+
+    The others may have the day or the month first.  Where both numbers are up to 12 they are permuted among all such
+    strings; where one is a day after the 12th, the order is known, and they are permuted among all such days.
+    """
     iso = m.rlike("^[0-9]{4}")
     sep = F.when(iso, F.substr(m, F.lit(5), F.lit(1))).otherwise(F.substr(m, F.lit(3), F.lit(1)))
     d = _digits(m)
-    day_first = F.concat(F.substr(d, F.lit(5), F.lit(4)), F.substr(d, F.lit(3), F.lit(2)), F.substr(d, F.lit(1), F.lit(2)))
-    month_first = F.concat(F.substr(d, F.lit(5), F.lit(4)), F.substr(d, F.lit(1), F.lit(2)), F.substr(d, F.lit(3), F.lit(2)))
-    parsed = [F.try_to_date(x, "yyyyMMdd") for x in (d, day_first, month_first)]
-    days = [F.datediff(p, F.lit(FIRST_DAY).cast("date")).cast("long") for p in parsed]
-    forms = [("yyyy", "MM", "dd"), ("dd", "MM", "yyyy"), ("MM", "dd", "yyyy")]
-
-    def made(i: int) -> Column:
-        new = F.date_add(F.lit(FIRST_DAY).cast("date"), permute(days[i], 17, 4297, key + "date").cast("int"))
-        return F.concat_ws("", *[x for f in forms[i] for x in (F.date_format(new, f), sep)][:-1])
-
-    fits = [x.isNotNull() & (x >= 0) & (x < DAYS) for x in days]
-    return F.when(iso & fits[0], made(0)).when(iso, m).when(fits[1], made(1)).when(fits[2], made(2)).otherwise(m)
+    first = F.lit(FIRST_DAY).cast("date")
+    low, high, year = (F.substr(d, F.lit(i), F.lit(n)) for i, n in ((1, 2), (3, 2), (5, 4)))
+    days = F.datediff(F.try_to_date(d, "yyyyMMdd"), first).cast("long")
+    moved = F.date_add(first, permute(days, 17, 4297, key + "date").cast("int"))
+    iso_text = _let(moved, lambda x: F.concat_ws("", F.date_format(x, "yyyy"), sep, F.date_format(x, "MM"), sep, F.date_format(x, "dd")))
+    a, b, y = low.cast("long"), high.cast("long"), year.cast("long")
+    known = y.between(1900, 2099)
+    early = known & a.between(1, 12) & b.between(1, 12)
+    both = permute((y - 1900) * 144 + (a - 1) * 12 + b - 1, 160, 180, key + "date early")
+    early_text = _let(both, lambda x: F.format_string("%02d%s%02d%s%04d", F.call_function("div", F.pmod(x, F.lit(144)), F.lit(12)) + 1, sep, F.pmod(x, F.lit(12)) + 1, sep, F.call_function("div", x, F.lit(144)) + 1900))
+
+    def late(day: Column, form: tuple[str, str]) -> tuple[Column, Column]:
+        new = _late_day(permute_below(_late_index(day), LATE_DAYS, 210, 211, key + "date late"))
+        return day.isNotNull() & known & (F.dayofmonth(day) > 12), _let(new, lambda x: F.concat_ws("", F.date_format(x, form[0]), sep, F.date_format(x, form[1]), sep, F.date_format(x, "yyyy")))
+
+    day_first, day_first_text = late(F.try_to_date(F.concat(year, high, low), "yyyyMMdd"), ("dd", "MM"))
+    month_first, month_first_text = late(F.try_to_date(F.concat(year, low, high), "yyyyMMdd"), ("MM", "dd"))
+    return (
+        F.when(iso & (days >= 0) & (days < DAYS), iso_text)
+        .when(iso, m)
+        .when(early, early_text)
+        .when(day_first, day_first_text)
+        .when(month_first, month_first_text)
+        .otherwise(m)
+    )
 
 
 def ssn(m: Column, key: str) -> Column:
@@ -233,7 +288,7 @@ def pseudonym(m: Column, key: str) -> Column:
     return out.otherwise(m)
 
 
-def pseudonymised(docs: DataFrame, key: str = "lorequarry") -> DataFrame:
+def pseudonymised(docs: DataFrame, key: str) -> DataFrame:
     """docs with the personal data of text replaced, and n_replaced, the number of finds that were."""
     text = F.col("text")
     worth = text.rlike("[@0-9]")

@@ -19,7 +19,8 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
 
 
 def op1_pii_pseudonyms(spark, sf_dir):
-    return pii.pseudonymised(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    key = spark.conf.get("spark.lorequarry.pii.key", "a public key for the test tables")  # set a secret one for real data
+    return pii.pseudonymised(_table(spark, sf_dir, "documents").select("doc_id", "text"), key)
 
 
 def op2_quality_classifier(spark, sf_dir):

@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import itertools
 import math
 import re
 import zlib
@@ -58,7 +59,7 @@ def test_pseudonyms(spark, empty):
     seen = ["4785380592391139", "und.34@mail7.example.com", "97.51.17.173", "+1 (017) 555-7713", "GB82 WEST 1234 5698 7654 32", "123-45-6789", "1984-02-29", "31.12.1999"]
     left = ["1234567890123456", "999.1.1.1", "000-12-3456", "1983-02-29", "version 4.0.", "GB83 WEST 1234 5698 7654 32"]
     rows = [(1, " ".join(seen) + " end"), (2, "x " + seen[0] + "!! " + seen[1]), (3, " ; ".join(left)), (4, None), (5, ""), (6, "plain " * 5000)]
-    got = {r.doc_id: r for r in pii.pseudonymised(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    got = {r.doc_id: r for r in pii.pseudonymised(spark.createDataFrame(rows, "doc_id long, text string").withColumn("n_replaced", F.lit("x")), "secret").collect()}
     assert got[1].n_replaced == len(seen) and not any(s in got[1].text for s in seen)
     assert [got[i].text for i in (3, 4, 5, 6)] == [rows[2][1], None, "", rows[5][1]]
     card = got[2].text.split("!!")[0][2:]
@@ -67,7 +68,7 @@ def test_pseudonyms(spark, empty):
     assert (sum(digits[::2]) + sum(sum(divmod(2 * d, 10)) for d in digits[1::2])) % 10 == 0
     iban = re.search(r"GB\d\d(?: [A-Z0-9]{4}){4} [A-Z0-9]{2}", got[1].text).group(0).replace(" ", "")
     assert int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97 == 1
-    assert pii.pseudonymised(empty).count() == 0
+    assert pii.pseudonymised(empty, "secret").count() == 0
 
 
 def test_permutation_covers_its_range(spark):
@@ -75,6 +76,23 @@ def test_permutation_covers_its_range(spark):
     assert x.distinct().count() == 898 * 7 and x.agg(F.max("y")).first()[0] == 898 * 7 - 1
 
 
+def test_pseudonyms_of_a_format_are_a_permutation(spark):
+    """Every date and SSN-like string of a whole range maps to another one of the range, no two to the same."""
+    iso = spark.range(pii.DAYS).select(F.date_format(F.date_add(F.lit(pii.FIRST_DAY).cast("date"), F.col("id").cast("int")), "yyyy-MM-dd").alias("m"))
+    early = spark.range(144 * 200).select(F.format_string("%02d/%02d/%04d", F.col("id") % 12 + 1, F.floor(F.col("id") / 12) % 12 + 1, 1900 + F.floor(F.col("id") / 144)).alias("m"))
+    late = iso.where("substr(m, 9) > '12'")
+    day_first, month_first = (late.select(F.date_format(F.col("m").cast("date"), form).alias("m")) for form in ("dd.MM.yyyy", "MM.dd.yyyy"))
+    for strings in (iso, early, day_first, month_first):
+        both = strings.select("m", pii.date(F.col("m"), "k").alias("p")).toPandas()
+        assert set(both.p) == set(both.m) and len(set(both.m)) == len(both) > 28_000 and (both.p == both.m).sum() < 20
+    pairs = spark.range(1600).select(F.format_string("%02d/%02d/2003", F.col("id") % 40, F.floor(F.col("id") / 40)).alias("m"))
+    valid = pairs.where("try_to_date(m, 'dd/MM/yyyy') IS NOT NULL OR try_to_date(m, 'MM/dd/yyyy') IS NOT NULL")
+    odd = pairs.join(valid, "m", "left_anti")
+    assert odd.where(pii.date(F.col("m"), "k") != F.col("m")).count() == 0
+    words = spark.range(26**3).select(F.concat(*[F.char((F.floor(F.col("id") / 26**i) % 26 + 97).cast("long")) for i in range(3)]).alias("m"))
+    assert words.select(pii.permute_string(F.col("m"), "k").alias("p")).where("p rlike '^[a-z]{3}$'").distinct().count() == 26**3
+
+
 # --- 2 ---
 
 
@@ -409,11 +427,43 @@ def test_each_id_is_scored_once_and_causally():
     ids = r.integers(0, 50, lengths.sum())
     *_, scored, place = lm.windows(ids, lengths, 0)
     assert np.array_equal(np.sort(place[scored]), np.arange(len(ids)))
-    whole = lm.log_probabilities(net, ids, lengths, 0)
-    cut = lm.log_probabilities(net, ids[:40], np.array([1, 31, 8]), 0)
+    whole = lm.log_probabilities(net, ids, lengths, 0)[0]
+    cut = lm.log_probabilities(net, ids[:40], np.array([1, 31, 8]), 0)[0]
     assert np.allclose(whole[:40], cut[:40], atol=1e-5)
 
 
+def test_words_sum_to_one():
+    """Over a small vocabulary: all words of up to three subwords, and the end, after some history."""
+    r = np.random.default_rng(3)
+    size, end = 7, 6
+    opens = np.array([1, 1, 1, 0, 0, 0, 1], bool)
+    net = lm.Attention(size, 4)
+    net.class_of = np.array([0, 1, 2, 2, 3, 3, 1], np.int32)
+    counts = r.integers(1, 30, size).astype(float)
+    mass = np.bincount(net.class_of, weights=counts)
+    net.inside = np.log(counts / mass[net.class_of])
+    net.opening = np.bincount(net.class_of, weights=np.exp(net.inside) * opens).astype(np.float32)
+    history = [0, 3, 1]
+
+    def p(word):
+        ids = [*history, *word, end]
+        return lm.word_probabilities(net, np.array(ids), np.array([2, 1, len(word), 1]), np.array([len(ids)]), end)[2]
+
+    # plain forward pass: softmax over classes, then the share inside the class
+    ids = np.array([*history, 2, end])
+    previous = np.concatenate([[end], ids[:-1], np.zeros(lm.WINDOW - len(ids), int)])
+    y = net.forward(previous[None])["y"][0]
+    z = np.exp(y @ net.w["out"] + net.w["bias"])
+    dist = (z / z.sum(1, keepdims=True))[:, net.class_of] * np.exp(net.inside)
+    assert np.allclose(dist.sum(1), 1, atol=1e-5)
+    assert math.isclose(p([2]), dist[3][2] / dist[3][opens].sum() * dist[4][opens].sum(), rel_tol=1e-3)
+    words = [[a, *rest] for a in (0, 1, 2) for n in (0, 1, 2) for rest in itertools.product((3, 4, 5), repeat=n)]
+    at_end = lm.word_probabilities(net, np.array([*history, end]), np.array([2, 1, 1]), np.array([4]), end)[2]
+    total = sum(map(p, words)) + at_end
+    longer = sum(map(p, [[a, *rest] for a in (0, 1, 2) for rest in itertools.product((3, 4, 5), repeat=3)]))
+    assert 0.5 < total < total + longer <= 1 + 1e-6
+
+
 def test_model_gradients():
     net = lm.Attention(20, 5, dim=4, seed=1)
     r = np.random.default_rng(0)
@@ -422,7 +472,7 @@ def test_model_gradients():
 
     def loss():
         y = net.forward(ids)["y"].reshape(-1, 4)[valid.reshape(-1)]
-        return -net.log_classes(y, target.reshape(-1)[valid.reshape(-1)]).mean()
+        return -net.log_classes(y, target.reshape(-1)[valid.reshape(-1)])[0].mean()
 
     for name in ("qkv", "mix", "up", "down", "out", "place"):
         at = tuple(int(r.integers(s)) for s in net.w[name].shape)
