@@ -1,17 +1,18 @@
 """Embedding near-dedup: spherical k-means cells, blocked cosine products inside cells, one vector of each group kept.
 
 The centres are fitted on a bounded sample (``fit_rows``); every vector is then assigned.  Its home is the cell of the
-closest centre, and it is a guest of each other cell whose centre is closer than the home's plus ``margin`` (in cosine),
-so that pairs on both sides of a border meet: for a pair at the threshold the two scores of a centre differ by a
-random amount of about sqrt(2 - 2 * threshold) / sqrt(dimensions), and the margin is several times that.  A pair that
-meets in two cells counts in one of them.  Cells are taken inside each label, and large ones are cut into blocks; a
-task multiplies two blocks.  Tasks return link counts and spanning links, never all pairs.
+closest centre A, and it is a guest of each other cell whose centre B is closer than the home's plus s |A - B| / 2, where
+s = sqrt(2 - 2 threshold) bounds the distance of two linked unit vectors: if u lives in A and v in B, then
+v (B - A) + u (A - B) = (v - u) (B - A) <= s |A - B|, both terms on the left are at least 0, and so one of the two is a
+guest of the other's home.  No linked pair is lost.  A pair counts in the smallest cell that both belong to.  Cells are taken
+inside each label, and large ones are cut into blocks; a task multiplies two blocks.  Tasks return link counts and
+spanning links, never all pairs.
 
 Vectors with the same label and components are one class from the start, and enter the products once.
 
 Defined cases: a vector that is null, zero, or holds null or non-finite components, and one whose label is null, links
 with nothing and is kept; vectors of unlike lengths never link; rows that share a vec_id count as vectors each, but are
-one node of the components; an empty table gives no rows; other columns are not read.
+one node of the components; an empty table gives no rows; other columns are not read.  vec_id must be a number or its text.
 """
 
 from __future__ import annotations
@@ -45,7 +46,13 @@ def spherical_kmeans(x: np.ndarray, cells: int, rounds: int = 8, seed: int = 3)
     return centres
 
 
-def near_duplicates(vectors: DataFrame, threshold: float = 0.93, margin: float = 0.2, cell_rows: int = 2048, fit_rows: int = 20_000, most_cells: int = 4096) -> DataFrame:
+def apart(centres: np.ndarray, home: np.ndarray) -> np.ndarray:
+    """Distances of the home centres to all centres."""
+    squares = (centres * centres).sum(1)
+    return np.sqrt(np.maximum(squares[home][:, None] + squares[None] - 2 * (centres[home] @ centres.T), 0))
+
+
+def near_duplicates(vectors: DataFrame, threshold: float = 0.93, cell_rows: int = 512, fit_rows: int = 20_000, most_cells: int = 4096) -> DataFrame:
     """(vec_id, embedding, label, ...) -> (vec_id, n_links, component_id, kept) for each row."""
     x = F.col("embedding")
     usable = x.isNotNull() & F.col("label").isNotNull() & F.col("vec_id").isNotNull() & F.exists(x, lambda c: c != 0) & F.forall(x, lambda c: c.isNotNull() & (F.abs(c.cast("double")) < F.lit(float("inf"))))
@@ -59,6 +66,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, margin: float =
         flat = np.array(sample.column(0).combine_chunks().flatten()).reshape(-1, d["dims"])
         centres[d["dims"]] = spherical_kmeans(unit(flat), min(most_cells, -(-d["most"] // cell_rows)))
     sent = one.sparkSession.sparkContext.broadcast(centres)  # most_cells centres at most for each length
+    reach = float(np.sqrt(max(0.0, 2 - 2 * threshold))) / 2
 
     def assign(batches):
         for batch in batches:
@@ -72,7 +80,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, margin: float =
                 c = sent.value.get(dims)
                 near = u @ c.T if c is not None else np.ones((len(own), 1))
                 home = near.argmax(1)
-                guest = near >= near.max(1, keepdims=True) - margin
+                guest = near >= near.max(1, keepdims=True) - (reach * apart(c, home) if c is not None else 0) - 1e-9
                 for i, r in enumerate(own.tolist()):
                     cells[r] = [int(home[i]), *(g for g in np.flatnonzero(guest[i]).tolist() if g != home[i])]
                     raw[r] = u[i].tobytes()
@@ -91,13 +99,11 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, margin: float =
         cell, lo, hi = key[2].as_py(), key[3].as_py(), key[4].as_py()
         node, copies, block = (table.column(c).to_numpy() for c in ("node", "copies", "block"))
         cells = table.column("cells").to_pylist()
-        home = np.array([c[0] for c in cells])
         u = np.frombuffer(b"".join(table.column("raw").to_pylist()), np.float64).reshape(len(node), -1)
-        number = {c: i for i, c in enumerate(sorted({x for c in cells for x in c}))}
-        member = np.zeros((len(node), len(number)), bool)
+        smaller = {c: i for i, c in enumerate(sorted({x for c in cells for x in c if x < cell}))}
+        before = np.zeros((len(node), len(smaller)), np.float32)
         for i, c in enumerate(cells):
-            member[i, [number[x] for x in c]] = True
-        column = np.array([number[h] for h in home])
+            before[i, [smaller[x] for x in c if x < cell]] = 1
         links = np.zeros(len(node), np.int64)
         left = np.flatnonzero(block == lo)
         right = np.flatnonzero(block == hi)
@@ -113,11 +119,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, margin: float =
                     hit &= i[:, None] < j[None]
                 if not hit.any():
                     continue
-                at_home = home[i] == cell, home[j] == cell
-                hit &= at_home[0][:, None] | at_home[1][None]
-                # of a home and a guest that meet in the guest's home too, the smaller cell counts the pair
-                hit &= ~(at_home[0][:, None] & (home[j] < cell)[None] & member[i][:, column[j]])
-                hit &= ~(at_home[1][None] & (home[i] < cell)[:, None] & member[j][:, column[i]].T)
+                hit &= before[i] @ before[j].T == 0  # pairs that share a smaller cell count there
                 links[i] += hit @ copies[j]
                 links[j] += hit.T @ copies[i]
                 ends.append(connecting(hit, i, j))
