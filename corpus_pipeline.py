@@ -3,6 +3,12 @@
 Quality classifier (rejected documents go), line dedup (repeated lines go), n-gram Jaccard join (one document of each
 group stays), mixing to target weights (documents are left out or repeated), BPE codes.  All stages but the last
 return the columns of documents.
+
+Defined cases: a null text counts as empty; without labels every document scores 0.5 and stays; documents without words
+stay until the mix, which takes none of their words; a null source is a source of its own; a null doc_id is no
+near-duplicate and is mixed like others; repeated rows are near-duplicates of each other only if their doc_ids differ, and rows that share
+a doc_id stay or go together; an empty table gives no rows; extra columns pass through to the last stage, which returns doc_id, lang and source
+beside the codes.
 """
 
 from lorequarry.llm import bpe, jaccard, lines, mixing, quality
@@ -16,7 +22,7 @@ def good(spark, docs, sf_dir):
 
 
 def unrepeated(spark, docs, sf_dir):
-    """Lines of 40 characters or more that stand in five documents stay in the largest doc_id only."""
+    """Lines of 40 characters or more that stand in five documents stay in the largest doc_id only; a document may become empty."""
     return lines.without_repeated_lines(docs)
 
 
