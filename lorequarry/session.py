@@ -40,9 +40,11 @@ def register_tables(spark: SparkSession, sf_dir: str) -> None:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """The same rows without their lineage, checkpointed to spark.checkpoint.dir (a local folder only where that is unset)."""
+    """The same rows without their lineage, checkpointed to spark.checkpoint.dir (where that is unset, a local folder, in local mode only)."""
     spark = df.sparkSession
     if not spark.conf.get("spark.checkpoint.dir", None):
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         spark.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="spark-shared-"))
     spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
     return df.checkpoint()
