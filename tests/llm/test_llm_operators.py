@@ -1,6 +1,7 @@
 """The training-data operators against plain Python, with nulls, empty and long texts, ties, repeated rows and empty tables."""
 
 import collections
+import copy
 import hashlib
 import itertools
 import math
@@ -13,6 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lorequarry.llm import bitsliced, bpe, components, jaccard, lines, lm, mixing, neardup, pii, quality, suffixes
+from lorequarry.llm.durable import durable
 from lorequarry.llm.queries import tokenizer_path
 
 SPACE = " \t\n\x0b\x0c\r"
@@ -402,7 +404,7 @@ def test_language_model(docs, texts, empty, frequent):
         if zlib.crc32(str(i).encode()) % 7 != 2:
             counts.update([*words(t), None])
     n, v = sum(counts.values()), len(counts)
-    got = {r.doc_id: r for r in lm.score_texts(docs, tokenizer_path("byte_bpe_50k.tiktoken"), frequent_words=frequent, fit_rows=20).collect()}
+    got = {r.doc_id: r for r in lm.score_texts(docs, tokenizer_path("byte_bpe_50k.tiktoken"), frequent_words=frequent).collect()}
     for i, t in texts:
         w, r = [*words(t), None], got[i]
         assert (r.n_tokens, r.n_known, r.train_tokens, r.held_out) == (len(w), sum(counts[x] > 0 for x in w), n, zlib.crc32(str(i).encode()) % 7 == 2)
@@ -413,10 +415,50 @@ def test_language_model(docs, texts, empty, frequent):
 
 def test_output_layer_has_all_classes():
     path = tokenizer_path("byte_bpe_50k.tiktoken")
-    net = lm.fit_model(pa.array([], pa.string()), np.ones(lm.subwords(path).size), path)
+    none = np.zeros(0, np.int64)
+    net = lm.new_model(np.ones(lm.subwords(path).size), none, none, none, path)
     assert len(net.w["bias"]) == 128
 
 
+def test_what_is_learned_grows_with_the_corpus(spark):
+    path = tokenizer_path("byte_bpe_50k.tiktoken")
+    docs = spark.range(4000).selectExpr("id as doc_id", "array_join(transform(sequence(1, 200), i -> concat('w', (id * 7 + i * i) % 300)), ' ') as text")
+    n = [lm.chosen_windows(docs.where(F.col("doc_id") < m), path, 1 / 16).count() for m in (1000, 4000)]
+    assert 3 * n[0] < n[1] < 5 * n[0]
+    whole = lm.chosen_windows(docs.where("doc_id < 50"), path, 1.0)
+    ids, scored = lm.unpacked(whole.toArrow())
+    counts = {r.key: r.n for r in lm.corpus_counts(docs.where("doc_id < 50"), path).where("kind = 1").collect()}
+    assert collections.Counter(ids[:, 1:][scored].tolist()) == counts  # at share 1 every id is learned from once
+
+
+def test_rounds_average_the_tasks(spark):
+    """The mean over the tasks equals the same steps done here, task by task, and it lowers the loss."""
+    path = tokenizer_path("byte_bpe_50k.tiktoken")
+    docs = spark.range(300).selectExpr("id as doc_id", "array_join(transform(sequence(1, 150), i -> concat('w', (id * 7 + i * i) % 60)), ' ') as text")
+    chosen = durable(lm.chosen_windows(docs, path, 1.0).repartition(3, "h").sortWithinPartitions("h"), "windows")
+    sub = lm.subwords(path)
+    none = np.zeros(0, np.int64)
+    net = lm.new_model(np.ones(sub.size), np.arange(96), none, none, path)
+    start = {k: v.copy() for k, v in net.w.items()}
+    tasks = collections.defaultdict(list)
+    for r in chosen.withColumn("task", F.spark_partition_id()).collect():
+        tasks[r.task].append((bytes(r.ids), r.scored))
+    lm.fit_round(net, chosen, 0.003)
+    want, total = np.zeros_like(start["out"]), 0
+    for rows in tasks.values():
+        ids = np.frombuffer(b"".join(i for i, _ in rows), np.int32).reshape(-1, lm.WINDOW + 1)
+        scored = np.array([[s >> j & 1 for j in range(lm.WINDOW)] for _, s in rows]) > 0
+        own = copy.copy(net)
+        own.w = {k: v.copy() for k, v in start.items()}
+        adam, order = lm.Adam(own), np.random.default_rng(29).permutation(len(ids))
+        for a in range(0, len(ids), 96):
+            now = order[a : a + 96]
+            adam.step(ids[now, :-1], own.class_of[ids[now, 1:]], scored[now], 0.003)
+        want += (own.w["out"] - start["out"]) * len(ids)
+        total += len(ids)
+    assert np.allclose(net.w["out"] - start["out"], want / total, atol=1e-4)
+
+
 def test_each_id_is_scored_once_and_causally():
     net = lm.Attention(50, 8)
     net.class_of = (np.arange(50) % 8).astype(np.int32)
