@@ -472,6 +472,30 @@ def test_each_id_is_scored_once_and_causally():
     assert np.allclose(whole[:40], cut[:40], atol=1e-5)
 
 
+def test_places_of_hashes():
+    r = np.random.default_rng(0)
+    for n in (0, 1, 2, 5, 1000, 50_000):
+        keys = np.unique(r.integers(0, 2**64, n, dtype=np.uint64))
+        if n > 2:
+            keys[: len(keys) // 2] >>= np.uint64(30)  # many in one bucket
+            keys = np.unique(np.append(keys, np.uint64(2**64 - 1)))
+        h = np.concatenate([keys, keys + np.uint64(1), r.integers(0, 2**64, 500, dtype=np.uint64)])
+        assert np.array_equal(lm.Places(keys)(h), np.minimum(np.searchsorted(keys, h), max(len(keys) - 1, 0)))
+
+
+def test_words_that_share_a_slot():
+    sub = lm.Subwords(tokenizer_path("byte_bpe_50k.tiktoken"))
+    raw = b"alpha beta gamma delta"
+    start = np.array([0, 6, 11, 17, 0, 11])
+    end = np.array([5, 10, 16, 22, 5, 16])
+    h = np.array([7, 8, 9, 10, 7, 9], np.uint64)  # one slot
+    want = [sub.encode(" " + raw[a:b].decode()) for a, b in zip(start, end)]
+    for own in ([0, 1, 2, 3, 4, 5], [3, 0, 2], [1], []):
+        ids, n = sub.look_up(h[own], raw, start[own], end[own])
+        assert ids.tolist() == [x for i in own for x in want[i]]
+        assert n.tolist() == [len(want[i]) for i in own]
+
+
 def test_words_sum_to_one():
     """Over a small vocabulary: all words of up to three subwords, and the end, after some history."""
     r = np.random.default_rng(3)
