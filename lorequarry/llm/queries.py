@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lorequarry.llm import bitsliced, bpe, jaccard, lines, lm, mixing, neardup, pii, quality, suffixes
+from lorequarry.llm import bitsliced, bpe, jaccard, licenses, lines, lm, mixing, neardup, periodic, pii, quality, suffixes, whitening
 
 
 def _table(spark, sf_dir, name):
@@ -79,6 +79,29 @@ def op10_lm_scoring(spark, sf_dir):
     return lm.score_texts(_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.tiktoken"))
 
 
+def op11_license_scan(spark, sf_dir):
+    out = licenses.license_report(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+
+
+def op12_embedding_whitening(spark, sf_dir):
+    return whitening.whiten(_table(spark, sf_dir, "embeddings"), wanted=32)
+
+
+def op13_periodic_runs(spark, sf_dir):
+    docs = periodic.replanted(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    best = periodic.strongest(F.col("runs"))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", *[r[c].cast("string") for c in ("start", "length", "period")]), F.lit("\n")))
+    return periodic.periodic_runs(docs).select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        *[best[c].alias(c) for c in ("start", "length", "period")],
+        F.call_function("div", 1000 * best["length"], best["period"]).alias("exponent_milli"),
+        F.sha2(F.encode(F.array_join(lines, ""), "UTF-8"), 256).alias("runs_sha256"),
+        F.sha2(F.encode("collapsed", "UTF-8"), 256).alias("collapsed_sha256"),
+    )
+
+
 LOWER = "translate({x}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
@@ -118,9 +141,52 @@ SELECT vec_id, coalesce(n, 0) AS n_links, component_id, component_id = vec_id AS
 """
 
 
+# words of every text, with op13's repeats put in; crc32 of the doc_id's digits by shifts
+RUNS_SQL = """
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS own,
+    xor(list_reduce(flatten(list_transform(str_split(doc_id::VARCHAR, ''), lambda c: [ascii(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1])),
+      lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) ELSE xor(a >> 1, CASE WHEN a % 2 = 1 THEN 3988292384 ELSE 0 END) END, 4294967295::BIGINT), 4294967295::BIGINT) AS h
+  FROM documents
+), e AS (SELECT *, len(own)::BIGINT AS n, h // 10 AS g FROM d),
+f AS (SELECT *, CASE WHEN n > 0 THEN g % n END AS a, CASE WHEN n > 0 THEN 1 + (n - g % n) // (3 + g % 8) END AS p FROM e),
+t AS (SELECT r, doc_id, n, CASE WHEN h % 10 = 0 AND n > 0 THEN list_transform(range(0, n), lambda i: own[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % p END]) ELSE own END AS w FROM f),
+k AS (SELECT r, n, unnest(range(0, n)) AS i, unnest(w) AS w FROM t),
+m AS (SELECT x.r, x.i, y.i - x.i AS q FROM k x JOIN k y ON x.r = y.r AND x.w = y.w AND y.i > x.i AND 4 * (y.i - x.i) <= x.n),
+s AS (SELECT r, q, i, i - row_number() OVER (PARTITION BY r, q ORDER BY i) AS island FROM m),
+c AS (SELECT r, q, min(i) AS start, count(*) + q AS length FROM s GROUP BY r, q, island HAVING count(*) + q >= greatest(6, 4 * q)),
+u AS (SELECT c.* FROM c WHERE NOT EXISTS (SELECT 1 FROM c b WHERE b.r = c.r AND b.q < c.q AND c.q % b.q = 0 AND b.start <= c.start AND b.start + b.length >= c.start + c.length)),
+g AS (SELECT r, count(*) AS n_runs, sha256(string_agg(start || ',' || length || ',' || q || chr(10), '' ORDER BY start, q)) AS runs_sha256 FROM u GROUP BY 1),
+best AS (SELECT *, row_number() OVER (PARTITION BY r ORDER BY length::DOUBLE / q DESC, start, q) AS rank FROM u),
+gone AS (SELECT DISTINCT r, unnest(range(start + q, start + length)) AS i FROM u),
+kept AS (SELECT k.r, string_agg(w, ' ' ORDER BY k.i) AS text FROM k ANTI JOIN gone ON gone.r = k.r AND gone.i = k.i GROUP BY 1)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, start, length, q AS period, (1000 * length) // q AS exponent_milli,
+  coalesce(runs_sha256, sha256('')) AS runs_sha256, sha256(coalesce(text, '')) AS collapsed_sha256
+FROM t LEFT JOIN g ON g.r = t.r LEFT JOIN best ON best.r = t.r AND rank = 1 LEFT JOIN kept ON kept.r = t.r
+"""
+
+_TEMPLATES = ", ".join(f"({i}, '{t.text}', '{t.label}', {t.gram}, {t.slack})" for i, t in enumerate(licenses.TEMPLATES))
+LICENSE_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({LOWER.format(x="coalesce(text, '')")}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+t AS (SELECT id, str_split(x, ' ') AS w, label, k, slack FROM (VALUES {_TEMPLATES}) v(id, x, label, k, slack)),
+tg AS (SELECT id, k, slack, label, w, unnest(range(0, len(w) - k + 1)) AS j, unnest(list_transform(range(1, len(w) - k + 2), lambda j: array_to_string(w[j:j + k - 1], ' '))) AS g FROM t),
+dg AS (SELECT r, k, unnest(range(0, len(w) - k + 1)) AS i, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS g FROM d, (VALUES ({licenses.PHRASE_GRAM}), ({licenses.NOTICE_GRAM})) v(k) WHERE len(w) >= k),
+v AS (SELECT r, id, i - j AS diagonal, min(j) AS lo, max(j + tg.k) AS hi FROM dg JOIN tg ON tg.g = dg.g AND tg.k = dg.k GROUP BY 1, 2, 3),
+n AS (SELECT v.*, slack, CASE WHEN diagonal - lag(diagonal) OVER (PARTITION BY r, v.id ORDER BY diagonal) <= slack THEN 0 ELSE 1 END AS new FROM v JOIN t ON t.id = v.id),
+s AS (SELECT *, sum(new) OVER (PARTITION BY r, id ORDER BY diagonal) AS span FROM n),
+p AS (SELECT r, id, span, diagonal, unnest(range(lo, hi)) AS j FROM s),
+a AS (SELECT p.r, p.id, span, p.j, min(p.diagonal + p.j) AS i FROM p JOIN d ON d.r = p.r JOIN t ON t.id = p.id WHERE d.w[p.diagonal + p.j + 1] = t.w[p.j + 1] GROUP BY 1, 2, 3, 4),
+o AS (SELECT r, a.id, min(label) AS label, min(k) = {licenses.PHRASE_GRAM} AS phrase, min(i) AS start, count(*) / min(len(w))::DOUBLE AS share FROM a JOIN t ON t.id = a.id GROUP BY r, a.id, span),
+f AS (SELECT r, count(*) FILTER (phrase AND share = 1) AS n_base, min(start) FILTER (phrase AND share = 1) AS first_word, max(start) FILTER (phrase AND share = 1) AS last_word,
+  string_agg(DISTINCT label, ',' ORDER BY label) FILTER (phrase AND share = 1) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) FILTER (share >= CASE WHEN phrase THEN 1 ELSE 0.8e0 END) AS labels, max(share) AS score FROM o GROUP BY 1)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0.0e0) AS score
+FROM d LEFT JOIN f ON f.r = d.r
+"""
+
+
 def queries():
-    return {f.__name__: f for f in (op1_pii_pseudonyms, op2_quality_classifier, op3_exact_top_k, op4_suffix_array_dedup, op5_line_dedup, op6_bpe, op7_ngram_jaccard, op8_embedding_near_dedup, op9_source_mixing, op10_lm_scoring)}
+    return {f.__name__: f for f in (op1_pii_pseudonyms, op2_quality_classifier, op3_exact_top_k, op4_suffix_array_dedup, op5_line_dedup, op6_bpe, op7_ngram_jaccard, op8_embedding_near_dedup, op9_source_mixing, op10_lm_scoring, op11_license_scan, op12_embedding_whitening, op13_periodic_runs)}
 
 
 def oracle_sql():
-    return {"op3_exact_top_k": TOP_K_SQL, "op5_line_dedup": LINES_SQL, "op7_ngram_jaccard": JACCARD_SQL, "op8_embedding_near_dedup": NEAR_SQL}
+    return {"op11_license_scan": LICENSE_SQL, "op13_periodic_runs": RUNS_SQL, "op3_exact_top_k": TOP_K_SQL, "op5_line_dedup": LINES_SQL, "op7_ngram_jaccard": JACCARD_SQL, "op8_embedding_near_dedup": NEAR_SQL}

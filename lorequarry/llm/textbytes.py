@@ -15,6 +15,9 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 SPACE = np.zeros(256, bool)
 SPACE[[32, 9, 10, 11, 12, 13]] = True
+MARKS = np.zeros(256, bool)  # all ASCII bytes but a-z and 0-9
+MARKS[:128] = True
+MARKS[[*range(48, 58), *range(97, 123)]] = False
 _BASE = 0x9E3779B97F4A7C15
 _powers: dict[str, np.ndarray] = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
 
@@ -75,9 +78,9 @@ def slices(column, target: int = 1 << 20):
         i = j
 
 
-def words(data: np.ndarray, offsets: np.ndarray):
-    """Runs of bytes other than white space inside each text: (start, end, first word of each text, one past the last)."""
-    solid = ~SPACE[data]
+def words(data: np.ndarray, offsets: np.ndarray, blank: np.ndarray = SPACE):
+    """Runs of bytes other than white space (or what else is ``blank``) inside each text: (start, end, first word of each text, one past the last)."""
+    solid = ~blank[data]
     first = solid.copy()
     first[1:] &= ~solid[:-1]
     last = solid.copy()
