@@ -10,7 +10,7 @@ The k best of every block then meet in one ranking for each query.
 Each (query batch, block) pair is a task of its own; a task holds one block's slices and one batch of queries.
 
 Defined cases: vectors that are null or hold null or non-finite components take no part, neither as query nor as
-candidate; a query's candidates are the vectors of its own length; fewer than k candidates give fewer rows; ties go to the
+candidate; empty vectors score 0 among themselves; a query's candidates are the vectors of its own length; fewer than k candidates give fewer rows; ties go to the
 smaller id, and rows that share an id are candidates each; queries never meet rows of their own id; inner products that
 may not fit a long raise an error; an empty table gives no rows; other columns are not read.  vec_id must be a number or
 its text.
@@ -33,7 +33,7 @@ ONES = np.uint64(0xFFFFFFFFFFFFFFFF)
 def quantised(vectors: DataFrame, scale: float = 1024.0) -> DataFrame:
     """(vec_id, v array<long>): floor(scale * component) of the vectors that take part."""
     x = F.col("embedding")
-    usable = x.isNotNull() & (F.size(x) > 0) & F.forall(x, lambda c: c.isNotNull() & (F.abs(c.cast("double")) < F.lit(float("inf"))))
+    usable = x.isNotNull() & F.forall(x, lambda c: c.isNotNull() & (F.abs(c.cast("double")) < F.lit(float("inf"))))
     v = F.transform(x, lambda c: F.floor(F.lit(scale) * c.cast("double")).cast("long"))
     return vectors.where(usable).select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v"))
 
@@ -109,7 +109,7 @@ def search_block(slices: np.ndarray, low: int, ids: np.ndarray, values: np.ndarr
         size = np.abs(q)
         sides = np.where((q < 0)[:, None, None], flipped, slices)
         columns: dict[int, list[np.ndarray]] = {}
-        for j in range(max(1, int(size.max()).bit_length())):
+        for j in range(max(1, int(size.max(initial=0)).bit_length())):
             use = np.flatnonzero((size >> j) & 1)
             if len(use):
                 part = sides[use]
@@ -129,8 +129,8 @@ def build_index(rows: DataFrame, block_rows: int = 1024) -> DataFrame:
         table = pa.Table.from_batches(list(batches)).sort_by("vec_id")
         dims, block = key[0].as_py(), key[1].as_py()
         ids = table.column("vec_id").to_numpy()
-        flat = table.column("v").combine_chunks().flatten().to_numpy().reshape(-1, dims)
-        low = int(flat.min())
+        flat = table.column("v").combine_chunks().flatten().to_numpy().reshape(len(ids), dims)
+        low = int(flat.min()) if dims else 0
         slices = bit_slices((flat - low).astype(np.uint64))
         kind = next(t for t in ("<i2", "<i4", "<i8") if np.array_equal(flat.astype(t), flat))
         yield pa.RecordBatch.from_pylist(
@@ -156,10 +156,10 @@ def top_k(queries: DataFrame, rows: DataFrame, k: int = 10, block_rows: int = 10
         for batch in batches:
             for t in batch.to_pylist():
                 ids, dims = np.frombuffer(t["ids"], "<i8"), t["dims"]
-                slices = np.frombuffer(t["slices"], "<u8").reshape(dims, t["bits"], -1)
-                values = np.frombuffer(t["raw"], t["kind"]).reshape(-1, dims).astype(np.int64)
-                asked = np.array(t["qs"], np.int64)
-                if dims * int(np.abs(values).max()) * int(np.abs(asked).max()) >= 2**63:
+                slices = np.frombuffer(t["slices"], "<u8").reshape(dims, t["bits"], -(-len(ids) // 64))
+                values = np.frombuffer(t["raw"], t["kind"]).reshape(len(ids), dims).astype(np.int64)
+                asked = np.array(t["qs"], np.int64).reshape(-1, dims) if dims else np.zeros((len(t["qids"]), 0), np.int64)
+                if dims * int(np.abs(values).max(initial=0)) * int(np.abs(asked).max(initial=0)) >= 2**63:
                     raise OverflowError("inner products of these vectors do not fit a long")
                 got = search_block(slices, t["low"], ids, values, np.array(t["qids"]), asked, k)
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in got], names=["query_id", "vec_id", "score"])

@@ -493,8 +493,14 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
 
 
 def one_of_each_group(docs: DataFrame, **how) -> DataFrame:
-    """The documents that stand for their group of near-duplicates (the smallest doc_id), all columns; others go."""
+    """The documents that stand for their group of near-duplicates (the smallest doc_id), all columns; others go.
+
+    A doc_id that holds unlike texts stays with all of them, as one may repeat nowhere.
+    """
     groups = jaccard_components(docs, **how)
     gone = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
+    tag = F.xxhash64(F.coalesce("text", F.lit("")))
+    unlike = docs.groupBy(F.col("doc_id").cast("long").alias("__gone")).agg(F.min(tag).alias("lo"), F.max(tag).alias("hi")).where("lo <> hi")
+    gone = gone.join(unlike, "__gone", "left_anti")
     gone = small_side(durable(gone, "gone"))
     return docs.join(gone, F.col("doc_id").cast("long") == F.col("__gone"), "left_anti")

@@ -9,7 +9,8 @@
 3. The dropped line numbers of each document meet its text, and the other lines are joined again.
 
 Defined cases: a null or empty text is one empty line; lines shorter than ``min_chars`` are never dropped; a line that
-stands several times in the keeping document stays there each time; rows that share a doc_id count as one document;
+stands several times in the keeping document stays there each time; rows that share a doc_id count as one document, and each loses its own
+lines only, whatever its siblings hold;
 rows with a null doc_id are left as they are and count for nothing; an empty table gives no rows; columns other than
 doc_id and text pass through, but columns of docs called n_lines, n_dropped or kept are replaced.  doc_id must be a
 number or its text.
@@ -109,6 +110,11 @@ def second_filter(docs: DataFrame, min_chars: int, bits: int) -> DataFrame:
     return parts.groupBy("chunk").applyInArrow(merge, "chunk int, bits binary")
 
 
+def text_tag() -> Column:
+    """A hash that tells the texts of one doc_id apart."""
+    return F.xxhash64(F.coalesce("text", F.lit("")))
+
+
 def filter_bits(docs: DataFrame, most_bits: int) -> int:
     """A power of two of about 16 bits for each line, at most ``most_bits``."""
     lines = docs.select(F.sum(F.regexp_count(F.col("text"), F.lit("\n")) + 1).alias("n")).first()["n"] or 0
@@ -117,7 +123,7 @@ def filter_bits(docs: DataFrame, most_bits: int) -> int:
 
 
 def suspected_lines(docs: DataFrame, min_chars: int, most_bits: int) -> DataFrame:
-    """(doc_id, line, key) of lines that may stand elsewhere too."""
+    """(doc_id, tag, line, key) of lines that may stand elsewhere too; tag tells the texts of a doc_id apart."""
     spark = docs.sparkSession
     bits = filter_bits(docs, most_bits)
     held = np.zeros(bits // 8, np.uint8)  # bounded by most_bits
@@ -129,21 +135,22 @@ def suspected_lines(docs: DataFrame, min_chars: int, most_bits: int) -> DataFram
         filter_ = sent.value
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
-            for first, data, owner, number, start, end, h in _hashed_lines(batch.column(1), min_chars):
+            tags = batch.column(1).to_numpy(zero_copy_only=False)
+            for first, data, owner, number, start, end, h in _hashed_lines(batch.column(2), min_chars):
                 at = bit_places(h, bits)
                 hit = np.flatnonzero(((filter_[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1).all(0))
                 raw = data.tobytes()
                 keys = [raw[a:b].decode() for a, b in zip(start[hit].tolist(), end[hit].tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids[first + owner[hit]], pa.int64()), pa.array(number[hit].astype(np.int32)), pa.array(keys, pa.string())],
-                    names=["doc_id", "line", "key"],
+                    [pa.array(ids[first + owner[hit]], pa.int64()), pa.array(tags[first + owner[hit]], pa.int64()), pa.array(number[hit].astype(np.int32)), pa.array(keys, pa.string())],
+                    names=["doc_id", "tag", "line", "key"],
                 )
 
-    return docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), "text").mapInArrow(probe, "doc_id long, line int, key string")
+    return docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), text_tag().alias("tag"), "text").mapInArrow(probe, "doc_id long, tag long, line int, key string")
 
 
 def dropped_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, keep: str = "largest", most_bits: int = 1 << 29) -> DataFrame:
-    """(doc_id, dropped array<int>): the numbers, from 0, of the lines each document loses; documents that lose none have no row.
+    """(doc_id, tag, dropped array<int>): the numbers, from 0, of the lines each text loses; texts that lose none have no row.
 
     ``keep``: whether the largest or the smallest doc_id that holds a line keeps it.
     """
@@ -156,7 +163,7 @@ def dropped_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, keep:
     hot = small_side(repeated.where(F.col("n") > HOT_DOCS).select("key", "keeper"))
     rest = small_side(repeated.where(F.col("n") <= HOT_DOCS).select("key", "keeper"))
     met = suspects.join(hot, "key").unionByName(suspects.join(hot.select("key"), "key", "left_anti").join(rest, "key"))
-    return met.where("doc_id <> keeper").groupBy("doc_id").agg(F.collect_set("line").alias("dropped"))
+    return met.where("doc_id <> keeper").groupBy("doc_id", "tag").agg(F.collect_set("line").alias("dropped"))
 
 
 def kept_text(text: Column, dropped: Column) -> Column:
@@ -168,8 +175,8 @@ def kept_text(text: Column, dropped: Column) -> Column:
 
 def dedup_lines(docs: DataFrame, **how) -> DataFrame:
     """docs with n_lines, n_dropped and kept (the text without the dropped lines)."""
-    found = dropped_lines(docs, **how).select(F.col("doc_id").alias("__doc"), F.col("dropped").alias("__dropped"))
-    joined = docs.join(small_side(durable(found, "dropped")), F.col("doc_id").cast("long") == F.col("__doc"), "left")
+    found = dropped_lines(docs, **how).select(F.col("doc_id").alias("__doc"), F.col("tag").alias("__tag"), F.col("dropped").alias("__dropped"))
+    joined = docs.join(small_side(durable(found, "dropped")), (F.col("doc_id").cast("long") == F.col("__doc")) & (text_tag() == F.col("__tag")), "left")
     n_lines = F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit("\n")).cast("long") + 1
     return joined.select(
         *[F.col(f"`{c}`") for c in docs.columns if c not in ("n_lines", "n_dropped", "kept")],

@@ -16,9 +16,10 @@ first dealt by content, without losing any match:
 
 Copies of a whole text of ``length`` bytes or more repeat everywhere; all but the smallest doc_id are set aside first.
 
-Defined cases: null is the empty text; texts shorter than ``length`` lose nothing; rows that share a doc_id are one
-document, so equal rows all stay as the first of them does; rows with a null doc_id are left as they are and count for
-nothing; an empty table gives no rows; other columns are not read.
+Defined cases: null is the empty text; texts shorter than ``length`` lose nothing; equal rows of a doc_id are one document, so they all
+stay as the first of them does; unlike texts of a doc_id are documents of their own, in an order by hash, and each loses only what
+itself repeats; rows with a null doc_id are left as they are and count for nothing; an empty table gives no rows; other columns are
+not read.  doc_id must be a number or its text.
 """
 
 from __future__ import annotations
@@ -57,10 +58,11 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int):
     sums = prefix_sums(data)
     at = np.arange(n - GRAM + 1)
     h = substring_hash(sums, at, at + GRAM)
-    # the last gram with the smallest hash, as the low bits of what is compared hold the place
+    # the last gram with the smallest hash, as the low bits of what is compared hold the place; as many bits in every slice,
+    # so that equal windows choose alike wherever they stand
     width = length - GRAM + 1
-    bits = np.uint64(max(1, int(n).bit_length()))
-    low = np.uint64((1 << int(bits)) - 1)
+    bits = np.uint64(31)
+    low = np.uint64((1 << 31) - 1)
     keyed = (h >> bits << bits) | (low - at.astype(np.uint64))
     least = sliding_minimum(keyed, width)
     sizes = np.diff(offsets)
@@ -169,20 +171,23 @@ def _spans(starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def substring_spans(docs: DataFrame, length: int = 100, most_contexts: int = 20_000) -> DataFrame:
-    """(doc_id, text) without copies -> (doc_id, start, end): bytes covered by repeated strings; spans may touch or overlap."""
+    """(doc_id, tag, text) without copies -> (doc_id, tag, start, end): bytes covered by repeated strings; spans may touch or overlap.
+
+    Documents are ordered by doc_id and tag, which together name a text.
+    """
 
     def find(batches):
         for batch in batches:
-            for first, data, offsets in slices(batch.column(1)):
+            for first, data, offsets in slices(batch.column(2)):
                 text, place, h, lo, hi = anchors(data, offsets, length)
-                ids = batch.column(0).take(pa.array(first + text))
+                at = pa.array(first + text)
                 span = ((place - lo) * length + hi - lo).astype(np.int32)  # both below length
-                yield pa.RecordBatch.from_arrays([ids, pa.array((place - offsets[text]).astype(np.int32)), pa.array(span), pa.array(h.view(np.int64))], names=["doc_id", "place", "span", "gram"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array((place - offsets[text]).astype(np.int32)), pa.array(span), pa.array(h.view(np.int64))], names=["doc_id", "tag", "place", "span", "gram"])
 
-    found = docs.select("doc_id", "text").mapInArrow(find, "doc_id long, place int, span int, gram long")
+    found = docs.select("doc_id", "tag", "text").mapInArrow(find, "doc_id long, tag long, place int, span int, gram long")
     grams = durable(found.groupBy("gram").count().where("count > 1").select(F.col("gram").alias("g")), "grams")
-    repeated = found.join(grams, F.col("gram") == F.col("g")).groupBy("doc_id").agg(F.collect_list(F.struct("place", "span", "gram")).alias("at"))
-    joined = docs.select(F.col("doc_id").alias("d"), "text").join(repeated, F.col("d") == F.col("doc_id")).select("doc_id", "text", F.col("at.place").alias("places"), F.col("at.span").alias("spans"), F.col("at.gram").alias("grams"))
+    repeated = found.join(grams, F.col("gram") == F.col("g")).groupBy("doc_id", "tag").agg(F.collect_list(F.struct("place", "span", "gram")).alias("at"))
+    joined = docs.select(F.col("doc_id").alias("d"), F.col("tag").alias("t"), "text").join(repeated, (F.col("d") == F.col("doc_id")) & (F.col("t") == F.col("tag"))).select("doc_id", "tag", "text", F.col("at.place").alias("places"), F.col("at.span").alias("spans"), F.col("at.gram").alias("grams"))
 
     def cut(batches):
         for batch in batches:
@@ -196,15 +201,16 @@ def substring_spans(docs: DataFrame, length: int = 100, most_contexts: int = 20_
             begin = places - spans // length
             until = begin + spans % length + length
             out = [texts[o][a:b] for o, a, b in zip(owner.tolist(), begin.tolist(), until.tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(owner)), pa.array(begin.astype(np.int32)), grams, pa.array((places - begin).astype(np.int32)), pa.array(out, pa.binary())], names=["doc_id", "begin", "gram", "lead", "context"])
+            ids = [batch.column(c).take(pa.array(owner)) for c in ("doc_id", "tag")]
+            yield pa.RecordBatch.from_arrays([*ids, pa.array(begin.astype(np.int32)), grams, pa.array((places - begin).astype(np.int32)), pa.array(out, pa.binary())], names=["doc_id", "tag", "begin", "gram", "lead", "context"])
 
-    contexts = joined.mapInArrow(cut, "doc_id long, begin int, gram long, lead int, context binary")
+    contexts = joined.mapInArrow(cut, "doc_id long, tag long, begin int, gram long, lead int, context binary")
     contexts = durable(contexts, "contexts")
-    distinct = contexts.groupBy("gram", "lead", "context").agg(F.min(F.struct("doc_id", "begin")).alias("first"), F.count(F.lit(1)).alias("n"))
+    distinct = contexts.groupBy("gram", "lead", "context").agg(F.min(F.struct("doc_id", "tag", "begin")).alias("first"), F.count(F.lit(1)).alias("n"))
     distinct = durable(distinct, "distinct")
     # all windows of a context that stands earlier too are repeats; a context of less than a window has none
     copies = contexts.join(distinct.where("n > 1").select(F.col("gram").alias("g"), F.col("lead").alias("l"), F.col("context").alias("c"), "first"), (F.col("gram") == F.col("g")) & (F.col("lead") == F.col("l")) & (F.col("context") == F.col("c")))
-    copies = copies.where((F.struct("doc_id", "begin") > F.col("first")) & (F.length("context") >= length)).select("doc_id", F.col("begin").alias("start"), (F.col("begin") + F.length("context")).alias("end"))
+    copies = copies.where((F.struct("doc_id", "tag", "begin") > F.col("first")) & (F.length("context") >= length)).select("doc_id", "tag", F.col("begin").alias("start"), (F.col("begin") + F.length("context")).alias("end"))
 
     # a gram with one context has no other repeats; one with too many contexts for a task is dealt by whole windows
     several = durable(distinct.groupBy("gram").count().where("count > 1").select(F.col("gram").alias("g"), "count"), "several")
@@ -213,12 +219,12 @@ def substring_spans(docs: DataFrame, length: int = 100, most_contexts: int = 20_
     offsets = F.sequence(F.lit(0), F.length("context") - length)
     wide = held.where((F.col("count") > most_contexts) & (F.length("context") >= length))
     wide = wide.select("first", "context", F.explode(offsets).alias("o"))
-    wide = wide.select(F.substring("context", F.col("o") + 1, F.lit(length)).alias("w"), F.col("first.doc_id").alias("doc_id"), (F.col("first.begin") + F.col("o")).alias("start"))
-    earliest = wide.groupBy("w").agg(F.min(F.struct("doc_id", "start")).alias("e"), F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("w").alias("w2"), "e")
-    again = wide.join(earliest, F.col("w") == F.col("w2")).where(F.struct("doc_id", "start") > F.col("e")).select("doc_id", "start", (F.col("start") + length).alias("end"))
+    wide = wide.select(F.substring("context", F.col("o") + 1, F.lit(length)).alias("w"), F.col("first.doc_id").alias("doc_id"), F.col("first.tag").alias("tag"), (F.col("first.begin") + F.col("o")).alias("start"))
+    earliest = wide.groupBy("w").agg(F.min(F.struct("doc_id", "tag", "start")).alias("e"), F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("w").alias("w2"), "e")
+    again = wide.join(earliest, F.col("w") == F.col("w2")).where(F.struct("doc_id", "tag", "start") > F.col("e")).select("doc_id", "tag", "start", (F.col("start") + length).alias("end"))
 
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    routed = usual.select("gram", "context", F.col("first.doc_id").alias("doc_id"), F.col("first.begin").alias("begin")).repartition(parts, "gram")
+    routed = usual.select("gram", "context", F.col("first.doc_id").alias("doc_id"), F.col("first.tag").alias("tag"), F.col("first.begin").alias("begin")).repartition(parts, "gram")
 
     def sort(batches):
         held, size = [], 0
@@ -239,22 +245,29 @@ def substring_spans(docs: DataFrame, length: int = 100, most_contexts: int = 20_
         bounds.append(len(gram))
         for a, b in zip(bounds[:-1], bounds[1:], strict=True):
             part = table.slice(a, b - a)
-            ids, begin = part.column("doc_id").to_numpy(), part.column("begin").to_numpy()
-            numbers, rank = np.unique(ids, return_inverse=True)
-            got = repeated_windows(part.column("context").to_pylist(), (rank.astype(np.int64) << 34) + begin, length)
+            begin = part.column("begin").to_numpy()
+            ids = np.stack([part.column(c).to_numpy() for c in ("doc_id", "tag")])
+            order = np.lexsort(ids[::-1])
+            opens = np.concatenate([[True], (np.diff(ids[:, order]) != 0).any(0)])
+            numbers = ids[:, order[opens]].T
+            rank = np.empty(len(order), np.int64)
+            rank[order] = np.cumsum(opens) - 1
+            got = repeated_windows(part.column("context").to_pylist(), (rank << 34) + begin, length)
             if not len(got):
                 continue
-            place = rank[got[:, 0]].astype(np.int64) << 34 | (begin[got[:, 0]] + got[:, 1])
+            place = rank[got[:, 0]] << 34 | (begin[got[:, 0]] + got[:, 1])
             lo, hi = _spans(np.unique(place), length)
-            yield pa.RecordBatch.from_arrays([pa.array(numbers[lo >> 34]), pa.array((lo & ((1 << 34) - 1)).astype(np.int32)), pa.array((hi & ((1 << 34) - 1)).astype(np.int32))], names=["doc_id", "start", "end"])
+            own = numbers[lo >> 34]
+            yield pa.RecordBatch.from_arrays([pa.array(own[:, 0]), pa.array(own[:, 1]), pa.array((lo & ((1 << 34) - 1)).astype(np.int32)), pa.array((hi & ((1 << 34) - 1)).astype(np.int32))], names=["doc_id", "tag", "start", "end"])
 
-    spans = routed.mapInArrow(sort, "doc_id long, start int, end int")
+    spans = routed.mapInArrow(sort, "doc_id long, tag long, start int, end int")
     return spans.unionByName(copies).unionByName(again)
 
 
 def without_repeats(docs: DataFrame, length: int = 100) -> DataFrame:
     """(doc_id, text) -> (doc_id, text, copy, spans) for each row: whether it is a later copy, and what repeats in it otherwise."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    text = F.coalesce("text", F.lit(""))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("tag"), text.alias("text"))
     long = F.octet_length("text") >= length
     key = F.sha2(F.encode("text", "UTF-8"), 256)
     # of the rows of one text the smallest doc_id stays
@@ -262,10 +275,10 @@ def without_repeats(docs: DataFrame, length: int = 100) -> DataFrame:
     copies = mine.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("keeper"), F.count(F.lit(1)).alias("n")).where("n > 1")
     copies = small_side(durable(copies.select(F.col("key").alias("k2"), "keeper"), "copies"))
     marked = mine.join(copies, F.col("key") == F.col("k2"), "left").drop("k2")
-    single = marked.where("key is not null and (keeper is null or doc_id = keeper)").select("doc_id", "text")
+    single = marked.where("key is not null and (keeper is null or doc_id = keeper)").select("doc_id", "tag", "text")
     spans = durable(substring_spans(single, length), "spans")
-    by_doc = spans.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("spans")).withColumnRenamed("doc_id", "d")
-    out = marked.join(by_doc, F.col("doc_id") == F.col("d"), "left")
+    by_doc = spans.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("start", "end")).alias("spans")).withColumnsRenamed({"doc_id": "d", "tag": "t"})
+    out = marked.join(by_doc, (F.col("doc_id") == F.col("d")) & (F.col("tag") == F.col("t")), "left")
     is_copy = F.col("keeper").isNotNull() & (F.col("doc_id") > F.col("keeper"))
     return out.select("doc_id", "text", is_copy.alias("copy"), F.when(F.col("key").isNotNull() & ~is_copy, F.col("spans")).alias("spans"))
 
