@@ -1,4 +1,4 @@
-"""Tabular parts of the control plane: dependency order, typed arguments, snippets around terms."""
+"""Tabular parts of the control plane: dependency order, typed arguments, attachments, exact arithmetic."""
 
 from __future__ import annotations
 
@@ -6,10 +6,9 @@ import ast
 from decimal import Decimal, DivisionByZero, InvalidOperation, localcontext
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lorequarry.functions.text import terms
 from lorequarry.session import cut
 
 
@@ -57,28 +56,6 @@ def coerced(value: Column, kind: str, choices: tuple[str, ...] = ()) -> Column:
     return value
 
 
-def snippets(texts: DataFrame, query: DataFrame, context: int = 35, most: int = 10) -> DataFrame:
-    """(id, start, end, snippet, found): windows of ``context`` characters around query terms in each line, overlapping ones merged.
-
-    The windows that hold most different terms come first; at most ``most`` a text are shown, by position.
-    """
-    asked = query.select(F.explode(F.array_distinct(terms(F.col("query")))).alias("term"))
-    line = texts.select("id", F.posexplode(F.split("text", "\n", -1)).alias("nth", "line"))
-    pieces = line.crossJoin(F.broadcast(asked)).where(F.contains(F.lower("line"), F.col("term")))  # terms of one query
-    split = F.split(F.lower("line"), F.concat(F.lit("\\Q"), F.col("term"), F.lit("\\E")), -1)
-    before = F.transform(F.sequence(F.lit(1), F.size(split) - 1), lambda i: F.length(F.concat_ws("", F.slice(split, 1, i))) + (i - 1) * F.length("term"))
-    hits = pieces.select("id", "nth", "line", "term", F.explode(before).alias("at"))
-    spans = hits.select("id", "nth", "line", "term", F.greatest(F.lit(0), F.col("at") - context).alias("s"), F.least(F.length("line"), F.col("at") + F.length("term") + context).alias("e"))
-    order = Window.partitionBy("id", "nth").orderBy("s", "e")
-    reach = F.max("e").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    spans = spans.withColumn("opens", (reach.isNull() | (F.col("s") > reach)).cast("int"))
-    spans = spans.withColumn("island", F.sum("opens").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    merged = spans.groupBy("id", "nth", "island").agg(F.first("line").alias("line"), F.min("s").alias("start"), F.max("e").alias("end"), F.count_distinct("term").alias("found"))
-    best = Window.partitionBy("id").orderBy(F.desc("found"), "nth", "start")
-    shown = merged.withColumn("n", F.row_number().over(best)).where(F.col("n") <= most)
-    return shown.select("id", "nth", "start", "end", F.substr("line", F.col("start") + 1, F.col("end") - F.col("start")).alias("snippet"), "found")
-
-
 def attachment_errors(name: Column, content: Column, most_name: int = 64, most_content: int = 65_536) -> Column:
     """Why an attachment is refused; null where it is taken."""
     return (

@@ -11,6 +11,7 @@ from lorequarry.operators import control as K
 from lorequarry.operators import files as P
 from lorequarry.operators import hybrid as H
 from lorequarry.operators import markdown as M
+from lorequarry.operators import snippets as S
 from lorequarry.plans.context_queries import PATH, paths
 from lorequarry.plans.search_queries import docs, query_row
 from lorequarry.session import table
@@ -73,7 +74,7 @@ QUERIES = {
         "SELECT source || '/' || doc_id::VARCHAR || '.md:2,60' AS ref, substr('# Doc ' || doc_id::VARCHAR || chr(10) || chr(10) || '[def d' || doc_id::VARCHAR || '] [dependsOn src1/' || (doc_id + 20)::VARCHAR || '.md]' || chr(10) || chr(10) || text || chr(10) || chr(10) || '- one' || chr(10) || '- two' || chr(10), 3, 58) AS text FROM documents",
     ),
     "hy9_bounding_trees": (lambda s, d: H.bounding_trees(_hits(s, d), _nodes(s, d)).select("root", "hits", F.round("mean", 6).alias("mean"), "chars"), None),
-    "hy11_snippets": (lambda s, d: K.snippets(docs(s, d).select(F.col("doc_id").alias("id"), "text"), query_row(s)), None),
+    "hy11_snippets": (lambda s, d: S.snippets(docs(s, d).select(F.col("doc_id").alias("id"), "text"), query_row(s)), None),
     "ud5_dependency_levels": (
         lambda s, d: K.dependency_levels(s.createDataFrame([(c,) for c in "abcdef"], "plugin string"), s.createDataFrame(EDGES, "plugin string, depends_on string, kind string")),
         "SELECT * FROM (VALUES ('c', 0), ('b', 1), ('a', 2), ('f', 3)) v(plugin, level)",
