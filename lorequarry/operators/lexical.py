@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lorequarry.functions.text import terms
+from lorequarry.session import cut
 
 K1, B = 1.2, 0.75  # fixed values of the ranking formula
 
@@ -35,10 +36,10 @@ def term_frequencies(texts: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def build_index(chunks: DataFrame, id_col: str, text_col: str, document_col: str | None = None) -> LexicalIndex:
     """An index over chunks; document frequencies and the number of documents count distinct ``document_col``.
 
-    Chunks without terms count for the average length.  Without a document column each chunk is a document.
+    Chunks without terms, or without text, count for the average length.  Without a document column each chunk is a document.
     """
     document = F.col(document_col or id_col)
-    of = chunks.select(F.col(id_col).alias("id"), document.alias("document"), terms(F.col(text_col)).alias("words"))
+    of = chunks.select(F.col(id_col).alias("id"), document.alias("document"), terms(F.coalesce(F.col(text_col), F.lit(""))).alias("words"))
     postings = of.select("id", "document", F.explode("words").alias("term")).groupBy("term", "id", "document").agg(F.count(F.lit(1)).alias("tf"))
     lengths = of.select("id", F.size("words").cast("long").alias("dl"))
     frequencies = postings.groupBy("term").agg(F.countDistinct("document").alias("df"))
@@ -67,14 +68,16 @@ def bm25(index: LexicalIndex, queries: DataFrame, query_col: str = "query", key:
 def search(chunks: DataFrame, query: DataFrame, id_col: str = "doc_id", text_col: str = "text", document_col: str | None = None, query_col: str = "query") -> DataFrame:
     """(id, score): BM25 of a one-row query table over chunks that have no index, the same scores as ``bm25`` gives.
 
-    Texts are tokenised where they stand, and only the query's own terms leave a row: nothing of the size of the
-    corpus is shuffled.
+    Texts are read and tokenised once, where they stand: ids, lengths and the query's own terms are kept in a checkpoint, and
+    figures, document frequencies and scores come from there.  Nothing of the size of the corpus is shuffled.
     """
     asked = query.select(terms(F.col(query_col)).alias("__asked"))  # one row
     document = F.col(document_col or id_col)
-    of = chunks.select(F.col(id_col).alias("id"), document.alias("document"), terms(F.col(text_col)).alias("words"))
-    figures = of.agg((F.count_distinct("document") if document_col else F.count("document")).alias("documents"), F.avg(F.size("words")).alias("average"))
-    met = of.crossJoin(F.broadcast(asked)).select("id", "document", F.size("words").alias("dl"), "__asked", F.filter("words", lambda w: F.array_contains(F.col("__asked"), w)).alias("met")).where(F.size("met") > 0)
+    of = chunks.select(F.col(id_col).alias("id"), document.alias("document"), terms(F.coalesce(F.col(text_col), F.lit(""))).alias("words"))
+    own = F.filter("words", lambda w: F.array_contains(F.col("__asked"), w))
+    read = cut(of.crossJoin(F.broadcast(asked)).select("id", "document", F.size("words").alias("dl"), F.when(F.size(own) > 0, own).alias("met")))
+    figures = read.agg((F.count_distinct("document") if document_col else F.count("document")).alias("documents"), F.avg("dl").alias("average"))
+    met = read.where("met is not null").crossJoin(F.broadcast(asked))
     tf = lambda t: F.size(F.filter("met", lambda w: w == t))
     each = met.select("id", "document", "dl", F.explode(F.transform(F.array_distinct("met"), lambda t: F.struct(t.alias("term"), tf(t).alias("tf"), F.size(F.filter("__asked", lambda w: w == t)).alias("qtf")))).alias("m")).select("id", "document", "dl", "m.*")
     frequencies = each.groupBy("term").agg(F.count_distinct("document").alias("df"))  # a row for each term of the query

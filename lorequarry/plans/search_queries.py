@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from lorequarry.functions import text as T
 from lorequarry.operators import lexical as L
+from lorequarry.operators import stored_index as X
 from lorequarry.operators import vectors as V
-from lorequarry.session import table
+from lorequarry.session import shared_folder, table
 
 QUERY = "thand re tion thand schu ereau"
 STOP_SQL = "(" + ", ".join(f"'{w}'" for w in T.STOP_WORDS) + ")"
@@ -82,6 +85,16 @@ def _first(s, d):
     return V.knn(e, vector(s, d, 0), 15).drop("rank").join(e.select("vec_id", "embedding"), "vec_id")
 
 
+def _kept_up(s, d):
+    """A stored index that took all documents in three changes: those of a language come late, those of another go and come back."""
+    lang, rows = F.coalesce("lang", F.lit("")), docs(s, d).select(F.col("doc_id").alias("id"), "text", "lang")
+    index = X.open_index(s, f"{shared_folder(s)}/index-{uuid.uuid4().hex}")
+    index = X.change(index, add=rows.where(lang != "fr"))
+    index = X.change(index, add=rows.where(lang == "fr"), remove=rows.where(lang == "de"))
+    index = X.change(index, add=rows.where(lang == "de"))
+    return X.compact(index)
+
+
 QUERIES = {
     "flt5_path_regex": (lambda s, d: table(s, d, "pages").where(F.col("url").rlike("(?i)/EN/[0-9]*5")).select("page_id"), "SELECT page_id FROM pages WHERE regexp_matches(url, '(?i)/EN/[0-9]*5')"),
     "flt6_path_prefix": (lambda s, d: table(s, d, "pages").where(F.lower("url").startswith("https://th")).select("page_id"), "SELECT page_id FROM pages WHERE starts_with(lower(url), 'https://th')"),
@@ -100,6 +113,8 @@ QUERIES = {
         lambda s, d: L.apply_delta(L.build_index(docs(s, d).where("doc_id % 3 <> 0"), "doc_id", "text").frequencies, docs(s, d).where("doc_id % 3 <> 1").withColumn("sign", F.when(F.col("doc_id") % 3 == 0, 1).otherwise(-1)), "doc_id", "text", "sign"),
         f"SELECT term, count(DISTINCT id) AS df FROM ({words_sql('documents', 'doc_id', 'text')}) WHERE id % 3 <> 2 GROUP BY 1",
     ),
+    "ag20_stored_index": (lambda s, d: L.top(X.search(_kept_up(s, d), QUERY), 30).select("id", F.round("score", 6).alias("score")), BY_DOC + "SELECT id, round(score, 6) AS score FROM s ORDER BY score DESC, id LIMIT 30"),
+    "ag20_kept_frequencies": (lambda s, d: _kept_up(s, d).frequencies(), BY_DOC + "SELECT term, df FROM df"),
     "ag6_document_frequency": (lambda s, d: L.build_index(docs(s, d), "doc_id", "text", "source").frequencies, BY_SOURCE + "SELECT term, df FROM df"),
     "ag7_chunk_frequency": (lambda s, d: L.build_index(docs(s, d), "doc_id", "text").postings.groupBy("term").agg(F.count(F.lit(1)).alias("n")), BY_DOC + "SELECT term, count(*) AS n FROM p GROUP BY 1"),
     "ag8_average_length": (lambda s, d: L.build_index(docs(s, d), "doc_id", "text").figures.select("documents", F.round("average", 6).alias("average")), BY_DOC + "SELECT n AS documents, round(avgdl, 6) AS average FROM fig"),

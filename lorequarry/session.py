@@ -39,14 +39,19 @@ def register_tables(spark: SparkSession, sf_dir: str) -> None:
         table(spark, sf_dir, name).createOrReplaceTempView(name)
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The same rows without their lineage, checkpointed to spark.checkpoint.dir (where that is unset, a local folder, in local mode only)."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir; where that is unset, a local folder is made, in local mode only."""
     if not spark.conf.get("spark.checkpoint.dir", None):
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         spark.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="spark-shared-"))
-    spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
+    return spark.conf.get("spark.checkpoint.dir").rstrip("/")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """The same rows without their lineage, checkpointed to the shared folder."""
+    spark = df.sparkSession
+    spark.sparkContext.setCheckpointDir(shared_folder(spark))
     return df.checkpoint()
 
 
