@@ -58,6 +58,15 @@ def knn_batch(vectors: DataFrame, queries: DataFrame, k: int, block_rows: int =
     n = max(int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")), batches * lanes)
     tasks = pairs.repartition(n, "batch", F.col("block") % lanes)
 
+    return nearest_of_blocks(tasks, k)
+
+
+def nearest_of_blocks(tasks: DataFrame, k: int) -> DataFrame:
+    """(batch, width, blocks, batchs) rows, each with an array of vectors and one of queries (id, v) of that width -> (query_id, vec_id, score, rank).
+
+    A task keeps the k best of each query of a batch while its blocks pass; those of all tasks are ranked at the end.
+    """
+
     def matrix(cell, width: int) -> tuple[np.ndarray, np.ndarray]:
         ids = cell.values.field("id").to_numpy()
         order = np.argsort(ids, kind="stable")

@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from lorequarry.functions import text as T
+from lorequarry.operators import cells as C
 from lorequarry.operators import lexical as L
 from lorequarry.operators import stored_index as X
 from lorequarry.operators import vectors as V
@@ -85,6 +86,11 @@ def _first(s, d):
     return V.knn(e, vector(s, d, 0), 15).drop("rank").join(e.select("vec_id", "embedding"), "vec_id")
 
 
+def _cells(s, d):
+    """A persisted index of all embeddings."""
+    return C.build(s, f"{shared_folder(s)}/cells-{uuid.uuid4().hex}", vecs(s, d))
+
+
 def _kept_up(s, d):
     """A stored index that took all documents in three changes: those of a language come late, those of another go and come back."""
     lang, rows = F.coalesce("lang", F.lit("")), docs(s, d).select(F.col("doc_id").alias("id"), "text", "lang")
@@ -140,6 +146,8 @@ QUERIES = {
         lambda s, d: V.median_and_mad(table(s, d, "documents"), "n_chars"),
         "SELECT median(n_chars) AS median, (SELECT median(abs(n_chars - (SELECT median(n_chars) FROM documents))) FROM documents) AS mad FROM documents",
     ),
+    "vc4_cell_search": (lambda s, d: _r(C.search_batch(_cells(s, d), _asked(s, d), 10), "query_id", "vec_id", "rank"), None),
+    "vc4_cell_recall": (lambda s, d: V.recall(C.search_batch(_cells(s, d), _asked(s, d), 10), _batch(s, d)), None),
     "ag18_recall": (lambda s, d: V.recall(_batch(s, d), V.knn_by_pairs(vecs(s, d), _asked(s, d), 10)), None),
     "jn3_new_ids": (lambda s, d: docs(s, d).join(vecs(s, d), F.col("doc_id") == F.col("vec_id"), "left_anti").select("doc_id"), "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings)"),
     "jn12_reconcile": (
