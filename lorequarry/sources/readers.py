@@ -54,15 +54,6 @@ def notification_errors(rows: DataFrame) -> DataFrame:
     return rows.withColumn("error", F.when(~F.col("colour").between(0, 0xFFFFFF), "colour out of range").otherwise(error))
 
 
-def artifact_errors(existing: DataFrame, written: DataFrame, files: int = 100, each: int = 1_000_000, total: int = 5_000_000) -> DataFrame:
-    """(name, error) of written artifacts (name, content) that break the name rule or a quota."""
-    kept = existing.join(written.select(F.lower("name").alias("w")), F.lower("name") == F.col("w"), "left_anti").agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.length("content")), F.lit(0)).alias("chars"))
-    new = written.agg(F.count(F.lit(1)).alias("m"), F.sum(F.length("content")).alias("more"))
-    rows = written.crossJoin(F.broadcast(kept.crossJoin(new)))  # one row of sums
-    error = F.when(~F.col("name").rlike(r"^[A-Za-z0-9][A-Za-z0-9._\-]{0,63}$"), "bad name").when(F.length("content") > each, "too long").when(F.col("n") + F.col("m") > files, "too many files").when(F.col("chars") + F.col("more") > total, "workspace full")
-    return rows.select("name", error.alias("error")).where("error IS NOT NULL")
-
-
 def with_outcome(loads: DataFrame, valid) -> tuple[DataFrame, DataFrame]:
     """(rows that load, rows for quarantine)."""
     ok = F.coalesce(valid, F.lit(False))
