@@ -7,6 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lorequarry.operators.commits import Graph, ancestors
 from lorequarry.functions.text import split_lines, truncated
 
 # Directories that are never read.
@@ -142,8 +143,7 @@ def edit_once(files: DataFrame, find: str, replacement: str) -> DataFrame:
 
 
 def nth_ancestor(commits: DataFrame, start: str, n: int) -> DataFrame:
-    """(sha): the n-th first parent, by n hops over (sha, parent)."""
-    at = commits.where(F.col("sha") == start).select("sha")
-    for _ in range(n):
-        at = at.join(commits, "sha").where("parent IS NOT NULL").select(F.col("parent").alias("sha"))
-    return at
+    """(sha): the n-th first parent over (sha, parent), by a join for each bit of n."""
+    graph = Graph(commits.select("sha", F.array_compact(F.array("parent")).alias("parents")))
+    found = ancestors(graph, commits.where(F.col("sha") == start).select("sha", F.lit(n).cast("long").alias("hops")))
+    return found.where("ancestor is not null").select(F.col("ancestor").alias("sha"))

@@ -37,7 +37,22 @@ def _ref(s, d):
     return references(s, d).select("page_id", M.parse_reference(F.col("ref")).alias("r")).select("page_id", "r.kind", "r.path", "r.definition", "r.start", F.col("r.end").alias("end_"))
 
 
-EDGES = [("a", "b", "hard"), ("b", "c", "hard"), ("d", "x", "hard"), ("e", "d", "hard"), ("f", "a", "optional")]
+UNITS = ["second", "minutes", "hour", "days", "week", "months", "YEAR"]
+
+
+def _date_words():
+    """Orders as dates in words: now, today, yesterday, the date of the order, or so many units ago."""
+    k, i = F.pmod(F.col("o_orderkey"), F.lit(11)).cast("int"), F.pmod(F.col("o_orderkey"), F.lit(41)).cast("string")
+    ago = F.concat(F.lit(" "), i, F.lit(" "), F.get(F.array(*[F.lit(u) for u in UNITS]), k - 4), F.lit(" ago"))
+    return F.when(k == 0, "now").when(k == 1, "Today").when(k == 2, "yesterday ").when(k == 3, F.date_format("o_orderdate", "yyyy-MM-dd")).otherwise(ago)
+
+
+def _plugins(s, d):
+    """Documents as plugins: each depends on the one of half its number, softly for the threes, and some on one that is missing."""
+    i = F.col("doc_id")
+    kind = F.when(i % 3 == 0, "optional").otherwise("hard")
+    both = F.array_compact(F.array(F.when(i > 0, F.struct(F.concat(F.lit("d"), F.floor(i / 2).cast("string")).alias("on"), kind.alias("kind"))), F.when(i % 100 == 55, F.struct(F.lit("none").alias("on"), F.lit("hard").alias("kind")))))
+    return docs(s, d).select(F.concat(F.lit("d"), i.cast("string")).alias("plugin"), F.explode_outer(both).alias("e")).select("plugin", F.col("e.on").alias("depends_on"), "e.kind").distinct()
 
 QUERIES = {
     "md1_parse": (lambda s, d: M.parse(notes(s, d)).groupBy("type").agg(F.count(F.lit(1)).alias("n")), None),
@@ -76,8 +91,14 @@ QUERIES = {
     "hy9_bounding_trees": (lambda s, d: H.bounding_trees(_hits(s, d), _nodes(s, d)).select("root", "hits", F.round("mean", 6).alias("mean"), "chars"), None),
     "hy11_snippets": (lambda s, d: S.snippets(docs(s, d).select(F.col("doc_id").alias("id"), "text"), query_row(s)), None),
     "ud5_dependency_levels": (
-        lambda s, d: K.dependency_levels(s.createDataFrame([(c,) for c in "abcdef"], "plugin string"), s.createDataFrame(EDGES, "plugin string, depends_on string, kind string")),
-        "SELECT * FROM (VALUES ('c', 0), ('b', 1), ('a', 2), ('f', 3)) v(plugin, level)",
+        lambda s, d: K.dependency_levels(_plugins(s, d).select("plugin").distinct(), _plugins(s, d).where("depends_on is not null").select("plugin", "depends_on", "kind")),
+        # a plugin is loadable unless it or one that it hangs on lacks a hard dependency: the fives of each hundred do
+        """WITH RECURSIVE p AS (SELECT doc_id AS i, doc_id // 2 AS up, doc_id % 3 = 0 AS soft FROM documents),
+        e AS (SELECT i, up, soft FROM p WHERE i > 0 UNION ALL SELECT i, -1, false FROM p WHERE i % 100 = 55),
+        bad AS (SELECT i FROM e WHERE NOT soft AND up NOT IN (SELECT i FROM p) UNION SELECT e.i FROM e JOIN bad ON e.up = bad.i WHERE NOT e.soft),
+        ok AS (SELECT i FROM p WHERE i NOT IN (SELECT i FROM bad)),
+        lv AS (SELECT i, 0 AS level FROM ok UNION SELECT e.i, lv.level + 1 FROM e JOIN lv ON e.up = lv.i WHERE e.i IN (SELECT i FROM ok))
+        SELECT 'd' || i AS plugin, CAST(max(level) AS INTEGER) AS level FROM lv GROUP BY 1""",
     ),
     "sf10_coerced_arguments": (
         lambda s, d: table(s, d, "part").select("p_partkey", K.coerced(F.col("p_size").cast("string"), "int").alias("i"), K.coerced(F.col("p_name"), "number").alias("x"), K.coerced(F.col("p_type"), "enum", ("economy", "small")).alias("e")),
@@ -89,8 +110,10 @@ QUERIES = {
         "SELECT p_partkey, CASE WHEN p_partkey * 24 < 1000 THEN (p_partkey * 24)::VARCHAR || ' m' ELSE regexp_replace(printf('%.2f', p_partkey * 24 / 1000.0e0), '\\.?0+$', '') || ' km' END AS t, CASE WHEN p_partkey * 250 >= 1000000 THEN regexp_replace(printf('%.2f', p_partkey * 250 / 1e6), '\\.?0+$', '') || 'M' WHEN p_partkey * 250 >= 1000 THEN regexp_replace(printf('%.2f', p_partkey * 250 / 1e3), '\\.?0+$', '') || 'K' ELSE (p_partkey * 250)::VARCHAR END AS c FROM part",
     ),
     "cd6_relative_dates": (
-        lambda s, d: s.createDataFrame([(i, t) for i, t in enumerate(["now", "yesterday", "3 days ago", "1 month ago", "2024-05-06"])], "i int, t string").select("i", T.relative_date(F.col("t"), F.lit("2024-06-10 12:00:00").cast("timestamp")).cast("timestamp_ntz").alias("moment")),
-        "SELECT CAST(i AS INTEGER) AS i, CAST(m AS TIMESTAMP) AS moment FROM (VALUES (0, '2024-06-10 12:00:00'), (1, '2024-06-09 00:00:00'), (2, '2024-06-07 12:00:00'), (3, '2024-05-11 12:00:00'), (4, '2024-05-06 00:00:00')) v(i, m)",
+        lambda s, d: table(s, d, "orders").select("o_orderkey", T.relative_date(_date_words(), F.lit("2024-06-10 12:00:00").cast("timestamp")).cast("timestamp_ntz").alias("moment")),
+        """SELECT o_orderkey, CASE k WHEN 0 THEN n WHEN 1 THEN TIMESTAMP '2024-06-10' WHEN 2 THEN TIMESTAMP '2024-06-09' WHEN 3 THEN o_orderdate::TIMESTAMP
+          ELSE n - to_seconds((i * [1, 60, 3600, 86400, 604800, 2592000, 31536000][k - 3])::DOUBLE) END AS moment
+        FROM (SELECT o_orderkey, o_orderdate, o_orderkey % 11 AS k, o_orderkey % 41 AS i, TIMESTAMP '2024-06-10 12:00:00' AS n FROM orders)""",
     ),
     "cd7_nth_ancestor": (
         lambda s, d: P.nth_ancestor(table(s, d, "nation").select(F.concat(F.lit("c"), F.col("n_nationkey").cast("string")).alias("sha"), F.when(F.col("n_nationkey") > 0, F.concat(F.lit("c"), (F.col("n_nationkey") - 1).cast("string"))).alias("parent")), "c20", 4),

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lorequarry.plans import context_queries, document_queries, relational_queries, search_queries, service_queries, stream_queries
+from lorequarry.plans import commit_queries, context_queries, document_queries, relational_queries, search_queries, service_queries, stream_queries
 
 Query = Callable[[SparkSession, str], DataFrame]
-ALL = relational_queries.QUERIES | search_queries.QUERIES | context_queries.QUERIES | document_queries.QUERIES | service_queries.QUERIES | stream_queries.QUERIES
+ALL = relational_queries.QUERIES | search_queries.QUERIES | context_queries.QUERIES | document_queries.QUERIES | service_queries.QUERIES | stream_queries.QUERIES | commit_queries.QUERIES
 flagship: Query = context_queries.flagship
 
 
