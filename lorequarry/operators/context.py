@@ -83,18 +83,17 @@ def fetch_context(refs: DataFrame, files: DataFrame, nodes: DataFrame, definitio
 def unshown_blocks(markers: DataFrame) -> DataFrame:
     """(conv, pos, path, node_id, start, end, ancestors) -> (conv, pos): the blocks of a conversation that its earlier ones don't show yet.
 
-    A block is skipped if it or a node above it was shown, or if the shown ranges of its file cover it together.
+    A block is skipped if it or a node above it was shown, or if the shown ranges of its file cover it together.  Files of a
+    conversation are independent of each other, so each is folded on its own.
     """
 
     def fold(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        nodes: set[tuple[str, int]] = set()
-        ranges: dict[str, list[list[int]]] = {}
+        nodes: set[int] = set()
+        own: list[list[int]] = []
         kept = []
         for x in rows.sort_values("pos", kind="stable").itertuples():
-            own = ranges.setdefault(x.path, [])
-            above = any((x.path, n) in nodes for n in (x.node_id, *x.ancestors))
-            if not above and not any(a <= x.start and x.end <= b for a, b in own):
-                nodes.add((x.path, x.node_id))
+            if nodes.isdisjoint((x.node_id, *x.ancestors)) and not any(a <= x.start and x.end <= b for a, b in own):
+                nodes.add(x.node_id)
                 kept.append(x.pos)
                 merged: list[list[int]] = []
                 for a, b in sorted([*own, [x.start, x.end]]):
@@ -102,7 +101,7 @@ def unshown_blocks(markers: DataFrame) -> DataFrame:
                         merged[-1][1] = max(merged[-1][1], b)
                     else:
                         merged.append([a, b])
-                ranges[x.path] = merged
+                own = merged
         return pd.DataFrame({"conv": [key[0]] * len(kept), "pos": kept})
 
-    return markers.groupBy("conv").applyInPandas(fold, "conv long, pos long")
+    return markers.groupBy("conv", "path").applyInPandas(fold, "conv long, pos long")

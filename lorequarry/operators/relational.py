@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lorequarry.operators.selection import numbered
 
 def open_deposits(sites: DataFrame, deposits: DataFrame, instance: str | None = None, kind: str | None = None) -> DataFrame:
     """Measured (not estimated) deposits of sites that aren't mined yet, by lower-cased instance and kind."""
@@ -88,10 +89,8 @@ def pop_site(sites: DataFrame, deposits: DataFrame, instance: str, kind: str, x:
 
 
 def ids_for(names: DataFrame, known: DataFrame) -> DataFrame:
-    """known (id, name) plus new ids for names it lacks (get-or-create), after the largest id, in the order of names."""
-    new = names.select("name").distinct().join(known.select("name"), "name", "left_anti")
+    """known (id, name) plus new ids for names it lacks (get-or-create), after the largest id, in the order of names; a null name gets none."""
+    new = names.select("name").where("name is not null").distinct().join(known.select("name"), "name", "left_anti")
     base = known.agg(F.coalesce(F.max("id"), F.lit(0)).alias("base"))
-    from pyspark.sql import Window
-
-    numbered = new.withColumn("n", F.row_number().over(Window.orderBy("name"))).crossJoin(base)
-    return known.select("id", "name").unionByName(numbered.select((F.col("base") + F.col("n")).alias("id"), "name"))
+    counted = numbered(new, "name").crossJoin(F.broadcast(base))  # base: one row
+    return known.select("id", "name").unionByName(counted.select((F.col("base") + F.col("n")).alias("id"), "name"))

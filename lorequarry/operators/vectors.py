@@ -113,7 +113,7 @@ def centroid(hits: DataFrame) -> DataFrame:
 
 
 def median_and_mad(values: DataFrame, column: str) -> DataFrame:
-    """One row: exact median and median absolute deviation."""
+    """One row: exact median and median absolute deviation of few rows; ``selection.median_and_mad`` takes any number."""
     mid = values.agg(F.percentile(column, 0.5).alias("median"))
     return values.crossJoin(F.broadcast(mid)).groupBy("median").agg(F.percentile(F.abs(F.col(column) - F.col("median")), 0.5).alias("mad"))
 

@@ -143,8 +143,8 @@ def _requests(s, d):
 
 
 def _markers(s, d):
-    """All nodes but the documents, as shown in conversations of about twenty files each, in a mixed order."""
+    """All nodes but the documents, as shown in conversations of about twenty files each, whatever their number, in a mixed order."""
     n = M.parse(notes(s, d)).where("depth > 0")
-    conv = F.pmod(F.xxhash64("path"), F.lit(10)).alias("conv")
+    conv = F.pmod(F.xxhash64("path"), F.lit(max(1, docs(s, d).count() // 20))).alias("conv")
     order = F.row_number().over(Window.partitionBy(conv).orderBy(F.xxhash64("path", "node_id"), "path", "node_id")).cast("long")
     return n.select(conv, order.alias("pos"), "path", "node_id", "start", "end", "ancestors")

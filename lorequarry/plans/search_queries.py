@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from lorequarry.functions import text as T
 from lorequarry.operators import cells as C
 from lorequarry.operators import lexical as L
+from lorequarry.operators import selection as O
 from lorequarry.operators import stored_index as X
 from lorequarry.operators import vectors as V
 from lorequarry.session import shared_folder, table
@@ -143,7 +144,7 @@ QUERIES = {
         f"WITH {FIRST}, {CENTRE} SELECT CAST(i - 1 AS INTEGER) AS i, round(m / n, 6) AS x FROM m CROSS JOIN n",
     ),
     "ag12_median_mad": (
-        lambda s, d: V.median_and_mad(table(s, d, "documents"), "n_chars"),
+        lambda s, d: O.median_and_mad(table(s, d, "documents"), "n_chars"),
         "SELECT median(n_chars) AS median, (SELECT median(abs(n_chars - (SELECT median(n_chars) FROM documents))) FROM documents) AS mad FROM documents",
     ),
     "vc4_cell_search": (lambda s, d: _r(C.search_batch(_cells(s, d), _asked(s, d), 10), "query_id", "vec_id", "rank"), None),
