@@ -2,7 +2,8 @@
 
 The index is a list of immutable segments.  Each change makes one:
 
-- postings (term, id, tf, dl) of the added texts, cut and sorted by term, so that a search reads the row groups of its terms only;
+- postings of the added texts in blocks (term, block, ids, tfs, dls), some thousand texts a block, cut and sorted by term, so that a search
+  reads the row groups of its terms only; blocks are made where the texts are read, so only they are shuffled, once;
 - texts (id, dl, seal) of the added texts, sorted by id; seal is a hash of the text;
 - tombstones (id) of the removed texts: they hide postings and texts of that id in segments before their own;
 - deltas (term, df): how many texts hold the term more or less than before, also sorted by term.
@@ -21,6 +22,8 @@ from __future__ import annotations
 import uuid
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,7 +31,7 @@ from lorequarry.functions.text import terms
 from lorequarry.operators.lexical import B, K1, idf
 from lorequarry.sources import versions
 
-POSTINGS = "term string, id long, tf long, dl long"
+POSTINGS = "term string, block long, ids array<long>, tfs array<int>, dls array<int>"
 TEXTS = "id long, dl long, seal long"
 DELTAS = "term string, df long"
 SENT_ROWS = 2_000_000  # tombstones of 8 bytes are sent to all tasks up to here, and shuffled beyond
@@ -66,17 +69,38 @@ class StoredIndex:
             out = out.unionByName(p)
         return out
 
+    @property
+    def removed(self) -> int:
+        return sum(s["tombstones"] for s in self.segments)
+
+    def last_removal(self) -> DataFrame:
+        """(__id, __place): the newest tombstone of each removed id."""
+        last = self.table("tombstones", "id long").groupBy(F.col("id").alias("__id")).agg(F.max("place").alias("__place"))
+        return F.broadcast(last) if self.removed <= SENT_ROWS else last
+
     def live(self, rows: DataFrame) -> DataFrame:
         """Rows with id and place that no later tombstone hides."""
-        removed = sum(s["tombstones"] for s in self.segments)
-        if not removed:
+        if not self.removed:
             return rows
-        last = self.table("tombstones", "id long").groupBy(F.col("id").alias("__id")).agg(F.max("place").alias("__place"))
-        last = F.broadcast(last) if removed <= SENT_ROWS else last
-        return rows.join(last, (F.col("id") == F.col("__id")) & (F.col("__place") > F.col("place")), "left_anti")
+        return rows.join(self.last_removal(), (F.col("id") == F.col("__id")) & (F.col("__place") > F.col("place")), "left_anti")
 
     def postings(self) -> DataFrame:
-        return self.live(self.table("postings", POSTINGS)).select("term", "id", "tf", "dl")
+        """(term, id, tf, dl) of the live texts."""
+        each = self.table("postings", POSTINGS).select("term", "place", F.explode(F.arrays_zip("ids", "tfs", "dls")).alias("p"))
+        return self.live(each.select("term", F.col("p.ids").alias("id"), F.col("p.tfs").alias("tf"), F.col("p.dls").alias("dl"), "place")).drop("place")
+
+    def live_blocks(self) -> DataFrame:
+        """The blocks of postings, without what tombstones hide."""
+        blocks = self.table("postings", POSTINGS)
+        if not self.removed:
+            return blocks.drop("place")
+        if self.removed <= SENT_ROWS:
+            rows = self.last_removal().orderBy("__id").toArrow()  # bounded by SENT_ROWS
+            sent = self.spark.sparkContext.broadcast((rows.column(0).to_numpy(), rows.column(1).to_numpy()))
+            return blocks.select("term", "block", "ids", "tfs", "dls", "place").mapInArrow(_without(sent), POSTINGS)
+        each = blocks.select("term", "block", "place", F.explode(F.arrays_zip("ids", "tfs", "dls")).alias("p")).withColumn("id", F.col("p.ids"))
+        kept = self.live(each).groupBy("term", "block", "place").agg(F.sort_array(F.collect_list("p")).alias("p"))
+        return kept.select("term", "block", *[F.col(f"p.{c}").alias(c) for c in ("ids", "tfs", "dls")])
 
     def texts(self) -> DataFrame:
         return self.live(self.table("texts", TEXTS)).select("id", "dl", "seal")
@@ -97,6 +121,47 @@ def _counted(texts: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return texts.select(F.col(id_col).cast("long").alias("id"), words.alias("words"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("seal"))
 
 
+def _without(sent):
+    """Blocks without the postings whose id has a later tombstone."""
+
+    def keep(batches):
+        gone, until = sent.value
+        for b in batches:
+            lists = b.column("ids")
+            sizes = np.diff(np.array(lists.offsets))
+            ids = lists.flatten().to_numpy()
+            at = np.minimum(np.searchsorted(gone, ids), len(gone) - 1)
+            left = ~((gone[at] == ids) & (until[at] > np.repeat(b.column("place").to_numpy(), sizes)))
+            ends = np.concatenate([[0], np.cumsum(left)])[np.concatenate([[0], np.cumsum(sizes)])].astype(np.int32)
+            some = pa.array(np.flatnonzero(np.diff(ends) > 0))
+            cut = [pa.ListArray.from_arrays(pa.array(ends), b.column(c).flatten().filter(pa.array(left))) for c in ("ids", "tfs", "dls")]
+            yield pa.RecordBatch.from_arrays([c.take(some) for c in (b.column("term"), b.column("block"), *cut)], names=["term", "block", "ids", "tfs", "dls"])
+
+    return keep
+
+
+def _blocks(counted: DataFrame) -> DataFrame:
+    """(id, words) -> blocks of postings: a task counts the words of some thousand texts at once, and hands on a row for each of their terms."""
+
+    def count(batches):
+        for number, b in enumerate(batches):
+            lists = b.column("words")
+            offsets = np.array(lists.offsets, np.int64) - lists.offsets[0].as_py()
+            sizes = np.diff(offsets)
+            coded = lists.flatten().dictionary_encode()
+            n = b.num_rows
+            key, tf = np.unique(coded.indices.to_numpy().astype(np.int64) * n + np.repeat(np.arange(n), sizes), return_counts=True)
+            term, text = key // n if n else key, key % n if n else key
+            opens = np.flatnonzero(np.diff(term, prepend=-1))
+            cuts = pa.array(np.append(opens, len(term)).astype(np.int32))
+            ids = b.column("id").take(pa.array(text))
+            columns = [pa.ListArray.from_arrays(cuts, c) for c in (ids, pa.array(tf.astype(np.int32)), pa.array(sizes[text].astype(np.int32)))]
+            terms_ = coded.dictionary.take(pa.array(term[opens]))
+            yield pa.RecordBatch.from_arrays([terms_, pa.array(np.full(len(opens), number)), *columns], names=["term", "block", "ids", "tfs", "dls"])
+
+    return counted.select("id", "words").mapInArrow(count, POSTINGS)
+
+
 def _write(df: DataFrame, at: str, key: str) -> None:
     """Rows cut by ranges of the key and sorted in each."""
     df.repartitionByRange(key).sortWithinPartitions(key).write.option("compression", "zstd").parquet(at)
@@ -142,16 +207,14 @@ def change(index: StoredIndex, add: DataFrame | None = None, remove: DataFrame |
         return index
     if segment["texts"]:
         own = read[1]
-        exploded = own.select("id", F.size("words").cast("long").alias("dl"), F.explode("words").alias("term"))
-        postings = exploded.groupBy("term", "id", "dl").agg(F.count(F.lit(1)).alias("tf")).select("term", "id", "tf", "dl")
-        _write(postings, f"{at}/postings", "term")
+        _write(_blocks(own), f"{at}/postings", "term")
         _write(own.select("id", F.size("words").cast("long").alias("dl"), "seal"), f"{at}/texts", "id")
         segment["postings"] = spark.read.parquet(f"{at}/postings").count()
     if segment["tombstones"]:
         _write(gone.select("id"), f"{at}/tombstones", "id")
     held = []
     if segment["postings"]:
-        held.append(spark.read.schema(POSTINGS).parquet(f"{at}/postings").select("term", F.lit(1).cast("long").alias("n")))
+        held.append(spark.read.schema(POSTINGS).parquet(f"{at}/postings").select("term", F.size("ids").cast("long").alias("n")))
     if segment["tombstones"]:
         held.append(gone.select(F.explode(F.array_distinct("words")).alias("term"), F.lit(-1).cast("long").alias("n")))
     deltas = held[0] if len(held) == 1 else held[0].unionByName(held[1]) if held else spark.createDataFrame([], "term string, n long")
@@ -190,7 +253,7 @@ def compact(index: StoredIndex, growth: float = 2.0, all_segments: bool = False)
     name = f"{first:06d}-{uuid.uuid4().hex}"
     at = f"{index.folder}/segments/{name}"
     segment = {"name": name, "place": merged[-1]["place"], "net_texts": own.documents, "net_length": own.length}
-    _write(own.postings(), f"{at}/postings", "term")
+    _write(own.live_blocks(), f"{at}/postings", "term")
     _write(own.texts(), f"{at}/texts", "id")
     _write(own.table("deltas", DELTAS).groupBy("term").agg(F.sum("df").alias("df")).where("df <> 0"), f"{at}/deltas", "term")
     if first:  # older segments may hold what these tombstones hide
