@@ -18,48 +18,56 @@ from pyspark.sql import functions as F
 from lorequarry.functions.text import terms_with_query
 
 REGION = "struct<start:int,end:int,terms:array<int>>"
-BLANK, SOLID = r"(?U)\s", r"(?U)^\S*"  # Unicode white space
+SOLID, BLANKS = r"(?U)^\S*", r"(?U)^\s+"  # Unicode white space
 
 
-def _quoted(term: Column) -> Column:
-    return F.concat(F.lit("\\Q"), F.replace(term, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
+def _let(value: Column, body) -> Column:
+    """body(value), with the value computed once for each row."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def _occurrences(line: Column, term: Column, most: int) -> Column:
+def _pattern(term: str) -> str:
+    return "\\Q" + term.replace("\\E", "\\E\\\\E\\Q") + "\\E"
+
+
+def _occurrences(line: Column, term: str, most: int) -> Column:
     """Places of the first occurrences of a term, which do not overlap."""
-    pieces = F.split(line, F.concat(F.lit("(?iu)"), _quoted(term)), most + 1)
+    size = F.lit(len(term))
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
 
     def step(s: Column, piece: Column) -> Column:
         at = s["at"] + F.length(piece)
-        return F.struct((at + F.length(term)).alias("at"), F.concat(s["out"], F.array(at)).alias("out"))
+        return F.struct((at + size).alias("at"), F.concat(s["out"], F.array(at)).alias("out"))
 
-    return F.aggregate(F.slice(pieces, 1, F.size(pieces) - 1), start, step, lambda s: s["out"])
+    places = lambda pieces: F.aggregate(F.slice(pieces, 1, F.size(pieces) - 1), start, step, lambda s: s["out"])
+    pattern = "(?iu)" + _pattern(term)
+    found = _let(F.split(line, pattern, most + 1), places)
+    return F.when(line.rlike(pattern), found).otherwise(F.array().cast("array<int>"))  # most lines lack most terms
 
 
-def windows(text: Column, asked: Column, context: int, most: int) -> Column:
+def windows(text: Column, asked: list[str], context: int, most: int) -> Column:
     """array<struct<start, end, term>>: the first windows in the order of lines, rounds and terms."""
-    any_term = F.concat(F.lit("(?iu)"), F.array_join(F.transform(asked, _quoted), "|"))
+    any_term = "(?iu)" + "|".join(map(_pattern, asked))
     empty = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,line:string>>").alias("out"))
 
     def line_step(s: Column, line: Column) -> Column:
-        hit = F.size(s["out"]) < most
         more = F.concat(s["out"], F.array(F.struct(s["at"].alias("start"), F.regexp_replace(line, r"\r\z", "").alias("line"))))
-        return F.struct((s["at"] + F.length(line) + 1).alias("at"), F.when(hit & F.rlike(line, any_term), more).otherwise(s["out"]).alias("out"))
+        hit = (F.size(s["out"]) < most) & line.rlike(any_term)
+        return F.struct((s["at"] + F.length(line) + 1).alias("at"), F.when(hit, more).otherwise(s["out"]).alias("out"))
 
-    lines = F.aggregate(F.split(text, "\n", -1), empty, line_step, lambda s: s["out"])
+    lines = F.aggregate(F.when(text.rlike(any_term), F.split(text, "\n", -1)).otherwise(F.array().cast("array<string>")), empty, line_step, lambda s: s["out"])
 
     def of_line(row: Column) -> Column:
         size = F.length(row["line"])
 
-        def of_term(term: Column, nth: Column) -> Column:
+        def of_term(term: str, nth: int) -> Column:
             def window(at: Column, turn: Column) -> Column:
-                lo, hi = F.greatest(F.lit(0), at - context), F.least(size, at + F.length(term) + context)
-                return F.struct(turn.alias("turn"), nth.alias("term"), (row["start"] + lo).alias("start"), (row["start"] + hi).alias("end"))
+                lo, hi = F.greatest(F.lit(0), at - context), F.least(size, at + len(term) + context)
+                return F.struct(turn.alias("turn"), F.lit(nth).alias("term"), (row["start"] + lo).alias("start"), (row["start"] + hi).alias("end"))
 
             return F.transform(_occurrences(row["line"], term, most), window)
 
-        return F.slice(F.array_sort(F.flatten(F.transform(asked, of_term))), 1, most)
+        return F.slice(F.array_sort(F.concat(*[of_term(t, i) for i, t in enumerate(asked)])), 1, most)
 
     found = F.slice(F.flatten(F.transform(lines, of_line)), 1, most)
     return F.transform(found, lambda w: F.struct(w["start"].alias("start"), w["end"].alias("end"), w["term"].alias("term")))
@@ -78,43 +86,56 @@ def regions(found: Column) -> Column:
     return F.aggregate(F.array_sort(found), F.array().cast(f"array<{REGION}>"), step)
 
 
-def covering(merged: Column, budget: Column) -> Column:
+def covering(merged: Column, budget: int) -> Column:
     """Regions in the order in which each shows the most terms not shown before; ties by place; none that shows nothing new."""
     start = F.struct(F.array().cast("array<int>").alias("shown"), F.array().cast(f"array<{REGION}>").alias("out"))
 
-    def step(s: Column, _: Column) -> Column:
-        gains = F.transform(merged, lambda r: F.struct(F.size(F.array_except(r["terms"], s["shown"])).alias("gain"), (-r["start"]).alias("place"), r.alias("region")))
-        best = F.array_max(gains)
-        taken = F.struct(F.array_union(s["shown"], best["region"]["terms"]).alias("shown"), F.concat(s["out"], F.array(best["region"])).alias("out"))
-        return F.when(F.coalesce(best["gain"] > 0, F.lit(False)), taken).otherwise(s)
+    def choose(all_: Column) -> Column:
+        def step(s: Column, _: Column) -> Column:
+            gains = F.transform(all_, lambda r: F.struct(F.size(F.array_except(r["terms"], s["shown"])).alias("gain"), (-r["start"]).alias("place"), r.alias("region")))
+
+            def taken(best: Column) -> Column:
+                more = F.struct(F.array_union(s["shown"], best["region"]["terms"]).alias("shown"), F.concat(s["out"], F.array(best["region"])).alias("out"))
+                return F.when(F.coalesce(best["gain"] > 0, F.lit(False)), more).otherwise(s)
 
-    rounds = F.when(budget >= 1, F.sequence(F.lit(1), budget)).otherwise(F.array().cast("array<int>"))
-    return F.aggregate(rounds, start, step, lambda s: s["out"])
+            return _let(F.array_max(gains), taken)
+
+        return F.aggregate(F.sequence(F.lit(1), F.least(F.lit(budget), F.greatest(F.size(all_), F.lit(1)))), start, step, lambda s: s["out"])
+
+    return _let(merged, choose)
 
 
 def snapped(text: Column, region: Column, base: Column) -> Column:
     """The region with its ends at white space: (start, end, snippet, terms); dots stand where the text goes on."""
-    size = F.length(text)
     head = F.length(F.regexp_extract(F.reverse(F.left(text, region["start"] + 1)), SOLID, 0))  # solid characters up to the first one
-    lo = F.when(head > region["start"], 0).otherwise(region["start"] - head)
-    hi = region["end"] + F.length(F.regexp_extract(F.substr(text, region["end"] + 1), SOLID, 0))
-    span = F.substr(text, lo + 1, hi - lo)
-    left = F.regexp_replace(span, r"(?U)^\s+", "")
-    start = lo + F.length(span) - F.length(left)
-    shown = F.reverse(F.regexp_replace(F.reverse(left), r"(?U)^\s+", ""))
-    end = start + F.length(shown)
-    full = F.concat(F.when(start > 0, "...").otherwise(""), shown, F.when(end < size, "...").otherwise(""))
-    return F.struct((base + start).alias("start"), (base + end).alias("end"), full.alias("snippet"), F.size(region["terms"]).alias("terms"))
-
-
-def snippets_of(text: Column, asked: Column, base: Column | int = 0, context: int = 35, most: int = 10, desired: int = 4) -> Column:
-    """array<struct<start, end, snippet, terms>> of a text for an array of terms; base: where the text begins in its document."""
-    text = F.coalesce(text, F.lit(""))
-    asked = F.filter(asked, lambda t: F.length(t) > 0)
-    budget = F.greatest(F.size(asked), F.lit(desired))
-    chosen = covering(regions(windows(text, asked, context, most)), budget)
-    base = F.lit(base) if isinstance(base, int) else base
-    return F.when(F.size(asked) > 0, F.transform(chosen, lambda r: snapped(text, r, base.cast("int")))).otherwise(F.array().cast("array<struct<start:int,end:int,snippet:string,terms:int>>"))
+    tail = F.length(F.regexp_extract(F.substr(text, region["end"] + 1), SOLID, 0))
+
+    def cut(e: Column) -> Column:
+        lo = F.when(e["head"] > region["start"], 0).otherwise(region["start"] - e["head"])
+        span = F.substr(text, lo + 1, region["end"] + e["tail"] - lo)
+        return _let(F.struct(lo.alias("lo"), F.length(span).alias("n"), F.regexp_replace(span, BLANKS, "").alias("left")), shown)
+
+    def shown(c: Column) -> Column:
+        own = F.reverse(F.regexp_replace(F.reverse(c["left"]), BLANKS, ""))
+        return _let(F.struct((c["lo"] + c["n"] - F.length(c["left"])).alias("start"), own.alias("own")), final)
+
+    def final(x: Column) -> Column:
+        end = x["start"] + F.length(x["own"])
+        full = F.concat(F.when(x["start"] > 0, "...").otherwise(""), x["own"], F.when(end < F.length(text), "...").otherwise(""))
+        return F.struct((base + x["start"]).alias("start"), (base + end).alias("end"), full.alias("snippet"), F.size(region["terms"]).alias("terms"))
+
+    return _let(F.struct(head.alias("head"), tail.alias("tail")), cut)
+
+
+def snippets_of(text: Column, asked: list[str], base: Column | int = 0, context: int = 35, most: int = 10, desired: int = 4) -> Column:
+    """array<struct<start, end, snippet, terms>> of a text for some terms; base: where the text begins in its document."""
+    asked = [t for t in asked if t]
+    none = F.array().cast("array<struct<start:int,end:int,snippet:string,terms:int>>")
+    if not asked:
+        return none
+    base = (F.lit(base) if isinstance(base, int) else base).cast("int")
+    chosen = covering(regions(windows(text, asked, context, most)), max(len(asked), desired))
+    return F.coalesce(F.transform(chosen, lambda r: snapped(text, r, base)), none)
 
 
 def snippets(texts: DataFrame, query: DataFrame, **how) -> DataFrame:
@@ -122,9 +143,10 @@ def snippets(texts: DataFrame, query: DataFrame, **how) -> DataFrame:
 
     Looked for are the whole trimmed query and its terms.
     """
-    asked = F.broadcast(query.select(F.array_distinct(terms_with_query(F.col("query"))).alias("__asked")))  # one row
-    found = texts.select("id", "text").crossJoin(asked).select("id", snippets_of(F.col("text"), F.col("__asked"), **how).alias("s"))
-    return found.select("id", F.posexplode("s").alias("nth", "s")).select("id", (F.col("nth") + 1).alias("nth"), "s.*")
+    asked = query.select(F.array_distinct(terms_with_query(F.col("query"))).alias("t")).first()["t"]  # the terms of one query
+    found = texts.select("id", snippets_of(F.col("text"), asked, **how).alias("s"))
+    shown = found.select("id", F.posexplode_outer("s").alias("nth", "s")).where("nth is not null")  # a filter before the explosion would compute s again
+    return shown.select("id", (F.col("nth") + 1).alias("nth"), "s.*")
 
 
 def snippet_lines(shown: Column) -> Column:
