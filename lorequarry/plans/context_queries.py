@@ -15,6 +15,7 @@ from lorequarry.operators import lexical as L
 from lorequarry.operators import vectors as V
 from lorequarry.plans.search_queries import BY_DOC, CENTRE, DIST, FIRST, Q0, docs, query_row, vector, vecs, words_sql
 from lorequarry.session import table
+from lorequarry.streaming import bursts as B
 from lorequarry.streaming import events as E
 
 D0 = DIST.format(a="embedding", b=Q0.format(i=0))
@@ -190,7 +191,14 @@ QUERIES = {
         "SELECT event_id, e > s + INTERVAL 14 MINUTE AS timed_out, coalesce(max(least(e, s + INTERVAL 14 MINUTE)) OVER (PARTITION BY user_id ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) > s, false) AS refused FROM (SELECT *, ts AS s, ts + to_minutes((event_id % 90) // 4) AS e FROM events)",
     ),
     "st5_throttled": (lambda s, d: E.throttled(acts(s, d)).select("key", "total"), None),
-    "st6_debounced": (lambda s, d: E.debounced(acts(s, d), 600_000).select("key", F.col("ts").cast("timestamp_ntz").alias("ts"), "n"), None),
+    "st6_debounced": (
+        lambda s, d: B.debounced(acts(s, d), 600_000).select("key", F.col("ts").cast("timestamp_ntz").alias("ts"), "n"),
+        """WITH RECURSIVE e AS (SELECT user_id AS key, ts FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL),
+        u AS (SELECT DISTINCT key, ts FROM e),
+        n AS (SELECT key, ts, min(ts) OVER (PARTITION BY key ORDER BY ts RANGE BETWEEN INTERVAL 600 SECOND FOLLOWING AND UNBOUNDED FOLLOWING) AS nxt FROM u),
+        c AS (SELECT key, min(ts) AS ts FROM u GROUP BY 1 UNION ALL SELECT n.key, n.nxt FROM c JOIN n ON n.key = c.key AND n.ts = c.ts WHERE nxt IS NOT NULL)
+        SELECT c.key, c.ts, count(*) AS n FROM c JOIN e ON e.key = c.key AND e.ts >= c.ts AND e.ts < c.ts + INTERVAL 600 SECOND GROUP BY 1, 2""",
+    ),
     "flt11_log_filters": (
         lambda s, d: table(s, d, "orders").join(table(s, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).where((F.col("o_orderdate") >= "1996-01-01") & (F.col("o_orderdate") < "1997-01-01") & F.col("c_name").rlike("(?i)#0+1")).select("o_orderkey"),
         "SELECT o_orderkey FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderdate >= '1996-01-01' AND o_orderdate < '1997-01-01' AND regexp_matches(c_name, '(?i)#0+1')",

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lorequarry.operators.files import normalised_path, readable_files
@@ -25,7 +25,11 @@ def read_code(spark: SparkSession, root: str, most_bytes: int = 5 << 20) -> Data
 def read_imports(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     """(sites, deposits) of the JSON arrays IMPORT_<instance>.json of a folder; missing names are empty, positions 0."""
     raw = spark.read.schema(IMPORT_SCHEMA).json(folder, multiLine=True, pathGlobFilter="IMPORT_*.json")
-    instance = F.lower(F.regexp_extract(F.col("_metadata.file_name"), r"^IMPORT_(.*)\.json$", 1))
+    return imported_parts(raw, F.lower(F.regexp_extract(F.col("_metadata.file_name"), r"^IMPORT_(.*)\.json$", 1)))
+
+
+def imported_parts(raw: DataFrame, instance: Column) -> tuple[DataFrame, DataFrame]:
+    """(sites, deposits) of imported records."""
     at = lambda c: [F.coalesce(F.col(f"{c}.{a}"), F.lit(0.0)).alias(a) for a in "xyz"]
     rows = raw.withColumn("instance", instance).withColumn("name", F.coalesce("name", F.lit("")))
     sites = rows.select("instance", "name", *at("position"), "size", F.lit(False).alias("mined"))
@@ -52,9 +56,3 @@ def notification_errors(rows: DataFrame) -> DataFrame:
     for column, most in reversed(limits):
         error = F.when(F.length(column) > most, F.lit(f"{column} longer than {most}")).otherwise(error)
     return rows.withColumn("error", F.when(~F.col("colour").between(0, 0xFFFFFF), "colour out of range").otherwise(error))
-
-
-def with_outcome(loads: DataFrame, valid) -> tuple[DataFrame, DataFrame]:
-    """(rows that load, rows for quarantine)."""
-    ok = F.coalesce(valid, F.lit(False))
-    return loads.where(ok), loads.where(~ok)
