@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lorequarry.functions import text as T
-from lorequarry.operators import control, files, hybrid, markdown, relational, vectors
+from lorequarry.operators import control, files, hybrid, markdown, relational, snippets, vectors
 from lorequarry.sources import readers
 from lorequarry.streaming import events
 
@@ -107,8 +107,8 @@ def test_bounding_trees_take_the_highest_parent(spark):
 
 def test_snippets(spark):
     t = spark.createDataFrame([(1, "x" * 100 + " match here and match again\nno\nmatch")], "id long, text string")
-    got = control.snippets(t, spark.createDataFrame([("match again",)], "query string"), 5).orderBy("nth", "start").collect()
-    assert all("match" in r.snippet or "again" in r.snippet for r in got) and got[-1].snippet == "match"
+    got = snippets.snippets(t, spark.createDataFrame([("match again",)], "query string"), context=5).orderBy("nth").collect()
+    assert [(r.nth, r.snippet, r.terms) for r in got] == [(1, "x" * 100 + " match here and match again...", 3)]  # the last line shows no further term
 
 
 def test_dependency_cycles(spark):
