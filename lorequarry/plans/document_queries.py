@@ -88,7 +88,7 @@ QUERIES = {
         lambda s, d: M.fetch(notes(s, d), M.parse(notes(s, d)), docs(s, d).select(F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".md:2,60")).alias("ref"))),
         "SELECT source || '/' || doc_id::VARCHAR || '.md:2,60' AS ref, substr('# Doc ' || doc_id::VARCHAR || chr(10) || chr(10) || '[def d' || doc_id::VARCHAR || '] [dependsOn src1/' || (doc_id + 20)::VARCHAR || '.md]' || chr(10) || chr(10) || text || chr(10) || chr(10) || '- one' || chr(10) || '- two' || chr(10), 3, 58) AS text FROM documents",
     ),
-    "hy9_bounding_trees": (lambda s, d: H.bounding_trees(_hits(s, d), _nodes(s, d)).select("root", "hits", F.round("mean", 6).alias("mean"), "chars"), None),
+    "hy9_bounding_trees": (lambda s, d: H.bounding_trees(_hits(s, d), _nodes(s, d)).select("root", "hits", F.round("mean", 6).alias("mean"), "chars"), "SELECT doc_id // 10 + 1 AS root, count(*) AS hits, round(avg(1.0e0 / (doc_id + 1)), 6) AS mean, sum(n_chars)::BIGINT AS chars FROM documents GROUP BY 1"),
     "hy11_snippets": (lambda s, d: S.snippets(docs(s, d).select(F.col("doc_id").alias("id"), "text"), query_row(s)), None),
     "ud5_dependency_levels": (
         lambda s, d: K.dependency_levels(_plugins(s, d).select("plugin").distinct(), _plugins(s, d).where("depends_on is not null").select("plugin", "depends_on", "kind")),
