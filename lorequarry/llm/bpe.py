@@ -23,7 +23,7 @@ import numpy as np
 
 from lorequarry.llm.textbytes import ragged
 
-WORD_LIMIT = 600_000  # words kept by a partition before it forgets them: memory, not results, depends on it
+WORD_LIMIT = 200_000  # words kept by a partition before it forgets them: memory, not results, depends on it
 
 
 def byte_symbols() -> list[str]:
