@@ -112,17 +112,17 @@ def signed(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     def run(batches):
         met = set()  # a number for each document of the task
         for batch in batches:
-            h1, out = [], []
             for _, data, offsets in slices(batch.column(0)):
+                h1, out = [], []
                 for u in shingle_hashes(data, offsets, k):
                     h = int(mix(u, 11).sum())
                     if len(u) and h not in met:
                         met.add(h)
                         out.append(signatures(u, num, den))
                         h1.append(np.full(len(out[-1]), h, np.uint64))
-            if out:
-                columns = [pa.array(np.concatenate(x).view(np.int64)) for x in (h1, out)]
-                yield pa.RecordBatch.from_arrays(columns, names=["h1", "sig"])
+                if out:  # some hundred signatures a set: handed on with each MB of text
+                    columns = [pa.array(np.concatenate(x).view(np.int64)) for x in (h1, out)]
+                    yield pa.RecordBatch.from_arrays(columns, names=["h1", "sig"])
 
     return docs.where("doc_id is not null").select("text").mapInArrow(run, "h1 long, sig long")
 
@@ -199,8 +199,11 @@ class RTree:
             self.levels.append((np.maximum.reduceat(high, first, axis=0), np.minimum.reduceat(small, first), first))
 
 
-def rtree_pairs(left: RTree, right: RTree, num: int, den: int, run: int = 1 << 16) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(i, j, bound) of the pairs of points whose overlap bound reaches what they need; i < j in order where both trees are one."""
+def rtree_pairs(left: RTree, right: RTree, num: int, den: int, run: int = 1 << 13) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(i, j, bound) of the pairs of points whose overlap bound reaches what they need; i < j in order where both trees are one.
+
+    So many pairs of nodes are looked at together: each has up to 64 pairs of children, and a pair of points takes some KB.
+    """
     same = left is right
     depth = max(len(left.levels), len(right.levels)) - 1
     level = lambda t, d: min(d, len(t.levels) - 1)
@@ -331,14 +334,14 @@ def family_links(sets: list[np.ndarray], side: np.ndarray | None, num: int, den:
     return out
 
 
-def paged(sized: DataFrame, num: int, den: int, page_shingles: int, docs_per_bucket: int = 500) -> DataFrame:
+def paged(sized: DataFrame, num: int, den: int, page_shingles: int, docs_per_bucket: int = 500, bin_shingles: int = 200_000) -> DataFrame:
     """(node, component, n, h1, h2) -> (__doc, h1, h2, n, component, page, bin, meets): the pages of families, and the pairs of pages that a document meets in.
 
-    Families of at most ``page_shingles`` are one page, and so many of them share a bin as its size allows.  A larger one is put in
+    Families of at most ``page_shingles`` are one page, and share bins of ``bin_shingles`` or so.  A larger one is put in
     order of size class and hash, and cut by running totals: a page starts no document after its ``page_shingles`` are reached.
     The totals are summed in two steps (inside a bucket, then over buckets), so that no task orders a family.
     """
-    bins = max(1, -(-(sized.agg(F.sum("n")).first()[0] or 0) // page_shingles))
+    bins = max(1, -(-(sized.agg(F.sum("n")).first()[0] or 0) // min(page_shingles, bin_shingles)))
     totals = sized.groupBy("component").agg(F.sum("n").alias("total"))
     large = durable(totals.where(F.col("total") > page_shingles).select("component"), "large")
     whole = F.array(F.struct(F.lit(0).alias("lo"), F.lit(0).alias("hi")))
@@ -445,8 +448,12 @@ def verified(docs: DataFrame, links: DataFrame, k: int, num: int, den: int) -> D
     return out
 
 
-def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, page_shingles: int = 200_000) -> DataFrame:
-    """(doc_id, n_shingles, component_id) for each row: size of the set, and smallest doc_id reachable by links."""
+def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, page_shingles: int = 600_000) -> DataFrame:
+    """(doc_id, n_shingles, component_id) for each row: size of the set, and smallest doc_id reachable by links.
+
+    A page of ``page_shingles`` is about as many bytes of points, so a task holds some MB; a set of a large family is shipped once for each of
+    its pages, so that larger pages are shipped less.
+    """
     rows = durable(shingled(docs, k), "sets")
     linkable = rows.where("n > 0 and doc_id is not null")
     one = durable(linkable.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "n")).alias("s")).select("h1", "h2", "s.*"), "classes")
