@@ -63,16 +63,33 @@ def parse_gps(text: Column) -> Column:
     return F.when(x.isNotNull() & y.isNotNull() & z.isNotNull(), F.struct(x.alias("x"), y.alias("y"), z.alias("z")))
 
 
+def two_decimals(x: Column) -> Column:
+    """A double with two decimals, rounded by its exact binary value and halves to even, as C and SQL print it (format_string rounds its shortest decimal form up)."""
+    x = x.cast("double")
+    v = F.abs(x)
+    whole = F.floor(v)
+
+    def hundredths(scale: int) -> Column:  # the fraction is a whole number of 2**-scale parts, so all of this is exact in long
+        part = ((v - whole) * float(1 << scale)).cast("long") * 100
+        cents, rest = F.shiftright(part, scale), part.bitwiseAND(F.lit((1 << scale) - 1))
+        half = F.lit(1 << (scale - 1))
+        return whole * 100 + cents + F.when((rest > half) | ((rest == half) & (cents % 2 == 1)), 1).otherwise(0)
+
+    n = F.when(v < 2.0**-4, hundredths(60)).otherwise(hundredths(56))
+    text = F.concat(F.when(x < 0, "-").otherwise(""), F.floor(n / 100).cast("string"), F.lit("."), F.lpad((n % 100).cast("string"), 2, "0"))
+    return F.when(v < 2.0**45, text).when(v.isNotNull(), F.format_string("%.2f", x))
+
+
 def distance_text(metres: Column) -> Column:
     """Metres below 1000, kilometres with two decimals at most from there on."""
-    km = F.regexp_replace(F.format_string("%.2f", metres / 1000), r"\.?0+$", "")
-    return F.when(metres < 1000, F.concat(F.format_string("%.0f", metres), F.lit(" m"))).otherwise(F.concat(km, F.lit(" km")))
+    km = F.regexp_replace(two_decimals(metres / 1000), r"\.?0+$", "")
+    return F.when(metres < 1000, F.concat(F.format_string("%.0f", F.rint(metres)), F.lit(" m"))).otherwise(F.concat(km, F.lit(" km")))
 
 
 def compact_number(x: Column) -> Column:
     """1.5K, 2.25M: two decimals at most."""
     def short(v: Column, unit: str) -> Column:
-        return F.concat(F.regexp_replace(F.format_string("%.2f", v), r"\.?0+$", ""), F.lit(unit))
+        return F.concat(F.regexp_replace(two_decimals(v), r"\.?0+$", ""), F.lit(unit))
 
     return F.when(x >= 1e6, short(x / 1e6, "M")).when(x >= 1e3, short(x / 1e3, "K")).otherwise(short(x, ""))
 

@@ -34,3 +34,12 @@ def test_expired_sessions(spark):
     t = dt.datetime(2024, 1, 1)
     s = events.sessions(spark.createDataFrame([(1, t), (2, t + dt.timedelta(hours=5))], "key long, ts timestamp"), "1 hour")
     assert [r.key for r in events.expired(s, "2024-01-01 01:00:00").collect()] == [1]
+
+
+def test_two_decimals_round_by_the_exact_value(spark):
+    values = [1.125, 1.005, 2.675, 0.005, 0.015, 1.375, 0.625, 0.375, 0.0, 0.3, 0.004, 99.995, 999.999, 4.0200249, 1e12 + 0.125, -1.005, -0.125, 2.0**-9, 0.0049999]
+    values += [k * 250 / 1e6 for k in range(4000, 6000)] + [k / 200 for k in range(1, 400)]
+    rows = spark.createDataFrame([(v,) for v in [*values, None]], "v double")
+    assert [r for r in rows.select("v", T.two_decimals(F.col("v")).alias("t")).collect() if r.t != (None if r.v is None else f"{r.v:.2f}")] == []
+    got = rows.limit(3).select(T.compact_number(F.col("v") * 1e6).alias("c"), T.distance_text(F.lit(2.5)).alias("d")).collect()
+    assert [tuple(r) for r in got] == [("1.12M", "2 m"), (f"{1.005 * 1e6 / 1e6:.2f}".rstrip("0").rstrip(".") + "M", "2 m"), (f"{2.675 * 1e6 / 1e6:.2f}M", "2 m")]
