@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lorequarry.session import cut
+
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
@@ -39,26 +41,34 @@ def knn(vectors: DataFrame, query: list[float], k: int, accept: Column | None =
     return best.withColumn("rank", F.row_number().over(Window.orderBy(F.round("score", 9), "vec_id")))
 
 
-def knn_batch(vectors: DataFrame, queries: DataFrame, k: int, block_rows: int = 1024, batch_queries: int = 512, lanes: int = 8) -> DataFrame:
+def _packed(rows: DataFrame, id_col: str, v: str, most: int, name: str) -> DataFrame:
+    """Rows of (id, v) in arrays (name) of about ``most`` rows of one width (name_width) and part (name_part), kept in the shared folder."""
+    rows = rows.where(F.col(v).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.transform(v, lambda x: x.cast("double")).alias("v"))
+    # dealt by part, never by width alone: that is one key for all rows
+    part = F.pmod(F.xxhash64("id"), F.lit(max(1, -(-rows.count() // most))))
+    return cut(rows.groupBy(part.alias(f"{name}_part"), F.size("v").alias(f"{name}_width")).agg(F.collect_list(F.struct("id", "v")).alias(name)))
+
+
+def _meetings(blocks: DataFrame, batches: DataFrame) -> DataFrame:
+    """Every block with every batch of its width, by a cross join that reads the tables again and shuffles neither."""
+    return blocks.crossJoin(batches).where("v_width - q_width = 0")  # as an equality, width would be the one key of a shuffle
+
+
+def knn_batch(vectors: DataFrame, queries: DataFrame, k: int, block_rows: int = 1024, batch_queries: int = 512) -> DataFrame:
     """(query_id, vec_id, score, rank) for each of the queries (query_id, q) against all vectors, exactly.
 
-    Each batch of queries meets the blocks of vectors in a fixed number of lanes, and only the k best of each query leave a lane.  Null vectors and
+    Batches of queries meet blocks of vectors, and only the k best of each query leave a task.  Null vectors and
     those of another length than the query have no distance and are left out.
     """
-    blocks = max(1, -(-vectors.count() // block_rows))
-    batches = max(1, -(-queries.count() // batch_queries))
-
-    def packed(rows: DataFrame, id_col: str, v: str, many: int, name: str) -> DataFrame:
-        rows = rows.where(F.col(v).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.transform(v, lambda x: x.cast("double")).alias("v"))
-        return rows.groupBy(F.pmod(F.xxhash64("id"), F.lit(many)).alias(name), F.size("v").alias("width")).agg(F.collect_list(F.struct("id", "v")).alias(name + "s"))
+    pairs = _meetings(_packed(vectors, "vec_id", "embedding", block_rows, "v"), _packed(queries, "query_id", "q", batch_queries, "q"))
+    return nearest_of_blocks(pairs.select(F.col("q_part").alias("batch"), F.col("v_width").alias("width"), F.col("v").alias("blocks"), F.col("q").alias("batchs")), k)
 
-    # dealt by block and batch, never by width alone: that is one key for all rows
-    pairs = vectors.sparkSession.range(blocks * batches).select((F.col("id") % blocks).alias("block"), F.floor(F.col("id") / blocks).alias("batch"))
-    pairs = pairs.join(packed(queries, "query_id", "q", batches, "batch"), "batch").join(packed(vectors, "vec_id", "embedding", blocks, "block"), ["block", "width"])
-    n = max(int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")), batches * lanes)
-    tasks = pairs.repartition(n, "batch", F.col("block") % lanes)
 
-    return nearest_of_blocks(tasks, k)
+def _matrix(cell, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and vectors of an array of (id, v), by id."""
+    ids = cell.values.field("id").to_numpy()
+    order = np.argsort(ids, kind="stable")
+    return ids[order], cell.values.field("v").flatten().to_numpy(zero_copy_only=False).reshape(len(ids), width)[order]
 
 
 def nearest_of_blocks(tasks: DataFrame, k: int) -> DataFrame:
@@ -67,17 +77,12 @@ def nearest_of_blocks(tasks: DataFrame, k: int) -> DataFrame:
     A task keeps the k best of each query of a batch while its blocks pass; those of all tasks are ranked at the end.
     """
 
-    def matrix(cell, width: int) -> tuple[np.ndarray, np.ndarray]:
-        ids = cell.values.field("id").to_numpy()
-        order = np.argsort(ids, kind="stable")
-        return ids[order], cell.values.field("v").flatten().to_numpy(zero_copy_only=False).reshape(-1, width)[order]
-
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: dict[tuple[int, int], tuple[np.ndarray, ...]] = {}
         for b in batches:
             for i, (batch, width) in enumerate(zip(b.column("batch").to_pylist(), b.column("width").to_pylist(), strict=True)):
-                ids, v = matrix(b.column("blocks")[i], width)
-                query_ids, q = matrix(b.column("batchs")[i], width)
+                ids, v = _matrix(b.column("blocks")[i], width)
+                query_ids, q = _matrix(b.column("batchs")[i], width)
                 score = 1.0 - q @ v.T
                 near = np.round(score, 9)
                 best = np.argsort(near, axis=1, kind="stable")[:, :k]  # ties by the smaller id
@@ -96,11 +101,36 @@ def nearest_of_blocks(tasks: DataFrame, k: int) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "vec_id", "score", "rank")
 
 
-def knn_by_pairs(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """The rows of ``knn_batch`` by the distance of every pair: the truth that searches are measured against."""
-    scored = vectors.select("vec_id", "embedding").crossJoin(queries.select("query_id", "q")).select("query_id", "vec_id", distance(F.col("embedding"), F.col("q")).alias("score"))
-    best = Window.partitionBy("query_id").orderBy(F.round("score", 9), "vec_id")
-    return scored.where("score IS NOT NULL").withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "vec_id", "score", "rank")
+def knn_by_pairs(vectors: DataFrame, queries: DataFrame, k: int, block_rows: int = 4096, batch_queries: int = 1024) -> DataFrame:
+    """The rows of ``knn_batch`` by the distance of every pair: the truth that searches are measured against.
+
+    Every block of vectors meets every batch of queries by a cross join of their tables, of which a task holds one pair at a time; the k best of
+    each query in each pair are ranked by Spark.  Vectors with null components have no distance.
+    """
+    if not k:
+        return vectors.sparkSession.createDataFrame([], "query_id long, vec_id long, score double, rank int")
+
+    def search(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in tables:
+            for i, width in enumerate(t.column("v_width").to_pylist()):
+                (ids, v), (query_ids, q) = (_matrix(t.column(name)[i], width) for name in "vq")
+                score = 1.0 - q @ v.T
+                near = np.round(score, 9)
+                last = np.partition(near, min(k, len(ids)) - 1, axis=1)[:, min(k, len(ids)) - 1, None]
+                row, at = np.nonzero((near <= last) | np.isnan(last))  # the k best and what ties with the last
+                order = np.lexsort((ids[at], near[row, at], row))
+                row, at = row[order], at[order]
+                first = np.searchsorted(row, row)
+                best = np.arange(len(row)) - first < k
+                row, at = row[best], at[best]
+                columns = [query_ids[row], ids[at], score[row, at], near[row, at]]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["query_id", "vec_id", "score", "near"])
+
+    whole = lambda v: F.forall(v, lambda x: x.isNotNull())
+    pairs = _meetings(_packed(vectors.where(whole("embedding")), "vec_id", "embedding", block_rows, "v"), _packed(queries.where(whole("q")), "query_id", "q", batch_queries, "q"))
+    found = pairs.select("v_width", "v", "q").mapInArrow(search, "query_id long, vec_id long, score double, near double")
+    best = Window.partitionBy("query_id").orderBy("near", "vec_id")
+    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "vec_id", "score", "rank")
 
 
 def centroid(hits: DataFrame) -> DataFrame:

@@ -96,3 +96,19 @@ def test_a_large_cell_is_written_in_several_files(spark, tmp_path, monkeypatch):
 
 def test_registered_recall(spark):
     assert registry.queries()["vc4_cell_recall"](spark, DATA).first().recall >= 0.95
+
+
+def test_truth_by_pairs_in_blocks(spark):
+    r = np.random.default_rng(3)
+    rows = [(i, [float(x) for x in np.round(r.normal(size=4), 1)]) for i in range(60)] + [(60 + i, [1.0, 0.0, 0.0, 0.0]) for i in range(9)]
+    rows += [(70, None), (71, [1.0, None, 0.0, 0.0]), (72, [1.0, 2.0]), (73, [float("nan")] * 4)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    queries = table.where("vec_id % 6 = 0 or vec_id > 70").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    want = set()
+    for i, q in rows:
+        if (i % 6 == 0 or i > 70) and q and None not in q:
+            far = sorted((float("inf") if s != s else round(s, 9), j, s) for j, v in rows if v and None not in v and len(v) == len(q) for s in [1 - sum(a * b for a, b in zip(q, v, strict=True))])
+            want |= {(i, j, n + 1) for n, (_, j, _) in enumerate(far[:5])}
+    found = vectors.knn_by_pairs(table, queries, 5, block_rows=8, batch_queries=3)
+    assert {(x.query_id, x.vec_id, x["rank"]) for x in found.collect()} == want
+    assert "MapInArrow" in found._jdf.queryExecution().executedPlan().toString()  # pairs meet as blocks, not as rows
