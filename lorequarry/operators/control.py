@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 import ast
+import operator
+import re
+from collections.abc import Callable
 from decimal import Decimal, DivisionByZero, InvalidOperation, localcontext
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -80,29 +84,62 @@ def publishable(path: Column) -> Column:
     return F.coalesce(F.lower(path).endswith(".md") & ~path.rlike(r"\A(?:[/\\]|[A-Za-z]:)") & depth, F.lit(False))
 
 
-def _exact(expression: str | None, digits: int) -> str | None:
-    """The value of an expression of numbers, + - * / % ** and brackets; null where it is none, too long or undefined."""
-    if expression is None or len(expression) > 2000:
-        return None
-    operators = {ast.Add: lambda a, b: a + b, ast.Sub: lambda a, b: a - b, ast.Mult: lambda a, b: a * b, ast.Div: lambda a, b: a / b, ast.Mod: lambda a, b: a % b, ast.Pow: lambda a, b: a**b}
+NUMBER = re.compile(r"(?<![\w.])(?:[0-9]+\.[0-9]*|0+|[1-9][0-9]*)(?![\w.])")  # plain ones; what else there is stays in the shape and is parsed with it
+SHAPES = 1000  # parsed shapes that a worker keeps
+
 
-    def value(n: ast.AST) -> Decimal:
+@lru_cache(SHAPES)
+def _shape(text: str, numbers: int) -> Callable[[list[Decimal]], Decimal] | None:
+    """An expression whose plain numbers were replaced by n as a function of these numbers, in order; null where it is none or holds another count of them."""
+    operators = {ast.Add: operator.add, ast.Sub: operator.sub, ast.Mult: operator.mul, ast.Div: operator.truediv, ast.Mod: operator.mod, ast.Pow: operator.pow}
+    places: list[tuple[int, int]] = []
+
+    def made(n: ast.AST) -> Callable[[list[Decimal]], Decimal]:
         if isinstance(n, ast.Expression):
-            return value(n.body)
+            return made(n.body)
+        if isinstance(n, ast.Name) and n.id == "n":
+            places.append((n.lineno, n.col_offset))
+            i = len(places) - 1
+            return lambda v: v[i]
         if isinstance(n, ast.Constant) and type(n.value) in (int, float):
-            return Decimal(ast.get_source_segment(expression, n))
+            x = Decimal(ast.get_source_segment(text, n))
+            return lambda v: x
         if isinstance(n, ast.UnaryOp) and isinstance(n.op, ast.UAdd | ast.USub):
-            return value(n.operand) if isinstance(n.op, ast.UAdd) else -value(n.operand)
+            a = made(n.operand)
+            return a if isinstance(n.op, ast.UAdd) else lambda v: -a(v)
         if isinstance(n, ast.BinOp) and type(n.op) in operators:
-            return operators[type(n.op)](value(n.left), value(n.right))
+            a, b, f = made(n.left), made(n.right), operators[type(n.op)]
+            return lambda v: f(a(v), b(v))
         raise ValueError
 
+    try:
+        out = made(ast.parse(text, mode="eval"))
+    except (ValueError, SyntaxError, RecursionError, MemoryError, ArithmeticError):
+        return None
+    return out if len(places) == numbers and places == sorted(places) else None
+
+
+def _exact(expression: str | None, digits: int) -> str | None:
+    """The value of an expression of numbers, + - * / % ** and brackets; null where it is none, too long or undefined.
+
+    Expressions that differ in their numbers only are parsed once.
+    """
+    if expression is None or len(expression) > 2000:
+        return None
+    text = expression.strip()
+    numbers = NUMBER.findall(text) if text.isascii() and "n" not in text else []
+    shape = _shape(NUMBER.sub("n", text), len(numbers)) if numbers else None
+    if shape is None:  # a text of another kind, for example with a remark, is taken as it stands
+        numbers = []
+        shape = _shape(text, 0)
+    if shape is None:
+        return None
     try:
         with localcontext() as c:
             c.prec = digits
-            out = value(ast.parse(expression.strip(), mode="eval"))
+            out = shape([Decimal(x) for x in numbers])
             return format(out.normalize(), "f") if out.is_finite() and abs(out.adjusted()) < 1000 else None
-    except (ValueError, SyntaxError, RecursionError, MemoryError, DivisionByZero, InvalidOperation, ArithmeticError):
+    except (ValueError, RecursionError, MemoryError, DivisionByZero, InvalidOperation, ArithmeticError):
         return None
 
 
