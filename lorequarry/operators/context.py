@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from bisect import bisect_left, bisect_right
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -84,24 +87,29 @@ def unshown_blocks(markers: DataFrame) -> DataFrame:
     """(conv, pos, path, node_id, start, end, ancestors) -> (conv, pos): the blocks of a conversation that its earlier ones don't show yet.
 
     A block is skipped if it or a node above it was shown, or if the shown ranges of its file cover it together.  Files of a
-    conversation are independent of each other, so each is folded on its own.
+    conversation are independent of each other, so each is folded on its own; a task takes its files in turn and holds what is shown of one.
     """
 
-    def fold(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        nodes: set[int] = set()
-        own: list[list[int]] = []
-        kept = []
-        for x in rows.sort_values("pos", kind="stable").itertuples():
-            if nodes.isdisjoint((x.node_id, *x.ancestors)) and not any(a <= x.start and x.end <= b for a, b in own):
-                nodes.add(x.node_id)
-                kept.append(x.pos)
-                merged: list[list[int]] = []
-                for a, b in sorted([*own, [x.start, x.end]]):
-                    if merged and a <= merged[-1][1]:
-                        merged[-1][1] = max(merged[-1][1], b)
-                    else:
-                        merged.append([a, b])
-                own = merged
-        return pd.DataFrame({"conv": [key[0]] * len(kept), "pos": kept})
-
-    return markers.groupBy("conv", "path").applyInPandas(fold, "conv long, pos long")
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, shown = object(), set()
+        starts: list[int] = []  # the shown ranges, disjoint and in order
+        ends: list[int] = []
+        for b in batches:
+            convs, at = [], []
+            for conv, pos, path, node, start, end, above in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if of != (conv, path):
+                    of, shown, starts, ends = (conv, path), set(), [], []
+                i = bisect_right(starts, start) - 1
+                if not shown.isdisjoint((node, *above)) or (i >= 0 and end <= ends[i]):
+                    continue
+                shown.add(node)
+                convs.append(conv)
+                at.append(pos)
+                first, last = bisect_left(ends, start), bisect_right(starts, end)  # ranges that touch the new one
+                if first < last:
+                    start, end = min(start, starts[first]), max(end, ends[last - 1])
+                starts[first:last], ends[first:last] = [start], [end]
+            yield pa.RecordBatch.from_arrays([pa.array(convs, pa.int64()), pa.array(at, pa.int64())], names=["conv", "pos"])
+
+    rows = markers.select(F.col("conv").cast("long"), F.col("pos").cast("long"), "path", "node_id", "start", "end", "ancestors")
+    return rows.repartition("conv", "path").sortWithinPartitions("conv", "path", "pos").mapInArrow(fold, "conv long, pos long")
