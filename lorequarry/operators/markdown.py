@@ -10,20 +10,26 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 NODES = "path string, node_id int, parent_id int, depth int, type string, level int, start int, end int, text string, language string, ancestors array<int>"
+ARROW = pa.schema([(c.split()[0], {"string": pa.string(), "int": pa.int32(), "array<int>": pa.list_(pa.int32())}[c.split()[1]]) for c in NODES.split(", ")])
+SLICE_NODES, SLICE_CHARS = 2000, 1_000_000  # what a parser holds before it hands it on
 FENCE = re.compile(r"^ {0,3}(`{3,}|~{3,})(.*)$")
 HEADING = re.compile(r"^ {0,3}(#{1,6})(?:[ \t]+(.*?))?[ \t]*$")
 BREAK = re.compile(r"^ {0,3}([-*_])[ \t]*(?:\1[ \t]*){2,}$")
 QUOTE = re.compile(r"^ {0,3}>( ?)(.*)$")
 ITEM = re.compile(r"^( *)([-*+]|\d{1,9}[.)])[ \t]+(.*)$")
+OPENING = frozenset("`~>-*_#+")  # what is not a plain line begins with one of these or a digit, after blanks
 
 
 def _kind(line: str) -> str:
     """What a line opens."""
+    first = line.lstrip(" ")[:1]
+    if first and first not in OPENING and not first.isspace() and not first.isdecimal():
+        return "text"
     for name, pattern in (("fence", FENCE), ("quote", QUOTE), ("break", BREAK), ("heading", HEADING)):
         if pattern.match(line):
             return name
@@ -116,15 +122,26 @@ def _tree(path: str, content: str) -> list[list]:
     return nodes
 
 
+def node_batches(documents: Iterator[tuple[str, str | None]], most: int = SLICE_NODES) -> Iterator[pa.RecordBatch]:
+    """Nodes of (path, content) in batches that are handed on at ``most`` nodes or SLICE_CHARS characters, and at the end of a document."""
+    rows, size = [], 0
+    for path, content in documents:
+        rows += _tree(path, content or "")
+        size += len(content or "")
+        if len(rows) >= most or size >= SLICE_CHARS:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), ARROW.types, strict=True)], schema=ARROW)
+            rows, size = [], 0
+    if rows:
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), ARROW.types, strict=True)], schema=ARROW)
+
+
 def parse(files: DataFrame) -> DataFrame:
-    """(path, content) -> nodes."""
+    """(path, content) -> nodes; a task holds the nodes of some documents at a time, whatever the number of rows in a batch."""
 
     def run(batches):
-        for b in batches:
-            rows = [r for p, c in zip(b["path"], b["content"], strict=True) for r in _tree(p, c or "")]
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in NODES.split(", ")]).astype({"parent_id": "Int32"})
+        yield from node_batches((p.as_py(), c.as_py()) for b in batches for p, c in zip(b.column(0), b.column(1), strict=True))
 
-    return files.select("path", "content").mapInPandas(run, NODES)
+    return files.select("path", "content").mapInArrow(run, NODES)
 
 
 def tags(nodes: DataFrame, tag: str) -> DataFrame:
@@ -203,6 +220,8 @@ def broken_references(deps: DataFrame, files: DataFrame, definitions: DataFrame)
 def chunks(nodes: DataFrame, most: int = 1000) -> DataFrame:
     """(path, node_id, chunk, start, at, raw, chunk_text, hash) of paragraphs, code, items and quotes with text.
 
+    The nodes are read several times; keep them (``session.kept``) where they are parsed on the way.
+
     A prefix names the document, the headings above, the offsets, the definitions and dependencies of the node and of
     those above it, the tree and the kind; it is left out where it takes half the room.  A text
     that fits stays whole; a longer one is split at newlines, what follows the last newline at sentence ends too (code
