@@ -14,7 +14,7 @@ from lorequarry.operators import markdown as M
 from lorequarry.operators import snippets as S
 from lorequarry.plans.context_queries import PATH, paths
 from lorequarry.plans.search_queries import docs, query_row
-from lorequarry.session import table
+from lorequarry.session import kept, table
 
 
 def notes(s, d):
@@ -24,9 +24,25 @@ def notes(s, d):
     return docs(s, d).select(F.concat("source", F.lit("/"), n, F.lit(".md")).alias("path"), body.alias("content"))
 
 
-def deps(s, d):
-    n = M.parse(notes(s, d))
-    return M.tags(n, "dependsOn").select("path", F.col("value").alias("ref"))
+def nodes(s, d):
+    """The nodes of the notes, parsed once for all that reads them."""
+    return kept(M.parse(notes(s, d)))
+
+
+def _context(s, d):
+    n = nodes(s, d)
+    return X.fetch_context(_requests(s, d), notes(s, d), n, M.tags(n, "def")).select("request", "path", "start", F.col("end").alias("end_"), F.array_join("refs", "|").alias("refs"), "text")
+
+
+def _broken(s, d):
+    n = nodes(s, d)
+    return M.broken_references(M.tags(n, "dependsOn").select("path", F.col("value").alias("ref")), notes(s, d).select("path"), M.tags(n, "def"))
+
+
+def _chunk_sync(s, d):
+    """All chunks against those of a snapshot without the files of one folder; chunks of a file depend on that file alone."""
+    now = kept(M.chunks(nodes(s, d)).select("path", "hash"))
+    return M.sync(now, now.where("path NOT LIKE 'src1/%'")).groupBy("action").agg(F.count(F.lit(1)).alias("n"))
 
 
 def references(s, d):
@@ -74,16 +90,16 @@ QUERIES = {
         "SELECT source || '/' || doc_id::VARCHAR || '.md' AS path, '@d' || (doc_id - 1)::VARCHAR AS ref FROM documents WHERE doc_id % 2 = 1",
     ),
     "df2_fetch_context": (
-        lambda s, d: X.fetch_context(_requests(s, d), notes(s, d), M.parse(notes(s, d)), M.tags(M.parse(notes(s, d)), "def")).select("request", "path", "start", F.col("end").alias("end_"), F.array_join("refs", "|").alias("refs"), "text"),
+        _context,
         None,
     ),
     "jn13_unshown_blocks": (lambda s, d: X.unshown_blocks(_markers(s, d)), None),
     "jn7_broken_references": (
-        lambda s, d: M.broken_references(deps(s, d), notes(s, d).select("path"), M.tags(M.parse(notes(s, d)), "def")),
+        _broken,
         "SELECT source || '/' || doc_id::VARCHAR || '.md' AS path, 'src1/' || (doc_id + 20)::VARCHAR || '.md' AS ref FROM documents WHERE 'src1/' || (doc_id + 20)::VARCHAR || '.md' NOT IN (SELECT source || '/' || doc_id::VARCHAR || '.md' FROM documents)",
     ),
-    "ck2_chunks": (lambda s, d: M.chunks(M.parse(notes(s, d))).select("path", "node_id", "chunk", "hash"), None),
-    "ck7_chunk_sync": (lambda s, d: M.sync(M.chunks(M.parse(notes(s, d))), M.chunks(M.parse(notes(s, d).where("path NOT LIKE 'src1/%'")))).groupBy("action").agg(F.count(F.lit(1)).alias("n")), None),
+    "ck2_chunks": (lambda s, d: M.chunks(nodes(s, d)).select("path", "node_id", "chunk", "hash"), None),
+    "ck7_chunk_sync": (_chunk_sync, None),
     "df1_fetch": (
         lambda s, d: M.fetch(notes(s, d), M.parse(notes(s, d)), docs(s, d).select(F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".md:2,60")).alias("ref"))),
         "SELECT source || '/' || doc_id::VARCHAR || '.md:2,60' AS ref, substr('# Doc ' || doc_id::VARCHAR || chr(10) || chr(10) || '[def d' || doc_id::VARCHAR || '] [dependsOn src1/' || (doc_id + 20)::VARCHAR || '.md]' || chr(10) || chr(10) || text || chr(10) || chr(10) || '- one' || chr(10) || '- two' || chr(10), 3, 58) AS text FROM documents",

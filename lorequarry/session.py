@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -55,6 +56,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """The same rows, computed now and read from a compressed table in the shared folder, by the columns that are needed."""
+    at = f"{shared_folder(df.sparkSession)}/kept-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(at)
+    return df.sparkSession.read.schema(df.schema).parquet(at)
+
+
 def ship(spark: SparkSession) -> None:
     """Sends this package to the Python workers, once for each application (as --py-files would)."""
     context = spark.sparkContext

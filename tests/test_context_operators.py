@@ -2,6 +2,7 @@
 
 import hashlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -129,3 +130,42 @@ def test_control_columns(spark):
     assert [r.ok for r in names.select(control.publishable(F.col("p")).alias("ok")).collect()] == [True, False, False, True, False, False, False, False]
     files = spark.createDataFrame([("ok-1.md", "x"), ("a b", "x"), ("x" * 65, "x"), ("a", "x" * 65_537), (None, "x")], "n string, c string")
     assert [r.e for r in files.select(control.attachment_errors(F.col("n"), F.col("c")).alias("e")).collect()] == [None, "name", "name length", "content length", "name"]
+
+
+def test_parser_hands_on_small_batches():
+    files = [(f"{i}.md", f"# H{i}\n\ntext {i}\n\n- a\n- b\n") for i in range(5000)] + [("long.md", "word " * 300_000), ("none.md", None)]
+    sizes, rows = [], []
+    for b in markdown.node_batches(iter(files)):
+        sizes.append(b.num_rows)
+        rows += zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)
+    assert max(sizes) < 2010 and len(sizes) > 10
+    assert rows == [(p, x[1]) for p, c in files for x in markdown._tree(p, c or "")]
+
+
+def test_unshown_blocks_against_all_pairs(spark):
+    r = np.random.default_rng(4)
+    rows = []
+    for conv, path in [(c, p) for c in range(30) for p in "abc"]:
+        for pos in r.permutation(40).tolist():
+            start = int(r.integers(0, 200))
+            rows.append((conv, pos * 3 + ord(path), path, int(r.integers(0, 60)), start, start + int(r.integers(0, 30)), [int(x) for x in r.integers(60, 75, 2)]))
+    want = set()
+    for key in {(x[0], x[2]) for x in rows}:
+        shown, bounds = set(), []
+        for x in sorted((x for x in rows if (x[0], x[2]) == key), key=lambda x: x[1]):
+            if shown.isdisjoint((x[3], *x[6])) and not any(a <= x[4] and x[5] <= b for a, b in bounds):
+                shown.add(x[3])
+                want.add((x[0], x[1]))
+                near = [v for v in bounds if v[0] <= x[5] and x[4] <= v[1]]
+                bounds = [v for v in bounds if v not in near] + [(min([x[4], *[v[0] for v in near]]), max([x[5], *[v[1] for v in near]]))]
+    m = spark.createDataFrame(rows, "conv long, pos long, path string, node_id int, start int, end int, ancestors array<int>")
+    found = context.unshown_blocks(m)
+    assert {(x.conv, x.pos) for x in found.collect()} == want
+    assert "FlatMapGroups" not in found._jdf.queryExecution().executedPlan().toString()  # no call of Python for each file
+
+
+def test_expressions_of_one_shape_are_parsed_once():
+    control._shape.cache_clear()
+    assert [control._exact(f"({i} + 0.5) * -{i % 7} ** 2", 64) for i in (3, 700)] == ["-31.5", "0"]
+    assert control._shape.cache_info().misses == 1
+    assert [control._exact(e, 64) for e in (" -12", "1 + 2 # 3", "n + 1", "n # 1", "07", "07.5", "1_01", "2 * \n3")] == ["-12", "3", None, None, None, "7.5", "101", None]
