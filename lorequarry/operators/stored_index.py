@@ -20,6 +20,7 @@ has no terms.  A change without rows writes nothing.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -34,6 +35,7 @@ from lorequarry.sources import versions
 POSTINGS = "term string, block long, ids array<long>, tfs array<int>, dls array<int>"
 TEXTS = "id long, dl long, seal long"
 DELTAS = "term string, df long"
+BLOCK_WORDS = 1_000_000  # what a task counts at once; some thousand texts
 SENT_ROWS = 2_000_000  # tombstones of 8 bytes are sent to all tasks up to here, and shuffled beyond
 
 
@@ -140,13 +142,25 @@ def _without(sent):
     return keep
 
 
+def _slices(batches: Iterator[pa.RecordBatch], most: int = BLOCK_WORDS) -> Iterator[pa.RecordBatch]:
+    """The same texts in batches of at most so many words (or one text), so that a block takes the same memory whatever the batches hold."""
+    for b in batches:
+        ends = np.array(b.column("words").offsets, np.int64)
+        at = 0
+        while at < b.num_rows:
+            to = max(at + 1, int(np.searchsorted(ends, ends[at] + most, "right")) - 1)
+            yield b.slice(at, to - at)
+            at = to
+
+
 def _blocks(counted: DataFrame) -> DataFrame:
     """(id, words) -> blocks of postings: a task counts the words of some thousand texts at once, and hands on a row for each of their terms."""
 
     def count(batches):
-        for number, b in enumerate(batches):
+        for number, b in enumerate(_slices(batches)):
             lists = b.column("words")
-            offsets = np.array(lists.offsets, np.int64) - lists.offsets[0].as_py()
+            offsets = np.array(lists.offsets, np.int64)
+            offsets -= offsets[0]
             sizes = np.diff(offsets)
             coded = lists.flatten().dictionary_encode()
             n = b.num_rows

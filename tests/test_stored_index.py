@@ -3,6 +3,7 @@
 import os
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -79,3 +80,12 @@ def test_terms_are_pushed_down_and_row_groups_skipped(spark, tmp_path):
     plan = stored_index.search(index, "t77")._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [In(term, [t77])]" in plan or "EqualTo(term,t77)" in plan
     assert [r.id for r in stored_index.search(index, "t77").collect()] == [77]
+
+
+def test_blocks_are_counted_in_slices():
+    words = [["a", "b"] * (i % 5) for i in range(1000)] + [["c"] * 5000, [], ["d"]]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(words))), pa.array(words, pa.list_(pa.string()))], names=["id", "words"])
+    got = list(stored_index._slices(iter([batch.slice(0, 500), batch.slice(500)]), 100))
+    assert [x for b in got for x in b.column("id").to_pylist()] == list(range(len(words)))
+    assert [x for b in got for x in b.column("words").to_pylist()] == words
+    assert all(sum(len(x) for x in b.column("words").to_pylist()) <= 100 or b.num_rows == 1 for b in got)
