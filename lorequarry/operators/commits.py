@@ -2,11 +2,12 @@
 
 commits (sha, parents array<string>, author, time, message), refs (name, sha), changes (sha, path, status, added, deleted).
 
-The first parents form trees.  ``Graph`` keeps the ancestor that is 1, 2, 4, ... first parents away from each commit, a table for each power,
-made from the one before by one join and kept in the shared folder; so the n-th ancestors of any number of commits take a join for each
-bit of n, whatever the depth of the history.  What is reachable from some tips grows by those tables too: the commits found are joined with
-one power after the other until nothing new comes, then the other parents of merges start the next round.  The number of rounds is the depth of
-merges inside merges, not of the history.
+The first parents form trees.  Commits are numbered by a hash of their name (a second hash is compared wherever numbers meet, and another seed is
+taken if two names share a number).  One commit in EVERY, chosen by hash, is an anchor.  ``Graph`` keeps, in the shared folder, the ancestors 1, 2, 4, ...
+first parents away that are reached without meeting an anchor, so these tables shrink and end at once the gaps do, and for anchors alone those 1, 2, 4, ...
+anchors away with their distance.  So the n-th ancestors of any number of commits take a join for each bit of n, whatever the depth of the history, and all
+tables together hold a few rows for each commit.  What is reachable from some tips is found among the anchors first and then filled in between them; then
+the other parents of merges start the next round.  The number of rounds is the depth of merges inside merges, not of the history.
 
 Defined cases: a commit without parents ends its line; parents that are not among the commits are followed no further; an ancestor beyond the
 root is null; null revisions, and those that name nothing or several commits, have an error and no commit.
@@ -14,31 +15,95 @@ root is null; null revisions, and those that name nothing or several commits, ha
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+import itertools
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lorequarry.session import cut
+from lorequarry.session import cut, kept
+
+
+EVERY = 16  # commits to an anchor
+
+
+def _number(sha: Column, seed: int) -> Column:
+    return F.xxhash64(F.lit(seed), sha)
+
+
+def _anchor(n: Column) -> Column:
+    return F.pmod(F.xxhash64(F.lit("anchor"), n), F.lit(EVERY)) == 0
 
 
-@dataclass
 class Graph:
-    """Commits and the tables of their ancestors by powers of two, made when they are needed."""
+    """Commits (sha, parents) and the tables of their ancestors, made when they are needed."""
+
+    def __init__(self, commits: DataFrame):
+        self.commits = commits
+        self.levels: list[DataFrame] = []  # (n, to, far): the anchor 2**level anchors away and its distance
+
+    @cached_property
+    def _hashed(self) -> tuple[int, DataFrame]:
+        """The seed of the numbers, and (n, c, p, pc): number and second hash of each commit and of its first parent."""
+        for seed in itertools.count(0, 2):
+            first = F.get("parents", F.lit(0))
+            parent = F.when(first.isNotNull(), F.struct(_number(first, seed).alias("p"), _number(first, seed + 1).alias("pc")))
+            rows = self.commits.where("sha is not null").select(_number(F.col("sha"), seed).alias("n"), _number(F.col("sha"), seed + 1).alias("c"), parent.alias("f"))
+            own = kept(rows.groupBy("n").agg(F.min("c").alias("c"), F.max("c").alias("most"), F.min("f").alias("f")))
+            if own.where("c <> most").isEmpty():
+                return seed, own.select("n", "c", "f.p", "f.pc")
+
+    def numbered(self, rows: DataFrame, sha: str = "sha") -> DataFrame:
+        """Rows with n, the number of the commit they name; rows that name none go."""
+        seed, own = self._hashed
+        return rows.withColumns({"n": _number(F.col(sha), seed), "c": _number(F.col(sha), seed + 1)}).join(own.select("n", "c"), ["n", "c"]).drop("c")
+
+    def named(self, rows: DataFrame) -> DataFrame:
+        """Rows with sha in place of the number n."""
+        own = self.commits.where("sha is not null").select(_number(F.col("sha"), self._hashed[0]).alias("n"), "sha").distinct()
+        return rows.join(own, "n").drop("n")
+
+    @cached_property
+    def links(self) -> DataFrame:
+        """(n, to): each commit with its first parent, where that is a commit."""
+        own = self._hashed[1]
+        parents = own.select(F.col("n").alias("p"), F.col("c").alias("pc"))
+        return kept(own.where("p is not null").select("n", "p", "pc").join(parents, ["p", "pc"]).select("n", F.col("p").alias("to")))
+
+    @cached_property
+    def others(self) -> DataFrame:
+        """(child, to): each merge with its other parents, where these are commits."""
+        merges = self.commits.where(F.size("parents") > 1).select(_number(F.col("sha"), self._hashed[0]).alias("child"), F.explode(F.slice("parents", 2, F.size("parents") - 1)).alias("sha"))
+        return kept(self.numbered(merges).select("child", F.col("n").alias("to")))
+
+    @cached_property
+    def steps(self) -> list[DataFrame]:
+        """(n, to): for each k the ancestor 2**k away, where neither it nor one before it is an anchor."""
+        out = [self.links.where(~_anchor(F.col("to")))]
+        while True:
+            last = out[-1]
+            made = kept(last.join(last.select(F.col("n").alias("to"), F.col("to").alias("far")), "to").select("n", F.col("far").alias("to")))
+            if made.isEmpty():
+                return out
+            out.append(made)
 
-    commits: DataFrame
-    levels: list[DataFrame] = field(default_factory=list)
+    def exits(self, rows: DataFrame) -> DataFrame:
+        """(n) -> (n, to, far): the first anchor above each and its distance, where there is one."""
+        at = rows.select("n", F.col("n").alias("at"), F.lit(0).cast("long").alias("far"))
+        for k, step in reversed(list(enumerate(self.steps))):
+            up = at.join(step.select(F.col("n").alias("at"), F.col("to").alias("up")), "at", "left")
+            at = up.select("n", F.coalesce("up", "at").alias("at"), (F.col("far") + F.when(F.col("up").isNotNull(), 1 << k).otherwise(0)).alias("far"))
+        return at.join(self.links.select(F.col("n").alias("at"), "to"), "at").select("n", "to", (F.col("far") + 1).alias("far"))
 
     def jump(self, level: int) -> DataFrame | None:
-        """(sha, to): the ancestor 2**level first parents away, where there is one; None beyond the longest line."""
+        """(n, to, far) of anchors: the anchor 2**level anchors away, and its distance; None beyond the longest line."""
         while len(self.levels) <= level:
             if not self.levels:
-                first = self.commits.select("sha", F.get("parents", F.lit(0)).alias("to")).where("to is not null")
-                made = first.join(self.commits.select(F.col("sha").alias("to")), "to", "left_semi").select("sha", "to")
+                made = self.exits(self._hashed[1].where(_anchor(F.col("n"))))
             else:
                 last = self.levels[-1]
-                made = last.join(last.select(F.col("sha").alias("to"), F.col("to").alias("far")), "to").select("sha", F.col("far").alias("to"))
-            made = cut(made)
+                made = last.join(last.select(F.col("n").alias("to"), F.col("to").alias("__to"), F.col("far").alias("__far")), "to").select("n", F.col("__to").alias("to"), (F.col("far") + F.col("__far")).alias("far"))
+            made = kept(made)
             if made.isEmpty():
                 return None
             self.levels.append(made)
@@ -48,47 +113,70 @@ class Graph:
 def ancestors(graph: Graph, asked: DataFrame) -> DataFrame:
     """asked (..., sha, hops) with ancestor: the commit that many first parents away, null beyond the root.
 
-    Rows whose hops are null or negative have no ancestor.
+    Rows whose hops are null or negative have no ancestor; with 0 hops it is the name that was asked for.
     """
-    at = asked.withColumn("ancestor", F.when(F.col("hops") >= 0, F.col("sha")))
-    most = asked.agg(F.max("hops")).first()[0] or 0
-    level = 0
-    while (1 << level) <= most:
-        jump = graph.jump(level)
-        bit = F.col("hops").bitwiseAND(F.lit(1 << level)) != 0
-        if jump is None:  # no line is that long
-            at = at.withColumn("ancestor", F.when(F.shiftright("hops", level) == 0, F.col("ancestor")))
-            break
-        moved = at.join(jump.select(F.col("sha").alias("__from"), F.col("to").alias("__to")), F.col("ancestor") == F.col("__from"), "left")
-        at = moved.withColumn("ancestor", F.when(bit, F.col("__to")).otherwise(F.col("ancestor"))).drop("__from", "__to")
+    far = asked.where("hops > 0").select("sha", F.col("hops").cast("long").alias("hops")).distinct()
+    at = kept(graph.numbered(far).select(F.col("n").alias("of"), "hops"))
+    most = at.agg(F.max("hops")).first()[0] or 0
+    exits = graph.exits(at.select(F.col("of").alias("n")).distinct()).withColumnsRenamed({"n": "of"})
+    out = (F.col("far") <= F.col("left")) & F.col("to").isNotNull()
+    at = at.withColumn("left", F.col("hops")).join(exits, "of", "left")
+    at = at.select("of", "hops", F.when(out, F.col("to")).otherwise(F.col("of")).alias("at"), (F.col("left") - F.when(out, F.col("far")).otherwise(0)).alias("left"))
+    up, level = [], 0
+    while (1 << level) <= most and (jump := graph.jump(level)) is not None:
+        up.append(jump)
         level += 1
-    return at
-
-
-def reachable(graph: Graph, tips: DataFrame) -> DataFrame:
-    """(sha): the tips that are commits, and all that their parents lead to."""
-    own = graph.commits.select("sha")
+    for jump in reversed(up):  # commits that are no anchors are in none of these
+        at = at.join(jump.withColumnsRenamed({"n": "at"}), "at", "left")
+        at = at.select("of", "hops", F.when(out, F.col("to")).otherwise(F.col("at")).alias("at"), (F.col("left") - F.when(out, F.col("far")).otherwise(0)).alias("left"))
+    for k, step in reversed(list(enumerate(graph.steps))):
+        if (1 << k) <= most:
+            at = at.join(step.withColumnsRenamed({"n": "at"}), "at", "left")
+            near = F.col("to").isNotNull() & (F.col("left") >= 1 << k)
+            at = at.select("of", "hops", F.when(near, F.col("to")).otherwise(F.col("at")).alias("at"), (F.col("left") - F.when(near, 1 << k).otherwise(0)).alias("left"))
+    found = graph.named(at.where("left = 0").select("of", "hops", F.col("at").alias("n"))).withColumnsRenamed({"of": "__of", "hops": "__hops", "sha": "__up"})
+    rows = asked.withColumn("__n", _number(F.col("sha"), graph._hashed[0]))
+    rows = rows.join(found, (F.col("__n") == F.col("__of")) & (F.col("hops") == F.col("__hops")), "left")
+    return rows.withColumn("ancestor", F.when(F.col("hops") == 0, F.col("sha")).otherwise(F.col("__up"))).drop("__n", "__of", "__hops", "__up")
+
+
+def _reached(graph: Graph, tips: DataFrame) -> DataFrame:
+    """(n): what is reachable from the tips (sha)."""
+    own, others = graph._hashed[1], graph.others
     seen = None
-    front = cut(tips.select("sha").distinct().join(own, "sha", "left_semi"))
-    others = graph.commits.where(F.size("parents") > 1).select("sha", F.explode(F.slice("parents", 2, F.size("parents") - 1)).alias("to"))
+    front = kept(graph.numbered(tips.select("sha").distinct()).select("n"))
     while not front.isEmpty():
+        # the anchors above, doubling
+        above = graph.exits(front).select(F.col("to").alias("n")).distinct()
+        above = kept(above if seen is None else above.join(seen, "n", "left_anti"))  # what is above a commit that is seen is seen too
         level = 0
         while (jump := graph.jump(level)) is not None:
-            new = front.join(jump, "sha").select(F.col("to").alias("sha")).distinct().join(front, "sha", "left_anti")
-            new = cut(new if seen is None else new.join(seen, "sha", "left_anti"))
-            if new.isEmpty():  # farther ones are behind commits that are known
+            more = above.join(jump, "n").select(F.col("to").alias("n")).distinct().join(above, "n", "left_anti")
+            more = kept(more if seen is None else more.join(seen, "n", "left_anti"))
+            if more.isEmpty():  # farther ones are above those that are known
                 break
-            front = cut(front.unionByName(new))
+            above = above.unionByName(more)
             level += 1
-        merged = front.join(others, "sha").select(F.col("to").alias("sha")).distinct().join(own, "sha", "left_semi")
-        seen = front if seen is None else cut(seen.unionByName(front))
-        front = cut(merged.join(seen, "sha", "left_anti"))
-    return own.limit(0) if seen is None else seen
+        # and all between them
+        new = kept(front.unionByName(above).distinct())
+        for step in graph.steps:
+            new = new.unionByName(kept(new.join(step, "n").select(F.col("to").alias("n"))))
+        new = new.distinct()
+        new = kept(new if seen is None else new.join(seen, "n", "left_anti"))
+        merged = new.join(others.withColumnRenamed("child", "n"), "n").select(F.col("to").alias("n")).distinct()
+        seen = new if seen is None else seen.unionByName(new)
+        front = kept(merged.join(seen, "n", "left_anti"))
+    return own.select("n").limit(0) if seen is None else seen
+
+
+def reachable(graph: Graph, tips: DataFrame) -> DataFrame:
+    """(sha): the tips that are commits, and all that their parents lead to."""
+    return graph.named(_reached(graph, tips))
 
 
 def commit_range(graph: Graph, since: DataFrame, until: DataFrame) -> DataFrame:
     """(sha): what is reachable from ``until`` and not from ``since`` (both (sha))."""
-    return reachable(graph, until).join(reachable(graph, since), "sha", "left_anti")
+    return graph.named(_reached(graph, until).join(_reached(graph, since), "n", "left_anti"))
 
 
 def rev_parse(graph: Graph, refs: DataFrame, revisions: DataFrame, shortest: int = 4) -> DataFrame:
