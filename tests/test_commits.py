@@ -135,3 +135,9 @@ def test_status(spark):
     work = [("same", "1"), ("edited", "2c"), ("new1", "4"), ("new2", "x"), ("new3", "4"), ("added", "6"), ("loose", "7")]
     got = {(r.path, r.staged + r.unstaged, r.old) for r in G.status(*[spark.createDataFrame(x, kind) for x in (head, index, work)]).collect()}
     assert got == {("edited", "MM", None), ("gone", "D ", None), ("new1", "R ", "old1"), ("new2", "RM", "old2"), ("new3", "A ", None), ("added", "A ", None), ("lost", " D", None), ("loose", "??", None)}
+
+
+def test_tables_of_a_line_hold_a_few_rows_a_commit(spark):
+    graph = G.Graph(spark.range(1500).selectExpr("concat('c', id) AS sha", "IF(id = 0, array(), array(concat('c', id - 1))) AS parents"))
+    assert G.ancestors(graph, spark.createDataFrame([("c1499", 1400)], "sha string, hops long")).first().ancestor == "c99"
+    assert sum(t.count() for t in [*graph.steps, *graph.levels]) < 6 * 1500  # a table of all commits for each power holds 11 * 1500
