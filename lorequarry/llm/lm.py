@@ -9,12 +9,11 @@ the model's probability that its subwords come next and then the word is over: o
 begins with a space, so the model's mass of such ids tells where words may end, and the words' probabilities sum to 1 at most.  Contexts are windows of WINDOW ids that advance by ADVANCE; each id is scored
 once, in the window in which it stands among the last ADVANCE (or in the first window).
 
-What the model learns grows with the corpus.  Counts, the classes of ids and the vocabulary come from all training
-documents.  The weights are fitted on windows: ``base`` of them and one in ``every`` (all, where there are fewer), chosen by
-hash over all training documents, whatever the size of the corpus.  A start from the first ``seed_windows`` of them is
-followed by ``rounds`` in which each Spark task goes on with its own windows, and the weights become the mean over the
-tasks, by their windows (for the embedding of an id, by how often the task met it).  Counts of the at most ``frequent_words`` most frequent words go to every task; tokens of the
-other words are joined with their counts in Spark.
+The model learns from the whole corpus.  Counts, the classes of ids and the vocabulary come from all training
+documents, and the weights from all their windows: each Spark task takes one pass over those of its own documents, and the weights
+become the mean over the tasks, by their windows (for the embedding of an id, by how often the task met it).  Only the values
+from which that pass begins are fitted on the driver, on ``seed_windows`` windows that a hash chooses.  Counts of the at most
+``frequent_words`` most frequent words go to every task; tokens of the other words are joined with their counts in Spark.
 
 Defined cases: null counts as the empty text, which is one end; rows that share a doc_id are scored each; without training
 documents all counts are 0 and the model is untrained; a null doc_id counts as training data; an empty table gives no rows; other
@@ -32,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lorequarry.llm.durable import discard, durable
+from lorequarry.llm.durable import durable
 from lorequarry.llm.neardup import spherical_kmeans
 from lorequarry.llm.textbytes import LOWER, mix, prefix_sums, ragged, slices, substring_hash, words
 
@@ -191,38 +190,53 @@ class Attention:
         whole = np.log(whole)
         return hit - whole, np.log(opening) - whole
 
-    def gradients(self, ids: np.ndarray, target: np.ndarray, valid: np.ndarray) -> dict:
+    def gradients(self, ids: np.ndarray, target: np.ndarray, valid: np.ndarray, tail: int = WINDOW) -> dict:
+        """Gradients of the mean loss at the valid places, which are all among the last ``tail``."""
         w = self.w
-        s = self.forward(ids)
+        s = self.forward(ids, tail)
         d = w["mix"].shape[0]
-        rows = np.flatnonzero(valid.reshape(-1))
-        y = s["y"].reshape(-1, d)[rows]
-        z = y @ w["out"] + w["bias"]
-        z = np.exp(z - z.max(1, keepdims=True))
-        z /= z.sum(1, keepdims=True)
-        z[np.arange(len(rows)), target.reshape(-1)[rows]] -= 1
-        z /= len(rows)
-        g = {"out": y.T @ z, "bias": z.sum(0)}
-        dy = np.zeros((ids.size, d), np.float32)
-        dy[rows] = z @ w["out"].T
-        dy = dy.reshape(s["y"].shape)
         flat = lambda t: t.reshape(-1, t.shape[-1])
-        g["down"] = flat(s["u"]).T @ flat(dy)
-        du = (dy @ w["down"].T) * (s["u"] > 0)
-        g["up"] = flat(s["h"]).T @ flat(du)
-        dh = dy + du @ w["up"].T
-        g["mix"] = flat(s["c"]).T @ flat(dh)
-        dc = dh @ w["mix"].T
-        da = dc @ s["v"].transpose(0, 2, 1)
-        dv = s["a"].transpose(0, 2, 1) @ dc
-        ds = s["a"] * (da - (da * s["a"]).sum(-1, keepdims=True))
-        dqkv = np.concatenate([ds @ s["k"] * np.float32(1 / np.sqrt(d)), ds.transpose(0, 2, 1) @ s["q"], dv], axis=-1)
-        g["qkv"] = flat(s["x"]).T @ flat(dqkv)
-        dx = dh + dqkv @ w["qkv"].T
+        rows = np.flatnonzero(valid[:, WINDOW - tail :].reshape(-1))
+        whole = len(rows) == len(ids) * tail
+        y = flat(s["y"]) if whole else flat(s["y"])[rows]
+        z = y @ w["out"]
+        z += w["bias"]
+        if len(z) and max(z.max(), -z.min()) > 60:
+            z -= z.max(1, keepdims=True)
+        np.exp(z, out=z)
+        z *= (1 / ((z @ np.ones(z.shape[1], np.float32)) * np.float32(len(rows))))[:, None]
+        z[np.arange(len(rows)), target[:, WINDOW - tail :].reshape(-1)[rows]] -= np.float32(1 / max(1, len(rows)))
+        g = {"out": y.T @ z, "bias": np.ones(len(rows), np.float32) @ z}
+        dy = z @ w["out"].T
+        if not whole:
+            dy, some = np.zeros((len(ids) * tail, d), np.float32), dy
+            dy[rows] = some
+        u = flat(s["u"])
+        g["down"] = u.T @ dy
+        du = dy @ w["down"].T
+        du *= u > 0
+        g["up"] = flat(s["h"]).T @ du
+        dh = du @ w["up"].T
+        dh += dy
+        g["mix"] = flat(s["c"]).T @ dh
+        dc = (dh @ w["mix"].T).reshape(len(ids), tail, d)
+        ds = dc @ s["v"].transpose(0, 2, 1)
+        ds -= (dc * s["c"]).sum(-1, keepdims=True)
+        ds *= s["a"]
+        dq = flat(ds @ s["k"])
+        dq *= np.float32(1 / np.sqrt(d))
+        dkv = flat(np.concatenate([ds.transpose(0, 2, 1) @ s["q"], s["a"].transpose(0, 2, 1) @ dc], axis=-1))
+        x = s["x"]
+        g["qkv"] = np.concatenate([flat(x[:, WINDOW - tail :]).T @ dq, flat(x).T @ dkv], axis=1)
+        dh += dq @ w["qkv"][:, :d].T
+        dx = (dkv @ w["qkv"][:, d:].T).reshape(x.shape)
+        dx[:, WINDOW - tail :] += dh.reshape(len(ids), tail, d)
         g["place"] = dx.sum(0)
-        used, back = np.unique(ids.reshape(-1), return_inverse=True)
-        order = np.argsort(back, kind="stable")
-        g["token"] = used, np.add.reduceat(flat(dx)[order], np.searchsorted(back[order], np.arange(len(used))))
+        met = ids.reshape(-1)
+        order = np.argsort(met.astype(np.uint16) if len(w["token"]) <= 1 << 16 else met, kind="stable")
+        met = met[order]
+        starts = np.flatnonzero(np.diff(met, prepend=-1))
+        g["token"] = met[starts], np.add.reduceat(flat(dx)[order], starts)
         return g
 
     def fit(self, previous: np.ndarray, target: np.ndarray, valid: np.ndarray, steps: int = 600, batch: int = 96, rate: float = 0.01, seed: int = 23) -> None:
@@ -245,11 +259,11 @@ class Adam:
         self.m = {k: np.zeros_like(v) for k, v in net.w.items()}
         self.v = {k: np.zeros_like(v) for k, v in net.w.items()}
 
-    def step(self, previous: np.ndarray, classes: np.ndarray, valid: np.ndarray, rate: float) -> None:
+    def step(self, previous: np.ndarray, classes: np.ndarray, valid: np.ndarray, rate: float, tail: int = WINDOW) -> None:
         self.t += 1
         rate *= min(1, self.t / 30)
         m, v, w = self.m, self.v, self.net.w
-        for k, x in self.net.gradients(previous, classes, valid).items():
+        for k, x in self.net.gradients(previous, classes, valid, tail).items():
             rows, x = x if k == "token" else (slice(None), x)  # only the embeddings met in the batch
             m[k][rows] += 0.1 * (x - m[k][rows])
             v[k][rows] += 0.01 * (x * x - v[k][rows])
@@ -398,19 +412,25 @@ def new_model(id_counts: np.ndarray, own: np.ndarray, pair: np.ndarray, n: np.nd
     return net
 
 
-def pair_counts(chosen: DataFrame, own: np.ndarray, size: int, heads: int) -> DataFrame:
-    """(pair, n): how often an id that is not frequent follows each frequent one; at most the vocabulary x heads rows."""
+def pair_counts(docs: DataFrame, path: str, own: np.ndarray, heads: int) -> DataFrame:
+    """(pair, n): how often an id that is not frequent follows each frequent one in docs; at most the vocabulary x heads rows."""
 
     def count(batches):
-        place = np.full(size, -1, np.int64)
+        sub = subwords(path)
+        place = np.full(sub.size, -1, np.int64)
         place[own] = np.arange(len(own))
         for batch in batches:
-            ids, scored = unpacked(batch)
-            hit = scored & (place[ids[:, 1:]] < 0) & (place[ids[:, :-1]] >= 0)
-            pair, n = np.unique(ids[:, 1:][hit] * np.int64(heads) + place[ids[:, :-1]][hit], return_counts=True)
+            met = [np.zeros(0, np.int64)]
+            for _, data, offsets in slices(batch.column(0)):
+                data, h, start, end, n = tokens(data, offsets)
+                ids, each = sub.look_up(h, data.tobytes(), start, end)
+                before = np.append(sub.end, ids[:-1])  # every text ends with an end, so each begins after one
+                hit = (place[ids] < 0) & (place[before] >= 0)
+                met.append(ids[hit] * np.int64(heads) + place[before[hit]])
+            pair, n = np.unique(np.concatenate(met), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(pair), pa.array(n)], names=["pair", "n"])
 
-    return chosen.select("ids", "scored").mapInArrow(count, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
+    return docs.select("text").mapInArrow(count, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
 
 
 CHANGE = "task int, n long, dense binary, ids binary, met binary, token binary"
@@ -447,9 +467,12 @@ class Change:
         net.w["token"] += (self.token / np.maximum(self.met, 1)[:, None]).astype(np.float32)
 
 
-def fit_round(net: Attention, chosen: DataFrame, rate: float, batch: int = 96, merging: int = 8) -> None:
-    """Every task of ``chosen`` goes on from the same weights over its own windows; net gets the mean of the changes."""
-    sent = chosen.sparkSession.sparkContext.broadcast(net)
+def _mean_change(net: Attention, rows: DataFrame, lessons, merging: int = 8) -> None:
+    """Every task of ``rows`` goes on from the same weights over what ``lessons`` makes of its batches; net gets the mean of the changes.
+
+    lessons(batch, random numbers) yields (previous, target, scored, tail, rate by the number of steps before).
+    """
+    sent = rows.sparkSession.sparkContext.broadcast(net)
 
     def train(batches):
         start = sent.value
@@ -458,14 +481,11 @@ def fit_round(net: Attention, chosen: DataFrame, rate: float, batch: int = 96, m
         adam, out = Adam(own), Change(start)
         r = np.random.default_rng(29)
         out.task = TaskContext.get().partitionId()
-        for rows in batches:
-            ids, scored = unpacked(rows)
-            order = r.permutation(len(ids))
-            for a in range(0, len(ids), batch):
-                now = order[a : a + batch]
-                adam.step(ids[now, :-1], own.class_of[ids[now, 1:]], scored[now], rate)
-            out.n += len(ids)
-            out.met += np.bincount(ids[:, :-1].reshape(-1), minlength=len(out.met))
+        for batch in batches:
+            for previous, target, scored, tail, rate in lessons(batch, r):
+                adam.step(previous, own.class_of[target], scored, rate(adam.t), tail)
+                out.n += len(previous)
+                out.met += np.bincount(previous.reshape(-1), minlength=len(out.met))
         if out.n:
             for k in out.names:
                 out.dense[k] = (own.w[k] - start.w[k]) * float(out.n)
@@ -479,7 +499,7 @@ def fit_round(net: Attention, chosen: DataFrame, rate: float, batch: int = 96, m
         if out.n:
             yield out.row()
 
-    parts = chosen.select("ids", "scored").mapInArrow(train, CHANGE).repartition(merging, "task").sortWithinPartitions("task")
+    parts = rows.mapInArrow(train, CHANGE).repartition(merging, "task").sortWithinPartitions("task")
     total = Change(net)
     total.add(parts.mapInArrow(merge, CHANGE).toArrow().sort_by("task"))  # a row for each of the ``merging`` partitions
     if total.n:
@@ -487,18 +507,48 @@ def fit_round(net: Attention, chosen: DataFrame, rate: float, batch: int = 96, m
     sent.unpersist()
 
 
-def fit_model(docs: DataFrame, id_counts: np.ndarray, path: str, base: int = 40_000, every: int = 64, seed_windows: int = 24_000, rounds: int = 2, heads: int = 96, tails: int = 31) -> Attention:
-    """A model of docs, fitted on ``base`` windows and one in ``every`` of all; the driver holds ``seed_windows`` of 140 bytes of them."""
-    n = id_counts.sum() / ADVANCE + 1
-    chosen = durable(chosen_windows(docs, path, min(1.0, base / n + 1 / every)), "windows")
+def fit_round(net: Attention, chosen: DataFrame, rate: float, batch: int = 96) -> None:
+    """A pass over the windows of ``chosen``, in each task its own."""
+
+    def lessons(rows, r):
+        ids, scored = unpacked(rows)
+        order = r.permutation(len(ids))
+        for a in range(0, len(ids), batch):
+            now = order[a : a + batch]
+            yield ids[now, :-1], ids[now, 1:], scored[now], WINDOW, lambda t: rate
+
+    _mean_change(net, chosen.select("ids", "scored"), lessons)
+
+
+def fit_texts(net: Attention, docs: DataFrame, path: str, rate: float = 0.003, batch: int = 256) -> None:
+    """A pass over all windows of docs, in each task those of its documents; none is stored."""
+
+    def lessons(rows, r):
+        sub = subwords(path)
+        for _, data, offsets in slices(rows.column(0)):
+            data, h, start, end, n = tokens(data, offsets)
+            ids, each = sub.look_up(h, data.tobytes(), start, end)
+            previous, target, scored, _ = windows(ids, np.add.reduceat(each, np.cumsum(n) - n), sub.end)
+            opening = scored[:, 0]  # the first window of a text; the others are scored in their last places only
+            for which, tail in ((np.flatnonzero(opening), WINDOW), (np.flatnonzero(~opening), ADVANCE)):
+                order = r.permutation(which)
+                for a in range(0, len(order), batch):
+                    now = order[a : a + batch]
+                    yield previous[now], target[now], scored[now], tail, lambda t: rate / np.sqrt(1 + t / 100)
+
+    _mean_change(net, docs.select("text"), lessons)
+
+
+def fit_model(docs: DataFrame, id_counts: np.ndarray, path: str, seed_windows: int = 24_000, heads: int = 96, tails: int = 31) -> Attention:
+    """A model of docs, fitted on all their windows; the driver holds ``seed_windows`` of 140 bytes of them to begin with."""
     own = np.array([i for i in np.argsort(-id_counts, kind="stable")[:heads] if id_counts[i] > 0], np.int64)
-    pairs = pair_counts(chosen, own, len(id_counts), heads).toArrow()
+    pairs = pair_counts(docs, path, own, heads).toArrow()
     net = new_model(id_counts, own, pairs.column("pair").to_numpy(), pairs.column("n").to_numpy(), path, heads, tails)
-    ids, scored = unpacked(chosen.orderBy("h", "ids").limit(seed_windows).toArrow())
+    share = min(1.0, 2 * seed_windows / (id_counts.sum() / ADVANCE + 1))
+    first = chosen_windows(docs, path, share).orderBy("h", "ids").limit(seed_windows).toArrow()
+    ids, scored = unpacked(first)
     net.fit(ids[:, :-1], ids[:, 1:], scored)
-    for i in range(rounds):
-        fit_round(net, chosen, 0.003 / 3**i)
-    discard(chosen)
+    fit_texts(net, docs, path)
     return net
 
 

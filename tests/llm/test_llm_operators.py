@@ -431,6 +431,32 @@ def test_what_is_learned_grows_with_the_corpus(spark):
     assert collections.Counter(ids[:, 1:][scored].tolist()) == counts  # at share 1 every id is learned from once
 
 
+def test_weights_and_classes_are_learned_from_all_windows(spark, monkeypatch):
+    path = tokenizer_path("byte_bpe_50k.tiktoken")
+    docs = spark.range(4000).selectExpr("id as doc_id", "array_join(transform(sequence(1, 200), i -> concat('w', (id * 7 + i * i) % 300)), ' ') as text")
+    counts = np.zeros(lm.subwords(path).size)
+    for r in lm.corpus_counts(docs, path).where("kind = 1").collect():
+        counts[r.key] = r.n
+    learned = []
+    monkeypatch.setattr(lm.Change, "apply", lambda self, net: learned.append((self.n, int(self.met.sum()))))
+    lm.fit_model(docs, counts, path, seed_windows=50)
+    n = lm.chosen_windows(docs, path, 1.0).count()
+    assert n > 60_000 and learned == [(n, n * lm.WINDOW)]
+    own = np.argsort(-counts, kind="stable")[:20]
+    ids, scored = lm.unpacked(lm.chosen_windows(docs.where("doc_id < 90"), path, 1.0).toArrow())
+    place = {x: i for i, x in enumerate(own.tolist())}
+    met = collections.Counter(b * 20 + place[a] for a, b in zip(ids[:, :-1][scored].tolist(), ids[:, 1:][scored].tolist(), strict=True) if a in place and b not in place)
+    assert met and {r.pair: r.n for r in lm.pair_counts(docs.where("doc_id < 90"), path, own, 20).collect()} == met
+
+
+def test_gradients_of_the_last_places(spark):
+    net = lm.Attention(70_000, 5, dim=4, seed=1)
+    r = np.random.default_rng(3)
+    ids, target, valid = r.integers(0, 70_000, (3, lm.WINDOW)), r.integers(0, 5, (3, lm.WINDOW)), np.tile(np.arange(lm.WINDOW) >= 8, (3, 1))
+    whole, last = net.gradients(ids, target, valid), net.gradients(ids, target, valid, lm.ADVANCE)
+    assert all(np.allclose(x, y, atol=1e-6) for k in whole for x, y in zip(*[g[k] if k == "token" else [g[k]] for g in (whole, last)], strict=True))
+
+
 def test_rounds_average_the_tasks(spark):
     """The mean over the tasks equals the same steps done here, task by task, and it lowers the loss."""
     path = tokenizer_path("byte_bpe_50k.tiktoken")
