@@ -32,6 +32,8 @@ from lorequarry.sources import versions
 VECTORS = "vec_id long, embedding array<double>"
 RECALL = 0.97  # what a search aims at, unless the number of probes is given
 FILE_ROWS = 50_000  # vectors a file of a cell holds, or so
+BLOCK_SCORES = 1 << 19  # cosines with centres that are looked at together
+PLACED_ROWS = 1 << 14  # rows that leave a task together
 SENT_ROWS = 2_000_000  # tombstones of 8 bytes are sent to all tasks up to here, and shuffled beyond
 
 
@@ -101,13 +103,14 @@ def fit_centres(x: np.ndarray, cells: int, rounds: int = 10, seed: int = 7) -> n
 
 
 def nearest_centres(x: np.ndarray, centres: np.ndarray, many: int) -> tuple[np.ndarray, np.ndarray]:
-    """(cells, cosines) of the ``many`` closest centres of each row, closest first, in blocks of rows."""
+    """(cells, cosines) of the ``many`` closest centres of each row, closest first, in blocks of BLOCK_SCORES cosines."""
     many = min(many, len(centres))
-    cells, scores = np.empty((len(x), many), np.int64), np.empty((len(x), many))
-    for a in range(0, len(x), 4096):
-        s = x[a : a + 4096] @ centres.T
-        order = np.argsort(-s, axis=1, kind="stable")[:, :many]
-        cells[a : a + 4096], scores[a : a + 4096] = order, np.take_along_axis(s, order, 1)
+    cells, scores = np.empty((len(x), many), np.int32), np.empty((len(x), many))
+    rows = max(1, BLOCK_SCORES // max(1, len(centres)))
+    for a in range(0, len(x), rows):
+        s = x[a : a + rows] @ centres.T
+        order = s.argmax(1)[:, None] if many == 1 else np.argsort(-s, axis=1, kind="stable")[:, :many]
+        cells[a : a + rows], scores[a : a + rows] = order, np.take_along_axis(s, order, 1)
     return cells, scores
 
 
@@ -133,10 +136,13 @@ def _placed(rows: DataFrame, id_col: str, v: str, centres: np.ndarray, many: int
 
     def place(batches):
         for batch in batches:
-            x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
-            cells, _ = nearest_centres(x, sent.value, many)
-            each = pa.array(np.repeat(np.arange(batch.num_rows), cells.shape[1]))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(each), batch.column(1).take(each), pa.array(cells.ravel(), pa.int32())], names=[id_col, v, "cell"])
+            rows = max(1, PLACED_ROWS // many)  # a row goes out once for each of its cells
+            for a in range(0, batch.num_rows, rows):
+                own = batch.slice(a, rows)
+                x = own.column(1).flatten().to_numpy(zero_copy_only=False).reshape(own.num_rows, -1)
+                cells, _ = nearest_centres(x, sent.value, many)
+                each = pa.array(np.repeat(np.arange(own.num_rows), cells.shape[1]))
+                yield pa.RecordBatch.from_arrays([own.column(0).take(each), own.column(1).take(each), pa.array(cells.ravel(), pa.int32())], names=[id_col, v, "cell"])
 
     return rows.select(F.col(id_col).cast("long").alias(id_col), F.col(v).cast("array<double>").alias(v)).mapInArrow(place, f"{id_col} long, {v} array<double>, cell int")
 

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from lorequarry.session import cut
 
+KEPT_ROWS = 1 << 19  # results that a task holds at once
+
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
@@ -74,11 +76,21 @@ def _matrix(cell, width: int) -> tuple[np.ndarray, np.ndarray]:
 def nearest_of_blocks(tasks: DataFrame, k: int) -> DataFrame:
     """(batch, width, blocks, batchs) rows, each with an array of vectors and one of queries (id, v) of that width -> (query_id, vec_id, score, rank).
 
-    A task keeps the k best of each query of a batch while its blocks pass; those of all tasks are ranked at the end.
+    A task keeps the k best of each query of a batch while its blocks pass, and hands them on, the k best of each query, whenever
+    they have become KEPT_ROWS; those of all tasks are ranked at the end.
     """
 
+    def best_of(kept: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        rows = [np.concatenate([np.repeat(q, ids.shape[1]) for q, ids, *_ in kept]), *(np.concatenate([own[i].ravel() for own in kept]) for i in (1, 2, 3))]
+        order = np.lexsort((rows[1], rows[3], rows[0]))
+        query = rows[0][order]
+        first = np.flatnonzero(np.diff(query, prepend=query[0] - 1)) if len(query) else np.zeros(0, np.int64)
+        nth = np.arange(len(query)) - np.repeat(first, np.diff(np.append(first, len(query))))
+        return pa.RecordBatch.from_arrays([pa.array(c[order[nth < k]]) for c in rows], names=["query_id", "vec_id", "score", "near"])
+
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: dict[tuple[int, int], tuple[np.ndarray, ...]] = {}
+        held = 0
         for b in batches:
             for i, (batch, width) in enumerate(zip(b.column("batch").to_pylist(), b.column("width").to_pylist(), strict=True)):
                 ids, v = _matrix(b.column("blocks")[i], width)
@@ -88,13 +100,18 @@ def nearest_of_blocks(tasks: DataFrame, k: int) -> DataFrame:
                 best = np.argsort(near, axis=1, kind="stable")[:, :k]  # ties by the smaller id
                 own = [ids[best], np.take_along_axis(score, best, 1), np.take_along_axis(near, best, 1)]
                 if (batch, width) in kept:
-                    own = [np.concatenate(x, axis=1) for x in zip(kept[batch, width][1:], own, strict=True)]
+                    before = kept[batch, width][1:]
+                    held -= before[0].size
+                    own = [np.concatenate(x, axis=1) for x in zip(before, own, strict=True)]
                     best = np.lexsort((own[0], own[2]), axis=1)[:, :k]
                     own = [np.take_along_axis(x, best, 1) for x in own]
                 kept[batch, width] = (query_ids, *own)
-        for query_ids, ids, score, near in kept.values():
-            columns = [np.repeat(query_ids, ids.shape[1]), ids.ravel(), score.ravel(), near.ravel()]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["query_id", "vec_id", "score", "near"])
+                held += own[0].size
+                if held >= KEPT_ROWS:
+                    yield best_of(list(kept.values()))
+                    kept, held = {}, 0
+        if kept:
+            yield best_of(list(kept.values()))
 
     found = tasks.select("batch", "width", "blocks", "batchs").mapInArrow(search, "query_id long, vec_id long, score double, near double")
     best = Window.partitionBy("query_id").orderBy("near", "vec_id")

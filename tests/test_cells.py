@@ -1,5 +1,7 @@
 """Persisted vector cells: recall, pruning, changes, odd vectors."""
 
+import tracemalloc
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -112,3 +114,26 @@ def test_truth_by_pairs_in_blocks(spark):
     found = vectors.knn_by_pairs(table, queries, 5, block_rows=8, batch_queries=3)
     assert {(x.query_id, x.vec_id, x["rank"]) for x in found.collect()} == want
     assert "MapInArrow" in found._jdf.queryExecution().executedPlan().toString()  # pairs meet as blocks, not as rows
+
+
+def test_placing_holds_few_rows_and_cosines(spark, x, table):
+    """Queries of many cells leave a task in small lots, and few cosines are held at once."""
+    centres = x[:1500]
+    tracemalloc.start()
+    one, best = cells.nearest_centres(np.tile(x, (2, 1)), centres, 1)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    scores = np.tile(x, (2, 1)) @ centres.T
+    assert np.array_equal(one[:, 0], scores.argmax(1)) and np.allclose(best[:, 0], scores.max(1))
+    assert peak < 16 << 20
+    placed = cells._placed(table.coalesce(1), "vec_id", "embedding", x[:40], 30)
+    sizes = placed.mapInArrow(lambda batches: (b.select(["cell"]).slice(0, 1) for b in batches), "cell int").count()
+    assert sizes >= 3000 * 30 // cells.PLACED_ROWS
+    assert placed.count() == 3000 * 30 and placed.distinct().count() == 3000 * 30
+
+
+def test_results_are_handed_on_in_lots(spark, table, tmp_path, monkeypatch):
+    index = cells.build(spark, str(tmp_path / "c"), table)
+    want = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in cells.search_batch(index, asked(table), 10, block_rows=40, batch_queries=16).collect()}
+    monkeypatch.setattr(vectors, "KEPT_ROWS", 200)
+    assert {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in cells.search_batch(index, asked(table), 10, block_rows=40, batch_queries=16).collect()} == want
