@@ -6,7 +6,8 @@ s = sqrt(2 - 2 threshold) bounds the distance of two linked unit vectors: if u l
 v (B - A) + u (A - B) = (v - u) (B - A) <= s |A - B|, both terms on the left are at least 0, and so one of the two is a
 guest of the other's home.  No linked pair is lost.  A pair counts in the smallest cell that both belong to.  Cells are taken
 inside each label, and large ones are cut into blocks; a task multiplies two blocks.  Tasks return link counts and
-spanning links, never all pairs.
+spanning links, never all pairs.  Where vectors are so spread that they are guests of most cells, cells multiply more pairs than
+there are; those that save less than half of the products on the sample are dropped, and a label is cut into blocks only.
 
 Vectors with the same label and components are one class from the start, and enter the products once.
 
@@ -52,7 +53,20 @@ def apart(centres: np.ndarray, home: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(squares[home][:, None] + squares[None] - 2 * (centres[home] @ centres.T), 0))
 
 
-def near_duplicates(vectors: DataFrame, threshold: float = 0.93, cell_rows: int = 512, fit_rows: int = 20_000, most_cells: int = 4096) -> DataFrame:
+def guests(u: np.ndarray, centres: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray]:
+    """The home of each vector, and which cells it is in as resident or guest."""
+    near = u @ centres.T
+    home = near.argmax(1)
+    return home, near >= near.max(1, keepdims=True) - reach * apart(centres, home) - 1e-9
+
+
+def products(u: np.ndarray, centres: np.ndarray, reach: float) -> float:
+    """Products that cells take on these vectors, as a share of those of all pairs."""
+    held = sum((guests(u[a : a + 1024], centres, reach)[1].sum(0) for a in range(0, len(u), 1024)), np.zeros(len(centres)))
+    return float(((held / max(1, len(u))) ** 2).sum())
+
+
+def near_duplicates(vectors: DataFrame, threshold: float = 0.93, cell_rows: int = 512, fit_rows: int = 20_000, most_cells: int = 4096, block_rows: int = 4096) -> DataFrame:
     """(vec_id, embedding, label, ...) -> (vec_id, n_links, component_id, kept) for each row."""
     x = F.col("embedding")
     usable = x.isNotNull() & F.col("label").isNotNull() & F.col("vec_id").isNotNull() & F.exists(x, lambda c: c != 0) & F.forall(x, lambda c: c.isNotNull() & (F.abs(c.cast("double")) < F.lit(float("inf"))))
@@ -60,13 +74,15 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, cell_rows: int
     one = durable(rows.where("usable").groupBy("label", "embedding").agg(F.min("vec_id").alias("node"), F.count(F.lit(1)).alias("copies")), "vectors")
 
     by_size = one.groupBy(F.size("embedding").alias("dims"), "label").count().groupBy("dims").agg(F.max("count").alias("most"), F.sum("count").alias("rows")).orderBy(F.desc("rows")).limit(64).collect()
+    reach = float(np.sqrt(max(0.0, 2 - 2 * threshold))) / 2
     centres = {}
     for d in by_size:  # one set of centres for each length of vectors
         sample = one.where(F.size("embedding") == d["dims"]).orderBy(F.xxhash64("node"), "node").limit(fit_rows).select("embedding").toArrow()
         flat = np.array(sample.column(0).combine_chunks().flatten()).reshape(-1, d["dims"])
-        centres[d["dims"]] = spherical_kmeans(unit(flat), min(most_cells, -(-d["most"] // cell_rows)))
+        found = spherical_kmeans(unit(flat), min(most_cells, -(-d["most"] // cell_rows)))
+        if products(unit(flat), found, reach) < 0.5:
+            centres[d["dims"]] = found
     sent = one.sparkSession.sparkContext.broadcast(centres)  # most_cells centres at most for each length
-    reach = float(np.sqrt(max(0.0, 2 - 2 * threshold))) / 2
 
     def assign(batches):
         for batch in batches:
@@ -78,9 +94,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, cell_rows: int
                 own = np.flatnonzero(lengths == dims)
                 u = unit(flat[start[own][:, None] + np.arange(dims)])
                 c = sent.value.get(dims)
-                near = u @ c.T if c is not None else np.ones((len(own), 1))
-                home = near.argmax(1)
-                guest = near >= near.max(1, keepdims=True) - (reach * apart(c, home) if c is not None else 0) - 1e-9
+                home, guest = guests(u, c, reach) if c is not None else (np.zeros(len(own), np.int64), np.ones((len(own), 1), bool))
                 for i, r in enumerate(own.tolist()):
                     cells[r] = [int(home[i]), *(g for g in np.flatnonzero(guest[i]).tolist() if g != home[i])]
                     raw[r] = u[i].tobytes()
@@ -89,7 +103,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, cell_rows: int
     placed = one.select("node", "copies", "label", "embedding").mapInArrow(assign, "node long, copies long, label string, dims int, cells array<int>, raw binary")
     placed = durable(placed, "cells")
     held = placed.select("node", "copies", "label", "dims", "cells", "raw", F.explode("cells").alias("cell"))
-    blocks = held.groupBy("label", "dims", "cell").agg(F.ceil(F.count(F.lit(1)) / cell_rows).cast("int").alias("blocks"))
+    blocks = held.groupBy("label", "dims", "cell").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("blocks"))
     held = held.join(blocks, ["label", "dims", "cell"]).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     meets = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda p: F.struct(F.least(p, F.col("block")).alias("lo"), F.greatest(p, F.col("block")).alias("hi")))
     held = held.withColumn("pair", F.explode(meets))
@@ -101,9 +115,13 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, cell_rows: int
         cells = table.column("cells").to_pylist()
         u = np.frombuffer(b"".join(table.column("raw").to_pylist()), np.float64).reshape(len(node), -1)
         smaller = {c: i for i, c in enumerate(sorted({x for c in cells for x in c if x < cell}))}
-        before = np.zeros((len(node), len(smaller)), np.float32)
-        for i, c in enumerate(cells):
-            before[i, [smaller[x] for x in c if x < cell]] = 1
+
+        def before(rows: np.ndarray) -> np.ndarray:
+            out = np.zeros((len(rows), len(smaller)), np.float32)
+            for i, r in enumerate(rows.tolist()):
+                out[i, [smaller[x] for x in cells[r] if x < cell]] = 1
+            return out
+
         links = np.zeros(len(node), np.int64)
         left = np.flatnonzero(block == lo)
         right = np.flatnonzero(block == hi)
@@ -119,7 +137,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, cell_rows: int
                     hit &= i[:, None] < j[None]
                 if not hit.any():
                     continue
-                hit &= before[i] @ before[j].T == 0  # pairs that share a smaller cell count there
+                if smaller:
+                    hit &= before(i) @ before(j).T == 0  # pairs that share a smaller cell count there
                 links[i] += hit @ copies[j]
                 links[j] += hit.T @ copies[i]
                 ends.append(connecting(hit, i, j))

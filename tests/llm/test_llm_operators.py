@@ -394,6 +394,21 @@ def test_mix_meets_targets(docs, texts, empty, spark):
     assert mixing.mixed_documents(docs).columns == docs.columns
 
 
+def test_spread_vectors_are_cut_into_blocks_only(spark):
+    """Cells in which nearly all vectors are guests are dropped; blocks then give the links of all pairs."""
+    r = np.random.default_rng(4)
+    x = neardup.unit(r.normal(0, 1, (700, 64)))
+    x[350:] = neardup.unit(x[:350] + r.uniform(0.03, 0.06, (350, 1)) * r.normal(0, 1, (350, 64)))
+    reach = float(np.sqrt(2 - 2 * 0.93)) / 2
+    groups = neardup.unit(np.eye(64)[r.integers(0, 64, 700)] + 0.02 * r.normal(0, 1, (700, 64)))
+    assert neardup.products(x, neardup.spherical_kmeans(x, 12), reach) > 0.5 > neardup.products(groups, neardup.spherical_kmeans(groups, 12), reach)
+    hit = x @ x.T >= 0.93
+    v = spark.createDataFrame([(i, u.tolist(), 1) for i, u in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    for block_rows in (100, 4096):
+        got = {y.vec_id: y.n_links for y in neardup.near_duplicates(v, cell_rows=60, block_rows=block_rows).collect()}
+        assert got == {i: int(n) - 1 for i, n in enumerate(hit.sum(1))} and sum(got.values()) > 100
+
+
 # --- 10 ---
 
 
