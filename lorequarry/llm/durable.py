@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+RELEASE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"  # shuffle files go once their query is over
 BROADCAST_BYTES = 64 << 20  # a side of a join is sent to all executors only up to this size, as counted
 
 
@@ -23,10 +24,18 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def durable(df: DataFrame, name: str) -> DataFrame:
-    """The same rows, computed now and read from a table of their own: later steps neither repeat nor depend on the work before."""
+    """The same rows, computed now and read from a table of their own: later steps neither repeat nor depend on the work before.
+
+    So the shuffle files of that work are released as soon as the table stands.
+    """
     spark = df.sparkSession
     at = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(at)
+    before = spark.conf.get(RELEASE, None)
+    spark.conf.set(RELEASE, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(at)
+    finally:
+        spark.conf.unset(RELEASE) if before is None else spark.conf.set(RELEASE, before)
     out = spark.read.schema(df.schema).parquet(at)
     out._durable_at = at
     return out

@@ -28,6 +28,7 @@ empty table gives no rows; other columns are not read.  doc_id must be a number
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -89,7 +90,7 @@ def _texts(docs: DataFrame) -> DataFrame:
 
 
 def shingled(docs: DataFrame, k: int) -> DataFrame:
-    """(doc_id, n, h1, h2, point): size of the set, a 128-bit hash of it, and its point (a byte or so for each shingle)."""
+    """(doc_id, n, h1, h2, point): size of the set, a 128-bit hash of it, and its packed point (two or three bits for each shingle)."""
 
     def run(batches):
         for batch in batches:
@@ -99,7 +100,7 @@ def shingled(docs: DataFrame, k: int) -> DataFrame:
                     n.append(len(u))
                     h1.append(int(mix(u, 11).sum()))
                     h2.append(int(mix(u, 13).sum()))
-                    points.append(point(u).tobytes())
+                    points.append(packed(point(u)))
             hashes = (pa.array(np.array(h, np.uint64).view(np.int64)) for h in (h1, h2))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), *hashes, pa.array(points, pa.binary())], names=["doc_id", "n", "h1", "h2", "point"])
 
@@ -161,9 +162,20 @@ def point(u: np.ndarray) -> np.ndarray:
     return counts.astype("<u1") if counts.max(initial=0) < 256 else counts.astype("<u4")
 
 
-def unpacked(raw: bytes, n: int) -> np.ndarray:
-    groups = 1 << int(np.clip(n, 64, 16384) - 1).bit_length()
-    return np.frombuffer(raw, "<u1" if len(raw) == groups else "<u4")
+def packed(counts: np.ndarray) -> bytes:
+    """A point as bytes: each count as so many 0 bits and a 1, which is a bit for each shingle and each group."""
+    bits = np.zeros(len(counts) + int(counts.sum(dtype=np.int64)), np.uint8)
+    bits[np.cumsum(counts, dtype=np.int64) + np.arange(len(counts))] = 1
+    return np.packbits(bits).tobytes()
+
+
+def unpacked(raws: list[bytes]) -> list[np.ndarray]:
+    ends = np.flatnonzero(np.unpackbits(np.frombuffer(b"".join(raws), np.uint8)))
+    begin = 8 * np.cumsum([0, *map(len, raws)])[:-1]
+    first = np.searchsorted(ends, begin)
+    counts = np.diff(ends, prepend=-1) - 1
+    counts[first] = ends[first] - begin  # the bits left over of the point before do not count
+    return np.split(narrow(counts), first[1:])
 
 
 def folded(points: np.ndarray, groups: int) -> np.ndarray:
@@ -410,7 +422,7 @@ FOREST, DOUBTFUL, TOO_MANY = 0, 1, 2
 
 def _by_points(num: int, den: int):
     def search(part, sizes, at, side):
-        points = [unpacked(raw, n) for raw, n in zip(part.column("value").to_pylist(), sizes.tolist(), strict=True)]
+        points = unpacked(part.column("value").to_pylist())
         forest, near, too_many = likely_links(points, sizes, at, side, num, den)
         return [(a, b, FOREST) for a, b in forest] + [(a, b, DOUBTFUL) for a, b in near] + [(0, 0, TOO_MANY)] * too_many
 
@@ -448,11 +460,17 @@ def verified(docs: DataFrame, links: DataFrame, k: int, num: int, den: int) -> D
     return out
 
 
-def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, page_shingles: int = 200_000) -> DataFrame:
+def rounds_of(pairs: DataFrame, times: int) -> int:
+    """In how many rounds pairs of pages meet, so that a round ships about ``times`` what the pages themselves hold."""
+    sums = pairs.agg(*[F.coalesce(F.sum(F.when(c, F.col("n"))), F.lit(0)).alias(x) for x, c in (("own", F.expr("pair.lo = pair.hi")), ("across", F.expr("pair.lo < pair.hi")))]).first()
+    return -(-sums["across"] // max(1, times * sums["own"]))
+
+
+def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, page_shingles: int = 200_000, times: int = 3) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row: size of the set, and smallest doc_id reachable by links.
 
-    A page of ``page_shingles`` is about as many bytes of points, so a task holds some MB; a set of a large family is shipped once for each of
-    its pages, so that larger pages are shipped less.
+    A page of ``page_shingles`` is about as many bytes of points once unpacked, so a task holds some MB; a set of a large family is shipped once for each of
+    its pages, so that larger pages are shipped less.  Pairs of pages meet in rounds, and what a round shipped is released before the next one.
     """
     rows = durable(shingled(docs, k), "sets")
     linkable = rows.where("n > 0 and doc_id is not null")
@@ -476,9 +494,12 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     first = verified(docs, durable(_task_rows(own, points, None).groupBy("task").applyInArrow(_by_points(num, den), LINKS), "links"), k, num, den)
     linked = components(first.where("ok").select("a", "b"))
     links = first
-    across = pairs.where("pair.lo < pair.hi")
-    if not across.isEmpty():
-        second = verified(docs, durable(_task_rows(across, points, linked).groupBy("task").applyInArrow(_by_points(num, den), LINKS), "links"), k, num, den)
+    rounds = rounds_of(pairs, times)
+    if rounds:
+        across = pairs.where("pair.lo < pair.hi")
+        met = [across.where(F.pmod(F.xxhash64("family", "pair.lo", "pair.hi"), F.lit(rounds)) == i) for i in range(rounds)]
+        met = [durable(_task_rows(m, points, linked).groupBy("task").applyInArrow(_by_points(num, den), LINKS), "links") for m in met]
+        second = verified(docs, reduce(DataFrame.unionByName, met), k, num, den)
         links = first.unionByName(second)
         linked = components(links.where("ok").select("a", "b"))
     # what the points left open is searched again with the sets

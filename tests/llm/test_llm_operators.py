@@ -7,6 +7,7 @@ import itertools
 import math
 import re
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -293,6 +294,35 @@ def test_pages_of_a_family_are_bounded(spark, outlier):
         assert mates >= (set(held) if sizes[r["__doc"]] == 40 else {r.page})
 
 
+def test_packed_points_are_small():
+    r = np.random.default_rng(5)
+    points = [jaccard.point(np.unique(r.integers(0, 2**63, n).astype(np.uint64))) for n in (1, 64, 700, 40_000)]
+    points.append(jaccard.point(np.arange(300, dtype=np.uint64) << np.uint64(20)))  # all in one group
+    raw = [jaccard.packed(p) for p in points]
+    assert all(len(x) <= (p.sum(dtype=int) + len(p)) // 8 + 1 for x, p in zip(raw, points, strict=True))
+    assert all(np.array_equal(x, p) for x, p in zip(jaccard.unpacked(raw), points, strict=True))
+
+
+def test_pages_meet_in_rounds(spark, monkeypatch):
+    """Near copies that are dealt over many pages: what is shipped at once stays near what the pages hold, and its shuffle files go."""
+    base = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join(base[:i] + ["changed"] + base[i + 1 :])) for i in range(40)]
+    held, shipped = [], []
+    dealt = jaccard._task_rows
+    monkeypatch.setattr(jaccard, "_task_rows", lambda m, *a: (shipped if held else held).append(m.agg(F.sum("n")).first()[0]) or dealt(m, *a))
+    got = jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), 1, 90, 100, page_shingles=300).collect()
+    assert {r.component_id for r in got} == {0} and len(got) == 40
+    assert sum(x or 0 for x in shipped) > 6 * held[0] and max(x or 0 for x in shipped) < 6 * held[0]
+
+
+def test_durable_releases_shuffle_files(spark):
+    files = lambda: set(Path(spark.conf.get("spark.local.dir")).rglob("shuffle_*.data"))
+    before = files()
+    assert durable(spark.range(1000).repartition(5, "id"), "rows").count() == 1000
+    left = files() - before
+    assert spark.range(1000).repartition(5, "id").toArrow().num_rows == 1000 and files() - before > left  # other queries keep theirs
+
+
 def test_near_copies_over_several_pages_link(spark):
     base = [f"w{i}" for i in range(60)]
     rows = [(i, " ".join(base[:i] + ["changed"] + base[i + 1 :])) for i in range(40)]
