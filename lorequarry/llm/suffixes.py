@@ -34,6 +34,7 @@ from lorequarry.llm.durable import durable, small_side
 from lorequarry.llm.textbytes import prefix_sums, ragged, slices, substring_hash
 
 GRAM = 32
+SLICE, RUN = 1 << 18, 1 << 18  # bytes that are hashed or sorted at once: their 8-byte temporaries stay near a core
 
 
 def sliding_minimum(x: np.ndarray, width: int) -> np.ndarray:
@@ -122,8 +123,8 @@ def difference_cover_order(text: np.ndarray, enough: int) -> np.ndarray:
     out = np.empty(n, np.int64)
     out[rest[by0]] = np.searchsorted(sorted_rest, sorted_rest) + np.searchsorted(sorted1, sorted_rest) + np.searchsorted(sorted2, rest_key2)
     inside = sample < n
-    own = np.sort(rank[sample])
-    base = np.searchsorted(own, rank[sample])
+    own = np.bincount(rank[sample])
+    base = (np.cumsum(own) - own)[rank[sample]]  # how many ranks are smaller
     more = np.empty(len(sample), np.int64)
     more[by1] = np.searchsorted(sorted_rest, sorted1)
     more[ones + by2] = np.searchsorted(np.sort(rest_key2), sorted2)
@@ -164,6 +165,16 @@ def repeated_windows(contexts: list[bytes], first: np.ndarray, length: int) -> n
     return np.stack([owner[repeats], (start - begin[owner])[repeats]], axis=1)
 
 
+def runs_of(gram: np.ndarray, sizes: np.ndarray, most: int = RUN) -> list[int]:
+    """Bounds of runs of whole grams, each ended by the gram with which it has more than ``most`` bytes; sorted grams."""
+    ends = np.cumsum(sizes)
+    bounds = [0]
+    for s in np.flatnonzero(np.diff(gram, prepend=gram[0] - 1))[1:].tolist():
+        if ends[s - 1] - (ends[bounds[-1] - 1] if bounds[-1] else 0) > most:
+            bounds.append(s)
+    return [*bounds, len(gram)]
+
+
 def _spans(starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """Sorted window starts -> maximal covered runs."""
     cut = np.flatnonzero(np.diff(starts) > length)
@@ -178,7 +189,7 @@ def substring_spans(docs: DataFrame, length: int = 100, most_contexts: int = 20_
 
     def find(batches):
         for batch in batches:
-            for first, data, offsets in slices(batch.column(2)):
+            for first, data, offsets in slices(batch.column(2), SLICE):
                 text, place, h, lo, hi = anchors(data, offsets, length)
                 at = pa.array(first + text)
                 span = ((place - lo) * length + hi - lo).astype(np.int32)  # both below length
@@ -235,14 +246,8 @@ def substring_spans(docs: DataFrame, length: int = 100, most_contexts: int = 20_
             return
         table = pa.Table.from_batches(held).sort_by("gram")
         gram = table.column("gram").to_numpy()
-        # runs of whole grams of a few MB
-        ends = np.cumsum(np.fromiter((len(c) + 1 for c in table.column("context").to_pylist()), np.int64, len(gram)))
-        starts = np.flatnonzero(np.diff(gram, prepend=gram[0] - 1))
-        bounds = [0]
-        for s in starts[1:].tolist():
-            if ends[s - 1] - (ends[bounds[-1] - 1] if bounds[-1] else 0) > 1 << 21:
-                bounds.append(s)
-        bounds.append(len(gram))
+        sizes = np.fromiter((len(c) + 1 for c in table.column("context").to_pylist()), np.int64, len(gram))
+        bounds = runs_of(gram, sizes)
         for a, b in zip(bounds[:-1], bounds[1:], strict=True):
             part = table.slice(a, b - a)
             begin = part.column("begin").to_numpy()

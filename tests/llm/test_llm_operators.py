@@ -294,6 +294,15 @@ def test_pages_of_a_family_are_bounded(spark, outlier):
         assert mates >= (set(held) if sizes[r["__doc"]] == 40 else {r.page})
 
 
+def test_runs_of_contexts_stay_small():
+    """Grams are never parted, and a run without a large gram stays in the cache of a core."""
+    r = np.random.default_rng(6)
+    gram, sizes = np.sort(r.integers(0, 5000, 40_000)), r.integers(100, 200, 40_000)
+    bounds = suffixes.runs_of(gram, sizes)
+    assert bounds[0] == 0 and bounds[-1] == len(gram) and all(gram[b - 1] != gram[b] for b in bounds[1:-1])
+    assert max(sizes[a:b].sum() for a, b in itertools.pairwise(bounds)) < suffixes.RUN + 10_000 < 1 << 19
+
+
 def test_packed_points_are_small():
     r = np.random.default_rng(5)
     points = [jaccard.point(np.unique(r.integers(0, 2**63, n).astype(np.uint64))) for n in (1, 64, 700, 40_000)]
