@@ -38,6 +38,7 @@ from lorequarry.llm.textbytes import LOWER, mix, prefix_sums, ragged, slices, su
 WINDOW, ADVANCE = 32, 24
 END_HASH = np.uint64(0x656E642D6F662D64)
 WORD_LIMIT = 500_000  # words a worker keeps the subwords of
+ROWS = 512  # places for which the output layer is computed at once: their probabilities stay near a core
 SLOTS = 20  # bits of a hash that choose a word's slot
 
 
@@ -180,15 +181,24 @@ class Attention:
 
     def log_classes(self, y: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Natural log probabilities of the target classes at hidden states y, and of all ids that begin a word."""
-        z = y @ self.w["out"]
-        z += self.w["bias"]
-        if len(z) and max(z.max(), -z.min()) > 60:
-            np.clip(z, -60, 60, out=z)
-        hit = z[np.arange(len(z)), target]
-        np.exp(z, out=z)
-        whole, opening = (z @ np.stack([np.ones(z.shape[1], np.float32), self.opening], axis=1)).T
-        whole = np.log(whole)
-        return hit - whole, np.log(opening) - whole
+        out = np.empty((3, len(y)))  # logarithms in double
+        small = self.small(y)
+        sums = np.stack([np.ones_like(self.opening), self.opening], axis=1)
+        for a in range(0, len(y), ROWS):
+            z = y[a : a + ROWS] @ self.w["out"]
+            z += self.w["bias"]
+            if not small and max(z.max(), -z.min()) > 60:
+                np.clip(z, -60, 60, out=z)
+            out[0, a : a + ROWS] = z[np.arange(len(z)), target[a : a + ROWS]]
+            np.exp(z, out=z)
+            out[1:, a : a + ROWS] = (z @ sums).T
+        np.log(out[1:], out=out[1:])
+        return out[0] - out[1], out[2] - out[1]
+
+    def small(self, y: np.ndarray) -> bool:
+        """Whether no output at these hidden states can pass 60, by the lengths of the vectors."""
+        longest = lambda t, axis: np.sqrt(np.square(t).sum(axis).max(initial=0))
+        return longest(y, 1) * longest(self.w["out"], 0) + np.abs(self.w["bias"]).max() < 60
 
     def gradients(self, ids: np.ndarray, target: np.ndarray, valid: np.ndarray, tail: int = WINDOW) -> dict:
         """Gradients of the mean loss at the valid places, which are all among the last ``tail``."""
@@ -199,15 +209,21 @@ class Attention:
         rows = np.flatnonzero(valid[:, WINDOW - tail :].reshape(-1))
         whole = len(rows) == len(ids) * tail
         y = flat(s["y"]) if whole else flat(s["y"])[rows]
-        z = y @ w["out"]
-        z += w["bias"]
-        if len(z) and max(z.max(), -z.min()) > 60:
-            z -= z.max(1, keepdims=True)
-        np.exp(z, out=z)
-        z *= (1 / ((z @ np.ones(z.shape[1], np.float32)) * np.float32(len(rows))))[:, None]
-        z[np.arange(len(rows)), target[:, WINDOW - tail :].reshape(-1)[rows]] -= np.float32(1 / max(1, len(rows)))
-        g = {"out": y.T @ z, "bias": np.ones(len(rows), np.float32) @ z}
-        dy = z @ w["out"].T
+        own = target[:, WINDOW - tail :].reshape(-1)[rows]
+        g = {"out": np.zeros_like(w["out"]), "bias": np.zeros_like(w["bias"])}
+        dy, small = np.empty_like(y), self.small(y)
+        for a in range(0, len(rows), ROWS):
+            part = y[a : a + ROWS]
+            z = part @ w["out"]
+            z += w["bias"]
+            if not small and max(z.max(), -z.min()) > 60:
+                z -= z.max(1, keepdims=True)
+            np.exp(z, out=z)
+            z *= (1 / ((z @ np.ones(z.shape[1], np.float32)) * np.float32(len(rows))))[:, None]
+            z[np.arange(len(part)), own[a : a + ROWS]] -= np.float32(1 / len(rows))
+            g["out"] += part.T @ z
+            g["bias"] += np.ones(len(part), np.float32) @ z
+            np.matmul(z, w["out"].T, out=dy[a : a + ROWS])
         if not whole:
             dy, some = np.zeros((len(ids) * tail, d), np.float32), dy
             dy[rows] = some
@@ -265,9 +281,12 @@ class Adam:
         m, v, w = self.m, self.v, self.net.w
         for k, x in self.net.gradients(previous, classes, valid, tail).items():
             rows, x = x if k == "token" else (slice(None), x)  # only the embeddings met in the batch
-            m[k][rows] += 0.1 * (x - m[k][rows])
-            v[k][rows] += 0.01 * (x * x - v[k][rows])
-            w[k][rows] -= (rate * (m[k][rows] / (1 - 0.9**self.t)) / (np.sqrt(v[k][rows] / (1 - 0.99**self.t)) + 1e-8)).astype(np.float32)
+            m1, v1 = m[k][rows], v[k][rows]
+            m1 += 0.1 * (x - m1)
+            v1 += 0.01 * (x * x - v1)
+            if k == "token":
+                m[k][rows], v[k][rows] = m1, v1
+            w[k][rows] -= (rate * (m1 / (1 - 0.9**self.t)) / (np.sqrt(v1 / (1 - 0.99**self.t)) + 1e-8)).astype(np.float32)
 
 
 def windows(ids: np.ndarray, lengths: np.ndarray, end: int, take=None):
@@ -331,7 +350,7 @@ def corpus_counts(docs: DataFrame, path: str) -> DataFrame:
         for batch in batches:
             met = [np.zeros(0, np.uint64)]
             by_id = np.zeros(sub.size, np.int64)
-            for _, data, offsets in slices(batch.column(0)):
+            for _, data, offsets in slices(batch.column(0), 1 << 18):
                 data, h, start, end, _ = tokens(data, offsets)
                 by_id += np.bincount(sub.look_up(h, data.tobytes(), start, end)[0], minlength=sub.size)
                 met.append(h)
@@ -360,7 +379,7 @@ def chosen_windows(docs: DataFrame, path: str, share: float) -> DataFrame:
         sub = subwords(path)
         for batch in batches:
             salts = batch.column(1).to_numpy().view(np.uint64)
-            for first, data, offsets in slices(batch.column(0)):
+            for first, data, offsets in slices(batch.column(0), 1 << 18):
                 data, h, start, end, n = tokens(data, offsets)
                 ids, each = sub.look_up(h, data.tobytes(), start, end)
                 key = np.zeros(0, np.uint64)
@@ -421,7 +440,7 @@ def pair_counts(docs: DataFrame, path: str, own: np.ndarray, heads: int) -> Data
         place[own] = np.arange(len(own))
         for batch in batches:
             met = [np.zeros(0, np.int64)]
-            for _, data, offsets in slices(batch.column(0)):
+            for _, data, offsets in slices(batch.column(0), 1 << 18):
                 data, h, start, end, n = tokens(data, offsets)
                 ids, each = sub.look_up(h, data.tobytes(), start, end)
                 before = np.append(sub.end, ids[:-1])  # every text ends with an end, so each begins after one
@@ -582,7 +601,7 @@ def score_texts(docs: DataFrame, path: str, share: float = 0.5, frequent_words:
         sub = subwords(path)
         for batch in batches:
             doc_ids = batch.column(0)
-            for first, data, offsets in slices(batch.column(1)):
+            for first, data, offsets in slices(batch.column(1), 1 << 18):
                 m = len(offsets) - 1
                 data, h, start, end, n = tokens(data, offsets)
                 ids, each = sub.look_up(h, data.tobytes(), start, end)

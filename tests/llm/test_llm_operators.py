@@ -303,6 +303,25 @@ def test_runs_of_contexts_stay_small():
     assert max(sizes[a:b].sum() for a, b in itertools.pairwise(bounds)) < suffixes.RUN + 10_000 < 1 << 19
 
 
+def test_output_layer_works_by_rows(monkeypatch):
+    """A batch never holds the probabilities of all its places at once, and blocks give what one block gives."""
+    net = lm.Attention(200, 128)
+    r = np.random.default_rng(7)
+    ids, target = r.integers(0, 200, (64, lm.WINDOW)), r.integers(0, 128, (64, lm.WINDOW))
+    got, seen = [], []
+    exp = np.exp
+    monkeypatch.setattr(lm.np, "exp", lambda x, **k: (seen.append(x.shape), exp(x, **k))[1])
+    for rows in (lm.ROWS, 1 << 20):
+        monkeypatch.setattr(lm, "ROWS", rows)
+        seen.clear()
+        y = net.forward(ids)["y"].reshape(-1, 16)
+        got.append((net.gradients(ids, target, np.ones(ids.shape, bool)), net.log_classes(y, target.reshape(-1))))
+        assert max(s[0] for s in seen if len(s) == 2) == min(rows, ids.size)
+    (g, p), (g2, p2) = got
+    assert all(np.allclose(g[k], g2[k], atol=1e-6) for k in ("out", "bias", "up", "down", "mix", "qkv", "place"))
+    assert np.allclose(p, p2, atol=1e-5) and min(512, ids.size) == 512
+
+
 def test_packed_points_are_small():
     r = np.random.default_rng(5)
     points = [jaccard.point(np.unique(r.integers(0, 2**63, n).astype(np.uint64))) for n in (1, 64, 700, 40_000)]
