@@ -3,11 +3,11 @@
 Every document is the set of its word shingles, hashed.  The hashes are dealt into groups, and the counts of the groups
 are the document's point.  For a similarity t, sets A and B with |A| <= |B| differ in at most D = |A| (1 - t) / t shingles.
 
-1. Routing.  The groups are bundled into more than D bundles, so that a linked pair agrees wholly in some bundle (some
-   more bundles make up for bundles that are empty in both) and has its signature in common.  The number of bundles
-   depends on the size class of the smaller document; a document joins in its own class and in those classes below it
-   that hold partners large enough.  All sets that share a signature go to the family of the one with the smallest hash;
-   families are never joined with each other, so what no document verifies doesn't grow together.
+1. Routing.  Linked sets share at least |A| t shingles, so each has one of them among its |A| (1 - t) + 1 first ones in any
+   order of all shingles.  The order goes by how many documents hold a shingle, as counted over all documents in
+   buckets of hashes: rare ones come first, so passages that very many documents share bring nothing together unless they are
+   nearly the whole of a document.  The order decides what meets, never what links.  All sets that share such a signature go to the family of the one
+   with the smallest hash; families are never joined with each other, so what no document verifies doesn't grow together.
 2. R-trees.  A family is cut into pages by running totals of shingles, in order of size; pages whose sizes cannot link do not meet.
    The points of a page are packed into a tree.  The sum over groups of the smaller of two nodes' upper corners bounds
    every overlap between them; pairs of nodes are followed downward, and only pairs of points that may reach the needed
@@ -39,15 +39,7 @@ from lorequarry.llm.components import components
 from lorequarry.llm.durable import discard, durable, small_side
 from lorequarry.llm.textbytes import mix, ragged, shingle_hashes, slices
 
-CLASS_RATIO = 1.5
-
-
-def size_classes(largest: int) -> list[int]:
-    """Lower bounds of the size classes up to a size."""
-    out = [1]
-    while out[-1] <= largest:
-        out.append(max(out[-1] + 1, int(out[-1] * CLASS_RATIO)))
-    return out
+COUNT_SLICES = 16  # in so many parts the counts of shingles are summed up
 
 
 def most_different(size: int, num: int, den: int) -> int:
@@ -55,34 +47,21 @@ def most_different(size: int, num: int, den: int) -> int:
     return size * (den - num) // num
 
 
-def signatures(u: np.ndarray, num: int, den: int) -> np.ndarray:
-    """Signatures of the bundles of a set of hashes; linked sets share one at least."""
+def bucket(u: np.ndarray, buckets: int) -> np.ndarray:
+    """Bucket of each hash, by leading bits; their number is a power of two."""
+    return (u >> np.uint64(65 - buckets.bit_length())).astype(np.int64)
+
+
+def signatures(u: np.ndarray, num: int, den: int, often: np.ndarray | None = None) -> np.ndarray:
+    """The first shingles of a set in the order of ``often`` (see ``frequencies``; else by hash); linked sets share one at least."""
     n = len(u)
-    bounds = size_classes(n)
-    own = len(bounds) - 2
-    least = -(-n * num // den)
-    out = []
-    for c in range(own, -1, -1):
-        if bounds[c + 1] - 1 < least:
-            break
-        most = most_different(bounds[c + 1] - 1, num, den)
-        if most == 0:
-            continue  # only equal sets link, and those are one class already
-        spare = 2 + most // 16
-        bundles = most + 1 + spare
-        h = mix(u, c + 1)
-        at = ((h >> np.uint64(32)) % np.uint64(bundles)).astype(np.int64)
-        order = np.argsort(at, kind="stable")
-        at, h = at[order], mix(h[order], 3)
-        starts = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
-        with np.errstate(over="ignore"):
-            sums = np.add.reduceat(h, starts)
-            sums = mix(sums * np.uint64(2) + np.uint64(1), 7) + at[starts].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-            out.append(mix(sums, 1000 + c))
-            if bundles - len(starts) > spare:  # so many bundles are empty that a pair could agree in those alone
-                empty = np.setdiff1d(np.arange(bundles), at[starts]).astype(np.uint64)
-                out.append(mix(empty * np.uint64(0x9E3779B97F4A7C15), 1000 + c))
-    return np.concatenate(out) if out else u[:0]
+    least = -(-n * num // den)  # an overlap with any set that links
+    if least == n and n * den // num == n:
+        return u[:0]  # only equal sets link, and those are one class already
+    order = mix(u, 3)
+    if often is not None:
+        order = (order >> np.uint64(8)) | (often[bucket(u, len(often))].astype(np.uint64) << np.uint64(56))
+    return u[np.argpartition(order, n - least)[: n - least + 1]]
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -107,8 +86,42 @@ def shingled(docs: DataFrame, k: int) -> DataFrame:
     return _texts(docs).mapInArrow(run, "doc_id long, n long, h1 long, h2 long, point binary")
 
 
-def signed(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
+def frequencies(docs: DataFrame, k: int, shingles: int) -> np.ndarray:
+    """For each bucket of hashes how often documents hold its shingles, in eighths of a power of two (one byte); at most 16 MB.
+
+    There are so many buckets that each has some 16 to 32 of the ``shingles``, as long as those are fewer than 500 million.
+    """
+    buckets = 1 << int(np.clip(int(shingles // 32).bit_length(), 12, 24))
+    part = buckets // COUNT_SLICES
+
+    def count(batches):
+        n = np.zeros(buckets, np.uint32)
+        for batch in batches:
+            for _, data, offsets in slices(batch.column(0)):
+                for u in shingle_hashes(data, offsets, k):
+                    np.add.at(n, bucket(u, buckets), np.uint32(1))
+        if n.any():
+            planes = [np.ascontiguousarray(x.view(np.uint8).reshape(-1, 4).T).tobytes() for x in np.split(n, COUNT_SLICES)]
+            values = [pa.compress(x, "zstd", asbytes=True) for x in planes]
+            yield pa.RecordBatch.from_arrays([pa.array(range(COUNT_SLICES), pa.int32()), pa.array(values, pa.binary())], names=["part", "n"])
+
+    def total(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(part, np.int64)
+        for batch in batches:
+            for raw in batch.column("n"):
+                planes = np.frombuffer(pa.decompress(raw.as_py(), 4 * part, "zstd"), np.uint8).reshape(4, -1)
+                n += np.ascontiguousarray(planes.T).view(np.uint32)[:, 0]
+        often = np.minimum(255, np.round(8 * np.log2(np.maximum(n, 1)))).astype(np.uint8)
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([often.tobytes()], pa.binary())], names=["part", "often"])
+
+    counts = docs.select("text").mapInArrow(count, "part int, n binary").groupBy("part").applyInArrow(total, "part int, often binary")
+    found = counts.toArrow().sort_by("part").column("often").to_pylist()
+    return np.frombuffer(b"".join(found), np.uint8) if found else np.zeros(buckets, np.uint8)
+
+
+def signed(docs: DataFrame, k: int, num: int, den: int, shingles: int) -> DataFrame:
     """(h1, sig): the signatures of each set; a task gives those of equal sets once."""
+    sent = docs.sparkSession.sparkContext.broadcast(frequencies(docs, k, shingles))
 
     def run(batches):
         met = set()  # a number for each document of the task
@@ -119,7 +132,7 @@ def signed(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
                     h = int(mix(u, 11).sum())
                     if len(u) and h not in met:
                         met.add(h)
-                        out.append(signatures(u, num, den))
+                        out.append(signatures(u, num, den, sent.value))
                         h1.append(np.full(len(out[-1]), h, np.uint64))
                 if out:  # some hundred signatures a set: handed on with each MB of text
                     columns = [pa.array(np.concatenate(x).view(np.int64)) for x in (h1, out)]
@@ -448,8 +461,8 @@ def verified(docs: DataFrame, links: DataFrame, k: int, num: int, den: int) -> D
     def compare(batches):
         for batch in batches:
             ok = []
-            for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            for x, y in zip(batch.column("x"), batch.column("y"), strict=True):  # one pair is copied at a time
+                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
                 overlap = len(np.intersect1d(x, y, assume_unique=True))
                 ok.append(overlap * den >= num * (len(x) + len(y) - overlap))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("a", "a1", "b", "b1")), pa.array(ok, pa.bool_())], names=["a", "a1", "b", "b1", "ok"])
@@ -477,7 +490,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     one = durable(linkable.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "n")).alias("s")).select("h1", "h2", "s.*"), "classes")
 
     # sets that share a signature go to the family of the one with the smallest hash
-    sigs = signed(docs, k, num, den)
+    sigs = signed(docs, k, num, den, linkable.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
     in_order = Window.partitionBy("sig").orderBy("h1").rowsBetween(Window.unboundedPreceding, Window.currentRow)  # a running first needs no memory for hot signatures
     shared = sigs.withColumn("family", F.first("h1").over(in_order)).where("family <> h1").select("family", "h1").distinct()
     shared = durable(shared, "shared")

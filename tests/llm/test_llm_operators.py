@@ -372,6 +372,33 @@ def test_signatures_lose_no_pair():
                 assert set(jaccard.signatures(np.sort(a), num, 100)) & set(jaccard.signatures(np.sort(b), num, 100))
 
 
+def test_shared_passage_brings_few_sets_together(spark, monkeypatch):
+    r = np.random.default_rng(12)
+    passage = [f"c{i}" for i in range(60)]
+    rows = [(i, " ".join(passage + [f"d{i}x{j}" for j in range(40)])) for i in range(200)]
+    rows += [(1000 + i, rows[i][1] + " more") for i in range(0, 200, 20)]
+    met, paged = [], jaccard.paged
+    monkeypatch.setattr(jaccard, "paged", lambda sized, *a: met.append(sized.count()) or paged(sized, *a))
+    shuffled = [rows[i] for i in r.permutation(len(rows))]
+    got = jaccard.jaccard_components(spark.createDataFrame(shuffled, "doc_id long, text string"), 1, 80, 100).collect()
+    assert {x.doc_id: x.component_id for x in got} == {i: i % 1000 for i, _ in rows}
+    assert met[0] <= 4 * 20
+
+
+def test_signatures_by_frequency_lose_no_pair():
+    r = np.random.default_rng(14)
+    often = r.integers(0, 4, 1 << 12).astype(np.uint8)
+    for num in (100, 90, 80, 60):
+        for n in (1, 3, 4, 5, 9, 10, 50, 120):
+            for _ in range(20):
+                a = r.integers(0, 2**64, n, dtype=np.uint64)
+                b = np.concatenate([a[: n - int(r.integers(0, n // 4 + 1))], r.integers(0, 2**64, int(r.integers(0, n // 4 + 2)), dtype=np.uint64)])
+                i = len(np.intersect1d(a, b))
+                if 100 * i >= num * (len(a) + len(b) - i) and set(a) != set(b):
+                    assert set(jaccard.signatures(np.sort(a), num, 100, often)) & set(jaccard.signatures(np.sort(b), num, 100, often))
+                assert len(jaccard.signatures(np.sort(a), num, 100, often)) <= n - -(-n * num // 100) + 1
+
+
 def test_components(spark):
     r = np.random.default_rng(6)
     pairs = [(int(a), int(b)) for a, b in r.integers(0, 300, (220, 2))] + [(1000 + i, 1001 + i) for i in range(40)]
