@@ -23,7 +23,8 @@ import numpy as np
 
 from lorequarry.llm.textbytes import ragged
 
-WORD_LIMIT = 200_000  # words kept by a partition before it forgets them: memory, not results, depends on it
+WORD_LIMIT = 100_000  # words kept by a partition before it forgets them: memory, not results, depends on it
+LEARN = 8192  # words encoded together: every place in them takes some hundred bytes meanwhile
 
 
 def byte_symbols() -> list[str]:
@@ -68,7 +69,7 @@ class WordBpe:
         self.forget()
 
     def forget(self) -> None:
-        self.codes: dict[str, tuple[bytes, str]] = {}  # pieces of the split pattern
+        self.codes: dict[str, bytes] = {}  # ids of the pieces of the split pattern
         self.index = Numbers()  # words between white space, by number in the pools
         self.ids, self.text = Pool(np.uint32), Pool(np.uint8)
 
@@ -103,12 +104,12 @@ class WordBpe:
         ids = self.inner[data]
         ids[ends - 1] = self.last[data[ends - 1]]
         code = self.apply_ranks(ids, ends)
-        raw_of, text_of = self.raw_of, self.text_of
+        raw_of = self.raw_of
         a = 0
         for w, b in zip(words, ends.tolist(), strict=True):
             own = [i for i in code[a:b] if i >= 0]
             a = b
-            self.codes[w] = b"".join([raw_of[i] for i in own]), " ".join([text_of[i] for i in own])
+            self.codes[w] = b"".join([raw_of[i] for i in own])
 
     def apply_ranks(self, start: np.ndarray, ends: np.ndarray) -> list[int]:
         """Applies all merges inside the words that end at ``ends``; swallowed places become -1."""
@@ -174,21 +175,24 @@ class WordBpe:
     def meet(self) -> None:
         """Appends ids and decoded bytes of the words met since the last call to the tables."""
         words, self.index.new = self.index.new, []
+        for a in range(0, len(words), LEARN):
+            self._meet(words[a : a + LEARN])
+
+    def _meet(self, words: list[str]) -> None:
         findall = self.pattern.findall
         cut = [([w] if w.isascii() and w.isalpha() else findall(w)) if w[0] != " " else [] for w in words]
         self.learn(list({p for ps in cut for p in ps if p not in self.codes}))
-        codes = self.codes
+        codes, text_of = self.codes, self.text_of
         ids, text = [], []
         for w, ps in zip(words, cut, strict=True):
             if len(ps) == 1:
-                i, t = codes[ps[0]]
+                i = codes[ps[0]]
             elif w[0] == " ":
-                i, t = self.special[w[1:]].to_bytes(4, "little"), w[1:]
+                i = self.raw_of[self.special[w[1:]]]
             else:
-                got = [codes[p] for p in ps]
-                i, t = b"".join([g[0] for g in got]), " ".join([g[1] for g in got])
+                i = b"".join([codes[p] for p in ps])
             ids.append(i)
-            text.append(t.encode() + b" " if t else b"")
+            text.append("".join([text_of[x] + " " for x in memoryview(i).cast("I")]).encode())
         self.ids.append(ids, 4)
         self.text.append(text, 1)
 
@@ -257,12 +261,12 @@ def tokenizer(path: str) -> WordBpe:
     return _loaded[path]
 
 
-def _groups(texts: list[str], most: int = 1 << 21):
-    """Runs of whole texts of about so many characters."""
+def _groups(texts, most: int = 1 << 19):
+    """Runs of whole texts of about so many characters, from an Arrow column; only a run at a time is held as text."""
     run, size = [], 0
     for t in texts:
-        run.append(t)
-        size += len(t)
+        run.append(t.as_py() or "")
+        size += len(run[-1])
         if size >= most:
             yield run
             run, size = [], 0
@@ -285,9 +289,8 @@ def bpe_codes(docs, path: str, columns: list[str], digests: bool = False):
     def run(batches):
         bpe = tokenizer(path)
         for batch in batches:
-            texts = [t or "" for t in batch.column(batch.num_columns - 1).to_pylist()]
             at = 0
-            for group in _groups(texts):
+            for group in _groups(batch.column(batch.num_columns - 1)):
                 rows = bpe.encode(group)
                 kept = [batch.column(i).slice(at, len(group)) for i in range(len(columns))]
                 at += len(group)

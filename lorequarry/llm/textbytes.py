@@ -65,7 +65,9 @@ def slices(column, target: int = 1 << 20):
     """
     import pyarrow as pa
 
-    column = column.cast(pa.large_string()).fill_null("")
+    column = column.cast(pa.large_string())
+    if column.null_count:  # else the texts are not copied
+        column = column.fill_null("")
     _, at, raw = column.buffers()
     n = len(column)
     at = np.frombuffer(at, np.int64, n + 1 + column.offset)[column.offset :] if n else np.zeros(1, np.int64)

@@ -14,7 +14,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from lorequarry.llm import bitsliced, bpe, components, jaccard, lines, lm, mixing, neardup, pii, quality, suffixes
+from lorequarry.llm import bitsliced, bpe, components, jaccard, lines, lm, mixing, neardup, pii, quality, suffixes, textbytes
 from lorequarry.llm.durable import durable
 from lorequarry.llm.queries import tokenizer_path
 
@@ -413,6 +413,19 @@ def test_components(spark):
     assert got == {n: c for n, c in root.items() if any(n in p and p[0] != p[1] for p in pairs)}
 
 
+def test_texts_are_held_by_runs():
+    words = [f"word{i} " * 20_000 for i in range(12)]
+    column = pa.array([*words, None])
+    runs = list(bpe._groups(column))
+    assert [t for run in runs for t in run] == [*words, ""] and max(map(len, runs)) <= 5
+    for part in (column, column.slice(3, 7), column.slice(11)):  # slices() shares the buffer of texts without nulls
+        got = [data[a:b].tobytes().decode() for _, data, offsets in textbytes.slices(part) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+        assert got == [t or "" for t in part.to_pylist()]
+    model = bpe.WordBpe(tokenizer_path())
+    model.encode(["some words, some more"])
+    assert model.codes and all(isinstance(c, bytes) for c in model.codes.values())
+
+
 # --- 8 ---
 
 
